@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from camwatch.llm.common import scratch
 from camwatch.llm.license_scan import scan_licenses
+from camwatch.llm.token_store import round_trip
 from camwatch.llm.topk_search import top_k
+from camwatch.llm.unigram import encode_decode
 from camwatch.llm.url_filter import judge_urls
 from camwatch.llm.warc import read_warc, write_warc
 
@@ -42,15 +45,26 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_decode(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_exact_topk": op2_exact_topk,
     "op5_license_scan": op5_license_scan,
+    "op7_token_files": op7_token_files,
     "op9_url_filter": op9_url_filter,
+    "op10_unigram": op10_unigram,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 from camwatch.llm.common import table
 
+#: Stands for no score; below any other and exact in every type used.
+NONE = -(2**62)
+NO_PARTS = pd.DataFrame({"q": [], "list": [], "c": [], "part": []}).astype("int64")
 #: Vectors and queries of one block.
 BLOCK, QUERY_BLOCK = 8192, 1024
 
@@ -41,13 +44,12 @@ def _stack(column: pd.Series, size: int) -> np.ndarray:
 
 
 def _scores(q: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
+    """Inner products, exact: in the narrowest type that holds every sum."""
     size = max([0, *map(len, q["v"]), *map(len, v["v"])])
     a, b = _stack(q["v"], size), _stack(v["v"], size)
-    # sums of products below 2**53 are exact in doubles, which multiply much faster
     bound = size * int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0))
-    if bound < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
+    return a.astype(kind) @ b.astype(kind).T
 
 
 def _blocks(queries: DataFrame, vectors: DataFrame, lists: int, of: Callable, kind: str) -> DataFrame:
@@ -81,47 +83,57 @@ def top_k(
     """
     v = table(quantise(vectors, id_col, vector_col, scale).distinct(), "quantised")
     q = v if queries is None else table(quantise(queries, id_col, vector_col, scale).distinct(), "queries")
-    need = k + 1  # the query itself may be among them
+    need = k + 1  # ids of a class that can count: the query itself may be among them
     # the smallest ids of each class of equal vectors: Spark keeps `need` rows a class before the shuffle
     low = v.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("id"))).filter(F.col("r") <= need)
-    members = table(low.select("v", "id"), "members")
-    classes = table(members.groupBy("v").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("ids")), "classes")
-    distinct_q = q.select("v").distinct().withColumn("id", F.xxhash64("v"))
-    qc = table(distinct_q.select(F.col("id"), "v"), "query_classes")
+    classes = table(low.groupBy("v").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("ids")), "classes")
     points = classes.select("id", "v")
+    # a query's own class would lead every list: it is scored apart, and the lists are those of the others
+    qc = q.groupBy("v").agg(F.min("id").alias("id")).join(points.select("v", F.col("id").alias("own")), "v", "left")
+    qc = table(qc.select("id", "v", F.col("own").isNotNull().alias("has_own"), F.coalesce("own", F.lit(0)).alias("own")), "query_classes")
+
+    def parts(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        s = _scores(a, b)
+        i, j = np.nonzero((a["own"].to_numpy()[:, None] == b["id"].to_numpy()) & a["has_own"].to_numpy()[:, None])
+        s[i, j] = NONE
+        return s
+
+    def found(a: pd.DataFrame, b: pd.DataFrame, i: np.ndarray, j: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"q": a["id"].to_numpy()[i], "list": a["list"].iloc[0], "c": b["id"].to_numpy()[j], "part": s[i, j].astype(np.int64)})
 
     def head(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"q": [], "list": [], "c": [], "part": []}).astype("int64")
-        s, ids = _scores(a, b), b["id"].to_numpy()
-        n = min(need, s.shape[1])
-        best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-        return pd.DataFrame({"q": np.repeat(a["id"].to_numpy(), n), "list": a["list"].iloc[0], "c": ids[best].ravel(), "part": np.take_along_axis(s, best, 1).ravel()})
+            return NO_PARTS
+        s = parts(a, b)
+        n = min(k, s.shape[1])
+        j = np.argpartition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n :].ravel()
+        i = np.repeat(np.arange(len(a)), n)
+        some = s[i, j] != NONE
+        return found(a, b, i[some], j[some], s)
 
     heads = _blocks(qc, points, lists, head, "q long, list int, c long, part long")
-    heads = table(heads.withColumn("r", F.row_number().over(W.partitionBy("q", "list").orderBy(F.desc("part"), "c"))).filter(F.col("r") <= need), "heads")
+    heads = table(heads.withColumn("r", F.row_number().over(W.partitionBy("q", "list").orderBy(F.desc("part"), "c"))).filter(F.col("r") <= k), "heads")
     dot = F.expr("aggregate(zip_with(qv, cv, (x, y) -> coalesce(x, 0L) * coalesce(y, 0L)), 0L, (s, x) -> s + x)")
     qv, cv = qc.select(F.col("id").alias("q"), F.col("v").alias("qv")), points.select(F.col("id").alias("c"), F.col("v").alias("cv"))
     resolve = lambda pairs: pairs.join(cv, "c").join(qv, "q").withColumn("score", dot).drop("qv", "cv")
     seen = resolve(heads.select("q", "c").distinct())
     w = W.partitionBy("q").orderBy(F.desc("score"), "c")
-    bound = seen.withColumn("r", F.row_number().over(w)).filter(F.col("r") == need).select("q", F.col("score").alias("bound"))
+    bound = seen.withColumn("r", F.row_number().over(w)).filter(F.col("r") == k).select("q", F.col("score").alias("bound"))
     # cutoff of a list: its highest part less an equal share of what the highest parts exceed the bound by
     tops = heads.groupBy("q", "list").agg(F.max("part").alias("top"))
     room = tops.groupBy("q").agg(F.sum("top").alias("tops")).join(bound, "q", "left")
     cuts = table(
-        tops.join(room, "q").select("q", "list", "bound", F.when(F.col("bound").isNull(), F.lit(-(2**62))).otherwise(F.col("top") - F.ceil((F.col("tops") - F.col("bound")) / F.lit(lists))).cast("long").alias("cut")),
+        tops.join(room, "q").select("q", "list", "bound", F.when(F.col("bound").isNull(), F.lit(NONE + 1)).otherwise(F.col("top") - F.ceil((F.col("tops") - F.col("bound")) / F.lit(lists))).cast("long").alias("cut")),
         "cuts",
     )
     with_cuts = table(qc.join(cuts.groupBy(F.col("q").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("list", "cut"))).alias("cuts")), "id"), "cutoffs")
 
     def above(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"q": [], "list": [], "c": [], "part": []}).astype("int64")
-        s, ids, one = _scores(a, b), b["id"].to_numpy(), int(a["list"].iloc[0])
-        cut = np.array([dict(x)[one] for x in a["cuts"]], np.int64)
-        i, j = np.nonzero(s >= cut[:, None])
-        return pd.DataFrame({"q": a["id"].to_numpy()[i], "list": one, "c": ids[j], "part": s[i, j]})
+            return NO_PARTS
+        s, one = parts(a, b), int(a["list"].iloc[0])
+        cut = np.array([dict(x)[one] for x in a["cuts"]], s.dtype)
+        return found(a, b, *np.nonzero(s >= cut[:, None]), s)
 
     entries = _blocks(with_cuts, points, lists, above, "q long, list int, c long, part long")
     total = cuts.groupBy("q").agg(F.sum("cut").alias("cut_sum"), F.first("bound").alias("bound"))
@@ -134,7 +146,8 @@ def top_k(
     most = table(most.select("q", "c", "parts", "lists"), "candidates")
     exact = most.filter(F.col("lists") == lists).select("q", "c", F.col("parts").alias("score"))
     exact = exact.unionByName(resolve(most.filter(F.col("lists") < lists).select("q", "c")).select("q", "c", "score"))
-    best = exact.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= need).select("q", "c", "score")
+    own = qc.filter("has_own").select(F.col("id").alias("q"), F.col("own").alias("c"), F.expr("aggregate(v, 0L, (s, x) -> s + x * x)").alias("score"))
+    best = exact.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("q", "c", "score").unionByName(own)
     rows = best.join(classes.select(F.col("id").alias("c"), "ids"), "c").select("q", "score", F.explode("ids").alias("vec_id"))
     rows = table(rows.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= need).drop("r"), "best")
     asked = q.join(qc.select(F.col("id").alias("q"), "v"), "v").select(F.col("id").alias("query_id"), "q")
