@@ -10,7 +10,6 @@ a reader fetches the tail and then only the frames it wants.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -33,17 +32,25 @@ SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 NO_ID = -(2**63)
 #: Words whose ids a task remembers, and texts that it splits at once.
 CACHE, PART = 500_000, 250
+#: What may follow letters as a piece of its own. No apostrophes: those begin pieces with letters.
+PUNCTUATION = ",.!?:;*%$#&|)"
 
-_ODD_SPACE = re.compile(r"\s |\ \s")
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself, or the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class WordEncoder:
     """Ids of whole texts from a byte-level BPE of the tokenizers library.
 
     Its pre-tokenizer always begins a piece at a single space between two other
-    characters, so a text's ids are those of its space-separated chunks, one after
-    the other; each chunk is encoded once and remembered. Texts with other white
-    space beside a space go to the library whole.
+    characters, and behind letters that punctuation follows. So a text's ids are
+    those of its words, each with the space before it, one after the other; words are
+    encoded once by the library and remembered. Texts with other white space beside
+    a space go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -54,60 +61,68 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}  # what the cache held before; words still in use move on
-        self.line = self._ids("\n")
-        self.joined = self._ids("\n a\n b") == [*self.line, *self._ids(" a"), *self.line, *self._ids(" b")] and len(self.line) == 1
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.cache: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}  # what the cache held before; words still in use move on
+        self.tails: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> bytes:
+        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
-    def _pack(self, ids: Iterable[int]) -> bytes:
-        return np.asarray(ids, np.uint32).astype(self.kind).tobytes()
+    def _letters(self, word: str) -> bytes:
+        """A word of letters only, behind a space, is one piece for the model."""
+        return self._pack([t.id for t in self.model.tokenize(f" {word}".encode().decode("latin-1").translate(self.letters))])
 
     def _learn(self, words: list[str]) -> None:
-        """Remember the words' ids behind a space; those without white space are encoded as lines of one text."""
-        plain = [w for w in words if self.joined and w.split(None, 1)[:1] == [w]]
-        for lo in range(0, len(plain), 20_000):
-            part = plain[lo : lo + 20_000]
-            ids = np.asarray(self._ids("\n " + "\n ".join(part) + "\n"), np.uint32)
-            at = np.flatnonzero(ids == self.line[0])
-            packed = ids.astype(self.kind).tobytes()
-            if len(at) != len(part) + 1:  # not as expected: one by one
-                self.cache.update((w, self._pack(self._ids(" " + w))) for w in part)
-                continue
-            n = self.width
-            at = at.tolist()
-            self.cache.update(zip(part, (packed[(a + 1) * n : b * n] for a, b in zip(at, at[1:], strict=False)), strict=True))
-        rest = [w for w in words if w not in self.cache]
+        """Remember the words' ids behind a space; None for those with white space at an end."""
+        cache, rest = self.cache, []
+        for w in words:
+            core = w.rstrip(PUNCTUATION)
+            if not w or w != w.strip():
+                cache[w] = None
+            elif not core.isalpha():
+                rest.append(w)
+            elif core == w:
+                cache[w] = self._letters(w)
+            else:
+                tail = w[len(core) :]
+                if (head := cache.get(core) or self.old.get(core)) is None:
+                    head = cache[core] = self._letters(core)
+                if tail not in self.tails:
+                    if len(self.tails) > 10_000:
+                        self.tails.clear()
+                    self.tails[tail] = self._ids(tail)
+                cache[w] = head + self.tails[tail]
         for w, e in zip(rest, self.tokenizer.encode_batch_fast([" " + w for w in rest], add_special_tokens=False), strict=True):
-            self.cache[w] = self._pack(e.ids)
+            cache[w] = self._pack(e.ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [x for lo in range(0, len(texts), PART) for x in self._encode(texts[lo : lo + PART])]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
+        split = [t.split(" ") for t in texts]
         need: set[str] = set()
-        for t in texts:
-            words = None if _ODD_SPACE.search(t) else t.split(" ")
-            if words:
-                need.update(words[1:])
-            split.append(words)
-        if new := [w for w in need if w not in self.cache]:
-            if known := [w for w in new if w in self.old]:
-                self.cache.update((w, self.old[w]) for w in known)
-            self._learn([w for w in new if w not in self.cache])
-        get, out = self.cache.__getitem__, []
+        for words in split:
+            need.update(words[1:])
+        cache = self.cache
+        if new := [w for w in need if w not in cache]:
+            old = self.old
+            cache.update((w, old[w]) for w in new if w in old)
+            self._learn([w for w in new if w not in cache])
+        get, out = cache.__getitem__, []
         for t, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(self._pack(self._ids(t)))
-            else:
-                first = words[0]
-                head = self._pack(self._ids(first)) if first else b""
-                out.append(head + b"".join(map(get, words[1:])))
-        if len(self.cache) > CACHE:
-            self.old, self.cache = self.cache, {}
+            first = words[0]
+            try:
+                if first != first.rstrip():
+                    raise TypeError
+                out.append((self._ids(first) if first else b"") + b"".join(map(get, words[1:])))
+            except TypeError:  # None among the words
+                out.append(self._ids(t))
+        if len(cache) > CACHE:
+            self.old, self.cache = cache, {}
         return out
 
 
