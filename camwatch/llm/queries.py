@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from camwatch.llm.common import scratch
+from camwatch.llm.decontam import contaminated
 from camwatch.llm.license_scan import scan_licenses
 from camwatch.llm.token_store import round_trip
 from camwatch.llm.topk_search import top_k
+from camwatch.llm.toxicity import fit_on, held_out, score_texts
 from camwatch.llm.unigram import encode_decode
 from camwatch.llm.url_filter import judge_urls
 from camwatch.llm.warc import read_warc, write_warc
@@ -41,6 +43,12 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_texts(documents, fit_on(documents, _read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_read(spark, sf_dir, "documents")).drop("spans")
 
@@ -49,6 +57,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -61,8 +73,10 @@ def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_exact_topk": op2_exact_topk,
+    "op4_toxicity": op4_toxicity,
     "op5_license_scan": op5_license_scan,
     "op7_token_files": op7_token_files,
+    "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_unigram": op10_unigram,
 }
@@ -91,4 +105,14 @@ ORACLE_SQL: dict[str, str] = {
         )
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
     """,
+    "op8_decontamination": """
+        with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents),
+             b as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from benchmark),
+             ds as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d),
+             bs as (select distinct item_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from b),
+             n as (select item_id, count(*) as n_shingles from bs group by item_id)
+        select doc_id, item_id, n_shingles, count(*) as n_found
+        from ds join bs using (s) join n using (item_id)
+        group by doc_id, item_id, n_shingles having 5 * count(*) >= 4 * n_shingles
+    """,
 }
