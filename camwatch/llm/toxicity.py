@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -161,7 +162,7 @@ def stems_of(word: Column, shortest: int = 4, longest: int = 7) -> Column:
     return F.concat(F.array(F.concat(word, F.lit("$"))), F.filter(F.array(*[F.when(F.length(word) >= n, F.substring(word, 1, n)) for n in range(shortest, longest + 1)]), lambda x: x.isNotNull()))
 
 
-def learn_stems(texts: DataFrame, least_docs: int = 4, evidence: float = 16.0) -> dict[str, float]:
+def learn_stems(texts: DataFrame, least_docs: int = 4, evidence: float = 20.0) -> dict[str, float]:
     """Stems whose share of toxic texts is beyond chance; ``texts`` has text and toxic (0/1) and is a bounded sample.
 
     The counts are of documents. A stem is kept if the log likelihood ratio against
@@ -176,7 +177,7 @@ def learn_stems(texts: DataFrame, least_docs: int = 4, evidence: float = 16.0) -
     counts = (
         texts.select("toxic", F.explode(F.array_distinct(F.flatten(F.transform(words, lambda w: stems_of(w))))).alias("stem"))
         .groupBy("stem").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
-        .filter((F.col("a") >= least_docs) & (F.col("a") / F.col("n") >= min(0.9, 3 * t / n)))
+        .filter((F.col("a") >= least_docs) & (F.col("a") / F.col("n") >= max(0.5, min(0.9, 3 * t / n))))
     )
     ratio = F.col("a") * F.log(F.col("a") / (F.col("n") * F.lit(t / n))) + F.when(F.col("n") > F.col("a"), (F.col("n") - F.col("a")) * F.log((F.col("n") - F.col("a")) / (F.col("n") * F.lit(1 - t / n)))).otherwise(0.0)
     rows = counts.withColumn("ratio", ratio).filter(F.col("ratio") >= evidence).collect()
@@ -189,10 +190,30 @@ def learn_stems(texts: DataFrame, least_docs: int = 4, evidence: float = 16.0) -
     return {s: weights[s] / 4 for s, a in held.items() if longer.get(s, 0) < 0.95 * a}
 
 
+def one_of_each(texts: list[str]) -> list[int]:
+    """Positions of texts of which no near copy stands before them.
+
+    Copies of one text would make its every word look like evidence. Texts count as
+    near copies if two minimum hashes of their five-word shingles agree in one of
+    four bands.
+    """
+    seen: set[tuple[int, int, int]] = set()
+    keep = []
+    for i, text in enumerate(texts):
+        words = text.lower().split()
+        hashes = np.array([zlib.crc32(" ".join(words[k : k + 5]).encode()) for k in range(max(1, len(words) - 4))], np.uint64)
+        low = [int(((hashes * np.uint64((0x9E3779B97F4A7C15 >> k) | 1)) >> np.uint64(7)).min()) for k in range(8)]
+        bands = {(k, low[k], low[k + 1]) for k in range(0, 8, 2)}
+        if not bands & seen:
+            keep.append(i)
+        seen |= bands
+    return keep
+
+
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id", sample_rows: int = 6000) -> Model:
     """Learn from at most ``sample_rows`` labelled rows, those with the smallest hashes of their keys.
 
-    Rows with a null label or text are left out. Without rows of both labels the
+    Rows with a null label or text are left out, as are near copies. Without rows of both labels the
     seeds and a fixed scale serve.
     """
     rows = (
@@ -201,6 +222,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", k
         .orderBy("h").limit(sample_rows).select("text", "toxic")
     )
     held = rows.collect()  # bounded by sample_rows
+    held = [held[i] for i in one_of_each([r["text"] for r in held])]
     spark = labelled.sparkSession
     sample = spark.createDataFrame([(r["text"], r["toxic"]) for r in held], "text string, toxic int").repartition(8) if held else rows
     learned = learn_stems(sample) if held else {}
