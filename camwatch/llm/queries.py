@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from camwatch.llm.common import scratch
 from camwatch.llm.decontam import contaminated
 from camwatch.llm.license_scan import scan_licenses
+from camwatch.llm.ngram_jaccard import ngram_classes
 from camwatch.llm.token_store import round_trip
 from camwatch.llm.topk_search import top_k
 from camwatch.llm.toxicity import fit_on, held_out, score_texts
@@ -43,6 +44,10 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_classes(_read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_texts(documents, fit_on(documents, _read(spark, sf_dir, "labels")))
@@ -73,6 +78,7 @@ def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_exact_topk": op2_exact_topk,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_toxicity": op4_toxicity,
     "op5_license_scan": op5_license_scan,
     "op7_token_files": op7_token_files,
@@ -105,6 +111,22 @@ ORACLE_SQL: dict[str, str] = {
         )
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
     """,
+    "op3_ngram_jaccard": """
+        with recursive d as (
+            select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents
+        ), s as (
+            select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d
+        ), n as (select doc_id, count(*) as n from s group by doc_id),
+        l as (
+            select x.doc_id as a, y.doc_id as b from s x join s y using (s)
+            join n nx on nx.doc_id = x.doc_id join n ny on ny.doc_id = y.doc_id
+            where x.doc_id <> y.doc_id and 100 * nx.n >= 90 * ny.n and 100 * ny.n >= 90 * nx.n
+            group by x.doc_id, y.doc_id, nx.n, ny.n having 100 * count(*) >= 90 * (nx.n + ny.n - count(*))
+        ), r(doc_id, c) as (
+            select doc_id, doc_id from d union select l.b, r.c from r join l on l.a = r.doc_id
+        ), m as (select doc_id, min(c) as component_id from r group by doc_id)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id from d join m using (doc_id) left join n using (doc_id)
+    """,
     "op8_decontamination": """
         with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents),
              b as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from benchmark),
