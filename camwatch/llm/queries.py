@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from camwatch.llm.common import scratch
 from camwatch.llm.decontam import contaminated
 from camwatch.llm.license_scan import scan_licenses
+from camwatch.llm.line_dedup import dedup_lines
 from camwatch.llm.ngram_jaccard import ngram_classes
 from camwatch.llm.token_store import round_trip
 from camwatch.llm.topk_search import top_k
@@ -58,6 +59,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.octet_length("text").cast("long").alias("text_bytes"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_toxicity": op4_toxicity,
     "op5_license_scan": op5_license_scan,
+    "op6_line_dedup": op6_line_dedup,
     "op7_token_files": op7_token_files,
     "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
