@@ -255,10 +255,10 @@ def score_texts(documents: DataFrame, model: Model, text_col: str = "text") -> D
 
     kept = documents.drop("score")
     at = kept.columns.index(text_col)
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # stems of a bounded sample
+    shared = documents.sparkSession.sparkContext.broadcast((model.stems, model.intercept, model.slope))  # stems of a bounded sample
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(Model(*shared.value))
         for batch in batches:
             scores = [scorer.score(t or "") for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])

@@ -203,16 +203,18 @@ def encode_decode(documents: DataFrame, model_file: str, text_col: str = "text",
     """
     spark = documents.sparkSession
     vocabulary = load_vocabulary(model_file)
-    shared = spark.sparkContext.broadcast((vocabulary, build_trie([p for _, p, _ in vocabulary.pieces])))  # as large as the vocabulary
+    shared = spark.sparkContext.broadcast(((vocabulary.pieces, vocabulary.byte_ids, vocabulary.size), build_trie([p for _, p, _ in vocabulary.pieces])))  # as large as the vocabulary
     result = {"n_pieces": pa.int64(), "n_byte_pieces": pa.int64(), "ids_crc32": pa.int64(), "decoded_chars": pa.int64(), "round_trip": pa.bool_()}
     kept = documents.drop(*result, "piece_ids")
     at = kept.columns.index(text_col)
     schema = StructType([*kept.schema.fields, *(StructField(k, BooleanType() if k == "round_trip" else LongType()) for k in result), *([StructField("piece_ids", BinaryType())] if ids_out else [])])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Unigram(*shared.value)
-        is_byte = np.zeros(shared.value[0].size, bool)
-        is_byte[shared.value[0].byte_ids] = True
+        held, trie = shared.value
+        own = Vocabulary(*held)
+        model = Unigram(own, trie)
+        is_byte = np.zeros(own.size, bool)
+        is_byte[own.byte_ids] = True
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             ids = model.encode(texts)
