@@ -226,7 +226,7 @@ def write_tokens(
                     yield row[2:]
                     row = next(rows, None)
 
-            with fs.open_output_stream(f"{folder}/{name}") as out:
+            with fs.open_output_stream(f"{folder}/{name}", compression=None) as out:
                 docs, tokens = write_frames(out, frames(), width)
             yield pa.RecordBatch.from_pylist([{"file_id": file_id, "file": name, "docs": docs, "tokens": tokens}])
 
