@@ -54,10 +54,10 @@ def ema(curves: DataFrame, alpha: float = 0.4) -> DataFrame:
 
 
 def best_camera(scores: DataFrame, primary: Column, bias: float = 1.2) -> DataFrame:
-    """incident_id, idx, t, scores (camera to biased score), best: the highest, on ties the first name."""
+    """incident_id, idx, t, scores (of all cameras, biased), best: the highest, on ties the first name."""
     s = scores.withColumn("score", F.when(primary == F.col("camera"), F.col("score") * bias).otherwise(F.col("score")))
     return s.groupBy("incident_id", "idx", "t").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("camera", "score")))).alias("scores"), F.min_by("camera", F.struct(-F.col("score"), "camera")).alias("best")
+        F.array_sort(F.collect_list(F.struct("camera", "score"))).alias("scores"), F.min_by("camera", F.struct(-F.col("score"), "camera")).alias("best")
     )
 
 
@@ -68,7 +68,8 @@ def hysteresis(points: DataFrame, margin: float = 1.15) -> DataFrame:
 
     def step(acc: Column, x: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))["camera"]
-        stay = last.isNotNull() & (F.element_at(x["scores"], x["best"]) < F.element_at(x["scores"], last) * margin)
+        of = lambda camera: F.get(F.filter(x["scores"], lambda s: s["camera"] == camera), 0)["score"]
+        stay = last.isNotNull() & (of(x["best"]) < of(last) * margin)
         return F.concat(acc, F.array(F.struct(x["idx"].alias("idx"), x["t"].alias("t"), F.when(stay, last).otherwise(x["best"]).alias("camera"))))
 
     return g.select("incident_id", F.explode(F.aggregate("p", F.array().cast(entry), step)).alias("z")).select("incident_id", "z.*")
