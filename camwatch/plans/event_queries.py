@@ -439,3 +439,12 @@ def report_old(spark: SparkSession, sf_dir: str) -> DataFrame:
 def u1(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = D.feed(spark, sf_dir).withColumnRenamed("event_id", "notification_id")
     return N.fan_out(n, {"hub": lambda d: d.select("notification_id", F.lit("sent").alias("status"), C("label").alias("message")), "push": lambda d: d.select("notification_id", F.when(C("k") % 2 == 0, "sent").otherwise("skipped").alias("status"), C("camera").alias("message"))})
+
+
+@query("t4_incidents_exact")
+def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from camwatch.streaming.streams import exact_incidents
+
+    f = D.feed(spark, sf_dir)
+    row = lambda kind, us: f.select("site_id", (C(us) / 1_000_000.0).alias("ts_s"), F.lit(kind).alias("kind"), C("event_id").cast("string").alias("event_id"), "camera", "ended")
+    return exact_incidents(row("new", "start_us").union(row("end", "end_us").filter("ended")).drop("ended"))
