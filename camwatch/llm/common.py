@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,12 @@ def drop(df: DataFrame) -> None:
     delete_path(df.sparkSession, df.scratch_path)
 
 
+def release(df: DataFrame) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps: it acts when the driver collects garbage."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path of ours."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from camwatch.llm.common import components, table
+from camwatch.llm.common import components, drop, release, table
 
 #: Ratio of a band's largest and smallest sizes.
 BAND = 1.5
@@ -91,11 +91,12 @@ def ngram_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
-def sketch(grams: np.ndarray) -> tuple[int, int]:
-    """128 parity bits of the set as two signed integers."""
-    bit = np.uint64(1) << ((grams >> np.uint64(20)) & np.uint64(63))
-    high = ((grams >> np.uint64(26)) & np.uint64(1)).astype(bool)
-    return int(np.bitwise_xor.reduce(bit[~high], initial=np.uint64(0)).view(np.int64)), int(np.bitwise_xor.reduce(bit[high], initial=np.uint64(0)).view(np.int64))
+def sketch(grams: np.ndarray) -> bytes:
+    """512 parity bits of the set."""
+    words = np.zeros(8, np.uint64)
+    at = (grams >> np.uint64(20)) & np.uint64(511)
+    np.bitwise_xor.at(words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+    return words.tobytes()
 
 
 class Bands:
@@ -149,7 +150,7 @@ def _parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def summaries(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint of the set), s1, s2 (sketch), keys. ``docs``: doc_id, text as binary."""
+    """doc_id, n, f1, f2 (fingerprint of the set), s (sketch), keys. ``docs``: doc_id, text as binary."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -159,24 +160,23 @@ def summaries(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 sets = ngram_sets(texts[lo:hi], size)
                 keys = [bands.keys(g) if len(g) else np.zeros(0, np.int64) for g in sets]
                 cut = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-                pairs = [sketch(g) for g in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo), pa.array([len(g) for g in sets], pa.int64()),
                         pa.array([int(g.sum(dtype=np.uint64).view(np.int64)) for g in sets], pa.int64()), pa.array([int(mix(g ^ _BASE).sum(dtype=np.uint64).view(np.int64)) for g in sets], pa.int64()),
-                        pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.ListArray.from_arrays(cut, np.concatenate(keys)),
+                        pa.array([sketch(g) for g in sets], pa.binary()), pa.ListArray.from_arrays(cut, np.concatenate(keys)),
                     ],
-                    names=["doc_id", "n", "f1", "f2", "s1", "s2", "keys"],
+                    names=["doc_id", "n", "f1", "f2", "s", "keys"],
                 )
 
-    return docs.mapInArrow(work, "doc_id long, n long, f1 long, f2 long, s1 long, s2 long, keys array<long>")
+    return docs.mapInArrow(work, "doc_id long, n long, f1 long, f2 long, s binary, keys array<long>")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
     """The columns of whole groups of sorted rows, many groups at once; a group never spans two results."""
     kept: list[np.ndarray] = []
     for batch in batches:
-        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        new = [np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, 8) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
         cols = [np.concatenate(x) for x in zip(kept, new, strict=True)] if kept else new
         if not len(cols[0]):
             continue
@@ -201,7 +201,7 @@ def _runs(cols: list[np.ndarray], keys: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(entries: DataFrame, percent: int, by_class: bool) -> DataFrame:
-    """a, b: pairs to verify, from rows key, part, doc, side, c (class), n, s1, s2.
+    """a, b, apart (bits): pairs to verify, from rows key, part, doc, side, c (class), n, s.
 
     With ``by_class`` all pairs of different classes, else each document with the
     first leader close to it. In the parts of a large bucket that compare two chunks,
@@ -209,25 +209,26 @@ def candidates(entries: DataFrame, percent: int, by_class: bool) -> DataFrame:
     """
     bands = Bands(percent, 2)
 
-    def near(i, others, n, s1, s2):
-        close = np.bitwise_count(s1[others] ^ s1[i]) + np.bitwise_count(s2[others] ^ s2[i]) <= bands.difference(n[others] + n[i])
-        return close & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))
+    def near(i, others, n, s):
+        apart = np.bitwise_count(s[others] ^ s[i]).sum(axis=1, dtype=np.int64)
+        return (apart <= bands.difference(n[others] + n[i])) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])), apart
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in _groups(batches, 2):
             a: list[np.ndarray] = []
             b: list[np.ndarray] = []
-            _, _, doc, side, cls, n, s1, s2 = cols
-            s1, s2 = s1.view(np.uint64), s2.view(np.uint64)
+            far: list[np.ndarray] = []
+            _, _, doc, side, cls, n, s = cols
             lo, hi = _runs(cols, 2)
             two = lo[hi - lo == 2]
             if len(two):  # most groups are pairs
-                ok = np.bitwise_count(s1[two] ^ s1[two + 1]).astype(np.int64) + np.bitwise_count(s2[two] ^ s2[two + 1]) <= bands.difference(n[two] + n[two + 1])
-                ok &= (100 * np.minimum(n[two], n[two + 1]) >= percent * np.maximum(n[two], n[two + 1])) & (doc[two] != doc[two + 1])
+                ok, apart = near(two, two + 1, n, s)
+                ok &= doc[two] != doc[two + 1]
                 if by_class:
                     ok &= (cls[two] != cls[two + 1]) & (side[two] <= side[two + 1])
                 a.append(doc[two[ok]])
                 b.append(doc[two[ok] + 1])
+                far.append(apart[ok])
             for x, y in zip(lo[hi - lo > 2].tolist(), hi[hi - lo > 2].tolist(), strict=True):
                 rest = np.arange(x, y)
                 if by_class and (cls[x:y] == cls[x]).all():
@@ -235,7 +236,7 @@ def candidates(entries: DataFrame, percent: int, by_class: bool) -> DataFrame:
                 crossing = by_class and side[x:y].any()
                 while len(rest) > 1:
                     i, rest = rest[0], rest[1:]
-                    ok = near(i, rest, n, s1, s2)
+                    ok, apart = near(i, rest, n, s)
                     hit = ok & (doc[rest] != doc[i])
                     if by_class:
                         hit &= cls[rest] != cls[i]
@@ -244,14 +245,15 @@ def candidates(entries: DataFrame, percent: int, by_class: bool) -> DataFrame:
                     to = rest[hit]
                     a.append(np.full(len(to), doc[i]))
                     b.append(doc[to])
+                    far.append(apart[hit])
                     if not by_class:
                         rest = rest[~ok]
             if a:
                 a_, b_ = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a_, b_)), pa.array(np.maximum(a_, b_))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a_, b_)), pa.array(np.maximum(a_, b_)), pa.array(np.concatenate(far))], names=["a", "b", "apart"])
 
     dealt = entries.repartition("key", "part").sortWithinPartitions("key", "part", "side", "doc")
-    return dealt.select("key", "part", "doc", "side", "c", "n", "s1", "s2").mapInArrow(work, "a long, b long").distinct()
+    return dealt.select("key", "part", "doc", "side", "c", "n", "s").mapInArrow(work, "a long, b long, apart long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -298,24 +300,35 @@ def ngram_classes(documents: DataFrame, size: int = 3, percent: int = 90, id_col
     # equal sets are one class; its smallest id stands for it
     rep = table(linked.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     points = linked.join(rep.withColumnRenamed("rep", "doc_id"), ["n", "f1", "f2", "doc_id"], "left_semi")
-    points = table(points.select(F.col("doc_id").alias("doc"), "n", "s1", "s2", "keys"), "points")
-    exploded = points.select(F.explode("keys").alias("key"), "doc", "n", "s1", "s2")
-    # few keys can have that many documents
-    hot = table(exploded.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > CHUNK).select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "hot")
-    entries = exploded.join(hot, "key", "left").withColumn("chunk", F.when(F.col("chunks").isNotNull(), F.pmod(F.hash("doc"), "chunks")).otherwise(0))
-    tries = table(candidates(entries.select("key", F.col("chunk").cast("long").alias("part"), "doc", F.lit(0).alias("side"), F.col("doc").alias("c"), "n", "s1", "s2"), percent, False), "tries")
+    points = table(points.select(F.col("doc_id").alias("doc"), "n", "s", "keys"), "points")
+    exploded = points.select(F.explode("keys").alias("key"), "doc")
+    # only keys that documents share matter, and those are few; ``chunks`` cuts large buckets
+    shared = exploded.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"))
+    shared = table(shared, "shared_keys")
+    release(shared)
+    buckets = table(exploded.join(shared, "key"), "buckets")
+    release(buckets)
+    entries = buckets.join(points.select("doc", "n", "s"), "doc").withColumn("chunk", F.when(F.col("chunks") > 1, F.pmod(F.hash("doc"), "chunks")).otherwise(0))
+    entries = table(entries.select("key", "chunks", F.col("chunk").cast("long").alias("chunk"), "doc", "n", "s"), "entries")
+    drop(points)
+    drop(buckets)
+    tries = candidates(entries.select("key", F.col("chunk").alias("part"), "doc", F.lit(0).alias("side"), F.col("doc").alias("c"), "n", "s"), percent, False)
+    # each document is first tried with the closest leader only
+    tries = table(tries.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"), "tries")
     links = table(verified(tries, docs, size, percent), "links")
+    release(links)
     known = components(links)
     label = F.coalesce("component", "doc").alias("c")
-    classed = entries.join(known.withColumnRenamed("id", "doc"), "doc", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    classed = entries.join(known.withColumnRenamed("id", "doc"), "doc", "left")
     # every pair of chunks meets once: in part i * chunks + j with i <= j; in a mixed part the sides differ
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1))
     paired = classed.withColumn("other", other).select(
-        "key", (F.least("chunk", "other").cast("long") * F.col("chunks") + F.greatest("chunk", "other")).alias("part"),
-        "doc", F.when(F.col("chunk") > F.col("other"), 1).otherwise(0).alias("side"), label, "n", "s1", "s2",
+        "key", (F.least("chunk", "other") * F.col("chunks") + F.greatest("chunk", "other")).alias("part"),
+        "doc", F.when(F.col("chunk") > F.col("other"), 1).otherwise(0).alias("side"), label, "n", "s",
     )
-    left = candidates(paired, percent, True).join(tries, ["a", "b"], "left_anti")
+    left = candidates(paired, percent, True).select("a", "b").distinct().join(tries, ["a", "b"], "left_anti")
     left = table(left, "left")
+    release(left)
     if left.limit(1).count():
         known = components(links.unionByName(verified(left, docs, size, percent)))
     by_rep = rep.join(known.withColumnRenamed("id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
