@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,20 +46,42 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path  # for drop()
     return out
 
 
+#: Tables that ``table`` wrote and ``scoped`` may delete.
+_WRITTEN: list[str] = []
+
+
+def scoped(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Write what ``fn`` returns as a table, and delete the tables that it wrote on the way."""
+
+    @functools.wraps(fn)
+    def run(*args, **options) -> DataFrame:
+        before = len(_WRITTEN)
+        out = table(fn(*args, **options), fn.__name__)
+        for path in _WRITTEN[before:-1]:
+            delete_path(out.sparkSession, path)
+        del _WRITTEN[before:-1]
+        release(out)
+        return out
+
+    return run
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that ``table`` wrote and that no later plan reads."""
     delete_path(df.sparkSession, df.scratch_path)
 
 
 def release(df: DataFrame) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished steps: it acts when the driver collects garbage."""
+    """Let Spark's cleaner delete the shuffle files of finished steps: it acts, beside us, when the driver collects garbage."""
     gc.collect()
     df.sparkSession._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from camwatch.llm.common import ascii_lower, table
+from camwatch.llm.common import ascii_lower, scoped, table
 
 #: Words of a shingle.
 WORDS = 5
@@ -48,6 +48,7 @@ def item_sketches(items: DataFrame, id_col: str, text_col: str, containment: flo
     return sets.select("item_id", F.size("s").alias("n"), need.alias("need"), F.explode("s").alias("shingle")), sketch
 
 
+@scoped
 def contaminated(
     documents: DataFrame,
     items: DataFrame,

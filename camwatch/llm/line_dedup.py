@@ -1,6 +1,6 @@
 """Line dedup: an exact set-similarity join of lines, in DataFrame functions only.
 
-A line is its set of words. The words are ordered by rarity: by how often the corpus
+A line is its set of lower-cased words between spaces. The words are ordered by rarity: by how often the corpus
 has words of their hash bucket, counted over all documents (a fixed number of buckets,
 so the table of counts is small at any size), then by hash. Two lines whose Jaccard
 similarity is high enough share a word among their rarest ones (prefix filter); where
@@ -8,36 +8,35 @@ the shared word stands in both and how long both are bounds what they can still
 (positional and length filters). What is left is verified on the whole sets. A line
 goes if an earlier line of the corpus (by document, then place) has the same set or
 one similar enough.
+
+Parity bits of the sets (their differing bits bound the words that only one has) drop
+most candidates before any set is fetched. Two rounds keep groups of near copies from
+making all their pairs: what one early line decides is not compared again as a later
+line.
 """
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from camwatch.llm.common import ascii_lower, drop, table
+from camwatch.llm.common import drop, release, scoped, table
 
 #: Hash buckets for the word counts.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 17
 #: A similarity of at least this many hundredths.
 PERCENT = 80
 
 
-def _release(df: DataFrame) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished steps: it acts when the driver collects garbage."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-
-
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+def words_of(line: Column) -> Column:
+    """Distinct lower-cased words between spaces."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(line), " ")), "")
 
 
 def rarity_table(texts: DataFrame) -> bytes:
     """One ASCII character for each bucket, higher where the corpus has more such words: 4 steps for each doubling."""
-    counts = texts.select(F.explode(F.split(ascii_lower(F.col("text")), r"[ \n\t\r]")).alias("w")).groupBy(_bucket(F.col("w")).alias("k")).agg(F.count("*").alias("n"))
+    words = texts.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(F.split(F.lower("line"), " ")).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("k")).agg(F.count("*").alias("n"))
     rows = counts.select("k", F.least(F.floor(F.log2(F.col("n") + 1) * 4), F.lit(93)).cast("int").alias("c")).collect()  # at most BUCKETS
     held = bytearray(b"\x20" * BUCKETS)
     for r in rows:
@@ -46,94 +45,91 @@ def rarity_table(texts: DataFrame) -> bytes:
 
 
 def rare_first(words: Column, rarity: bytes) -> Column:
-    """Distinct words as longs, rarest first: the bucket's count class in the high bits, the word's hash below."""
-    table_ = F.lit(bytearray(rarity))
-    h = F.transform(words, lambda w: F.xxhash64(w))
-    code = lambda x: F.shiftleft(F.ascii(F.substring(table_, F.pmod(x, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long"), 55).bitwiseOR(F.shiftrightunsigned(x, 9))
-    return F.sort_array(F.array_distinct(F.transform(h, code)))
-
-
-def words_of(line: Column) -> Column:
-    """Words between white space, A-Z lower-cased."""
-    return F.filter(F.split(ascii_lower(line), " "), lambda w: w != "")
-
-
-def _squeeze(line: Column) -> Column:
-    """Tabs and other white space inside a line as spaces."""
-    return F.translate(line, "\t\r\x0b\x0c", "    ")
+    """The words as longs, rarest first: the bucket's count class in the high bits, the word's hash below."""
+    held = F.lit(bytearray(rarity))
+    code = lambda x: F.shiftleft(F.ascii(F.substring(held, x.bitwiseAND(BUCKETS - 1).cast("int") + 1, F.lit(1)).cast("string")).cast("long"), 55).bitwiseOR(F.shiftrightunsigned(x, 9))
+    return F.sort_array(F.transform(F.transform(words, lambda w: F.xxhash64(w)), code))
 
 
 def line_table(texts: DataFrame, rarity: bytes, percent: int) -> DataFrame:
-    """doc_id, line_no, key (hash of the line's set), n, prefix; lines without words are left out."""
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", words_of(_squeeze(F.col("line"))).alias("w")).filter("size(w) > 0")
+    """doc_id, line_no, key and key2 (hashes of the line's set), n, parity (64 bits), prefix; lines without words are left out.
+
+    The prefix holds short hashes of the rarest words: that two of them are equal by
+    chance makes a candidate more, no link.
+    """
+    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", words_of(F.col("line")).alias("w")).filter("size(w) > 0")
     codes = lines.select("doc_id", "line_no", rare_first(F.col("w"), rarity).alias("codes")).withColumn("n", F.size("codes"))
     keep = F.col("n") - F.expr(f"cast(({percent} * n + 99) div 100 as int)") + 1
-    return codes.select("doc_id", "line_no", F.xxhash64("codes").alias("key"), F.hash("codes").alias("key2"), "n", F.slice("codes", F.lit(1), keep).alias("prefix"))
+    parity = F.expr("aggregate(codes, 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int)))")
+    return codes.select("doc_id", "line_no", F.xxhash64("codes").alias("key"), F.hash("codes").alias("key2"), "n", parity.alias("parity"), F.transform(F.slice("codes", F.lit(1), keep), lambda x: F.hash(x)).alias("prefix"))
 
 
-def _earlier(a: str, b: str) -> str:
-    return f"({a}_doc < {b}_doc or ({a}_doc = {b}_doc and {a}_line < {b}_line))"
+def could_match(percent: int) -> str:
+    """What a pair must meet: length filter; positional filter (what both have up to the shared word, and at most the shorter
+    rest behind it); and parity bits that differ are at most the words that only one has."""
+    return (
+        f"(a_doc < b_doc or (a_doc = b_doc and a_line < b_line)) and {percent} * a_n <= 100 * b_n and {percent} * b_n <= 100 * a_n "
+        f"and {percent} * (a_n + b_n) <= {100 + percent} * (least(a_i, b_i) + least(a_n - a_i, b_n - b_i)) "
+        f"and {100 + percent} * bit_count(a_parity ^ b_parity) <= {100 - percent} * (a_n + b_n)"
+    )
 
 
-def _could(percent: int) -> str:
-    """Length and positional filters: what both have up to the shared word, and at most the shorter rest behind it."""
-    need = f"{percent} * (a_n + b_n) <= {100 + percent} * (least(a_i, b_i) + 1 + least(a_n - a_i, b_n - b_i) - 1)"
-    return f"{percent} * a_n <= 100 * b_n and {percent} * b_n <= 100 * a_n and {need}"
+PAIR = ["a_doc", "a_line", "b_doc", "b_line"]
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, rarity: bytes, percent: int) -> DataFrame:
-    """The pairs (a_doc, a_line, b_doc, b_line) whose whole sets are similar enough."""
+def similar_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets are similar enough; only lines that occur in a pair are split into words again."""
     ends = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")).union(pairs.select("b_doc", "b_line")).distinct()
     # a document's lines that are asked for: at most its own lines
     wanted = table(ends.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted")), "wanted")
     asked = texts.join(wanted, "doc_id").select("doc_id", F.split("text", "\n").alias("lines"), "wanted").select("doc_id", "lines", F.explode("wanted").alias("line_no"))
     lines = asked.select("doc_id", "line_no", F.get("lines", F.col("line_no")).alias("line")).filter("line is not null")
-    sets = lines.select("doc_id", "line_no", words_of(_squeeze(F.col("line"))).alias("w")).select("doc_id", "line_no", rare_first(F.col("w"), rarity).alias("codes")).distinct()
+    sets = lines.select("doc_id", "line_no", words_of(F.col("line")).alias("w")).select("doc_id", "line_no", F.transform("w", lambda w: F.xxhash64(w)).alias("codes")).distinct()
     sets = table(sets, "line_sets")
     left = sets.select(F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), F.col("codes").alias("a_codes"))
     right = sets.select(F.col("doc_id").alias("b_doc"), F.col("line_no").alias("b_line"), F.col("codes").alias("b_codes"))
-    common = F.size(F.array_intersect("a_codes", "b_codes"))
-    both = pairs.join(left, ["a_doc", "a_line"]).join(right, ["b_doc", "b_line"])
-    return both.filter(100 * common >= percent * (F.size("a_codes") + F.size("b_codes") - common)).select("a_doc", "a_line", "b_doc", "b_line").distinct()
+    both = pairs.join(left, PAIR[:2]).join(right, PAIR[2:]).withColumn("common", F.size(F.array_intersect("a_codes", "b_codes")))
+    return both.filter(100 * F.col("common") >= percent * (F.size("a_codes") + F.size("b_codes") - F.col("common"))).select(*PAIR).distinct()
 
 
+@scoped
 def repeated_lines(documents: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line_no (from 0) of the lines to remove."""
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null")
     rarity = rarity_table(texts)
     lines = table(line_table(texts, rarity, percent), "lines")
     # equal sets are one class; its earliest line stands for it
-    first = F.min(F.struct("doc_id", "line_no"))
-    classes = lines.groupBy("key", "key2", "n").agg(first.alias("first"), F.min("prefix").alias("prefix"))
-    classes = table(classes.select("key", "key2", "n", F.col("first.doc_id").alias("doc"), F.col("first.line_no").alias("line"), "prefix"), "classes")
-    _release(classes)
-    words = classes.select("doc", "line", "n", F.posexplode("prefix").alias("i", "word"))
-    side = lambda df, s: df.select("word", *(F.col(c).alias(f"{s}_{c}") for c in ("doc", "line", "n", "i")))
-    # first each line against the earliest that shares the word: in a group of copies that decides most
-    lead = words.groupBy("word").agg(F.min(F.struct("doc", "line", "n", "i")).alias("lead"), F.count("*").alias("m")).filter("m > 1")
-    lead = lead.select("word", *(F.col(f"lead.{c}").alias(f"a_{c}") for c in ("doc", "line", "n", "i")))
-    fits = f"{_earlier('a', 'b')} and {_could(percent)}"
-    lead = table(lead, "leads")
-    tries = lead.join(side(words, "b"), "word").filter(fits).select("a_doc", "a_line", "b_doc", "b_line").distinct()
-    tries = table(tries, "tries")
-    _release(tries)
-    sure = table(similar_pairs(tries, texts, rarity, percent), "sure")
-    decided = table(sure.select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")).distinct(), "decided")
-    _release(decided)
-    # then the lines that are still open against all earlier ones; only words that several classes share are looked at
-    shared = table(words.join(lead.select("word"), "word"), "shared")
+    key = ["key", "key2", "n"]
+    first = lines.groupBy(*key).agg(F.min("doc_id").alias("doc_id"))
+    first = lines.select(*key, "doc_id", "line_no").join(first, [*key, "doc_id"]).groupBy(*key, F.col("doc_id").alias("doc")).agg(F.min("line_no").alias("line"))
+    first = table(first, "first_lines")
+    classes = lines.join(first.select(F.col("doc").alias("doc_id"), F.col("line").alias("line_no"), *key), ["doc_id", "line_no", *key]).dropDuplicates(["doc_id", "line_no", *key])
+    classes = table(classes.select(F.col("doc_id").alias("doc"), F.col("line_no").alias("line"), "n", "parity", "prefix"), "classes")
+    release(classes)
+    side = lambda df, s: df.select("word", *(F.col(c).alias(f"{s}_{c}") for c in ("doc", "line", "n", "i", "parity")))
+    explode = lambda df, *more: df.select("doc", "line", "n", "parity", *more, F.posexplode("prefix").alias("i", "word"))
+    fits = could_match(percent)
+    # first each line against a line of the earliest document that shares the word: in a group of copies that decides most.
+    # One shuffle by word serves the aggregate and the join.
+    words = explode(classes).repartition("word")
+    lead = words.groupBy("word").agg(*(F.min_by(c, "doc").alias(f"a_{c}") for c in ("line", "n", "i", "parity")), F.min("doc").alias("a_doc"), F.count("*").alias("m")).filter("m > 1")
+    tries = table(lead.join(side(words, "b"), "word").filter(fits).select(*PAIR).distinct(), "tries")
+    release(tries)
+    sure = table(similar_pairs(tries, texts, percent), "sure")
+    decided = table(sure.select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")).distinct().withColumn("gone", F.lit(True)), "decided")
+    release(decided)
+    # then the lines that are still open against all earlier ones; both sides come from one shuffle, so the flag is looked at in the join
+    flagged = explode(classes.join(decided, ["doc", "line"], "left"), F.col("gone").isNull().alias("open"))
+    both = lambda s: flagged.select("word", *(F.col(c).alias(f"{s}_{c}") for c in ("doc", "line", "n", "i", "parity", "open")))
+    more = both("a").join(both("b"), "word").filter(f"{fits} and if(a_n > 0 or a_open, b_open, false)").select(*PAIR).distinct()
+    more = table(more.join(tries, PAIR, "left_anti"), "more")
     drop(classes)
-    open_ = shared.join(decided, ["doc", "line"], "left_anti")
-    more = side(shared, "a").join(side(open_, "b"), "word").filter(fits).select("a_doc", "a_line", "b_doc", "b_line").distinct()
-    more = table(more.join(tries, ["a_doc", "a_line", "b_doc", "b_line"], "left_anti"), "more")
-    drop(shared)
-    _release(more)
-    late = similar_pairs(more, texts, rarity, percent).select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line"))
-    gone = table(decided.union(late).distinct().withColumn("gone", F.lit(True)), "gone")
-    _release(gone)
-    marks = lines.groupBy("key", "key2", "n").agg(first.alias("first")).select("key", "key2", "n", F.col("first.doc_id").alias("doc"), F.col("first.line_no").alias("line"))
-    marks = table(marks.join(gone, ["doc", "line"], "left"), "marks")
-    out = lines.join(marks, ["key", "key2", "n"]).filter("gone or doc_id <> doc or line_no <> line")
+    release(more)
+    late = similar_pairs(more, texts, percent).select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line"))
+    gone = table(decided.select("doc", "line").union(late).distinct().withColumn("gone", F.lit(True)), "gone")
+    release(gone)
+    marks = table(first.join(gone, ["doc", "line"], "left"), "marks")
+    out = lines.select("doc_id", "line_no", *key).join(marks, key).filter("gone or doc_id <> doc or line_no <> line")
     return out.select("doc_id", "line_no").distinct()
 
 
@@ -149,7 +145,7 @@ def dedup_lines(documents: DataFrame, percent: int = PERCENT, id_col: str = "doc
     """
     gone = repeated_lines(documents, percent, id_col, text_col)
     gone = table(gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("line_no").alias("__gone")), "removed")
-    _release(gone)
+    release(gone)
     kept = documents.drop("n_lines", "n_removed")
     rows = kept.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left").withColumn("__lines", F.split(text_col, "\n"))
     size = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from camwatch.llm.common import components, drop, release, table
+from camwatch.llm.common import components, drop, release, scoped, table
 
 #: Ratio of a band's largest and smallest sizes.
 BAND = 1.5
@@ -284,6 +284,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(check, "a long, b long").distinct()
 
 
+@scoped
 def ngram_classes(documents: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: classes of documents that links connect.
 

@@ -216,7 +216,7 @@ def test_line_dedup(spark):
     for i in range(60):
         lines = [rng.choice(pool) if rng.random() < 0.6 else edit(rng.choice(pool), rng.randint(1, 3), rng) for _ in range(rng.randint(1, 6))]
         rows.append((i, "\n".join(lines + ["", "  "])))
-    # exact reference: any earlier line of the input, removed or not, counts
+    # any earlier line of the input, removed or not, counts
     earlier, want = [], {}
     for i, t in rows:
         keep = []
