@@ -188,9 +188,9 @@ def w13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w14_smooth_centers", f"""{D.with_('sidecar', recursive=True)}, {STRIP}, {RUNS}, v as (select *, start_x + w / 2.0::double as cx, w / 2.0::double as hw from r),
     z as (select incident_id, run, n, idx, greatest(hw, least(1920.0::double - hw, cx)) as sx from v where n = 1 union all select v.incident_id, v.run, v.n, v.idx, greatest(v.hw, least(1920.0::double - v.hw, 0.3::double * v.cx + 0.7::double * z.sx)) from z join v on v.incident_id = z.incident_id and v.run = z.run and v.n = z.n + 1)
-    select incident_id, idx, round(sx, 4) as sx from z""")
+    select incident_id, idx, cast(floor(sx * 100 + 0.123456789) as bigint) as sx from z""")
 def w14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.smooth_centers(strip(spark, sf_dir).withColumns({"x": C("start_x"), "y": C("start_y")})).select("incident_id", "idx", F.round("sx", 4).alias("sx"))
+    return K.smooth_centers(strip(spark, sf_dir).withColumns({"x": C("start_x"), "y": C("start_y")})).select("incident_id", "idx", F.floor(C("sx") * 100 + 0.123456789).alias("sx"))
 
 
 @query("w15_continuity", f"{D.with_('sidecar')}, {STRIP} select incident_id, idx, case when lag(camera) over w = camera then lag(end_x) over w else start_x end as start_x from s window w as (partition by incident_id order by idx)")
