@@ -4,8 +4,8 @@ A document is its set of distinct word n-grams. Every n-gram flips one bit of a
 sketch, so the Hamming distance of two sketches is at most the size of the sets'
 symmetric difference. At a wanted Jaccard similarity that size has a bound d, which
 depends on the sets' sizes: so the documents are put into bands of sizes, each band's
-sketches are cut into d + 1 blocks, and two documents that are similar enough agree
-in at least one block (pigeonhole). Blocks that agree make candidates, a small sketch
+sketches are cut into more than d blocks, and two documents that are similar enough
+agree in at least one of the blocks that are joined (pigeonhole). Blocks that agree make candidates, a small sketch
 of the whole set drops those too far apart, and the sets themselves decide.
 
 What is wanted are the classes of documents that links connect, not every link. Equal
@@ -32,6 +32,8 @@ from camwatch.llm.common import components, drop, release, scoped, table
 BAND = 1.5
 #: Documents of a bucket that a task compares with each other.
 CHUNK = 20_000
+#: Parity bits that a pair is compared by before its sets are fetched.
+WIDE = 4096
 #: Bytes of text that a task turns into sets at once.
 PART = 1_000_000
 
@@ -91,10 +93,10 @@ def ngram_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
-def sketch(grams: np.ndarray) -> bytes:
-    """512 parity bits of the set."""
-    words = np.zeros(8, np.uint64)
-    at = (grams >> np.uint64(20)) & np.uint64(511)
+def sketch(grams: np.ndarray, bits: int = 512) -> bytes:
+    """That many parity bits of the set; a power of two."""
+    words = np.zeros(bits // 64, np.uint64)
+    at = (grams >> np.uint64(20)) & np.uint64(bits - 1)
     np.bitwise_xor.at(words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
     return words.tobytes()
 
@@ -118,23 +120,33 @@ class Bands:
         own = int(np.searchsorted(self.array, n, "right")) - 1
         return [own] + [own + 1] * (100 * n >= self.percent * self.bounds[own + 1])
 
-    def blocks(self, band: int) -> int:
-        return self.difference(2 * (self.bounds[band + 1] - 1)) + 1
+    def blocks(self, band: int) -> tuple[int, int]:
+        """Blocks that a band's sketches are cut into, and how many of them are kept.
+
+        Of ``d + 1 + e`` blocks at least ``1 + e`` agree; so under one order of all
+        block values the first ``d + 1`` of each sketch have one in common (prefix
+        filter). The order puts blocks with many n-grams first: the weakest ``e``,
+        empty ones above all, aren't joined.
+        """
+        keep = self.difference(2 * (self.bounds[band + 1] - 1)) + 1
+        return keep + keep // 2, keep
 
     def keys(self, grams: np.ndarray) -> np.ndarray:
-        """One key for each block of each band: the block's parity word and the XOR of its n-grams, hashed with band and place.
+        """One key for each kept block of each band: the block's parity word and the XOR of its n-grams, hashed with band and place.
 
         The n-grams are sorted, and their high bits name the block, so blocks are runs.
         """
         out = []
         for band in self.of(len(grams)):
-            p = self.blocks(band)
+            p, keep = self.blocks(band)
             block = ((grams >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)
             at = np.flatnonzero(np.diff(block, prepend=np.uint64(p)))
-            words, sums = np.zeros(p, np.uint64), np.zeros(p, np.uint64)
+            words, sums, sizes = np.zeros(p, np.uint64), np.zeros(p, np.uint64), np.zeros(p, np.int64)
             words[block[at]] = np.bitwise_xor.reduceat(np.uint64(1) << (grams & np.uint64(63)), at)
             sums[block[at]] = np.bitwise_xor.reduceat(grams, at)
-            out.append(mix(mix(mix(words) ^ sums) + np.arange(p, dtype=np.uint64) * _BASE + np.uint64(band << 48)))
+            sizes[block[at]] = np.diff(at, append=len(grams))
+            key = mix(mix(mix(words) ^ sums) + np.arange(p, dtype=np.uint64) * _BASE + np.uint64(band << 48))
+            out.append(key[np.lexsort((key, -sizes))[:keep]])
         return np.concatenate(out).view(np.int64)
 
 
@@ -150,7 +162,7 @@ def _parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def summaries(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint of the set), s (sketch), keys. ``docs``: doc_id, text as binary."""
+    """doc_id, n, f1, f2 (fingerprint of the set), s and wide (sketches), keys. ``docs``: doc_id, text as binary."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -164,12 +176,12 @@ def summaries(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     [
                         batch.column(0).slice(lo, hi - lo), pa.array([len(g) for g in sets], pa.int64()),
                         pa.array([int(g.sum(dtype=np.uint64).view(np.int64)) for g in sets], pa.int64()), pa.array([int(mix(g ^ _BASE).sum(dtype=np.uint64).view(np.int64)) for g in sets], pa.int64()),
-                        pa.array([sketch(g) for g in sets], pa.binary()), pa.ListArray.from_arrays(cut, np.concatenate(keys)),
+                        pa.array([sketch(g) for g in sets], pa.binary()), pa.array([sketch(g, WIDE) for g in sets], pa.binary()), pa.ListArray.from_arrays(cut, np.concatenate(keys)),
                     ],
-                    names=["doc_id", "n", "f1", "f2", "s", "keys"],
+                    names=["doc_id", "n", "f1", "f2", "s", "wide", "keys"],
                 )
 
-    return docs.mapInArrow(work, "doc_id long, n long, f1 long, f2 long, s binary, keys array<long>")
+    return docs.mapInArrow(work, "doc_id long, n long, f1 long, f2 long, s binary, wide binary, keys array<long>")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
@@ -256,6 +268,21 @@ def candidates(entries: DataFrame, percent: int, by_class: bool) -> DataFrame:
     return dealt.select("key", "part", "doc", "side", "c", "n", "s").mapInArrow(work, "a long, b long, apart long")
 
 
+def close(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose wide sketches don't differ by more than their sets may."""
+    bands = Bands(percent, 2)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
+                ok = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= bands.difference(batch.column(4).to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    left, right = points.select(F.col("doc").alias("a"), F.col("wide").alias("wa"), F.col("n").alias("na")), points.select(F.col("doc").alias("b"), F.col("wide").alias("wb"), F.col("n").alias("nb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb", (F.col("na") + F.col("nb")).alias("total")).mapInArrow(check, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose sets are similar enough; only texts that occur in a pair are turned into sets again."""
     wanted = table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
@@ -301,7 +328,7 @@ def ngram_classes(documents: DataFrame, size: int = 3, percent: int = 90, id_col
     # equal sets are one class; its smallest id stands for it
     rep = table(linked.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     points = linked.join(rep.withColumnRenamed("rep", "doc_id"), ["n", "f1", "f2", "doc_id"], "left_semi")
-    points = table(points.select(F.col("doc_id").alias("doc"), "n", "s", "keys"), "points")
+    points = table(points.select(F.col("doc_id").alias("doc"), "n", "s", "wide", "keys"), "points")
     exploded = points.select(F.explode("keys").alias("key"), "doc")
     # only keys that documents share matter, and those are few; ``chunks`` cuts large buckets
     shared = exploded.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"))
@@ -311,7 +338,6 @@ def ngram_classes(documents: DataFrame, size: int = 3, percent: int = 90, id_col
     release(buckets)
     entries = buckets.join(points.select("doc", "n", "s"), "doc").withColumn("chunk", F.when(F.col("chunks") > 1, F.pmod(F.hash("doc"), "chunks")).otherwise(0))
     entries = table(entries.select("key", "chunks", F.col("chunk").cast("long").alias("chunk"), "doc", "n", "s"), "entries")
-    drop(points)
     drop(buckets)
     tries = candidates(entries.select("key", F.col("chunk").alias("part"), "doc", F.lit(0).alias("side"), F.col("doc").alias("c"), "n", "s"), percent, False)
     # each document is first tried with the closest leader only
@@ -327,8 +353,8 @@ def ngram_classes(documents: DataFrame, size: int = 3, percent: int = 90, id_col
         "key", (F.least("chunk", "other") * F.col("chunks") + F.greatest("chunk", "other")).alias("part"),
         "doc", F.when(F.col("chunk") > F.col("other"), 1).otherwise(0).alias("side"), label, "n", "s",
     )
-    left = candidates(paired, percent, True).select("a", "b").distinct().join(tries, ["a", "b"], "left_anti")
-    left = table(left, "left")
+    met = candidates(paired, percent, True).select("a", "b").distinct().join(tries, ["a", "b"], "left_anti")
+    left = table(close(table(met, "met"), points, percent), "left")
     release(left)
     if left.limit(1).count():
         known = components(links.unionByName(verified(left, docs, size, percent)))
