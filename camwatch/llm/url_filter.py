@@ -1,15 +1,17 @@
 """URL filters: explicit rules, then trust and distrust spread over the link graph.
 
 Host edges are counted from absolute links in the pages' html and from the
-subdomain relation (a host and its parent domain, if both occur, refer to each
-other). Trust is a personalised PageRank that starts from allowed seeds and follows
-the edges; distrust starts from blocked seeds and follows them backwards: who links
-to blocked hosts earns distrust. A host is blocked if its distrust is over a
-threshold and over its trust.
+subdomain relation (a host and its parent domains refer to each other, so that
+sibling hosts are joined by a parent, with pages or without). Trust is a personalised
+PageRank that starts from allowed seeds and follows the edges; distrust starts from
+blocked seeds and follows them backwards: who links to blocked hosts earns distrust.
+Both are shares of the rank that a host has if every host is a seed of 1. A host is
+blocked if its distrust is over a threshold and over its trust.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +56,9 @@ def host_edges(pages: DataFrame, html_col: str) -> DataFrame:
 
     Links and mentions are counted per pair before they are shuffled. Edges to
     hosts without pages stay: they carry trust on to nobody, as in the web at large.
+    Each host and its parent domains are a chain of edges in both directions, up to
+    the parent of two labels: a top-level domain would join strangers. Public
+    suffixes of more labels are not known here. Addresses in digits have no parents.
     """
     links = (
         pages.filter("host <> ''")
@@ -63,8 +68,10 @@ def host_edges(pages: DataFrame, html_col: str) -> DataFrame:
         .groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
     )
     hosts = pages.filter("host <> ''").select("host").distinct()
-    up = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]*\.(.+)$", 1).alias("dst"))
-    up = up.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi").select("src", "dst")
+    label = F.split("host", r"\.")
+    chain = F.transform(F.sequence(F.lit(1), F.size(label) - 1), lambda i: F.struct(F.array_join(F.slice(label, i, F.size(label)), ".").alias("src"), F.array_join(F.slice(label, i + 1, F.size(label)), ".").alias("dst")))
+    named = hosts.filter(F.col("host").rlike(r"^[^.:]+(\.[^.:]+){2,}(:[0-9]*)?$") & ~F.col("host").rlike(r"\.[0-9]+(:[0-9]*)?$"))
+    up = named.select(F.explode(chain).alias("e")).select("e.*").filter(F.col("dst").contains(".")).distinct()
     family = up.union(up.select(F.col("dst"), F.col("src"))).withColumn("w", F.lit(1.0))
     return links.unionByName(family).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
@@ -101,16 +108,18 @@ def judge_urls(
     url_col: str = "url",
     html_col: str = "html",
     rules: Sequence[tuple[str, str, str]] = RULES,
-    threshold: float = 0.0,
+    threshold: float = 0.3,
     damping: float = 0.85,
     rounds: int = 12,
 ) -> DataFrame:
     """Judge every url: page_id, host, path, rule, verdict, trust, distrust, method_verdict.
 
     Seeds are the hosts with pages that a rule allows (trust) or blocks (distrust),
-    weighted by the logarithm of such pages, so that one host with a third of the
-    pages doesn't drown the others. ``threshold`` is compared with distrust times
-    the number of hosts (1 would be an even share).
+    weighted by the share of such pages among the host's. Ranks are divided by those
+    of a run with a seed of 1 at every host, so trust and distrust are means, from 0
+    to 1, of the shares of the host and of those it is reached from, the near ones
+    counting most: a host without edges has its own shares. ``threshold``, 0.3, is the least
+    distrust above which a host's pages without a rule are blocked (if trust is less).
 
     A null url or one without ``://`` has an empty host and path, no rule and the
     method's verdict for an unknown host: allow. Null html has no links. Repeated
@@ -123,23 +132,21 @@ def judge_urls(
     base = base.withColumns({"rule": rule, "by_rule": verdict})
     per_host = table(
         base.filter("host <> ''").groupBy("host").agg(
-            F.count_if(F.col("by_rule") == "allow").alias("allowed"), F.count_if(F.col("by_rule") == "block").alias("blocked")
+            F.count("*").alias("n"), F.count_if(F.col("by_rule") == "allow").alias("allowed"), F.count_if(F.col("by_rule") == "block").alias("blocked")
         ),
         "hosts",
     )
     edges = table(host_edges(base, "html"), "edges")
-    trust = pagerank(edges, per_host.filter("allowed > 0").select("host", F.log1p("allowed").alias("seed")), damping, rounds)
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    distrust = pagerank(back, per_host.filter("blocked > 0").select("host", F.log1p("blocked").alias("seed")), damping, rounds)
-    n = per_host.count()
-    scores = (
-        per_host.select("host")
-        .join(trust.withColumnRenamed("rank", "trust"), "host", "left")
-        .join(distrust.withColumnRenamed("rank", "distrust"), "host", "left")
-        .select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    )
+    # one run over four copies of the graph, told apart by a letter before the host: seeds of shares and of 1, along the edges and back
+    tagged = lambda tag, c: F.concat(F.lit(tag), c)
+    graph = [edges.select(tagged(tag, a).alias("src"), tagged(tag, b).alias("dst"), "w") for tag, a, b in (("a", "src", "dst"), ("A", "src", "dst"), ("b", "dst", "src"), ("B", "dst", "src"))]
+    seeds = [per_host.select(tagged(tag, "host").alias("host"), x.alias("seed")) for tag, x in (("a", F.col("allowed") / F.col("n")), ("A", F.lit(1.0)), ("b", F.col("blocked") / F.col("n")), ("B", F.lit(1.0)))]
+    ranks = pagerank(functools.reduce(DataFrame.union, graph), functools.reduce(DataFrame.union, seeds).filter("seed > 0"), damping, rounds)
+    of = lambda tag: F.coalesce(F.sum(F.when(F.col("host").startswith(tag), F.col("rank"))), F.lit(0.0))
+    ranks = ranks.groupBy(F.expr("substr(host, 2)").alias("key")).agg((of("a") / F.nullif(of("A"), F.lit(0.0))).alias("trust"), (of("b") / F.nullif(of("B"), F.lit(0.0))).alias("distrust"))
+    scores = per_host.join(ranks.withColumnRenamed("key", "host"), "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     scores = table(scores, "scores")  # the planner sees its size: it is broadcast only if small
-    method = F.when((F.coalesce("distrust", F.lit(0.0)) * n > threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
+    method = F.when((F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     return base.select("page_id", "host", "path", "rule", "by_rule").join(scores, "host", "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce("by_rule", method).alias("verdict"),

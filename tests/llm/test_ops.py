@@ -318,6 +318,25 @@ def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
     assert {r.page_id: r.verdict for r in url_filter.judge_urls(df).collect()} == {1: "block", 2: "block", 3: "allow"}
 
 
+def test_distrust_reaches_siblings_over_a_parent_without_pages(spark):
+    hosts = ["bad.site.info", "m.new.site.info", "new.site.info", "other.info", "10.0.0.1", "9.0.0.1"]
+    df = spark.createDataFrame([(i, f"http://{h}/x", None) for i, h in enumerate(hosts)], "page_id long, url string, html string")
+    edges = {(r.src, r.dst) for r in url_filter.host_edges(df.withColumn("host", url_filter.split_url(F.col("url"))[0]), "html").collect()}
+    up = {("bad.site.info", "site.info"), ("m.new.site.info", "new.site.info"), ("new.site.info", "site.info")}
+    assert edges == up | {(b, a) for a, b in up}
+    got = {r.host: r for r in url_filter.judge_urls(df, rules=[("block", "bad.site.info", "/")], threshold=0.1).collect()}
+    assert {h for h in hosts if got[h].method_verdict == "block"} == {"bad.site.info", "m.new.site.info", "new.site.info"}
+    assert got["bad.site.info"].distrust > got["new.site.info"].distrust > got["m.new.site.info"].distrust > 0 == got["other.info"].distrust
+
+
+def test_mostly_unmatched_host_stays_allowed(spark):
+    urls = ["http://www.some.info/de/"] + [f"http://www.some.info/{i}" for i in range(5)] + [f"http://all.bad.org/{p}/" for p in ("de", "de", "x")]
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge_urls(df, rules=[("block", "info", "/de/"), ("block", "org", "/de/")]).collect()}
+    assert [got[i].verdict for i in range(9)] == ["block", *["allow"] * 5, "block", "block", "block"]
+    assert abs(got[1].distrust - 1 / 6) < 1e-9 and abs(got[8].distrust - 2 / 3) < 1e-9
+
+
 def test_unigram_against_the_library(spark, corpus):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2
