@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from camwatch.operators.joins import asof_hold
 
+#: Least share of the frame's side that a crop has.
+LEAST_ZOOM = 0.4
+
 
 def entry_boxes(sidecar: DataFrame) -> DataFrame:
     """incident_id, camera, t and per sampled frame: weighted center, union box, number of detections.
@@ -28,26 +31,47 @@ def content_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, h
     return F.struct(a.alias("bx1"), b.alias("by1"), c.alias("bx2"), d.alias("by2"), F.when((c > a) & (d > b), (c - a) * (d - b)).otherwise(0.0).alias("area"))
 
 
-def crop_at(slices: DataFrame, sidecar: DataFrame, time: str, width: int = 1920, height: int = 1080, target_w: int = 960, target_h: int = 540) -> DataFrame:
-    """``x, y, w, h``: the target size around the weighted center of the entry held at ``time``, shifted into the frame, sides even.
+def crop_at(slices: DataFrame, sidecar: DataFrame, time: str, width: int = 1920, height: int = 1080, target_w: int = 960, target_h: int = 540, percent: int = 40) -> DataFrame:
+    """``x, y, w, h``: the crop around the weighted center of the entry held at ``time``, shifted into the frame, sides even.
 
+    Its size is such that the padded box of all detections fills ``percent`` of it,
+    in the target's shape, and from 0.4 to 1 of each side of the frame. It is the
+    target size, scaled into smaller frames, if ``percent`` is 0 or the box is empty.
     Without an entry or detections the crop is around the middle of the frame.
     """
     entries = entry_boxes(sidecar).withColumn("t", F.col("t").cast("double"))
     left = slices.withColumn("t", F.col(time).cast("double"))
     held = asof_hold(left, entries, ["incident_id", "camera"], "t", F.col("n") > 0)
     cx, cy = F.coalesce(F.col("entry.cx"), F.lit(width / 2.0)), F.coalesce(F.col("entry.cy"), F.lit(height / 2.0))
-    w, h = F.lit(min(target_w, width) // 2 * 2), F.lit(min(target_h, height) // 2 * 2)
-    x = F.greatest(F.lit(0), F.least((cx - w / 2.0).cast("int"), F.lit(width) - w))
-    y = F.greatest(F.lit(0), F.least((cy - h / 2.0).cast("int"), F.lit(height) - h))
-    return held.withColumns({"x": x, "y": y, "w": w, "h": h}).drop("entry", "t")
+    x1, y1, x2, y2 = F.least(F.col("entry.x1"), F.lit(width)), F.least(F.col("entry.y1"), F.lit(height)), F.greatest(F.col("entry.x2"), F.lit(0)), F.greatest(F.col("entry.y2"), F.lit(0))
+    area = content_box(x1, y1, x2, y2, F.lit(width), F.lit(height))["area"]
+    zoom = F.coalesce((x1 < x2) & (y1 < y2) & (area > 0), F.lit(False)) if percent > 0 else F.lit(False)
+    scale = min(1.0, width / target_w, height / target_h)
+
+    def side(fixed: int, full: int, shape: float) -> Column:
+        sized = F.greatest(F.lit(max(1, int(full * LEAST_ZOOM))), F.least(F.lit(full), F.sqrt(area / F.lit(percent / 100.0 or 1.0) * F.lit(shape)).cast("int")))
+        return F.when(zoom, F.greatest(F.lit(1), sized.bitwiseAND(-2))).otherwise(F.lit(int(fixed * scale) // 2 * 2))
+
+    held = held.withColumns({"w": side(target_w, width, target_w / target_h), "h": side(target_h, height, target_h / target_w), "cx": cx, "cy": cy})
+    return held.withColumns({"x": into_frame("cx", "w", width), "y": into_frame("cy", "h", height)}).drop("entry", "t", "cx", "cy")
+
+
+def into_frame(center: str | Column, size: str, full: int | Column) -> Column:
+    """First pixel of a side around its center, shifted into the frame."""
+    center, size, full = F.col(center) if isinstance(center, str) else center, F.col(size), full if isinstance(full, Column) else F.lit(full)
+    return F.greatest(F.lit(0), F.least((center - size / 2.0).cast("int"), full - size))
 
 
 def hold_last_of_run(slices: DataFrame) -> DataFrame:
     """The end crop is the start crop on the last slice before a change of camera (not on the final slice)."""
     nxt = F.lead("camera").over(W.partitionBy("incident_id").orderBy("idx"))
     hold = nxt.isNotNull() & (nxt != F.col("camera"))
-    return slices.withColumns({"end_x": F.when(hold, F.col("start_x")).otherwise(F.col("end_x")), "end_y": F.when(hold, F.col("start_y")).otherwise(F.col("end_y"))})
+    return slices.withColumns({f"end_{c}": F.when(hold, F.col(f"start_{c}")).otherwise(F.col(f"end_{c}")) for c in sides(slices)})
+
+
+def sides(slices: DataFrame) -> list[str]:
+    """x, y, and w, h of crops that have a size of their own."""
+    return [c for c in "xywh" if f"end_{c}" in slices.columns]
 
 
 def camera_runs(slices: DataFrame) -> DataFrame:
@@ -55,45 +79,72 @@ def camera_runs(slices: DataFrame) -> DataFrame:
     return slices.withColumn("__c", F.coalesce(F.lag("camera").over(w) != F.col("camera"), F.lit(True)).cast("int")).withColumn("run", F.sum("__c").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__c")
 
 
-def smooth_zoom(slices: DataFrame, alpha: float = 0.25) -> DataFrame:
-    """``zoom``: square root of crop over frame area, held to 0.4 to 1, smoothed within each run of a camera from the run's first value."""
-    raw = F.greatest(F.lit(0.4), F.least(F.lit(1.0), F.sqrt(F.col("w") * F.col("h") / (F.col("frame_w") * F.col("frame_h")))))
-    g = camera_runs(slices.withColumn("raw", raw)).groupBy("incident_id", "run").agg(F.array_sort(F.collect_list(F.struct("idx", "raw"))).alias("p"))
+def smooth_zoom(slices: DataFrame, alpha: float = 0.25, crop: str = "") -> DataFrame:
+    """``zoom``: square root of crop over frame area, held to 0.4 to 1, smoothed within each run of a camera from the run's first value.
+
+    ``crop`` is put before the names of w, h and zoom.
+    """
+    raw = F.greatest(F.lit(LEAST_ZOOM), F.least(F.lit(1.0), F.sqrt(F.col(f"{crop}w") * F.col(f"{crop}h") / (F.col("frame_w") * F.col("frame_h")))))
+    g = camera_runs(slices.withColumn("__raw", raw)).groupBy("incident_id", "run").agg(F.array_sort(F.collect_list(F.struct("idx", F.col("__raw").alias("raw"), F.struct(*slices.columns).alias("row")))).alias("p"))
     step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x["raw"]).otherwise(F.lit(alpha) * x["raw"] + F.lit(1 - alpha) * F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)))))
     z = g.withColumn("s", F.aggregate("p", F.array().cast("array<double>"), step))
-    z = z.select("incident_id", F.explode(F.arrays_zip("p", "s")).alias("z")).select("incident_id", F.col("z.p.idx").alias("idx"), F.col("z.s").alias("zoom"))
-    return slices.join(z, ["incident_id", "idx"])
+    return z.select(F.explode(F.arrays_zip("p", "s")).alias("z")).select("z.p.row.*", F.col("z.s").alias(f"{crop}zoom"))
+
+
+def resize(slices: DataFrame, crop: str, target_w: int = 960, target_h: int = 540) -> DataFrame:
+    """The crop with the size of its ``zoom``, in the target's shape and with even sides, around the same center."""
+    area, shape = F.col(f"{crop}zoom") * F.col(f"{crop}zoom") * (F.col("frame_w") * F.col("frame_h")), target_w / target_h
+    size = lambda v, full: F.greatest(F.lit(1), F.greatest(F.lit(1), F.least(F.col(full), F.sqrt(v).cast("int"))).bitwiseAND(-2))
+    mid = {f"__{c}": F.col(f"{crop}{c}") + F.col(f"{crop}{d}") / 2.0 for c, d in ("xw", "yh")}
+    sized = slices.withColumns(mid).withColumns({f"{crop}w": size(area * F.lit(shape), "frame_w"), f"{crop}h": size(area / F.lit(shape), "frame_h")})
+    at = {f"{crop}{c}": into_frame(f"__{c}", f"{crop}{d}", F.col(f"frame_{d}")) for c, d in ("xw", "yh")}
+    return sized.withColumns(at).drop("__x", "__y", f"{crop}zoom")
+
 
+def smooth_centers(slices: DataFrame, alpha: float = 0.3, width: int = 1920, height: int = 1080, crop: str = "") -> DataFrame:
+    """``sx, sy``: centers smoothed within each run of a camera, held inside the frame at every step.
 
-def smooth_centers(slices: DataFrame, alpha: float = 0.3, width: int = 1920, height: int = 1080) -> DataFrame:
-    """``sx, sy``: centers smoothed within each run of a camera, held inside the frame at every step."""
-    fields = F.struct("idx", (F.col("x") + F.col("w") / 2.0).alias("cx"), (F.col("y") + F.col("h") / 2.0).alias("cy"), F.col("w").alias("w"), F.col("h").alias("h"))
+    ``crop`` is put before the names of x, y, w, h, sx and sy.
+    """
+    x, y, w, h = (F.col(f"{crop}{c}") for c in "xywh")
+    fields = F.struct("idx", (x + w / 2.0).alias("cx"), (y + h / 2.0).alias("cy"), w.alias("w"), h.alias("h"), F.struct(*slices.columns).alias("row"))
     g = camera_runs(slices).groupBy("incident_id", "run").agg(F.array_sort(F.collect_list(fields)).alias("p"))
 
     def step(acc: Column, p: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         mix = lambda new, old: F.when(old.isNull(), new).otherwise(F.lit(alpha) * new + F.lit(1 - alpha) * old)
         hold = lambda v, half, most: F.greatest(half, F.least(F.lit(float(most)) - half, v))
-        return F.concat(acc, F.array(F.struct(p["idx"].alias("idx"), hold(mix(p["cx"], last["sx"]), p["w"] / 2.0, width).alias("sx"), hold(mix(p["cy"], last["sy"]), p["h"] / 2.0, height).alias("sy"))))
+        return F.concat(acc, F.array(F.struct(hold(mix(p["cx"], last["sx"]), p["w"] / 2.0, width).alias("sx"), hold(mix(p["cy"], last["sy"]), p["h"] / 2.0, height).alias("sy"))))
+
+    z = g.withColumn("s", F.aggregate("p", F.array().cast("array<struct<sx:double,sy:double>>"), step))
+    return z.select(F.explode(F.arrays_zip("p", "s")).alias("z")).select("z.p.row.*", F.col("z.s.sx").alias(f"{crop}sx"), F.col("z.s.sy").alias(f"{crop}sy"))
+
 
-    z = g.select("incident_id", F.explode(F.aggregate("p", F.array().cast("array<struct<idx:int,sx:double,sy:double>>"), step)).alias("z")).select("incident_id", "z.*")
-    return slices.join(z, ["incident_id", "idx"])
+def crop_path(slices: DataFrame, width: int = 1920, height: int = 1080, target_w: int = 960, target_h: int = 540) -> DataFrame:
+    """Slices with start and end crop (start_x to end_h): held at a run's end, zoom and centers smoothed, continuous within a run."""
+    s = hold_last_of_run(slices).withColumns({"frame_w": F.lit(width), "frame_h": F.lit(height)})
+    for crop in ("start_", "end_"):
+        s = resize(smooth_zoom(s, crop=crop), crop, target_w, target_h)
+    for crop in ("start_", "end_"):
+        s = smooth_centers(s, width=width, height=height, crop=crop)
+        s = s.withColumns({f"{crop}{c}": (F.col(f"{crop}s{c}") - F.col(f"{crop}{d}") / 2.0).cast("int") for c, d in ("xw", "yh")}).drop(f"{crop}sx", f"{crop}sy")
+    return continuity(s.drop("frame_w", "frame_h"))
 
 
 def continuity(slices: DataFrame) -> DataFrame:
     """The start crop is the previous slice's end crop if the camera stays."""
     w = W.partitionBy("incident_id").orderBy("idx")
     same = F.coalesce(F.lag("camera").over(w) == F.col("camera"), F.lit(False))
-    return slices.withColumns({"start_x": F.when(same, F.lag("end_x").over(w)).otherwise(F.col("start_x")), "start_y": F.when(same, F.lag("end_y").over(w)).otherwise(F.col("start_y"))})
+    return slices.withColumns({f"start_{c}": F.when(same, F.lag(f"end_{c}").over(w)).otherwise(F.col(f"start_{c}")) for c in sides(slices)})
 
 
 def resample_path(slices: DataFrame, fps: int = 20) -> DataFrame:
-    """``sample``, ``x``, ``y``: max(1, round half even(duration * fps)) points of each slice, linear from start to end crop."""
+    """``sample``, ``x``, ``y``: max(1, round half even(duration * fps)) points of each slice, linear from start to end crop; ``w``, ``h`` too if crops have a size (even, 2 at least)."""
     n = F.greatest(F.lit(1), F.bround((F.col("end_sec") - F.col("start_sec")) * fps).cast("int"))
     s = slices.withColumn("n", n).withColumn("sample", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     part = F.when(F.col("n") > 1, F.col("sample") / (F.col("n") - 1)).otherwise(0.0)
     at = lambda c: (F.col(f"start_{c}") + (F.col(f"end_{c}") - F.col(f"start_{c}")) * part).cast("int").bitwiseAND(-2)
-    return s.select("incident_id", "idx", "camera", "sample", at("x").alias("x"), at("y").alias("y"))
+    return s.select("incident_id", "idx", "camera", "sample", *(at(c).alias(c) if c in "xy" else F.greatest(F.lit(2), at(c)).alias(c) for c in sides(slices)))
 
 
 def framing_mode(entries: DataFrame, share: float = 0.4) -> DataFrame:

@@ -148,12 +148,12 @@ def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slices with start and end crop."""
     s = D.sidecar(spark, sf_dir)
     a = K.crop_at(L.camera_timeline(s), s, "start_sec").withColumnsRenamed({"x": "start_x", "y": "start_y", "w": "start_w", "h": "start_h"})
-    return K.crop_at(a, s, "end_sec").withColumnsRenamed({"x": "end_x", "y": "end_y"})
+    return K.crop_at(a, s, "end_sec").withColumnsRenamed({"x": "end_x", "y": "end_y", "w": "end_w", "h": "end_h"})
 
 
 @query("w11_crop_at")
 def w11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crops(spark, sf_dir).select("incident_id", "idx", "camera", "start_x", "start_y", "end_x", "end_y")
+    return crops(spark, sf_dir).select("incident_id", "idx", "camera", "start_x", "start_y", "start_w", "start_h", "end_x", "end_y", "end_w", "end_h")
 
 
 STRIP = "s as (select incident_id, row_number() over (partition by incident_id order by t, l_partkey, l_suppkey, camera, x2, label) - 1 as idx, camera, t::double as start_sec, t + 1.5::double as end_sec, x1 as start_x, y1 as start_y, x2 as end_x, y2 as end_y, 200 + l_partkey % 5 * 100 as w, 100 + l_suppkey % 4 * 100 as h from sidecar)"
@@ -265,8 +265,7 @@ def q4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q6_crop_path")
 def q6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = K.continuity(K.hold_last_of_run(crops(spark, sf_dir)))
-    return K.resample_path(s, 2)
+    return K.resample_path(K.crop_path(crops(spark, sf_dir)), 2)
 
 
 @query("q7_key_frames", f"{D.with_('sidecar', recursive=True)}, {SLICES}, f as (select incident_id, camera, start_sec as t from plan), c as (select *, row_number() over (partition by incident_id order by t, camera) as seq, count(*) over (partition by incident_id) as total from f) select incident_id, camera, t, cast(seq as integer) as seq, least(total, 10) as total from c where seq <= 10")
