@@ -60,65 +60,73 @@ def rate_limit(requests: DataFrame, most: int = 2, window_s: int = 5, queue: int
     waits. Waiting ones go out one a second as the window allows. One too many clears
     the queue; no further overflow is told until a drain leaves the queue below its size.
     """
-    win, tick = window_s * 1_000_000, 1_000_000
-
-    def plan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, rows = None, []
-        for part in parts:
-            for row in part.itertuples(index=False):
-                r = row._asdict()
-                if r[by] != key and rows:
-                    yield settle(rows)
-                    rows = []
-                key = r[by]
-                rows.append(r)
-        if rows:
-            yield settle(rows)
-
-    def settle(rows: list[dict]) -> pd.DataFrame:
-        sent: list[int] = []
-        waiting: list[dict] = []
-        told, clock = False, None
-
-        def free(now: int) -> bool:
-            while sent and sent[0] <= now - win:
-                sent.pop(0)
-            return len(sent) < most
-
-        def drain(until: int | None) -> None:
-            nonlocal told, clock
-            while waiting and (until is None or clock + tick <= until):
-                clock += tick
-                if free(clock):
-                    r = waiting.pop(0)
-                    r["outcome"], r["sent_us"] = "queued", clock
-                    sent.append(clock)
-                    told = told and len(waiting) >= queue
-
-        for r in rows:
-            if waiting:
-                drain(r["ts_us"])
-            if not waiting and free(r["ts_us"]):
-                sent.append(r["ts_us"])
-                r["outcome"], r["sent_us"] = "sent", r["ts_us"]
-                continue
-            if not waiting:
-                clock = r["ts_us"]
-            if len(waiting) < queue:
-                waiting.append(r)
-                continue
-            for q in waiting:
-                q["outcome"], q["sent_us"] = "dropped", None
-            waiting.clear()
-            r["outcome"], r["sent_us"] = ("dropped", None) if told else ("overflow", r["ts_us"])
-            told = True
-        drain(None)
+    rows = requests.repartition(by).sortWithinPartitions(by, "ts_us", "request_id")
+    return rows.mapInPandas(lambda parts: limit_batches(parts, most, window_s, queue, by), rows.schema.simpleString()[7:-1].replace(":", " ") + ", outcome string, sent_us long")
+
+
+class RateLimit:
+    """The state of one key: what was sent within the window, and what waits. Rows are given back once their outcome is known."""
+
+    def __init__(self, most: int, window_s: int, queue: int):
+        self.most, self.win, self.queue = most, window_s * 1_000_000, queue
+        self.sent: list[int] = []
+        self.waiting: list[dict] = []
+        self.told, self.clock = False, 0
+
+    def free(self, now: int) -> bool:
+        while self.sent and self.sent[0] <= now - self.win:
+            self.sent.pop(0)
+        return len(self.sent) < self.most
+
+    def drain(self, until: int | None = None) -> Iterator[dict]:
+        """What goes out of the queue up to a time, one a second; all of it if there is no end."""
+        while self.waiting and (until is None or self.clock + 1_000_000 <= until):
+            self.clock += 1_000_000
+            if self.free(self.clock):
+                yield self.waiting.pop(0) | {"outcome": "queued", "sent_us": self.clock}
+                self.sent.append(self.clock)
+                self.told = self.told and len(self.waiting) >= self.queue
+
+    def see(self, r: dict) -> Iterator[dict]:
+        now = r["ts_us"]
+        yield from self.drain(now)
+        if not self.waiting and self.free(now):
+            self.sent.append(now)
+            yield r | {"outcome": "sent", "sent_us": now}
+            return
+        if not self.waiting:
+            self.clock = now
+        if len(self.waiting) < self.queue:
+            self.waiting.append(r)
+            return
+        yield from (q | {"outcome": "dropped", "sent_us": None} for q in self.waiting)
+        self.waiting.clear()
+        yield r | ({"outcome": "dropped", "sent_us": None} if self.told else {"outcome": "overflow", "sent_us": now})
+        self.told = True
+
+
+def limit_batches(parts: Iterator[pd.DataFrame], most: int, window_s: int, queue: int, by: str) -> Iterator[pd.DataFrame]:
+    """Judge sorted batches; after each, only what still waits is kept."""
+
+    def frame(rows: list[dict]) -> pd.DataFrame:
         out = pd.DataFrame(rows)
-        out["sent_us"] = out["sent_us"].astype("Int64")
+        out["sent_us"] = pd.array([r["sent_us"] for r in rows], "Int64")
         return out
 
-    rows = requests.repartition(by).sortWithinPartitions(by, "ts_us", "request_id")
-    return rows.mapInPandas(plan, rows.schema.simpleString()[7:-1].replace(":", " ") + ", outcome string, sent_us long")
+    key, rule = None, None
+    for part in parts:
+        out: list[dict] = []
+        for row in part.itertuples(index=False):
+            r = row._asdict()
+            if rule is None or r[by] != key:
+                if rule:
+                    out += rule.drain()
+                key, rule = r[by], RateLimit(most, window_s, queue)
+            out += rule.see(r)
+        if out:
+            yield frame(out)
+    if rule and (out := list(rule.drain())):
+        yield frame(out)
 
 
 def dispatch_label(status: Column, results: Column) -> Column:

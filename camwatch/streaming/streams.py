@@ -149,26 +149,35 @@ def exact_incidents(messages: DataFrame, gap_s: int = 120) -> DataFrame:
     A site's messages are judged in order, streamed from sorted partitions.
     """
 
-    def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        site, rule = None, None
-        for part in parts:
-            out: list[dict] = []
-            for r in part.itertuples():
-                if r.site_id != site:
-                    if rule:
-                        rule.at(float("inf"))
-                        out += [c | {"site_id": site} for c in rule.closed]
-                    site, rule = r.site_id, ExactIncidents(gap_s)
-                rule.see(r.kind, r.event_id, r.camera, r.ts_s)
-            if out:
-                yield pd.DataFrame(out)
-        if rule:
-            rule.at(float("inf"))
-            if rule.closed:
-                yield pd.DataFrame([c | {"site_id": site} for c in rule.closed])
-
     rows = messages.repartition("site_id").sortWithinPartitions("site_id", "ts_s", F.col("kind") == "end", "event_id")
-    return rows.mapInPandas(judge, CLOSED)
+    return rows.mapInPandas(lambda parts: incident_batches(parts, gap_s), CLOSED)
+
+
+def incident_batches(parts: Iterator[pd.DataFrame], gap_s: int) -> Iterator[pd.DataFrame]:
+    """Judge sorted batches; after each, only the open incident is kept."""
+    site, rule = None, None
+
+    def closed() -> list[dict]:
+        out, rule.closed = [c | {"site_id": site} for c in rule.closed], []
+        return out
+
+    for part in parts:
+        out: list[dict] = []
+        for r in part.itertuples():
+            if r.site_id != site:
+                if rule:
+                    rule.at(float("inf"))
+                    out += closed()
+                site, rule = r.site_id, ExactIncidents(gap_s)
+            rule.see(r.kind, r.event_id, r.camera, r.ts_s)
+        if rule:
+            out += closed()
+        if out:
+            yield pd.DataFrame(out)
+    if rule:
+        rule.at(float("inf"))
+        if out := closed():
+            yield pd.DataFrame(out)
 
 
 def stream_incidents_exact(messages: DataFrame, gap_s: int = 120, late: str = "10 minutes") -> DataFrame:

@@ -1,11 +1,15 @@
 """Joins, incidents, timeline and limits on small cases."""
 
+import random
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from camwatch.operators import incidents as I
 from camwatch.operators import joins as J
 from camwatch.operators import notify as N
 from camwatch.operators import timeline as L
+from camwatch.streaming import streams as T
 
 
 def test_asof_ties_go_to_the_earlier(spark):
@@ -68,6 +72,68 @@ def test_rate_limit_overflows_once(spark):
     assert [got[13], got[14]] == ["queued", "queued"]
 
 
+def brute_rate_limit(rows, most=2, win=5_000_000, queue=10):
+    """Outcomes of one site's (ts_us, request_id), all rows at hand."""
+    out, sent, waiting, told, clock = {}, [], [], False, 0
+    for ts, i in [*sorted(rows), (None, None)]:
+        while waiting and (ts is None or clock + 1_000_000 <= ts):
+            clock += 1_000_000
+            if sum(t > clock - win for t in sent) < most:
+                out[waiting.pop(0)] = ("queued", clock)
+                sent.append(clock)
+                told = told and len(waiting) >= queue
+        if ts is None:
+            return out
+        if not waiting and sum(t > ts - win for t in sent) < most:
+            sent.append(ts)
+            out[i] = ("sent", ts)
+        elif len(waiting) < queue:
+            clock = clock if waiting else ts
+            waiting.append(i)
+        else:
+            out |= {q: ("dropped", None) for q in waiting}
+            out[i] = ("dropped", None) if told else ("overflow", ts)
+            waiting, told = [], True
+
+
+def test_rate_limit_against_brute_force_in_small_batches(spark):
+    rng, sites, i = random.Random(3), {1: [], 2: [], 3: []}, 0
+    for rows in sites.values():
+        ts = 0
+        for _ in range(300):
+            ts += rng.choice([0, 1000, 200_000, 1_000_000, 9_000_000]) if i % 60 < 40 else rng.randint(0, 100_000)
+            rows.append((ts, i))
+            i += 1
+    df = spark.createDataFrame([(s, ts, i) for s, rows in sites.items() for ts, i in rows], "site_id long, ts_us long, request_id long")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.request_id: (r.outcome, r.sent_us) for r in N.rate_limit(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = {}
+    for rows in sites.values():
+        want |= brute_rate_limit(rows)
+    assert {o for o, _ in want.values()} == {"sent", "queued", "dropped", "overflow"} and got == want
+
+
+def test_rate_limit_and_incidents_give_rows_while_a_site_goes_on():
+    read = []
+
+    def batches(make):
+        for k in range(20):
+            read.append(k)
+            yield make(k)
+
+    requests = lambda k: pd.DataFrame({"site_id": 1, "ts_us": [k * 10_000_000 + j for j in range(14)], "request_id": [k * 14 + j for j in range(14)]})
+    first = next(N.limit_batches(batches(requests), 2, 5, 10, "site_id"))
+    assert read == [0] and len(first) == 13  # one waits
+    read.clear()
+    messages = lambda k: pd.DataFrame({"site_id": 1, "ts_s": [k * 1000.0, k * 1000 + 60.0], "kind": ["new", "end"], "event_id": f"e{k}", "camera": "a"})
+    closed = next(T.incident_batches(batches(messages), 120))
+    assert read == [0, 1] and closed.close_s.tolist() == [180.0]
+
+
 def test_snooze_needs_every_camera(spark):
     t = spark.createDataFrame([(1, 10, ["a", "b"]), (2, 10, ["a"]), (3, 10, [])], "target_id long, ts_us long, cameras array<string>")
     s = spark.createDataFrame([("a", 0, 20, True)], "camera string, set_us long, expiration_us long, f boolean")
