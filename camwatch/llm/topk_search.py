@@ -133,7 +133,7 @@ def top_k(
             return NO_PARTS
         s, one = parts(a, b), int(a["list"].iloc[0])
         cut = np.array([dict(x)[one] for x in a["cuts"]], s.dtype)
-        return found(a, b, *np.nonzero(s >= cut[:, None]), s)
+        return found(a, b, *np.nonzero((s >= cut[:, None]) & (s != NONE)), s)  # without a bound the cutoff rounds to NONE
 
     entries = _blocks(with_cuts, points, lists, above, "q long, list int, c long, part long")
     total = cuts.groupBy("q").agg(F.sum("cut").alias("cut_sum"), F.first("bound").alias("bound"))

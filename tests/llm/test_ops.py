@@ -107,6 +107,13 @@ def test_topk_few_and_none(spark):
     assert topk_search.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_of_few_distinct_vectors_with_copies(spark):
+    rows = [(1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [0.25, 0.0]), (4, [0.25, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in topk_search.top_k(df).collect()]
+    assert len(got) == 12 and set(got) == brute_topk(rows, [1, 2, 3, 4], 5)
+
+
 def grams(t, n):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) if x]
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
