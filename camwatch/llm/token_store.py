@@ -50,7 +50,7 @@ class WordEncoder:
     characters, and behind letters that punctuation follows. So a text's ids are
     those of its words, each with the space before it, one after the other; words are
     encoded once by the library and remembered. Texts with other white space beside
-    a space go to the library whole.
+    a space, or with the string of an added token, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -58,7 +58,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.model, self.letters = self.tokenizer.model, byte_letters()
@@ -116,10 +116,10 @@ class WordEncoder:
         for t, words in zip(texts, split, strict=True):
             first = words[0]
             try:
-                if first != first.rstrip():
+                if first != first.rstrip() or any(a in t for a in self.added):
                     raise TypeError
                 out.append((self._ids(first) if first else b"") + b"".join(map(get, words[1:])))
-            except TypeError:  # None among the words
+            except TypeError:  # or None among the words
                 out.append(self._ids(t))
         if len(cache) > CACHE:
             self.old, self.cache = cache, {}

@@ -256,6 +256,16 @@ def test_token_files(spark, corpus):
     assert token_store.round_trip(df.limit(0), path).count() == 0
 
 
+def test_added_tokens_in_a_text_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["<|endoftext|> x", "some words<|endoftext|>", "a <|endoftext|> b, c", "<|endoftext|>", "a b c", "<|endoftext |> x"]
+    encoder, library = token_store.WordEncoder(path), Tokenizer.from_file(path)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)] == want and 50256 in want[0]
+
+
 def test_frames_are_checked(tmp_path):
     import io
 
