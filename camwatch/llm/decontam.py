@@ -1,12 +1,12 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, in DataFrame functions only.
+"""Benchmark decontamination: minimum-hash containment search with a prefix filter, in DataFrame functions only.
 
-The items are partitioned by their number of shingles. An item with n shingles has a
+An item with n shingles has a
 minimum-hash sketch of its k smallest shingle hashes, where k is one more than the
 shingles that may be missing at the wanted containment: so a document that contains
 enough of the item shares at least one hash of the sketch, at any length of the
-document. Each partition has an upper bound for its sketches' hashes; of a document's
-own minimum hashes only those below the largest bound are looked up. Candidates are
-verified by exact shingle containment.
+document. This filter for each item stands in place of partitions by size. Of a
+document's hashes only those up to the largest of any sketch are looked up. Candidates
+are verified by exact shingle containment.
 """
 
 from __future__ import annotations
@@ -38,13 +38,12 @@ def exploded(documents: DataFrame) -> DataFrame:
 
 
 def item_sketches(items: DataFrame, id_col: str, text_col: str, containment: float) -> tuple[DataFrame, DataFrame]:
-    """(item_id, shingle, n) of all shingles; (item_id, part, shingle) of the sketches. Items without words have none."""
+    """(item_id, shingle, n) of all shingles; (item_id, shingle) of the sketches. Items without words have none."""
     base = items.select(F.col(id_col).cast("long").alias("item_id"), words_of(F.col(text_col)).alias("w"))
     sets = table(base.select("item_id", shingles_of(F.col("w")).alias("s")).filter("size(s) > 0").distinct(), "items")
     need = F.ceil(F.size("s") * F.lit(containment) - F.lit(1e-9)).cast("int")
     k = F.size("s") - need + 1
-    part = F.floor(F.log2(F.size("s"))).cast("int")
-    sketch = sets.select("item_id", part.alias("part"), F.explode(F.slice(F.sort_array("s"), F.lit(1), k)).alias("shingle"))
+    sketch = sets.select("item_id", F.explode(F.slice(F.sort_array("s"), F.lit(1), k)).alias("shingle"))
     return sets.select("item_id", F.size("s").alias("n"), need.alias("need"), F.explode("s").alias("shingle")), sketch
 
 
@@ -67,7 +66,7 @@ def contaminated(
     other columns are ignored.
     """
     shingles, sketch = item_sketches(items, item_id_col, item_text_col, containment)
-    # one row for each hash, whatever items share it; its part's bound keeps larger hashes out early
+    # one row for each hash, whatever items share it; the largest one keeps larger hashes out early
     probe = table(sketch.groupBy("shingle").agg(F.collect_set("item_id").alias("item_ids")), "sketches")
     bound = sketch.agg(F.max("shingle")).first()[0]
     if bound is None:
