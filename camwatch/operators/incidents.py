@@ -7,40 +7,39 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def assign_incidents(events: DataFrame, gap_s: int = 120, by: str = "site_id") -> DataFrame:
+def assign_incidents(events: DataFrame, gap_s: int = 120, by: str = "site_id", start: str = "start_us", tie: str = "event_id") -> DataFrame:
     """``incident_seq`` (from 1 for each site) and ``incident_id`` (``site_startµs``): a new one when the gap to the last start is at least ``gap_s``.
 
-    Only starts count. The gap is found with one row of lag; a site's running count
-    is a window of its events, so a site is one task: a site with a large share of
-    all rows is better cut into days with ``assign_incidents_by_day``.
-    """
-    order = W.partitionBy(by).orderBy("start_us", "event_id")
-    fresh = F.coalesce(F.col("start_us") - F.lag("start_us").over(order) >= gap_s * 1_000_000, F.lit(True))
-    seq = events.withColumn("__new", fresh.cast("int")).withColumn("incident_seq", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    start = F.min("start_us").over(W.partitionBy(by, "incident_seq"))
-    return seq.withColumn("incident_id", F.concat_ws("_", F.col(by).cast("string"), start.cast("string"))).drop("__new")
-
-
-def assign_incidents_by_day(events: DataFrame, gap_s: int = 120, by: str = "site_id") -> DataFrame:
-    """``incident_id`` as in ``assign_incidents``, dealt by site and day, so that no site is one task.
-
+    Only starts count. Rows are dealt by site and day, so that no site is one task.
     Days are stitched through one row for each site and day: its first and last
-    start. An event's incident begins at the last break at or before it: within its
-    day, or on an earlier day through the chain of days without a break.
+    start and its number of breaks. An event's incident begins at the last break at
+    or before it: within its day, or on an earlier day through the chain of days
+    without a break. Rows without a site or a start have neither.
     """
     gap, day_us = gap_s * 1_000_000, 86_400_000_000
-    rows = events.withColumn("__day", F.floor(F.col("start_us") / day_us))
-    w = W.partitionBy(by, "__day").orderBy("start_us", "event_id")
-    rows = rows.withColumns({"__gap": F.col("start_us") - F.lag("start_us").over(w)})
-    inner = F.max(F.when(F.col("__gap") >= gap, F.col("start_us"))).over(w.rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("__break", inner)
-    days = rows.groupBy(by, "__day").agg(F.min("start_us").alias("first"), F.max("start_us").alias("last"), F.max("__break").alias("break"))
+    rows = events.withColumn("__day", F.floor(F.col(start) / day_us))
+    w = W.partitionBy(by, "__day").orderBy(start, tie)
+    rows = rows.withColumn("__gap", F.col(start) - F.lag(start).over(w))
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    broken = F.when(F.col("__gap") >= gap, F.col(start))
+    rows = rows.withColumns({"__break": F.max(broken).over(so_far), "__n": F.count(broken).over(so_far)})
+    days = rows.groupBy(by, "__day").agg(F.min(start).alias("first"), F.max(start).alias("last"), F.max("__break").alias("break"), F.max("__n").alias("n"))
     d = W.partitionBy(by).orderBy("__day")
     fresh = F.coalesce(F.col("first") - F.lag("last").over(d) >= gap, F.lit(True))
-    days = days.withColumn("__fresh", fresh).withColumn("own", F.coalesce("break", F.when(F.col("__fresh"), F.col("first"))))
-    before = F.last("own", ignorenulls=True).over(d.rowsBetween(W.unboundedPreceding, -1))
-    days = days.withColumn("carried", F.when(F.col("__fresh"), F.col("first")).otherwise(before)).select(by, "__day", "carried")
-    return rows.join(days, [by, "__day"]).withColumn("incident_id", F.concat_ws("_", F.col(by).cast("string"), F.coalesce("__break", "carried").cast("string"))).drop("__day", "__gap", "__break", "carried")
+    days = days.withColumn("__fresh", fresh).withColumns({"own": F.coalesce("break", F.when(F.col("__fresh"), F.col("first"))), "n": F.col("n") + F.col("__fresh").cast("int")})
+    earlier = d.rowsBetween(W.unboundedPreceding, -1)
+    days = days.select(
+        F.col(by).alias("__by"), F.col("__day").alias("__at"), F.when(F.col("__fresh"), F.col("first")).otherwise(F.last("own", ignorenulls=True).over(earlier)).alias("__carried"),
+        (F.coalesce(F.sum("n").over(earlier), F.lit(0)) + F.col("__fresh").cast("int")).alias("__before"),
+    )
+    both = rows.join(days, (F.col(by) == F.col("__by")) & (F.col("__day") == F.col("__at")), "left")
+    ids = F.concat(F.col(by).cast("string"), F.lit("_"), F.coalesce("__break", "__carried").cast("string"))
+    return both.withColumns({"incident_seq": F.col("__before") + F.col("__n"), "incident_id": ids}).drop("__day", "__gap", "__break", "__n", "__by", "__at", "__carried", "__before")
+
+
+def assign_incidents_by_day(events: DataFrame, gap_s: int = 120, by: str = "site_id") -> DataFrame:
+    """``incident_id`` alone, as ``assign_incidents`` gives it."""
+    return assign_incidents(events, gap_s, by).drop("incident_seq")
 
 
 def rollup_incidents(members: DataFrame) -> DataFrame:
@@ -48,8 +47,10 @@ def rollup_incidents(members: DataFrame) -> DataFrame:
 
     Start, cameras and labels come from all members; ids, primary event and end from
     those that weren't discarded (an incident without such members is left out). A
-    canceled member cancels the incident. Cameras are in the order first seen.
-    ``members``: incident_id, event_id, camera, label, start_us, end_us, threat, kind.
+    canceled member cancels the incident. Cameras are in the order first seen. The
+    label is ``person`` if no member has one. Title and description are the last that
+    are not null, by start. ``members``: incident_id, event_id, camera, label, start_us,
+    end_us, threat, kind; title and description if there are any.
     """
     kept = F.col("kind") != "discarded"
     order = F.struct("start_us", "event_id")
@@ -59,22 +60,31 @@ def rollup_incidents(members: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("label")), ", ").alias("label"), F.max("threat").alias("threat"), F.count_if(kept).alias("n_events"),
         F.min_by("event_id", F.when(kept, order)).alias("primary_event"), F.bool_or(F.col("kind") == "canceled").alias("canceled"),
     )
-    return base.filter("n_events > 0").join(cams, "incident_id")
+    base = base.filter("n_events > 0").join(cams, "incident_id").withColumn("label", F.when(F.col("label") != "", F.col("label")).otherwise("person"))
+    texts = [c for c in ("title", "description") if c in members.columns]
+    if texts:
+        base = base.join(members.groupBy("incident_id").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in texts)), "incident_id")
+    return base
 
 
-def incident_span(members: DataFrame, open_s: int = 30, before_s: int = 5, after_s: int = 30) -> DataFrame:
-    """Span over the members (an open one ends 30 s after its start) and the export window in whole seconds."""
+def incident_span(members: DataFrame, open_s: int = 30, before_s: int = 5, after_s: int = 30, summary_s: int = 15) -> DataFrame:
+    """Span over the members (an open one ends 30 s after its start), and the windows of the export and of the summary in whole seconds."""
     end = F.coalesce("end_us", F.col("start_us") + open_s * 1_000_000)
     g = members.groupBy("incident_id").agg(F.min("start_us").alias("start_us"), F.max(end).alias("end_us"))
-    return g.withColumns({"export_from": F.expr(f"start_us div 1000000 - {before_s}"), "export_to": F.expr(f"end_us div 1000000 + {after_s}")})
+    first, last = F.expr("start_us div 1000000"), F.expr("end_us div 1000000")
+    return g.withColumns({"export_from": first - before_s, "export_to": last + after_s, "summary_from": first - summary_s, "summary_to": last + summary_s})
 
 
 def event_phase(descriptions: DataFrame, reviews: DataFrame, events: DataFrame) -> DataFrame:
-    """event_id, phase, description: a review finalizes, a description lifts a new event; the latest texts count."""
-    d = descriptions.groupBy("event_id").agg(F.max_by("text", F.struct("ts", "text")).alias("d"))
-    r = reviews.groupBy("event_id").agg(F.max_by("text", F.struct("ts", "text")).alias("r"))
+    """event_id, phase, ai_description, description: a review finalizes, a description lifts a new event.
+
+    The latest description and the latest review count, each for a text of its own:
+    what a later description says stays beside the review's text.
+    """
+    d = descriptions.groupBy("event_id").agg(F.max_by("text", F.struct("ts", "text")).alias("d"), F.lit(True).alias("has_d"))
+    r = reviews.groupBy("event_id").agg(F.max_by("text", F.struct("ts", "text")).alias("r"), F.lit(True).alias("has_r"))
     j = events.select("event_id").join(d, "event_id", "left").join(r, "event_id", "left")
-    return j.select("event_id", F.when(F.col("r").isNotNull(), "FINALIZED").when(F.col("d").isNotNull(), "DESCRIBED").otherwise("NEW").alias("phase"), F.coalesce("r", "d").alias("description"))
+    return j.select("event_id", F.when(F.col("has_r"), "FINALIZED").when(F.col("has_d"), "DESCRIBED").otherwise("NEW").alias("phase"), F.col("d").alias("ai_description"), F.col("r").alias("description"))
 
 
 def last_n_frames(frames: DataFrame, n: int = 500, key: str = "event_id", *order: str) -> DataFrame:

@@ -7,32 +7,56 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], time: str, payload: str = "entry") -> DataFrame:
-    """``left`` with ``payload``: a struct of the right row nearest in time (``rt`` and the other columns), the earlier on ties.
+#: Width of the cells of time that long keys are cut into, in the time column's unit.
+CELL = 3600
 
-    One shuffle of the union by key: each left row takes the last right row at or
-    before it and the first at or after it, and the closer one. Right rows that tie
-    on key and time: the least in the order of their columns counts. No right row: null.
+
+def nearest_rows(left: DataFrame, right: DataFrame, by: list[str], time: str, kinds: dict[str, Column], cell: float = CELL) -> DataFrame:
+    """``left`` with a struct (``rt`` and the other columns) for each kind: the nearest right row of that kind, the earlier on ties.
+
+    ``kinds`` maps a result's name to a condition on right rows. One shuffle of the
+    union by key and cell of time, so that a long key is no one task: in its cell each
+    left row takes the last right row at or before it and the first at or after it, both
+    by windows that look back. One row for each key and cell carries the last right row
+    of earlier cells, and the first of later ones, into cells that have none. Of right
+    rows that tie on key and time the least in the order of their columns counts. Rows
+    without a time, or with a null key, match nothing.
     """
-    rest = [c for c in right.columns if c not in by]
+    rest = [c for c in right.columns if c not in (*by, time)]
     own = [c for c in left.columns if c not in by]
-    r = right.groupBy(*by, time).agg(F.min(F.struct(*rest)).alias("s")).select(*by, F.col(time).alias("__t"), F.struct(F.col(time).alias("rt"), *(F.col(f"s.{c}").alias(c) for c in rest if c != time)).alias("__r"))
-    lf = left.select(*by, F.col(time).alias("__t"), F.struct(*own).alias("__l"))
-    both = lf.unionByName(r, allowMissingColumns=True)
-    w = W.partitionBy(*by).orderBy("__t", F.col("__l").isNotNull())
-    before = F.last("__r", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    after = F.first("__r", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    j = both.withColumns({"__b": before, "__a": after}).filter("__l is not null")
-    nearer = F.when(F.col("__b").isNull(), F.col("__a")).when(F.col("__a").isNull() | (F.col("__t") - F.col("__b.rt") <= F.col("__a.rt") - F.col("__t")), F.col("__b")).otherwise(F.col("__a"))
-    return j.select(*by, *(F.col(f"__l.{c}").alias(c) for c in own), nearer.alias(payload))
-
-
-def asof_hold(left: DataFrame, right: DataFrame, by: list[str], time: str, filled: Column, most: float = 5.0) -> DataFrame:
-    """Nearest entry; if it isn't ``filled``, the nearest filled one within ``most``; else the empty one."""
-    a = asof_nearest(left, right.withColumn("filled", filled), by, time, "nearest")
-    b = asof_nearest(a, right.withColumn("filled", filled).filter("filled"), by, time, "held")
+    names = [f"__r{k}" for k in range(len(kinds))]
+    row = F.struct(F.col(time).alias("rt"), *rest)
+    known = right.na.drop(subset=[*by, time])
+    r = known.groupBy(*by, F.col(time).alias("__t")).agg(*(F.min(F.when(c, row)).alias(n) for n, c in zip(names, kinds.values(), strict=True)))
+    both = left.select(*by, F.col(time).alias("__t"), F.struct(*own).alias("__l")).unionByName(r, allowMissingColumns=True)
+    both = both.withColumn("__cell", F.floor(F.col("__t") / cell))
+    within = W.partitionBy(*by, "__cell")
+    back = {n: F.last(n, ignorenulls=True).over(within.orderBy("__t", F.col("__l").isNotNull()).rowsBetween(W.unboundedPreceding, 0)) for n in names}
+    ahead = {n: F.last(n, ignorenulls=True).over(within.orderBy(F.desc("__t"), F.col("__l").isNotNull()).rowsBetween(W.unboundedPreceding, 0)) for n in names}
+    j = both.withColumns({f"{n}b": c for n, c in back.items()} | {f"{n}a": c for n, c in ahead.items()}).filter("__l is not null")
+    at = {n: F.when(F.col(n).isNotNull(), F.col("__t")) for n in names}
+    cells = both.groupBy(*by, "__cell").agg(*(f(n, at[n]).alias(f"{n}{x}") for n in names for x, f in (("first", F.min_by), ("last", F.max_by))))
+    up, down = (W.partitionBy(*by).orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in (F.col("__cell"), F.desc("__cell")))
+    carried = cells.select(*by, "__cell", *(F.last(f"{n}last", ignorenulls=True).over(up).alias(f"{n}_lo") for n in names), *(F.last(f"{n}first", ignorenulls=True).over(down).alias(f"{n}_hi") for n in names))
+    j = j.join(carried, [*by, "__cell"], "left")
+    out = {}
+    for n, name in zip(names, kinds, strict=True):
+        b, a = F.coalesce(f"{n}b", f"{n}_lo"), F.coalesce(f"{n}a", f"{n}_hi")
+        earlier = b.isNotNull() & (a.isNull() | (F.col("__t") - b["rt"] <= a["rt"] - F.col("__t")))
+        out[name] = F.when(earlier, b).otherwise(a)
+    return j.select(*by, *(F.col(f"__l.{c}").alias(c) for c in own), *(c.alias(n) for n, c in out.items()))
+
+
+def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], time: str, payload: str = "entry", cell: float = CELL) -> DataFrame:
+    """``left`` with ``payload``: a struct of the right row nearest in time (``rt`` and the other columns), the earlier on ties; null without one."""
+    return nearest_rows(left, right, by, time, {payload: F.lit(True)}, cell)
+
+
+def asof_hold(left: DataFrame, right: DataFrame, by: list[str], time: str, filled: Column, most: float = 5.0, cell: float = CELL) -> DataFrame:
+    """``entry``: the nearest entry; if it isn't ``filled``, the nearest filled one within ``most``; else the empty one. Both are looked for at once."""
+    j = nearest_rows(left, right.withColumn("filled", filled), by, time, {"nearest": F.lit(True), "held": filled}, cell)
     use = F.when(~F.col("nearest.filled") & (F.abs(F.col("held.rt") - F.col(time)) <= most), F.col("held")).otherwise(F.col("nearest"))
-    return b.withColumn("entry", use).drop("nearest", "held")
+    return j.withColumn("entry", use).drop("nearest", "held")
 
 
 def in_interval(points: DataFrame, intervals: DataFrame, by: list[str], time: str, start: str, end: str, cell: int) -> DataFrame:
