@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from camwatch.functions.scalars import deep_link, default_title, first_truthy, is_critical, player_url, push_priority
+from camwatch.operators.incidents import assign_incidents
 
 
 def clear_previous_tag(sent: DataFrame, by: str = "site_id") -> DataFrame:
@@ -27,41 +30,47 @@ def clear_previous_tag(sent: DataFrame, by: str = "site_id") -> DataFrame:
 def rolling_frame_cap(requests: DataFrame, cap: int = 200, window_s: int = 3600, by: str = "site_id") -> DataFrame:
     """``admitted``: with its frames, at most ``cap`` frames were admitted within the last ``window_s`` seconds (inclusive). 0 switches it off.
 
-    Only admitted requests count, so a key's requests are judged in order: a fold
-    over the key's sorted rows, in batches, that keeps the admitted ones of one window.
+    Only admitted requests count, so requests are judged in order: a fold over sorted
+    rows, in batches, that keeps the admitted ones of one window. After a pause longer
+    than the window nothing is held any more, so a key is cut into bursts at such
+    pauses and dealt by burst. Rows without a key or a time are judged as one burst each key.
     """
     if cap <= 0:
         return requests.withColumn("admitted", F.lit(True))
 
     def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held, total = None, [], 0
+        key, held, total = None, deque(), 0
         for part in parts:
             out = []
-            for k, ts, n in zip(part[by], part["ts_us"], part["frames"], strict=True):
+            for k, ts, n in zip(part["__burst"], part["ts_us"], part["frames"], strict=True):
                 if k != key:
-                    key, held, total = k, [], 0
+                    key, total = k, 0
+                    held.clear()
                 while held and held[0][0] < ts - window_s * 1_000_000:
-                    total -= held.pop(0)[1]
+                    total -= held.popleft()[1]
                 ok = total + n <= cap
                 if ok:
                     held.append((ts, n))
                     total += n
                 out.append(ok)
-            yield part.assign(admitted=out)
+            yield part.drop(columns="__burst").assign(admitted=out)
 
-    rows = requests.repartition(by).sortWithinPartitions(by, "ts_us", "request_id")
-    return rows.mapInPandas(judge, rows.schema.simpleString()[7:-1].replace(":", " ") + ", admitted boolean")
+    cut = assign_incidents(requests, window_s + 1, by, "ts_us", "request_id").drop("incident_seq").withColumnRenamed("incident_id", "__burst")
+    rows = cut.withColumn("__burst", F.coalesce("__burst", F.concat(F.lit("?"), F.coalesce(F.col(by).cast("string"), F.lit("")))))
+    rows = rows.repartition("__burst").sortWithinPartitions("__burst", "ts_us", "request_id")
+    return rows.mapInPandas(judge, StructType([*requests.schema.fields, StructField("admitted", BooleanType())]))
 
 
 def rate_limit(requests: DataFrame, most: int = 2, window_s: int = 5, queue: int = 10, by: str = "site_id") -> DataFrame:
-    """``outcome``: sent, queued (sent later), dropped (in a cleared queue) or overflow (cleared the queue and is told once); ``sent_us``.
+    """``outcome``: sent, queued (sent later), overflow (found the queue full, cleared it and is told once) or dropped (in a queue so cleared); ``sent_us``.
 
-    Fewer than ``most`` within the last ``window_s`` seconds go out at once if nothing
-    waits. Waiting ones go out one a second as the window allows. One too many clears
-    the queue; no further overflow is told until a drain leaves the queue below its size.
+    A request goes out at once if fewer than ``most`` went out within the last
+    ``window_s`` seconds, also while others wait; else it waits. Waiting ones go out one
+    a second as the window allows. One more than ``queue`` waiting clears the queue, but
+    not again until a drain leaves fewer than ``queue``: until then the queue grows.
     """
     rows = requests.repartition(by).sortWithinPartitions(by, "ts_us", "request_id")
-    return rows.mapInPandas(lambda parts: limit_batches(parts, most, window_s, queue, by), rows.schema.simpleString()[7:-1].replace(":", " ") + ", outcome string, sent_us long")
+    return rows.mapInPandas(lambda parts: limit_batches(parts, most, window_s, queue, by), StructType([*rows.schema.fields, StructField("outcome", StringType()), StructField("sent_us", LongType())]))
 
 
 class RateLimit:
@@ -69,13 +78,13 @@ class RateLimit:
 
     def __init__(self, most: int, window_s: int, queue: int):
         self.most, self.win, self.queue = most, window_s * 1_000_000, queue
-        self.sent: list[int] = []
-        self.waiting: list[dict] = []
+        self.sent: deque[int] = deque()
+        self.waiting: deque[dict] = deque()
         self.told, self.clock = False, 0
 
     def free(self, now: int) -> bool:
         while self.sent and self.sent[0] <= now - self.win:
-            self.sent.pop(0)
+            self.sent.popleft()
         return len(self.sent) < self.most
 
     def drain(self, until: int | None = None) -> Iterator[dict]:
@@ -83,25 +92,25 @@ class RateLimit:
         while self.waiting and (until is None or self.clock + 1_000_000 <= until):
             self.clock += 1_000_000
             if self.free(self.clock):
-                yield self.waiting.pop(0) | {"outcome": "queued", "sent_us": self.clock}
+                yield self.waiting.popleft() | {"outcome": "queued", "sent_us": self.clock}
                 self.sent.append(self.clock)
                 self.told = self.told and len(self.waiting) >= self.queue
 
     def see(self, r: dict) -> Iterator[dict]:
         now = r["ts_us"]
         yield from self.drain(now)
-        if not self.waiting and self.free(now):
+        if self.free(now):
             self.sent.append(now)
             yield r | {"outcome": "sent", "sent_us": now}
             return
         if not self.waiting:
             self.clock = now
-        if len(self.waiting) < self.queue:
+        if self.told or len(self.waiting) < self.queue:
             self.waiting.append(r)
             return
         yield from (q | {"outcome": "dropped", "sent_us": None} for q in self.waiting)
         self.waiting.clear()
-        yield r | ({"outcome": "dropped", "sent_us": None} if self.told else {"outcome": "overflow", "sent_us": now})
+        yield r | {"outcome": "overflow", "sent_us": now}
         self.told = True
 
 
@@ -116,8 +125,7 @@ def limit_batches(parts: Iterator[pd.DataFrame], most: int, window_s: int, queue
     key, rule = None, None
     for part in parts:
         out: list[dict] = []
-        for row in part.itertuples(index=False):
-            r = row._asdict()
+        for r in part.to_dict("records"):
             if rule is None or r[by] != key:
                 if rule:
                     out += rule.drain()
@@ -139,24 +147,50 @@ def request_rate(messages: DataFrame, minutes: int = 5) -> DataFrame:
     return messages.groupBy(F.window("ts", f"{minutes} minutes").alias("w")).agg(F.count("*").alias("n")).select(F.unix_micros("w.start").alias("window_us"), "n")
 
 
-def mobile_payload(status: Column, incident: Column, camera: Column, label: Column, threat: Column, description: Column) -> Column:
-    """JSON of the mobile provider; every value is a string."""
-    title = default_title(label, camera)
+#: Statuses whose notification shows the cropped snapshot. Fixed values.
+WITH_SNAPSHOT = ("snapshot_ready", "clip_ready", "finalized", "summarized")
+
+
+def mobile_payload(n: Mapping[str, Column]) -> Column:
+    """JSON of the mobile provider; every value is a string.
+
+    Columns: status, incident_id, camera, label, threat, message, description,
+    folder, live_frame, snapshot, gif, clip; the last five may be null.
+    """
+    title = default_title(n["label"], n["camera"])
+    camera, text = first_truthy(n["camera"], F.lit("unknown")), first_truthy(F.trim(n["message"]), title)
+    live = first_truthy(n["live_frame"], F.when(n["status"] == "new", F.concat(F.lit("/api/cameras/"), camera, F.lit("/latest.jpg"))), F.lit(None).cast("string"))
+    shot = first_truthy(n["snapshot"], F.when(n["status"].isin(*WITH_SNAPSHOT) & (F.trim(n["folder"]) != ""), F.concat(F.lit("/files/"), n["folder"], F.lit("/snapshot_cropped.jpg"))))
+    none = F.lit("")
     return F.to_json(
         F.struct(
-            incident.alias("ce_id"), F.upper(status).alias("phase"), F.when(status == "discarded", "true").otherwise("false").alias("clear_notification"), threat.cast("string").alias("threat_level"),
-            first_truthy(camera, F.lit("unknown")).alias("camera"), F.when(status == "new", F.concat(F.lit("/api/cameras/"), camera, F.lit("/latest.jpg"))).otherwise("").alias("live_frame_proxy"),
-            title.alias("title"), first_truthy(F.trim(description), title).alias("description"), title.alias("message"), deep_link(incident).alias("deep_link"),
+            n["incident_id"].alias("ce_id"), F.upper(n["status"]).alias("phase"), F.when(n["status"] == "discarded", "true").otherwise("false").alias("clear_notification"), F.coalesce(n["threat"], F.lit(0)).cast("string").alias("threat_level"),
+            camera.alias("camera"), F.coalesce(live, none).alias("live_frame_proxy"), F.coalesce(shot, none).alias("hosted_snapshot"), F.coalesce(n["gif"], none).alias("notification_gif"), title.alias("title"),
+            first_truthy(F.trim(n["description"]), text).alias("description"), text.alias("message"), F.coalesce(n["clip"], none).alias("hosted_clip"), deep_link(n["incident_id"]).alias("deep_link"),
         )
     )
 
 
-def hub_payload(status: Column, event: Column, camera: Column, label: Column, threat: Column, tag: Column) -> Column:
-    return F.to_json(F.struct(event.alias("event_id"), status.alias("status"), camera.alias("camera"), label.alias("label"), default_title(label, camera).alias("title"), tag.alias("tag"), threat.alias("threat_level"), is_critical(threat).alias("critical")))
+def hub_payload(n: Mapping[str, Column]) -> Column:
+    """JSON of the hub: status, phase, names, texts, urls, tag, and ``clear_tag`` only if there is one to clear."""
+    urls = [n[k].alias(f"{k}_url") for k in ("image", "video", "player")]
+    threat = F.coalesce(n["threat"], F.lit(0))
+    return F.to_json(
+        F.struct(
+            n["event_id"].alias("event_id"), n["status"].alias("status"), F.coalesce(n["phase"], F.lit("NEW")).alias("phase"), n["camera"].alias("camera"), n["label"].alias("label"), default_title(n["label"], n["camera"]).alias("title"),
+            n["message"].alias("message"), *urls, n["tag"].alias("tag"), n["created_s"].alias("timestamp"), threat.alias("threat_level"), is_critical(threat).alias("critical"), n["clear_tag"].alias("clear_tag"),
+        )
+    )
 
 
-def push_payload(status: Column, folder: Column, camera: Column, event: Column, label: Column, threat: Column, created_s: Column) -> Column:
-    return F.to_json(F.struct(default_title(label, camera).alias("title"), player_url("", folder, camera, event).alias("url"), push_priority(status, threat).alias("priority"), created_s.alias("timestamp")))
+def push_payload(n: Mapping[str, Column], html: int = 1) -> Column:
+    """JSON of the push provider, without its credentials."""
+    return F.to_json(
+        F.struct(
+            default_title(n["label"], n["camera"]).alias("title"), n["message"].alias("message"), player_url("", n["folder"], n["camera"], n["event_id"].cast("string")).alias("url"), F.lit("View in Event Viewer").alias("url_title"),
+            F.lit(html).alias("html"), push_priority(n["status"], n["threat"]).alias("priority"), F.coalesce(n["created_s"], F.lit(0)).cast("bigint").alias("timestamp"),
+        )
+    )
 
 
 def fan_out(notifications: DataFrame, providers: Mapping[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from camwatch.operators.filters import route_messages
+from camwatch.operators.joins import suppress_snoozed
 
 MESSAGE = "type string, event_id string, site_id bigint, camera string, label string, ts timestamp, end_ts timestamp, text string"
 
@@ -40,10 +41,10 @@ def stream_first_per_key(events: DataFrame, keys: list[str], late: str = "1 hour
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_snooze(targets: DataFrame, snoozes: DataFrame) -> DataFrame:
-    """Stream of targets against the table of snoozes as it is at each batch: ``suppressed`` if one holds for the target's camera."""
-    s = snoozes.groupBy("camera").agg(F.max("expiration").alias("expiration"))
-    return targets.join(s, "camera", "left").withColumn("suppressed", F.coalesce(F.col("expiration") > F.col("ts"), F.lit(False)))
+def stream_snooze(targets: DataFrame, snoozes: Callable[[], DataFrame], flag: str, path: str, checkpoint: str):
+    """Each batch of targets (target_id, ts_us, cameras) with ``suppressed``, by the snoozes as they are at that batch: the rule of ``suppress_snoozed``."""
+    judge = lambda df, _: suppress_snoozed(df, snoozes(), flag).write.mode("append").parquet(path)
+    return targets.writeStream.option("checkpointLocation", checkpoint).foreachBatch(judge).trigger(availableNow=True).start()
 
 
 def timeline_sink(entries: DataFrame, path: str, checkpoint: str, now: str):
@@ -58,36 +59,49 @@ def _rows(parts: Iterator[pd.DataFrame], by: str = "ts") -> pd.DataFrame:
     return pd.concat(found).sort_values([by, "event_id"]) if found else pd.DataFrame()
 
 
+#: Frames that are remembered of an event.
+RING = 500
+
+
 def stream_event_state(messages: DataFrame, late: str = "10 minutes", keep_s: int = 3600) -> DataFrame:
-    """Per event its phase after each batch: created by the first new or update, described, finalized, ended; forgotten an hour after its last message.
+    """Per event its state after each batch: created by the first new or update, described, finalized, ended; forgotten an hour after its last message or when it is removed.
 
-    A message about an event that wasn't created is ignored, a second end too.
+    A message about an event that wasn't created is ignored, a second end too. The
+    text of a description and that of a review are kept apart. Of ``frame`` messages
+    the times of the last 500 are kept.
     """
-    out = "event_id string, phase string, text string, ended boolean"
+    out = "event_id string, phase string, ai_description string, description string, ended boolean, frames int"
 
     def step(key, parts, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        phase, text, ended = state.get if state.exists else ("", "", False)
+        phase, told, text, ended, frames = state.get if state.exists else ("", "", "", False, "[]")
+        frames = json.loads(frames)
         for m in _rows(parts).itertuples():
             if m.type in ("new", "update") and not phase:
                 phase = "NEW"
             elif not phase:
                 continue
             elif m.type == "description":
-                phase, text = ("DESCRIBED" if phase == "NEW" else phase), m.text
+                phase, told = ("DESCRIBED" if phase == "NEW" else phase), m.text
             elif m.type == "review":
                 phase, text = "FINALIZED", m.text
+            elif m.type == "frame":
+                frames = [*frames, m.ts.timestamp()][-RING:]
             elif m.type == "end":
                 ended = True
+            elif m.type == "remove":
+                phase, told, text, ended, frames = "", "", "", False, []
         if phase:
-            state.update((phase, text, ended))
+            state.update((phase, told, text, ended, json.dumps(frames)))
             state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + keep_s * 1000)
-            yield pd.DataFrame({"event_id": [key[0]], "phase": [phase], "text": [text], "ended": [ended]})
+            yield pd.DataFrame({"event_id": [key[0]], "phase": [phase], "ai_description": [told], "description": [text], "ended": [ended], "frames": [len(frames)]})
+        elif state.exists:
+            state.remove()
 
     rows = messages.withWatermark("ts", late).groupBy("event_id")
-    return rows.applyInPandasWithState(step, out, "phase string, text string, ended boolean", "update", GroupStateTimeout.EventTimeTimeout)
+    return rows.applyInPandasWithState(step, out, "phase string, told string, text string, ended boolean, frames string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 class ExactIncidents:
@@ -219,30 +233,30 @@ def stream_frame_cap(requests: DataFrame, cap: int = 200, window_s: int = 3600,
 
 
 def stream_rate_limit(requests: DataFrame, most: int = 2, window_s: int = 5, queue: int = 10, late: str = "10 minutes") -> DataFrame:
-    """``outcome`` at arrival: sent, queued or overflow. What waits is counted and drains one a second as the window allows."""
-    out = "site_id long, event_id string, outcome string"
+    """``outcome`` at arrival: sent, queued or overflow, by the rule of ``rate_limit``. What waits is counted and drains one a second as the window allows."""
+    out, second = "site_id long, event_id string, outcome string", 1_000_000
 
     def step(key, parts, state: GroupState):
-        held = json.loads(state.get[0]) if state.exists else {"sent": [], "waiting": 0, "clock": 0.0, "told": False}
+        held = json.loads(state.get[0]) if state.exists else {"sent": [], "waiting": 0, "clock": 0, "told": False}
         result = []
         for r in _rows(parts).itertuples():
-            now = r.ts.timestamp()
-            while held["waiting"] and held["clock"] + 1 <= now:
-                held["clock"] += 1
-                if sum(t > held["clock"] - window_s for t in held["sent"]) < most:
+            now = r.ts.value // 1000  # whole microseconds
+            while held["waiting"] and held["clock"] + second <= now:
+                held["clock"] += second
+                if sum(t > held["clock"] - window_s * second for t in held["sent"]) < most:
                     held["sent"].append(held["clock"])
                     held["waiting"] -= 1
                     held["told"] = held["told"] and held["waiting"] >= queue
-            held["sent"] = [t for t in held["sent"] if t > now - window_s]
-            if not held["waiting"] and len(held["sent"]) < most:
+            held["sent"] = [t for t in held["sent"] if t > now - window_s * second]
+            if len(held["sent"]) < most:
                 held["sent"].append(now)
                 what = "sent"
-            elif held["waiting"] < queue:
+            elif held["told"] or held["waiting"] < queue:
                 held["clock"] = held["clock"] if held["waiting"] else now
                 held["waiting"] += 1
                 what = "queued"
             else:
-                what = "dropped" if held["told"] else "overflow"
+                what = "overflow"
                 held["waiting"], held["told"] = 0, True
             result.append((key[0], r.event_id, what))
         state.update((json.dumps(held),))

@@ -1,13 +1,17 @@
 """Joins, incidents, timeline and limits on small cases."""
 
+import json
 import random
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+from camwatch.operators import filters as P
 from camwatch.operators import incidents as I
 from camwatch.operators import joins as J
 from camwatch.operators import notify as N
+from camwatch.operators import reports as R
+from camwatch.operators import store as S
 from camwatch.operators import timeline as L
 from camwatch.streaming import streams as T
 
@@ -19,6 +23,27 @@ def test_asof_ties_go_to_the_earlier(spark):
     assert got == {("a", 10.0): 1, ("a", 99.0): 2, ("b", 1.0): None}
 
 
+def test_asof_over_cells_of_time(spark):
+    rng = random.Random(5)
+    left = [(k, float(rng.randint(0, 100_000)), i) for i, k in enumerate("ab" * 200)] + [("a", None, 900), (None, 5.0, 901)]
+    right = [(k, float(rng.choice([rng.randint(0, 9000), rng.randint(60_000, 61_000)])), i) for i, k in enumerate("aab" * 30)] + [("b", None, 950), (None, 5.0, 951)]
+    lf, rf = spark.createDataFrame(left, "k string, t double, id int"), spark.createDataFrame(right, "k string, t double, v int")
+    want = {}
+    for k, t, i in left:
+        near = [(abs(u - t), u, v) for j, u, v in right if j == k and k and t is not None and u is not None]
+        want[i] = min(near)[1:] if near else None
+    for cell in (10.0, 3600.0, 1e9):
+        got = {r.id: r.entry and (r.entry.rt, r.entry.v) for r in J.asof_nearest(lf, rf, ["k"], "t", cell=cell).collect()}
+        assert got == want, cell
+
+
+def test_asof_of_one_long_key(spark):
+    """200,000 rows of one key: the work must not grow with the square."""
+    rows = spark.range(200_000).select(F.lit("a").alias("k"), (F.col("id") * 1.0).alias("t"), F.col("id").alias("v"))
+    odd = J.asof_nearest(rows.filter("v % 2 = 1"), rows.filter("v % 2 = 0"), ["k"], "t").agg(F.count("*").alias("n"), F.sum(F.col("v") - F.col("entry.v")).alias("s")).first()
+    assert tuple(odd) == (100_000, 100_000)
+
+
 def test_asof_hold(spark):
     left = spark.createDataFrame([("a", 10.0), ("a", 30.0)], "k string, t double")
     right = spark.createDataFrame([("a", 10.0, 0), ("a", 14.0, 5), ("a", 30.0, 0)], "k string, t double, n int")
@@ -64,6 +89,24 @@ def test_frame_cap_counts_admitted_only(spark):
     assert {x.request_id: x.admitted for x in N.rolling_frame_cap(r, 2).collect()} == {1: True, 2: False, 3: True}
 
 
+def test_frame_cap_over_bursts_against_brute_force(spark):
+    rng, rows, i = random.Random(9), [], 0
+    for site in (1, 2):
+        ts = 0
+        for _ in range(200):
+            ts += rng.choice([1, 60, 900, 3600, 3601, 3602, 90_000]) * 1_000_000
+            rows.append((site, ts, i, rng.randint(1, 90)))
+            i += 1
+    want = {}
+    for site in (1, 2):
+        held = []
+        for _, ts, k, n in (r for r in rows if r[0] == site):
+            want[k] = sum(m for t, m in held if t >= ts - 3_600_000_000) + n <= 200
+            held += [(ts, n)] if want[k] else []
+    df = spark.createDataFrame(rows, "site_id long, ts_us long, request_id long, frames long")
+    assert {r.request_id: r.admitted for r in N.rolling_frame_cap(df, 200).collect()} == want
+
+
 def test_rate_limit_overflows_once(spark):
     r = spark.createDataFrame([(1, i, i) for i in range(15)], "site_id long, ts_us long, request_id long")
     got = {x.request_id: x.outcome for x in N.rate_limit(r).collect()}
@@ -72,6 +115,21 @@ def test_rate_limit_overflows_once(spark):
     assert [got[13], got[14]] == ["queued", "queued"]
 
 
+def test_rate_limit_clears_once_then_the_queue_grows(spark):
+    """40 requests at once: two go out, ten wait, the next clears them and tells, and the 27 after it all wait and go out later."""
+    r = spark.createDataFrame([(1, i, i) for i in range(40)], "site_id long, ts_us long, request_id long")
+    got = [x.outcome for x in N.rate_limit(r).orderBy("request_id").collect()]
+    assert got == ["sent"] * 2 + ["dropped"] * 10 + ["overflow"] + ["queued"] * 27
+
+
+def test_rate_limit_sends_at_once_while_others_wait(spark):
+    # at 5.5 s the window holds nothing and the next drain is due at 6 s
+    r = spark.createDataFrame([(1, t, i) for i, t in enumerate([0, 1, 500_000, 5_500_001])], "site_id long, ts_us long, request_id long")
+    assert [(x.outcome, x.sent_us) for x in N.rate_limit(r).orderBy("request_id").collect()] == [("sent", 0), ("sent", 1), ("queued", 5_500_000), ("sent", 5_500_001)]
+    r = spark.createDataFrame([(1, t, i) for i, t in enumerate([0, 1, 200_000, 400_000, 5_100_000])], "site_id long, ts_us long, request_id long")
+    assert [(x.outcome, x.sent_us) for x in N.rate_limit(r).orderBy("request_id").collect()] == [("sent", 0), ("sent", 1), ("queued", 5_200_000), ("queued", 10_200_000), ("sent", 5_100_000)]
+
+
 def brute_rate_limit(rows, most=2, win=5_000_000, queue=10):
     """Outcomes of one site's (ts_us, request_id), all rows at hand."""
     out, sent, waiting, told, clock = {}, [], [], False, 0
@@ -84,15 +142,14 @@ def brute_rate_limit(rows, most=2, win=5_000_000, queue=10):
                 told = told and len(waiting) >= queue
         if ts is None:
             return out
-        if not waiting and sum(t > ts - win for t in sent) < most:
+        if sum(t > ts - win for t in sent) < most:
             sent.append(ts)
             out[i] = ("sent", ts)
-        elif len(waiting) < queue:
-            clock = clock if waiting else ts
-            waiting.append(i)
-        else:
-            out |= {q: ("dropped", None) for q in waiting}
-            out[i] = ("dropped", None) if told else ("overflow", ts)
+            continue
+        clock = clock if waiting else ts
+        waiting.append(i)
+        if len(waiting) > queue and not told:
+            out |= {q: ("dropped", None) for q in waiting} | {i: ("overflow", ts)}
             waiting, told = [], True
 
 
@@ -138,3 +195,36 @@ def test_snooze_needs_every_camera(spark):
     t = spark.createDataFrame([(1, 10, ["a", "b"]), (2, 10, ["a"]), (3, 10, [])], "target_id long, ts_us long, cameras array<string>")
     s = spark.createDataFrame([("a", 0, 20, True)], "camera string, set_us long, expiration_us long, f boolean")
     assert {r.target_id: r.suppressed for r in J.suppress_snoozed(t, s, "f").collect()} == {1: False, 2: True, 3: False}
+
+
+def test_drop_without_id(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2), ("", 3)], "event_id string, n int")
+    assert 2 not in {r.n for r in P.drop_without_id(df).collect()}
+
+
+def test_listings_are_in_order(spark):
+    rows = spark.createDataFrame([("b", 9), ("a", 10), ("c", 10), ("d", None)], "event_id string, ts long")
+    assert [r.event_id for r in S.list_events(rows).collect()] == ["b", "a", "c", "d"]  # by the text of the time
+    line = spark.createDataFrame([(1, "2"), (2, None), (3, "3"), (4, "2")], "pos int, ts string")
+    assert [r.pos for r in S.timeline_newest_first(line).collect()] == [3, 1, 4, 2]
+    runs = spark.createDataFrame([("test2", None, 10), ("test2", "c", 50), ("test10", None, 20), ("test10", "c", 5), ("test3", None, 99), ("1_x", "c", 7)], "folder string, camera string, mtime long")
+    assert [(r.folder, r.ts) for r in S.list_test_runs(runs).collect()] == [("test10", "20"), ("test2", "50")]
+    kept = spark.createDataFrame([("a", "c1", 5, True), ("b", "c2", 7, True), ("c", "c1", 6, True), ("d", "c1", 9, False)], "event_id string, camera string, ts long, saved boolean")
+    assert [r.event_id for r in S.saved_events(kept).collect()] == ["b", "c", "a"] and [r.event_id for r in S.saved_events(kept, "c1").collect()] == ["c", "a"]
+
+
+def test_outcomes_without_results_have_a_reason(spark):
+    none = spark.createDataFrame([], "code int")
+    lines = lambda *n: spark.createDataFrame([(x,) for x in n], "n_entries long")
+    assert [r.reason for n in ((), (0,), (3,)) for r in R.outcome_summary(none, lines(*n)).collect()] == ["no folders with timeline", "no export responses in timelines", "entries found but all skipped (clip or export id missing)"]
+    assert R.outcome_summary(none).count() == 0
+
+
+def test_report_of_a_day(spark):
+    e = spark.createDataFrame([(90_000, " b ", "s", 1, "door"), (90_000, "a", "s", None, "door"), (86_399, "x", "s", 2, "door"), (130_000, "c", None, 0, "door")], "ts long, title string, summary string, threat int, camera string")
+    lines = R.report_lines(e)
+    day = F.lit("1970-01-02").cast("date")
+    assert R.render_lines(lines, day).first().lines.split("\n") == ["[01:00 AM] a: s (Threat: 0)", "[01:00 AM] b: s (Threat: 1)", "[12:06 PM] c:  (Threat: 0)"]
+    entries = R.report_json(e.withColumns({"scene": F.lit(None).cast("string"), "confidence": F.lit(0.5), "context": F.array(F.lit("x"))}))
+    got = R.render_json(entries, day).first()
+    assert got.n == 3 and [x["time"][11:] for x in json.loads(got.entries)] == ["01:00:00 AM", "01:00:00 AM", "12:06:40 PM"]
