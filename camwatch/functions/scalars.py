@@ -162,6 +162,19 @@ def threat_name(level: Column) -> Column:
     return F.when(level == 0, THREATS[0]).when(level == 1, THREATS[1]).when(level == 2, THREATS[2]).otherwise("Unknown")
 
 
+def event_title(meta: Column, parsed: Column) -> Column:
+    """Title from the metadata (JSON), else of the parsed summary (a map). Only the metadata's empty text gives way."""
+    return F.coalesce(first_truthy(F.get_json_object(meta, "$.genai_title")), parsed["Title"])
+
+
+def event_description(meta: Column, parsed: Column) -> Column:
+    return F.coalesce(first_truthy(F.get_json_object(meta, "$.genai_description"), parsed["Description"]), parsed["AI Description"])
+
+
+def event_label(meta: Column, parsed: Column) -> Column:
+    return F.coalesce(first_truthy(F.get_json_object(meta, "$.label")), parsed["Label"], F.lit("unknown"))
+
+
 def is_critical(level: Column) -> Column:
     return F.coalesce(level, F.lit(0)) >= 2
 
@@ -174,6 +187,25 @@ def clip_url(folder: Column, camera: Column, file: Column) -> Column:
     return F.when(file.isNotNull(), F.concat(F.lit("/files/events/"), folder, F.lit("/"), camera, F.lit("/"), file))
 
 
+def media_urls(folder: Column, cameras: Column, video: Column) -> Column:
+    """Struct hosted_clip, hosted_snapshot, hosted_clips (array of camera, url), has_clip, has_snapshot.
+
+    ``cameras`` is an array of structs camera, clip (file or null), snapshot (boolean);
+    ``video``: the folder holds a summary video, which then comes last and is the
+    primary clip. Without any snapshot the first camera's place for one is given.
+    """
+    base = F.concat(F.lit("/files/events/"), folder, F.lit("/"))
+    cams = F.array_sort(cameras)
+    clips = F.transform(F.filter(cams, lambda c: c["clip"].isNotNull()), lambda c: F.struct(c["camera"].alias("camera"), F.concat(base, c["camera"], F.lit("/"), c["clip"]).alias("url")))
+    summary = F.concat(base, folder, F.lit("_summary.mp4"))
+    every = F.when(video, F.concat(clips, F.array(F.struct(F.lit("Summary video").alias("camera"), summary.alias("url"))))).otherwise(clips)
+    shot = F.filter(cams, lambda c: c["snapshot"])
+    return F.struct(
+        F.when(video, summary).otherwise(F.get(clips, 0)["url"]).alias("hosted_clip"), F.concat(base, F.coalesce(F.get(shot, 0)["camera"], F.get(cams, 0)["camera"]), F.lit("/snapshot.jpg")).alias("hosted_snapshot"),
+        every.alias("hosted_clips"), (F.size(every) > 0).alias("has_clip"), (F.size(shot) > 0).alias("has_snapshot"),
+    )
+
+
 def player_url(base: str, folder: Column, camera: Column, event_id: Column) -> Column:
     prefix = F.lit(f"{base.rstrip('/')}/player" if base else "/player")
     cam = first_truthy(camera, F.lit("unknown"))
@@ -214,6 +246,14 @@ def scale_factor(native: Column, read: Column) -> Column:
     return F.when((native > 0) & (read > 0), native / read).otherwise(1.0)
 
 
+def scale_detections(x1: Column, y1: Column, x2: Column, y2: Column, cx: Column, cy: Column, area: Column, read: tuple[Column, Column], native: tuple[Column, Column]) -> Column:
+    """Struct x1, y1, x2, y2, cx, cy and the integer area on the native frame; unchanged if any size isn't positive."""
+    ok = (read[0] > 0) & (read[1] > 0) & (native[0] > 0) & (native[1] > 0)
+    by = [F.when(ok, n / r).otherwise(F.lit(1.0)) for r, n in zip(read, native, strict=True)]
+    sides = {"x1": x1 * by[0], "y1": y1 * by[1], "x2": x2 * by[0], "y2": y2 * by[1], "cx": cx * by[0], "cy": cy * by[1]}
+    return F.struct(*(c.alias(k) for k, c in sides.items()), F.coalesce((area * (by[0] * by[1])).cast("bigint"), F.lit(0)).alias("area"))
+
+
 def crop_rect_around(cx: Column, cy: Column, width: Column, height: Column, target_w: Column, target_h: Column) -> Column:
     """Struct x, y, w, h: the target size around the center, shifted into the frame; no larger than the frame."""
     w, h = F.least(target_w, width).cast("int"), F.least(target_h, height).cast("int")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from camwatch.operators.joins import asof_hold
+from camwatch.operators.joins import asof_hold, asof_nearest, in_interval
 
 #: Least share of the frame's side that a crop has.
 LEAST_ZOOM = 0.4
@@ -56,6 +56,37 @@ def crop_at(slices: DataFrame, sidecar: DataFrame, time: str, width: int = 1920,
     return held.withColumns({"x": into_frame("cx", "w", width), "y": into_frame("cy", "h", height)}).drop("entry", "t", "cx", "cy")
 
 
+def quality_join(slices: DataFrame, sidecar: DataFrame) -> DataFrame:
+    """``quality`` of each slice: ``no entries`` if its camera has none, ``no detections`` if the entry nearest to its start or end is empty, else ``ok``.
+
+    ``sidecar``: one row a detection, and one with a null label for a sampled frame without any.
+    """
+    entries = sidecar.groupBy("incident_id", "camera", F.col("t").cast("double").alias("t")).agg(F.count("label").alias("n"))
+    # start and end ask in one pass
+    asks = slices.withColumn("ask", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("start_sec").cast("double").alias("t")), F.struct(F.lit(1).alias("k"), F.col("end_sec").cast("double").alias("t")))))
+    asks = asks.select("incident_id", "idx", "camera", "start_sec", "end_sec", F.col("ask.t").alias("t"))
+    near = asof_nearest(asks, entries, ["incident_id", "camera"], "t")
+    state = near.groupBy("incident_id", "idx", "camera", "start_sec", "end_sec").agg(F.bool_and(F.col("entry").isNull()).alias("none"), F.bool_or(F.coalesce(F.col("entry.n") == 0, F.lit(False))).alias("empty"))
+    return state.select("incident_id", "idx", "camera", "start_sec", "end_sec", F.when(F.col("none"), "no entries").when(F.col("empty"), "no detections").otherwise("ok").alias("quality"))
+
+
+def segment_crop(segments: DataFrame, sidecar: DataFrame, width: int, height: int, target_w: int = 1440, target_h: int = 1080) -> DataFrame:
+    """``x, y, w, h`` around the weighted center of all detections with ``start_sec <= t < end_sec`` of the segment's camera, else of the frame.
+
+    A target larger than the frame is scaled down with its shape. Detections meet
+    segments by key and a cell of time.
+    """
+    scale = min(width / target_w, height / target_h) if width < target_w or height < target_h else 1.0
+    w, h = int(target_w * scale), int(target_h * scale)
+    a = F.when(F.col("area") > 0, F.col("area")).otherwise(1).cast("bigint")
+    seg = segments.select("incident_id", "seg", "camera", "start_sec", "end_sec")
+    # a segment's detections are summed before they meet anything else
+    hits = in_interval(sidecar.withColumn("t", F.col("t").cast("double")), seg, ["incident_id", "camera"], "t", "start_sec", "end_sec", 60)
+    sums = hits.groupBy("incident_id", "seg").agg((F.sum((F.col("x1") + F.col("x2")) * a) / (2.0 * F.sum(a))).alias("cx"), (F.sum((F.col("y1") + F.col("y2")) * a) / (2.0 * F.sum(a))).alias("cy"))
+    rows = segments.join(sums, ["incident_id", "seg"], "left").withColumns({"w": F.lit(w), "h": F.lit(h), "cx": F.coalesce("cx", F.lit(width / 2.0)), "cy": F.coalesce("cy", F.lit(height / 2.0))})
+    return rows.withColumns({"x": into_frame("cx", "w", width), "y": into_frame("cy", "h", height)}).drop("cx", "cy")
+
+
 def into_frame(center: str | Column, size: str, full: int | Column) -> Column:
     """First pixel of a side around its center, shifted into the frame."""
     center, size, full = F.col(center) if isinstance(center, str) else center, F.col(size), full if isinstance(full, Column) else F.lit(full)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from camwatch.functions.scalars import display_time
+from camwatch.functions.scalars import display_datetime, display_time
+
+
+#: Files that an event's page lists of each camera, besides its clip. Fixed values.
+PAGE_FILES = ("snapshot.jpg", "metadata.json", "summary.txt", "review_summary.md", "ai_analysis_debug.zip")
 
 
 def daily_events(events: DataFrame, date: Column) -> DataFrame:
@@ -15,20 +21,44 @@ def daily_events(events: DataFrame, date: Column) -> DataFrame:
 
 
 def report_lines(events: DataFrame) -> DataFrame:
-    """report_date, lines, n: ``[time] title: summary (Threat: n)`` in the order of time, then text.
+    """report_date, ts, line, place (from 1 on each date): ``[time] title: summary (Threat: n)`` in the order of time, then text.
 
-    A day's lines are gathered into one text, as a report is.
+    A date's places are counted by hour: rows before an hour are one number a date and
+    hour, so that no date is one task.
     """
-    line = F.concat(F.lit("["), display_time(F.col("ts")), F.lit("] "), F.col("title"), F.lit(": "), F.col("summary"), F.lit(" (Threat: "), F.coalesce(F.col("threat"), F.lit(0)).cast("string"), F.lit(")"))
-    rows = events.withColumns({"report_date": F.to_date(F.timestamp_seconds("ts")), "line": line})
-    return rows.groupBy("report_date").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "line"))), lambda x: x["line"]), "\n").alias("lines"), F.count("*").alias("n"))
+    line = F.concat(F.lit("["), display_time(F.col("ts")), F.lit("] "), F.trim(F.coalesce("title", F.lit(""))), F.lit(": "), F.trim(F.coalesce("summary", F.lit(""))), F.lit(" (Threat: "), F.coalesce(F.col("threat"), F.lit(0)).cast("string"), F.lit(")"))
+    rows = events.withColumns({"report_date": F.to_date(F.timestamp_seconds("ts")), "line": line, "hour": F.floor(F.col("ts") / 3600)})
+    before = rows.groupBy("report_date", "hour").agg(F.count("*").alias("n"))
+    before = before.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("report_date").orderBy("hour").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(W.partitionBy("report_date", "hour").orderBy("ts", "line"))
+    return rows.withColumn("own", own).join(before, ["report_date", "hour"]).select("report_date", "ts", "line", (F.col("before") + F.col("own")).alias("place"))
+
+
+def render_lines(lines: DataFrame, date: Column) -> DataFrame:
+    """One row: all lines of one date as one text, and their number. It is one report, and its text is one value."""
+    rows = F.array_sort(F.collect_list(F.struct("place", "line")))
+    return lines.filter(F.col("report_date") == date).agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("lines"), F.count("*").alias("n"))
 
 
 def report_json(events: DataFrame) -> DataFrame:
-    """report_date and a JSON array of the day's entries in order of time and id."""
-    rows = events.withColumn("report_date", F.to_date(F.timestamp_seconds("ts")))
-    entry = F.struct(F.col("ts"), F.col("event_id"), F.col("title"), F.coalesce("threat", F.lit(0)).alias("threat"), F.col("camera"))
-    return rows.groupBy("report_date").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("entries"))
+    """report_date, time, entry: a JSON object of seven fields for each event.
+
+    A report lists them by the text of ``time``, as the aggregate file's readers do;
+    ties by the object's text. ``events``: ts, title, scene, confidence, threat,
+    camera, context (an array or null).
+    """
+    time = display_datetime(F.col("ts"))
+    entry = F.struct(
+        F.coalesce("title", F.lit("")).alias("title"), F.coalesce("scene", F.lit("")).alias("scene"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce(F.col("threat").try_cast("int"), F.lit(0)).alias("threat_level"),
+        F.coalesce("camera", F.lit("unknown")).alias("camera"), time.alias("time"), F.coalesce("context", F.array().cast("array<string>")).alias("context"),
+    )
+    return events.select(F.to_date(F.timestamp_seconds("ts")).alias("report_date"), time.alias("time"), F.to_json(entry).alias("entry"))
+
+
+def render_json(entries: DataFrame, date: Column) -> DataFrame:
+    """One row: the JSON array of one date's entries in their order, and their number."""
+    rows = F.array_sort(F.collect_list(F.struct("time", "entry")))
+    return entries.filter(F.col("report_date") == date).agg(F.concat(F.lit("["), F.array_join(F.transform(rows, lambda x: x["entry"]), ","), F.lit("]")).alias("entries"), F.count("*").alias("n"))
 
 
 def list_report_dates(files: DataFrame) -> DataFrame:
@@ -47,10 +77,22 @@ def export_turnaround(entries: DataFrame, request: str, response: str, key: str
     return entries.groupBy(key).agg((b - a).alias("turnaround_us"))
 
 
-def outcome_summary(results: DataFrame) -> DataFrame:
-    """outcome, n: success, already_gone (404 or 422) or failure by the status code."""
+def outcome_summary(results: DataFrame, timelines: DataFrame | None = None) -> DataFrame:
+    """outcome, n, reason: success (200 to 299), already_gone (404 or 422) or failure by the status code.
+
+    With ``timelines`` (one row a folder that has a timeline, ``n_entries`` export
+    responses in it), a run without results gives one row ``none`` with the reason.
+    """
     code = F.col("code")
-    return results.groupBy(F.when(code.between(200, 299), "success").when(code.isin(404, 422), "already_gone").otherwise("failure").alias("outcome")).agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("string")
+    counts = results.groupBy(F.when(code.between(200, 299), "success").when(code.isin(404, 422), "already_gone").otherwise("failure").alias("outcome")).agg(F.count("*").alias("n")).withColumn("reason", none)
+    if timelines is None:
+        return counts
+    seen = timelines.agg(F.count("*").alias("folders"), F.coalesce(F.sum("n_entries"), F.lit(0)).alias("entries"))  # one row
+    why = F.when(F.col("folders") == 0, "no folders with timeline").when(F.col("entries") == 0, "no export responses in timelines").otherwise("entries found but all skipped (clip or export id missing)")
+    total = results.agg(F.count("*").alias("total")).withColumn("k", F.lit(1))
+    skipped = seen.withColumn("k", F.lit(1)).join(F.broadcast(total), "k").filter("total = 0").select(F.lit("none").alias("outcome"), F.lit(0).cast("bigint").alias("n"), why.alias("reason"))
+    return counts.unionByName(skipped)
 
 
 def link_check_plan(files: DataFrame, folders: int = 20, most: int = 120) -> DataFrame:
@@ -95,6 +137,16 @@ def canceled_summary() -> Column:
     return F.lit("Title: Canceled event: max event length exceeded\nDescription: Event exceeded max_event_length_seconds; AI analysis skipped.")
 
 
-def metadata_row(event: Column, camera: Column, label: Column, created: Column, end: Column, threat: Column, severity: Column, title: Column, phase: Column) -> Column:
-    """An event's metadata as JSON; missing values are left out."""
-    return F.to_json(F.struct(event.alias("event_id"), camera.alias("camera"), label.alias("label"), created.alias("created_at"), end.alias("end_time"), threat.alias("threat_level"), severity.alias("severity"), title.alias("genai_title"), phase.alias("phase")))
+#: Fields of an event's metadata file. Fixed values.
+METADATA = ("event_id", "camera", "label", "created_at", "end_time", "threat_level", "severity", "genai_title", "genai_description", "genai_scene", "phase")
+
+
+def metadata_row(fields: Mapping[str, Column]) -> Column:
+    """An event's metadata as JSON with all eleven fields; missing values are null."""
+    return F.to_json(F.struct(*(fields.get(k, F.lit(None).cast("string")).alias(k) for k in METADATA)), {"ignoreNullFields": "false"})
+
+
+def incident_metadata_row(fields: Mapping[str, Column]) -> Column:
+    """The same for an incident: its severity and phase are fixed, absent values have defaults."""
+    given = {"camera": F.lit("events"), "label": F.lit("unknown"), "created_at": F.lit(0), "threat_level": F.lit(0), "genai_scene": F.lit("")} | dict(fields)
+    return metadata_row(given | {"severity": F.lit("detection"), "phase": F.lit("finalized")})

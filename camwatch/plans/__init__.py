@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from camwatch.plans import event_queries, scalar_queries, video_queries  # noqa: F401
+    from camwatch.plans import event_queries, scalar_queries, store_queries, video_queries  # noqa: F401
 
 
 def all_queries() -> dict:

@@ -37,8 +37,8 @@ status = lambda: F.element_at(F.array(*[F.lit(s) for s, *_ in P.GATE]), C("k") %
 STATUS = "(['new','snapshot_ready','described','discarded','canceled','finalized','clip_ready','summarized','overflow'][k % 9 + 1])"
 TITLE = "(upper(label[1]) || label[2:] || ' detected at Cam ' || camera[5:])"
 
-over("f1_sanitize_camera", "documents", "doc_id", lambda: {"camera": S.sanitize_camera(F.concat_ws(" ", C("source"), F.lit("Ü-"), C("lang"), F.substring("text", 1, 12)))},
-     "coalesce(nullif(regexp_replace(replace(lower(source || ' Ü- ' || lang || ' ' || text[1:12]), ' ', '_'), '[^a-z0-9_]', '', 'g'), ''), 'unknown') as camera")
+over("f1_sanitize_camera", "documents", "doc_id", lambda: {"camera": S.sanitize_camera(F.concat_ws(" ", C("source"), F.lit("Ü-"), C("lang"), C("text")))},
+     "coalesce(nullif(regexp_replace(replace(lower(source || ' Ü- ' || lang || ' ' || text), ' ', '_'), '[^a-z0-9_]', '', 'g'), ''), 'unknown') as camera")
 over_feed("f2_normalize_sub_label", lambda: {"sub_label": S.normalize_sub_label(F.when(C("k") % 4 == 0, F.concat(F.lit('"  Name_'), C("k").cast("string"), F.lit(' "'))).when(C("k") % 4 == 1, F.lit('["cat", 0.9]')).when(C("k") % 4 == 2, F.lit('""')))},
      "case when k % 4 = 0 then 'Name_' || k when k % 4 = 1 then 'cat' end as sub_label")
 
@@ -63,6 +63,10 @@ over_feed("f5_cancel_names", lambda: {"plain": S.strip_canceled(folder()), "canc
 summary = lambda: F.concat(F.lit("Title: one\nNote without value\nDescription: a: b "), C("label"), F.lit("\nTitle:  two "), C("k").cast("string"), F.lit(" \n"))
 over_feed("f6_parse_summary", lambda: {"title": S.summary_field(summary(), "Title"), "description": S.parse_summary(summary())["Description"], "none": S.summary_field(summary(), "Scene")},
      "'two ' || k as title, 'a: b ' || label as description, cast(null as varchar) as none")
+META = lambda: F.when(C("k") % 3 == 0, F.to_json(F.struct(F.when(C("k") % 2 == 0, "M").otherwise("").alias("genai_title"), F.lit("MD").alias("genai_description"), C("label")))).when(C("k") % 3 == 1, "")
+PARSED = lambda: S.parse_summary(F.concat(F.lit("Title: P\nDescription:\nAI Description: A"), F.when(C("k") % 5 == 0, "\nLabel: L").otherwise("")))
+over_feed("f7_event_title", lambda: {"title": S.event_title(META(), PARSED()), "description": S.event_description(META(), PARSED()), "named": S.event_label(META(), PARSED())},
+     "case when k % 6 = 0 then 'M' else 'P' end as title, case when k % 3 = 0 then 'MD' else 'A' end as description, case when k % 3 = 0 then label when k % 5 = 0 then 'L' else 'unknown' end as named")
 over_feed("f7_first_truthy", lambda: {"title": S.first_truthy(F.when(C("k") % 3 == 0, "").when(C("k") % 3 == 1, C("label")), C("camera"), F.lit("x"))}, "case when k % 3 = 1 then label else camera end as title")
 over("f8_format_size", "documents", "doc_id", lambda: {"size": S.format_size(C("n_chars") * C("doc_id") * 1024 - 1)},
      "case when n_chars * doc_id * 1024 - 1 <= 0 then '0 KB' when n_chars * doc_id * 1024 - 1 < 1048576 then printf('%.2f', (n_chars * doc_id * 1024 - 1) / 1024.0::double) || ' KB' when n_chars * doc_id * 1024 - 1 < 1073741824 then printf('%.2f', (n_chars * doc_id * 1024 - 1) / 1048576.0::double) || ' MB' else printf('%.2f', (n_chars * doc_id * 1024 - 1) / 1073741824.0::double) || ' GB' end as size")
@@ -86,15 +90,32 @@ over_feed("f16_format_duration", lambda: {"d": S.format_duration(F.when(C("k") %
      "case when k % 10 = 0 or k % 10 = 1 then '—' when floor(value * k) >= 3600 then cast(floor(value * k) as bigint) // 3600 || 'h ' || cast(floor(value * k) as bigint) % 3600 // 60 || 'm ' || cast(floor(value * k) as bigint) % 60 || 's' when floor(value * k) >= 60 then cast(floor(value * k) as bigint) // 60 || 'm ' || cast(floor(value * k) as bigint) % 60 || 's' else cast(floor(value * k) as bigint) || 's' end as d")
 over_feed("f17_threat_name", lambda: {"name": S.threat_name(C("k") % 4), "critical": S.is_critical(C("k") % 4)}, "['Normal','Suspicious','Critical','Unknown'][k % 4 + 1] as name, k % 4 >= 2 as critical")
 over_feed("f18_push_priority", lambda: {"priority": S.push_priority(status(), C("threat"))}, f"case when {STATUS} = 'snapshot_ready' then case when threat >= 2 then 1 else 0 end else -1 end as priority")
+SHOTS = lambda: F.array(F.struct(F.lit("cam_b").alias("camera"), F.when(C("k") % 2 == 0, "b.mp4").alias("clip"), (C("k") % 3 == 0).alias("snapshot")), F.struct(F.lit("cam_a").alias("camera"), F.when(C("k") % 4 < 2, "a.mp4").alias("clip"), (C("k") % 9 == 0).alias("snapshot")))
+MEDIA = lambda: S.media_urls(C("event_id").cast("string"), SHOTS(), C("viewed"))
+over_feed("f19_media_urls", lambda: {"clip": MEDIA()["hosted_clip"], "snapshot": MEDIA()["hosted_snapshot"], "clips": F.array_join(F.transform(MEDIA()["hosted_clips"], lambda c: F.concat_ws("=", c["camera"], c["url"])), ";"), "has_clip": MEDIA()["has_clip"], "has_snapshot": MEDIA()["has_snapshot"]},
+     """case when viewed then '/files/events/' || event_id || '/' || event_id || '_summary.mp4' when k % 4 < 2 then '/files/events/' || event_id || '/cam_a/a.mp4' when k % 2 = 0 then '/files/events/' || event_id || '/cam_b/b.mp4' end as clip,
+        '/files/events/' || event_id || case when k % 9 > 0 and k % 3 = 0 then '/cam_b' else '/cam_a' end || '/snapshot.jpg' as snapshot,
+        concat_ws(';', case when k % 4 < 2 then 'cam_a=/files/events/' || event_id || '/cam_a/a.mp4' end, case when k % 2 = 0 then 'cam_b=/files/events/' || event_id || '/cam_b/b.mp4' end, case when viewed then 'Summary video=/files/events/' || event_id || '/' || event_id || '_summary.mp4' end) as clips,
+        viewed or k % 4 < 2 or k % 2 = 0 as has_clip, k % 3 = 0 as has_snapshot""")
 over_feed("f19_clip_url", lambda: {"url": S.clip_url(folder(), C("camera"), F.when(C("ended"), "clip.mp4"))}, f"case when ended then '/files/events/' || {FOLDER} || '/' || camera || '/clip.mp4' end as url")
 over_feed("f20_player_url", lambda: {"url": S.player_url("http://h/", F.when(C("k") % 2 == 0, folder()), C("camera"), F.when(C("k") % 3 == 0, C("event_id").cast("string"))), "link": S.deep_link(S.incident_id_from_tag(F.concat(F.lit("incident_"), C("event_id").cast("string"))))},
      f"case when k % 2 = 0 then 'http://h/player?camera=events&subdir=' || {FOLDER} when k % 3 = 0 then 'http://h/player?camera=' || camera || '&subdir=' || event_id else 'http://h/player?camera=' || camera end as url, 'buffer://event_detail/' || event_id as link")
-over_feed("f21_provider_payloads", lambda: {
-        "mobile_title": F.get_json_object(N.mobile_payload(status(), C("event_id").cast("string"), C("camera"), C("label"), C("threat"), F.lit("")), "$.title"),
-        "mobile_frame": F.get_json_object(N.mobile_payload(status(), C("event_id").cast("string"), C("camera"), C("label"), C("threat"), F.lit("")), "$.live_frame_proxy"),
-        "hub_critical": F.get_json_object(N.hub_payload(status(), C("event_id"), C("camera"), C("label"), C("threat"), F.lit("t")), "$.critical"),
-        "push_priority": F.get_json_object(N.push_payload(status(), F.lit(""), C("camera"), C("event_id").cast("string"), C("label"), C("threat"), C("start_us")), "$.priority"),
-    }, f"{TITLE} as mobile_title, case when k % 9 = 0 then '/api/cameras/' || camera || '/latest.jpg' else '' end as mobile_frame, case when threat >= 2 then 'true' else 'false' end as hub_critical, cast(case when k % 9 = 1 then case when threat >= 2 then 1 else 0 end else -1 end as varchar) as push_priority")
+def notice() -> dict[str, Column]:
+    """A notification's fields."""
+    none, when = F.lit(None).cast("string"), lambda n, v: F.when(C("k") % n == 0, v)
+    return {
+        "status": status(), "incident_id": C("event_id").cast("string"), "event_id": C("event_id"), "camera": C("camera"), "label": C("label"), "threat": C("threat"), "message": when(2, F.lit(" Hello ")), "description": when(3, F.lit("D")), "folder": when(5, F.lit("events/x")),
+        "live_frame": none, "snapshot": none, "gif": when(4, F.lit("g.gif")), "clip": when(6, F.lit("c.mp4")), "phase": none, "image": F.lit("i"), "video": when(7, F.lit("v")), "player": F.lit("p"), "tag": F.lit("t"), "clear_tag": when(8, F.lit("old")), "created_s": F.expr("start_us div 1000000"),
+    }
+
+
+over_feed("f21_provider_payloads", lambda: {"mobile": N.mobile_payload(notice()), "hub": N.hub_payload(notice()), "push": N.push_payload(notice())},
+     f"""'{{"ce_id":"' || event_id || '","phase":"' || upper({STATUS}) || '","clear_notification":"' || case when k % 9 = 3 then 'true' else 'false' end || '","threat_level":"' || threat || '","camera":"' || camera || '","live_frame_proxy":"' || case when k % 9 = 0 then '/api/cameras/' || camera || '/latest.jpg' else '' end
+            || '","hosted_snapshot":"' || case when k % 5 = 0 and k % 9 in (1, 5, 6, 7) then '/files/events/x/snapshot_cropped.jpg' else '' end || '","notification_gif":"' || case when k % 4 = 0 then 'g.gif' else '' end || '","title":"' || {TITLE} || '","description":"' || case when k % 3 = 0 then 'D' when k % 2 = 0 then 'Hello' else {TITLE} end
+            || '","message":"' || case when k % 2 = 0 then 'Hello' else {TITLE} end || '","hosted_clip":"' || case when k % 6 = 0 then 'c.mp4' else '' end || '","deep_link":"buffer://event_detail/' || event_id || '"}}' as mobile,
+        '{{"event_id":' || event_id || ',"status":"' || {STATUS} || '","phase":"NEW","camera":"' || camera || '","label":"' || label || '","title":"' || {TITLE} || '"' || case when k % 2 = 0 then ',"message":" Hello "' else '' end || ',"image_url":"i"' || case when k % 7 = 0 then ',"video_url":"v"' else '' end || ',"player_url":"p","tag":"t","timestamp":' || start_us // 1000000
+            || ',"threat_level":' || threat || ',"critical":' || case when threat >= 2 then 'true' else 'false' end || case when k % 8 = 0 then ',"clear_tag":"old"' else '' end || '}}' as hub,
+        '{{"title":"' || {TITLE} || '"' || case when k % 2 = 0 then ',"message":" Hello "' else '' end || ',"url":"' || case when k % 5 = 0 then '/player?camera=events&subdir=events/x' else '/player?camera=' || camera || '&subdir=' || event_id end || '","url_title":"View in Event Viewer","html":1,"priority":' || case when k % 9 = 1 then case when threat >= 2 then 1 else 0 end else -1 end || ',"timestamp":' || start_us // 1000000 || '}}' as push""")
 over_feed("f22_fill_template", lambda: {"text": S.fill_template(F.lit("{a} on {b}: {a}"), a=C("label"), b=C("camera"))}, "label || ' on ' || camera || ': ' || label as text")
 over("f23_redact_url", "pages", "page_id", lambda: {"safe": S.redact_url(F.concat(F.lit("https://user:se"), C("page_id").cast("string"), F.lit("@"), F.split("url", "://")[1])), "plain": S.redact_url(C("url"))}, "'https://user:***@' || split_part(url, '://', 2) as safe, url as plain")
 
@@ -106,7 +127,9 @@ def over_boxes(name: str, columns: Callable[[], dict[str, Column]], sql: str) ->
 
 
 over_boxes("f24_detection_geometry", lambda: {k: S.detection_geometry(C("x1"), C("y1"), C("x2"), C("y2"))[k] for k in ("cx", "cy", "area")}, "(x1 + x2) / 2.0::double as cx, (y1 + y2) / 2.0::double as cy, cast((x2 - x1) * (y2 - y1) as bigint) as area")
-over_boxes("f25_scale_detections", lambda: {"x": F.round(C("x1") * S.scale_factor(C("t") % 4 * 640, F.lit(1280)), 6)}, "round(x1 * case when t % 4 > 0 then t % 4 * 640 / 1280.0::double else 1.0 end, 6) as x")
+SCALED = lambda: S.scale_detections(C("x1"), C("y1"), C("x2"), C("y2"), (C("x1") + C("x2")) / 2.0, (C("y1") + C("y2")) / 2.0, C("area"), (F.lit(1280), F.lit(640)), (C("t") % 4 * 640, F.lit(1600)))
+over_boxes("f25_scale_detections", lambda: {k: SCALED()[k] if k == "area" else F.round(SCALED()[k], 6) for k in ("x1", "y1", "x2", "y2", "cx", "cy", "area")},
+     "round(x1 * fx, 6) as x1, round(y1 * fy, 6) as y1, round(x2 * fx, 6) as x2, round(y2 * fy, 6) as y2, round((x1 + x2) / 2.0::double * fx, 6) as cx, round((y1 + y2) / 2.0::double * fy, 6) as cy, cast(trunc(area * (fx * fy)) as bigint) as area from (select *, case when t % 4 > 0 then t % 4 * 640 / 1280.0::double else 1.0::double end as fx, case when t % 4 > 0 then 2.5::double else 1.0::double end as fy from sidecar) --")
 over_boxes("f26_crop_rect", lambda: {k: S.crop_rect_around((C("x1") + C("x2")) / 2.0, (C("y1") + C("y2")) / 2.0, F.lit(1920), F.lit(1080), F.lit(960), F.lit(540))[k] for k in ("x", "y", "w", "h")},
      "greatest(0, least(cast(trunc((x1 + x2) / 2.0::double - 480) as integer), 960)) as x, greatest(0, least(cast(trunc((y1 + y2) / 2.0::double - 270) as integer), 540)) as y, 960 as w, 540 as h")
 over_boxes("f27_padded_rect", lambda: {k: S.padded_rect(C("x1"), C("y1"), C("x2"), C("y2"), F.lit(1280), F.lit(720))[k] for k in ("x1", "y1", "x2", "y2")},
@@ -142,5 +165,10 @@ over_feed("s_incident_summary", lambda: {"text": R.incident_summary(C("event_id"
      "concat_ws(chr(10), 'Event ID: ' || event_id, 'Camera: events (consolidated)', 'Label: ' || label, 'Timestamp: ' || strftime(make_timestamp(start_us), '%Y-%m-%d %I:%M:%S %p'), 'Phase: finalized', '', 'Title: T', case when threat > 0 then 'Threat Level: ' || threat || ' (' || ['Suspicious', 'Critical'][threat] || ')' end, '', 'Review Summary: See review_summary.md') as text")
 over_feed("s_canceled_summary", lambda: {"text": F.when(P.classify_duration(C("start_us"), C("end_us")) == "canceled", R.canceled_summary())},
      "case when end_us - start_us >= 120000000 then 'Title: Canceled event: max event length exceeded' || chr(10) || 'Description: Event exceeded max_event_length_seconds; AI analysis skipped.' end as text")
-over_feed("s_metadata_rows", lambda: {"meta": R.metadata_row(C("event_id"), C("camera"), C("label"), C("start_us"), F.when(C("ended"), C("end_us")), C("threat"), F.lit("detection"), F.lit("T"), F.lit("finalized"))},
-     """'{"event_id":' || event_id || ',"camera":"' || camera || '","label":"' || label || '","created_at":' || start_us || case when ended then ',"end_time":' || end_us else '' end || ',"threat_level":' || threat || ',"severity":"detection","genai_title":"T","phase":"finalized"}' as meta""")
+def metadata_fields() -> dict[str, Column]:
+    return {"event_id": C("event_id"), "camera": C("camera"), "label": C("label"), "created_at": C("start_us"), "end_time": F.when(C("ended"), C("end_us")), "threat_level": C("threat"), "severity": F.lit("alert"), "genai_title": F.lit("T"), "genai_scene": F.when(C("k") % 2 == 0, "S"), "phase": F.lit("NEW")}
+
+
+over_feed("s_metadata_rows", lambda: {"meta": R.metadata_row(metadata_fields()), "incident": R.incident_metadata_row({"event_id": C("event_id"), "genai_title": F.lit("T"), "genai_description": F.lit("D"), "threat_level": C("threat")})},
+     """'{"event_id":' || event_id || ',"camera":"' || camera || '","label":"' || label || '","created_at":' || start_us || ',"end_time":' || case when ended then cast(end_us as varchar) else 'null' end || ',"threat_level":' || threat || ',"severity":"alert","genai_title":"T","genai_description":null,"genai_scene":' || case when k % 2 = 0 then '"S"' else 'null' end || ',"phase":"NEW"}' as meta,
+        '{"event_id":' || event_id || ',"camera":"events","label":"unknown","created_at":0,"end_time":null,"threat_level":' || threat || ',"severity":"detection","genai_title":"T","genai_description":"D","genai_scene":"","phase":"finalized"}' as incident""")

@@ -1,4 +1,4 @@
-"""Queries over sampled detections: camera timeline, crop path, key frames; and the composite entry points."""
+"""Queries over sampled detections: camera timeline and crop path; and the retention plan."""
 
 from __future__ import annotations
 
@@ -7,14 +7,10 @@ from pyspark.sql import functions as F
 
 from camwatch.operators import croppath as K
 from camwatch.operators import filters as P
-from camwatch.operators import incidents as I
 from camwatch.operators import joins as J
-from camwatch.operators import notify as N
-from camwatch.operators import reports as R
-from camwatch.operators import store as T
 from camwatch.operators import timeline as L
 from camwatch.plans import feed as D
-from camwatch.plans.event_queries import INCIDENTS, KIND, NOW, members
+from camwatch.plans.event_queries import NOW
 from camwatch.plans.registry import query
 
 C = F.col
@@ -239,79 +235,13 @@ def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sidecars_with_fallback(want, have).select("incident_id", "camera", "native_width", "missing")
 
 
-@query("q2_event_listing", f"""{D.with_('feed')}, {INCIDENTS.format(gap=900, src='feed')}, m as (select *, {KIND} as kind from inc),
-    i as (select incident_id, min(start_us) // 1000000 as ts, bool_or(ended) as ended, bool_and(viewed) as viewed, max(threat) as threat, string_agg(distinct label, ', ' order by label) as label from m group by 1)
-    select incident_id, ts, label, threat, not ended and {NOW} - ts < 5400 as ongoing from i where not viewed""")
-def q2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = members(spark, sf_dir)
-    i = m.groupBy("incident_id").agg(F.expr("min(start_us) div 1000000").alias("ts"), F.bool_or("ended").alias("ended"), F.bool_and("viewed").alias("viewed"), F.max("threat").alias("threat"), F.array_join(F.array_sort(F.collect_set("label")), ", ").alias("label"))
-    rows = P.filter_review_state(i.withColumns({"saved": F.lit(False), "test_run": F.lit(False)}))
-    return T.list_events(rows.withColumn("event_id", C("incident_id"))).select("incident_id", "ts", "label", "threat", P.is_ongoing(C("ts"), F.lit(False), C("ended"), NOW).alias("ongoing"))
-
-
-@query("q3_statistics", f"{D.with_('feed')}, {INCIDENTS.format(gap=900, src='feed')} select camera, count(distinct incident_id) as n, (select count(*) from feed where not viewed) as unreviewed from inc group by 1")
-def q3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = D.feed(spark, sf_dir)
-    by = T.events_by_camera(I.assign_incidents(f, 900).groupBy("incident_id").agg(F.collect_set("camera").alias("cameras")))
-    counts = T.event_period_counts(f.withColumn("ts", F.expr("start_us div 1000000")), NOW).select("unreviewed", F.lit(1).alias("k"))  # one row
-    return by.withColumn("k", F.lit(1)).join(F.broadcast(counts), "k").drop("k")
-
-
-@query("q4_status", f"{D.with_('feed')}, {INCIDENTS.format(gap=900, src='feed')}, s as (select incident_id, max(start_us) // 1000000 as last from inc group by 1) select case when last >= {NOW} - 120 then 'active' when last >= {NOW} - 3600 then 'closing' else 'closed' end as state, count(*) as n from s where last < {NOW} group by 1")
-def q4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = members(spark, sf_dir).groupBy("incident_id").agg(F.expr("max(start_us) div 1000000").alias("last")).filter(C("last") < NOW)
-    return s.groupBy(F.when(C("last") >= NOW - 120, "active").when(C("last") >= NOW - 3600, "closing").otherwise("closed").alias("state")).agg(F.count("*").alias("n"))
-
-
 @query("q6_crop_path")
 def q6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.resample_path(K.crop_path(crops(spark, sf_dir)), 2)
 
 
-@query("q7_key_frames", f"{D.with_('sidecar', recursive=True)}, {SLICES}, f as (select incident_id, camera, start_sec as t from plan), c as (select *, row_number() over (partition by incident_id order by t, camera) as seq, count(*) over (partition by incident_id) as total from f) select incident_id, camera, t, cast(seq as integer) as seq, least(total, 10) as total from c where seq <= 10")
-def q7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = q5(spark, sf_dir).select("incident_id", "camera", C("start_sec").alias("t"), F.lit(True).alias("has_image"))
-    return L.frame_manifest(L.cap_frames(f, 10)).select("incident_id", "camera", "t", "seq", "total")
-
-
-@query("q8_daily_report", f"{D.with_('feed')}, l as (select strftime(make_timestamp(start_us), '%Y-%m-%d') as d, start_us // 1000000 as ts, '[' || strftime(make_timestamp(start_us), '%I:%M %p') || '] ' || label || ': ' || camera || ' (Threat: ' || threat || ')' as line from feed where threat = 2) select d as report_date, '# Report ' || d || ' (' || count(*) || ')' || chr(10) || string_agg(line, chr(10) order by ts, line) as report from l group by 1")
-def q8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from camwatch.functions.scalars import fill_template
-
-    rows = R.report_lines(D.feed(spark, sf_dir).filter("threat = 2").select(F.expr("start_us div 1000000").alias("ts"), C("label").alias("title"), C("camera").alias("summary"), "threat"))
-    return rows.select(C("report_date").cast("string").alias("report_date"), fill_template(F.lit("# Report {date} ({n})\n{list}"), date=C("report_date"), n=C("n"), list=C("lines")).alias("report"))
-
-
 @query("q9_retention_plan", f"{D.with_('feed')} select start_us // 1000000 || '_' || event_id as name from feed where start_us // 1000000 < {NOW} - 3 * 86400 and ended")
 def q9(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = D.feed(spark, sf_dir)
     inv = f.select(F.concat(F.expr("start_us div 1000000").cast("string"), F.lit("_"), C("event_id").cast("string")).alias("name"), F.lit(0).alias("mtime"))
     return P.retention_candidates(inv, f.filter("not ended").select(C("event_id").cast("string")), NOW, 3).select("name")
-
-
-@query("q10_export_audit", f"{D.with_('feed')}, e as (select event_id // 3 as export_id, event_id, k, row_number() over (partition by event_id // 3 order by start_us, event_id) as n from feed where k % 2 = 0) select case when k % 5 < 2 then 'success' when k % 5 < 4 then 'already_gone' else 'failure' end as outcome, count(*) as n from e where n = 1 group by 1")
-def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = D.feed(spark, sf_dir)
-    t = f.select(C("event_id").alias("entry_id"), F.when(C("k") % 2 == 0, "api").otherwise("x").alias("source"), F.lit("in").alias("direction"), F.lit("Clip export response").alias("label"), F.expr("event_id div 3").alias("export_id"), C("start_us").alias("ts"), "k").withColumn("clip", C("export_id").cast("string"))
-    first = J.exports_with_clip(t, f.select(C("event_id").cast("string").alias("path")), "Clip export response")
-    return R.outcome_summary(first.select(F.element_at(F.array(*[F.lit(x) for x in (200, 204, 404, 422, 500)]), C("k") % 5 + 1).alias("code")))
-
-
-@query("q11_notification_plan")
-def q11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = D.feed(spark, sf_dir).withColumn("status", F.element_at(F.array(*[F.lit(s) for s, *_ in P.GATE]), C("k") % 9 + 1))
-    ok = f.filter(P.notification_gate(C("status"), True))
-    targets = ok.select(C("event_id").alias("target_id"), C("start_us").alias("ts_us"), F.array("camera").alias("cameras"), "site_id", "status")
-    kept = J.suppress_snoozed(targets, D.snoozes(spark, sf_dir), "snooze_notifications").filter("not suppressed")
-    return N.rate_limit(kept.select("site_id", "ts_us", C("target_id").alias("request_id"), "status")).select("request_id", "status", "outcome", "sent_us")
-
-
-@query("q12_event_timeline_page", f"{D.with_('feed')}, t as (select event_id // 4 as incident, event_id, case when k % 4 > 0 then cast(start_us as varchar) end as ts, 0 as part from feed where k % 3 = 0 union all select event_id // 4, event_id, case when k % 4 > 0 then cast(start_us as varchar) end, 1 from feed where k % 3 > 0) select incident, event_id, row_number() over (partition by incident order by coalesce(ts, '') desc, part, event_id) as place from t")
-def q12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    f = D.feed(spark, sf_dir).select(F.expr("event_id div 4").alias("incident"), "event_id", F.when(C("k") % 4 > 0, C("start_us").cast("string")).alias("ts"), "k")
-    both = T.union_timeline_parts(f.filter("k % 3 = 0"), f.filter("k % 3 > 0"))
-    return both.select("incident", "event_id", F.row_number().over(W.partitionBy("incident").orderBy(F.desc(F.coalesce("ts", F.lit(""))), "part", "event_id")).alias("place"))
-
-
