@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 CELL = 3600
 
 
-def nearest_rows(left: DataFrame, right: DataFrame, by: list[str], time: str, kinds: dict[str, Column], cell: float = CELL) -> DataFrame:
+def nearest_rows(left: DataFrame, right: DataFrame, by: list[str], time: str, kinds: dict[str, Column], cell: float = CELL, ahead: bool = True) -> DataFrame:
     """``left`` with a struct (``rt`` and the other columns) for each kind: the nearest right row of that kind, the earlier on ties.
 
     ``kinds`` maps a result's name to a condition on right rows. One shuffle of the
@@ -20,7 +20,8 @@ def nearest_rows(left: DataFrame, right: DataFrame, by: list[str], time: str, ki
     by windows that look back. One row for each key and cell carries the last right row
     of earlier cells, and the first of later ones, into cells that have none. Of right
     rows that tie on key and time the least in the order of their columns counts. Rows
-    without a time, or with a null key, match nothing.
+    without a time, or with a null key, match nothing. With ``ahead`` off only rows at or
+    before a left row's time count.
     """
     rest = [c for c in right.columns if c not in (*by, time)]
     own = [c for c in left.columns if c not in by]
@@ -32,15 +33,18 @@ def nearest_rows(left: DataFrame, right: DataFrame, by: list[str], time: str, ki
     both = both.withColumn("__cell", F.floor(F.col("__t") / cell))
     within = W.partitionBy(*by, "__cell")
     back = {n: F.last(n, ignorenulls=True).over(within.orderBy("__t", F.col("__l").isNotNull()).rowsBetween(W.unboundedPreceding, 0)) for n in names}
-    ahead = {n: F.last(n, ignorenulls=True).over(within.orderBy(F.desc("__t"), F.col("__l").isNotNull()).rowsBetween(W.unboundedPreceding, 0)) for n in names}
-    j = both.withColumns({f"{n}b": c for n, c in back.items()} | {f"{n}a": c for n, c in ahead.items()}).filter("__l is not null")
+    onward = {n: F.last(n, ignorenulls=True).over(within.orderBy(F.desc("__t"), F.col("__l").isNotNull()).rowsBetween(W.unboundedPreceding, 0)) for n in names}
+    j = both.withColumns({f"{n}b": c for n, c in back.items()} | {f"{n}a": c for n, c in onward.items() if ahead}).filter("__l is not null")
     at = {n: F.when(F.col(n).isNotNull(), F.col("__t")) for n in names}
     cells = both.groupBy(*by, "__cell").agg(*(f(n, at[n]).alias(f"{n}{x}") for n in names for x, f in (("first", F.min_by), ("last", F.max_by))))
     up, down = (W.partitionBy(*by).orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in (F.col("__cell"), F.desc("__cell")))
-    carried = cells.select(*by, "__cell", *(F.last(f"{n}last", ignorenulls=True).over(up).alias(f"{n}_lo") for n in names), *(F.last(f"{n}first", ignorenulls=True).over(down).alias(f"{n}_hi") for n in names))
+    carried = cells.select(*by, "__cell", *(F.last(f"{n}last", ignorenulls=True).over(up).alias(f"{n}_lo") for n in names), *(F.last(f"{n}first", ignorenulls=True).over(down).alias(f"{n}_hi") for n in names if ahead))
     j = j.join(carried, [*by, "__cell"], "left")
     out = {}
     for n, name in zip(names, kinds, strict=True):
+        if not ahead:
+            out[name] = F.coalesce(f"{n}b", f"{n}_lo")
+            continue
         b, a = F.coalesce(f"{n}b", f"{n}_lo"), F.coalesce(f"{n}a", f"{n}_hi")
         earlier = b.isNotNull() & (a.isNull() | (F.col("__t") - b["rt"] <= a["rt"] - F.col("__t")))
         out[name] = F.when(earlier, b).otherwise(a)
@@ -95,19 +99,18 @@ def exports_with_clip(timeline: DataFrame, files: DataFrame, label: str) -> Data
     return first_per_key(rows.join(files.select(F.col("path").alias("clip")).distinct(), "clip", "left_semi"), ["export_id"], F.col("ts"), F.col("entry_id"))
 
 
-def suppress_snoozed(targets: DataFrame, snoozes: DataFrame, flag: str) -> DataFrame:
+def suppress_snoozed(targets: DataFrame, snoozes: DataFrame, flag: str, cell_s: int = 86_400) -> DataFrame:
     """``suppressed``: every camera of the target is snoozed at its time.
 
     ``targets``: target_id, ts_us, cameras. A snooze holds from being set until it
     expires (exclusive) or the camera's next one is set. A target without cameras is
-    never suppressed. Each camera's snoozes and asking times meet in one window.
+    never suppressed. Asking times and snoozes meet by camera and day, so that no
+    camera is one task.
     """
     asks = targets.select("target_id", F.col("ts_us").alias("at"), F.explode(F.array_distinct("cameras")).alias("camera"))
     marks = snoozes.groupBy("camera", F.col("set_us").alias("at")).agg(F.max(F.struct("expiration_us", flag)).alias("s"))
-    both = asks.unionByName(marks, allowMissingColumns=True)
-    w = W.partitionBy("camera").orderBy("at", F.col("target_id").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
-    now = both.withColumn("held", F.last("s", ignorenulls=True).over(w)).filter("target_id is not null")
-    state = now.groupBy("target_id").agg(F.bool_and(F.coalesce((F.col("held.expiration_us") > F.col("at")) & F.col(f"held.{flag}"), F.lit(False))).alias("suppressed"))
+    now = nearest_rows(asks, marks, ["camera"], "at", {"held": F.lit(True)}, cell_s * 1_000_000, ahead=False)
+    state = now.groupBy("target_id").agg(F.bool_and(F.coalesce((F.col("held.s.expiration_us") > F.col("at")) & F.col(f"held.s.{flag}"), F.lit(False))).alias("suppressed"))
     return targets.join(state, "target_id", "left").withColumn("suppressed", F.coalesce("suppressed", F.lit(False)))
 
 

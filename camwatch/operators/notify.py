@@ -18,13 +18,16 @@ from camwatch.operators.incidents import assign_incidents
 def clear_previous_tag(sent: DataFrame, by: str = "site_id") -> DataFrame:
     """``clear_tag``: the tag of the previous successful notification if it is the same and no event ended in between.
 
-    ``sent``: site, ts_us, id, tag (null for an end marker), ok.
+    ``sent``: site, ts_us, id, tag (null for an end marker), ok. Of successful ones and
+    end markers only the row just before counts: within a day by a lag, for a day's
+    first row the last row of the days before, which is one row for each site and day.
     """
-    w = W.partitionBy(by).orderBy("ts_us", "id")
-    ends = F.sum(F.col("tag").isNull().cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))
-    rows = sent.withColumn("__ends", ends).filter("tag is not null and ok")
-    prev, at = F.lag("tag").over(w), F.lag("__ends").over(w)
-    return rows.withColumn("clear_tag", F.when((prev == F.col("tag")) & (at == F.col("__ends")), prev)).drop("__ends")
+    rows = sent.filter("tag is null or ok").withColumn("__day", F.floor(F.col("ts_us") / 86_400_000_000))
+    before = F.lag(F.struct("tag")).over(W.partitionBy(by, "__day").orderBy("ts_us", "id"))
+    days = rows.groupBy(by, "__day").agg(F.max_by(F.struct("tag"), F.struct("ts_us", "id")).alias("last"))
+    days = days.select(by, "__day", F.lag("last").over(W.partitionBy(by).orderBy("__day")).alias("__earlier"))
+    both = rows.withColumn("__before", before).join(days, [by, "__day"]).withColumn("__before", F.coalesce("__before", "__earlier")["tag"])
+    return both.filter("tag is not null").withColumn("clear_tag", F.when(F.col("__before") == F.col("tag"), F.col("tag"))).drop("__day", "__before", "__earlier")
 
 
 def rolling_frame_cap(requests: DataFrame, cap: int = 200, window_s: int = 3600, by: str = "site_id") -> DataFrame:
