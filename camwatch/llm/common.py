@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import functools
-import gc
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Callable
 
@@ -16,11 +15,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (tests, a laptop), a temporary folder is made and
-    kept for the application.
+    Where none is named, a session whose executors run inside the driver (tests, a
+    laptop) gets a temporary folder, kept for the application; a cluster must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
@@ -37,21 +38,36 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/camwatch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path for files that ``scoped`` deletes once the result of the function around it is written."""
+    path = scratch(spark, name)
+    _WRITTEN.append(path)
+    return path
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage, survives the loss of any executor, and gives the
-    planner real sizes for what follows.
+    planner real sizes for what follows. Spark deletes the shuffle files of the write
+    when it ends: nothing reads them again.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before) if before is not None else spark.conf.unset(CLEAN_UP)
     _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path  # for drop()
     return out
 
 
+#: Spark's setting for deleting a query's shuffle files when the query ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables that ``table`` wrote and ``scoped`` may delete.
 _WRITTEN: list[str] = []
 
@@ -66,7 +82,6 @@ def scoped(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         for path in _WRITTEN[before:-1]:
             delete_path(out.sparkSession, path)
         del _WRITTEN[before:-1]
-        release(out)
         return out
 
     return run
@@ -77,13 +92,6 @@ def drop(df: DataFrame) -> None:
     delete_path(df.sparkSession, df.scratch_path)
 
 
-def release(df: DataFrame) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished steps: it acts, beside us, when the driver collects garbage."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    time.sleep(0.5)
-
-
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path of ours."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

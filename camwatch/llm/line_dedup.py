@@ -1,136 +1,172 @@
 """Line dedup: an exact set-similarity join of lines, in DataFrame functions only.
 
-A line is its set of lower-cased words between spaces. The words are ordered by rarity: by how often the corpus
-has words of their hash bucket, counted over all documents (a fixed number of buckets,
-so the table of counts is small at any size), then by hash. Two lines whose Jaccard
-similarity is high enough share a word among their rarest ones (prefix filter); where
-the shared word stands in both and how long both are bounds what they can still share
-(positional and length filters). What is left is verified on the whole sets. A line
-goes if an earlier line of the corpus (by document, then place) has the same set or
-one similar enough.
-
-Parity bits of the sets (their differing bits bound the words that only one has) drop
-most candidates before any set is fetched. Two rounds keep groups of near copies from
-making all their pairs: what one early line decides is not compared again as a later
-line.
+A line is its set of lower-cased words between spaces. The words are ordered by rarity:
+by how often the corpus has words of their hash bucket, counted over all documents (a
+fixed number of buckets, so the table of counts is small at any size), then by hash.
+Two lines whose Jaccard similarity is high enough share a word among their rarest ones
+(prefix filter). Of the words that they share the first one has all others behind it in
+both lines: so where it stands and how long both are bounds what they share (positional
+and length filters; lines meet by word and by size band). Parity bits of the sets (their
+differing bits bound the words that only one has) drop most of the rest before any set
+is fetched. What is left is verified on the whole sets. A line goes if an earlier line of the corpus (by document, then
+place) has the same set or one similar enough.
+
+Equal sets are one class, whose earliest line stands for it. Two rounds keep large
+groups of near copies from making all their pairs: first a line is compared only with
+the earliest line in its size band that shares one of its rarest words; then the lines
+that this leaves undecided are compared with all earlier ones.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from camwatch.llm.common import drop, release, scoped, table
+from camwatch.llm.common import drop, scoped, table
 
 #: Hash buckets for the word counts.
 BUCKETS = 1 << 17
 #: A similarity of at least this many hundredths.
 PERCENT = 80
-
-
-def words_of(line: Column) -> Column:
-    """Distinct lower-cased words between spaces."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), " ")), "")
+#: Lines of more words than this have 192 parity bits, others 64: what the three words of the former have together by exclusive or.
+LONG = 32
+#: Both rounds take the words in so many parts, one after the other: less lies on disk at once.
+PARTS = 4
+#: A place in a text: the line's number in the upper bits, below it 32 bits of the text's hash, which tell rows apart that repeat an id with other texts.
+TEXT_BITS = (1 << 32) - 1
 
 
 def rarity_table(texts: DataFrame) -> bytes:
-    """One ASCII character for each bucket, higher where the corpus has more such words: 4 steps for each doubling."""
-    words = texts.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(F.split(F.lower("line"), " ")).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("k")).agg(F.count("*").alias("n"))
+    """A number up to 94 for each bucket, higher where the corpus has more such words: 4 steps for each doubling.
+
+    Words are counted as they are written. The order only decides how much work is
+    left out, never what is found, so that counts need no lower case.
+    """
+    words = texts.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(F.split("line", " ")).alias("w"))
+    counts = words.groupBy(F.hash("w").bitwiseAND(BUCKETS - 1).alias("k")).agg(F.count("*").alias("n"))
     rows = counts.select("k", F.least(F.floor(F.log2(F.col("n") + 1) * 4), F.lit(93)).cast("int").alias("c")).collect()  # at most BUCKETS
-    held = bytearray(b"\x20" * BUCKETS)
+    held = bytearray(BUCKETS)
     for r in rows:
-        held[r["k"]] = 33 + r["c"]
+        held[r["k"]] = 1 + r["c"]
     return bytes(held)
 
 
+def words_of(line: Column) -> Column:
+    """Lower-cased words between spaces."""
+    return F.array_remove(F.split(F.lower(line), " "), "")
+
+
 def rare_first(words: Column, rarity: bytes) -> Column:
-    """The words as longs, rarest first: the bucket's count class in the high bits, the word's hash below."""
-    held = F.lit(bytearray(rarity))
-    code = lambda x: F.shiftleft(F.ascii(F.substring(held, x.bitwiseAND(BUCKETS - 1).cast("int") + 1, F.lit(1)).cast("string")).cast("long"), 55).bitwiseOR(F.shiftrightunsigned(x, 9))
-    return F.sort_array(F.transform(F.transform(words, lambda w: F.xxhash64(w)), code))
+    """The distinct words as longs, rarest first: the bucket's count class in the high bits, the word's hash below."""
+    classes = F.split(F.lit(",".join(map(str, rarity))), ",").cast("array<bigint>")  # folded into a constant
+    code = lambda w: F.shiftleft(F.get(classes, F.hash(w).bitwiseAND(BUCKETS - 1)), 55).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 9))
+    return F.sort_array(F.array_distinct(F.transform(words, code)))
+
+
+def text_bits(text: Column) -> Column:
+    return F.xxhash64(text).bitwiseAND(TEXT_BITS)
 
 
 def line_table(texts: DataFrame, rarity: bytes, percent: int) -> DataFrame:
-    """doc_id, line_no, key and key2 (hashes of the line's set), n, parity (64 bits), prefix; lines without words are left out.
+    """doc_id, place, key and key2 (hashes of the line's set), n (0 without words), p0 to p2 (parity bits), prefix.
 
     The prefix holds short hashes of the rarest words: that two of them are equal by
     chance makes a candidate more, no link.
     """
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", words_of(F.col("line")).alias("w")).filter("size(w) > 0")
-    codes = lines.select("doc_id", "line_no", rare_first(F.col("w"), rarity).alias("codes")).withColumn("n", F.size("codes"))
+    lines = texts.select("doc_id", text_bits(F.col("text")).alias("bits"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    place = F.shiftleft(F.col("line_no").cast("long"), 32).bitwiseOR(F.col("bits")).alias("place")
+    # no filter on n before the table is written: it would be pushed below, and the words made twice
+    codes = lines.select("doc_id", place, rare_first(words_of(F.col("line")), rarity).alias("codes")).withColumn("n", F.size("codes"))
     keep = F.col("n") - F.expr(f"cast(({percent} * n + 99) div 100 as int)") + 1
-    parity = F.expr("aggregate(codes, 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int)))")
-    return codes.select("doc_id", "line_no", F.xxhash64("codes").alias("key"), F.hash("codes").alias("key2"), "n", parity.alias("parity"), F.transform(F.slice("codes", F.lit(1), keep), lambda x: F.hash(x)).alias("prefix"))
+    bit = "s ^ shiftleft(1L, cast(x & 63 as int))"
+    parity = [F.expr(f"if(n > {LONG}, aggregate(codes, 0L, (s, x) -> if((x >> 6) % 3 = {k}, {bit}, s)), {f'aggregate(codes, 0L, (s, x) -> {bit})' if not k else '0L'})").alias(f"p{k}") for k in range(3)]
+    return codes.select("doc_id", "place", F.xxhash64("codes").alias("key"), F.hash("codes").alias("key2"), "n", *parity, F.transform(F.slice("codes", F.lit(1), keep), lambda x: F.hash(x)).alias("prefix"))
 
 
-def could_match(percent: int) -> str:
-    """What a pair must meet: length filter; positional filter (what both have up to the shared word, and at most the shorter
-    rest behind it); and parity bits that differ are at most the words that only one has."""
+def could_match(percent: int, b_doc: str = "b_doc") -> str:
+    """What holds for a pair of lines at the first word that they share: a is earlier; length filter; positional filter (all
+    that they share stands from there on in both); and parity bits that differ are at most the words that only one has."""
     return (
-        f"(a_doc < b_doc or (a_doc = b_doc and a_line < b_line)) and {percent} * a_n <= 100 * b_n and {percent} * b_n <= 100 * a_n "
-        f"and {percent} * (a_n + b_n) <= {100 + percent} * (least(a_i, b_i) + least(a_n - a_i, b_n - b_i)) "
-        f"and {100 + percent} * bit_count(a_parity ^ b_parity) <= {100 - percent} * (a_n + b_n)"
+        f"(a_doc < {b_doc} or (a_doc = {b_doc} and a_place < b_place)) and {percent} * a_n <= 100 * b_n and {percent} * b_n <= 100 * a_n "
+        f"and {percent} * (a_n + b_n) <= {100 + percent} * least(a_n - a_i, b_n - b_i) "
+        f"and {100 + percent} * if(least(a_n, b_n) > {LONG}, bit_count(a_p0 ^ b_p0) + bit_count(a_p1 ^ b_p1) + bit_count(a_p2 ^ b_p2), "
+        f"bit_count(a_p0 ^ a_p1 ^ a_p2 ^ b_p0 ^ b_p1 ^ b_p2)) <= {100 - percent} * (a_n + b_n)"
     )
 
 
-PAIR = ["a_doc", "a_line", "b_doc", "b_line"]
+BITS = ["p0", "p1", "p2"]
+
+
+def exploded(classes: DataFrame, percent: int, *more: Column) -> DataFrame:
+    """A row for each word of the prefixes and each size band: cell (band), doc, place, n, p0 to p2, ``more``, i (from 0), word.
+
+    A band holds the sizes of one power of two. A line is put into the bands of all
+    sizes from its own down to the least that a line similar to it can have.
+    """
+    band = lambda n: F.floor(F.log2(n)).cast("int")
+    cells = F.explode(F.sequence(band(F.expr(f"cast(({percent} * n + 99) div 100 as int)")), band(F.col("n")))).alias("cell")
+    at = classes.select(cells, "doc", "place", "n", *BITS, *more, "prefix")
+    return at.select(*[c for c in at.columns if c != "prefix"], F.posexplode("prefix").alias("i", "word"))
+
+
+PAIR = ["a_doc", "a_place", "b_doc", "b_place"]
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole sets are similar enough; only lines that occur in a pair are split into words again."""
-    ends = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")).union(pairs.select("b_doc", "b_line")).distinct()
+    ends = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_place").alias("place")).union(pairs.select("b_doc", "b_place")).distinct()
     # a document's lines that are asked for: at most its own lines
-    wanted = table(ends.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted")), "wanted")
-    asked = texts.join(wanted, "doc_id").select("doc_id", F.split("text", "\n").alias("lines"), "wanted").select("doc_id", "lines", F.explode("wanted").alias("line_no"))
-    lines = asked.select("doc_id", "line_no", F.get("lines", F.col("line_no")).alias("line")).filter("line is not null")
-    sets = lines.select("doc_id", "line_no", words_of(F.col("line")).alias("w")).select("doc_id", "line_no", F.transform("w", lambda w: F.xxhash64(w)).alias("codes")).distinct()
+    wanted = table(ends.groupBy("doc_id").agg(F.collect_list("place").alias("wanted")), "wanted")
+    asked = texts.join(wanted, "doc_id").select("doc_id", text_bits(F.col("text")).alias("bits"), F.split("text", "\n").alias("lines"), "wanted")
+    lines = asked.select("doc_id", "bits", "lines", F.explode("wanted").alias("place")).filter(F.col("place").bitwiseAND(TEXT_BITS) == F.col("bits"))
+    line = F.get("lines", F.shiftright("place", 32).cast("int"))
+    sets = lines.select("doc_id", "place", F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w))).alias("codes")).groupBy("doc_id", "place").agg(F.first("codes").alias("codes"))
     sets = table(sets, "line_sets")
-    left = sets.select(F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), F.col("codes").alias("a_codes"))
-    right = sets.select(F.col("doc_id").alias("b_doc"), F.col("line_no").alias("b_line"), F.col("codes").alias("b_codes"))
+    left = sets.select(F.col("doc_id").alias("a_doc"), F.col("place").alias("a_place"), F.col("codes").alias("a_codes"))
+    right = sets.select(F.col("doc_id").alias("b_doc"), F.col("place").alias("b_place"), F.col("codes").alias("b_codes"))
     both = pairs.join(left, PAIR[:2]).join(right, PAIR[2:]).withColumn("common", F.size(F.array_intersect("a_codes", "b_codes")))
-    return both.filter(100 * F.col("common") >= percent * (F.size("a_codes") + F.size("b_codes") - F.col("common"))).select(*PAIR).distinct()
+    return both.filter(100 * F.col("common") >= percent * (F.size("a_codes") + F.size("b_codes") - F.col("common"))).select(*PAIR)
 
 
 @scoped
 def repeated_lines(documents: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no (from 0) of the lines to remove."""
+    """doc_id, place of the lines to remove."""
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    rarity = rarity_table(texts)
-    lines = table(line_table(texts, rarity, percent), "lines")
-    # equal sets are one class; its earliest line stands for it
-    key = ["key", "key2", "n"]
-    first = lines.groupBy(*key).agg(F.min("doc_id").alias("doc_id"))
-    first = lines.select(*key, "doc_id", "line_no").join(first, [*key, "doc_id"]).groupBy(*key, F.col("doc_id").alias("doc")).agg(F.min("line_no").alias("line"))
-    first = table(first, "first_lines")
-    classes = lines.join(first.select(F.col("doc").alias("doc_id"), F.col("line").alias("line_no"), *key), ["doc_id", "line_no", *key]).dropDuplicates(["doc_id", "line_no", *key])
-    classes = table(classes.select(F.col("doc_id").alias("doc"), F.col("line_no").alias("line"), "n", "parity", "prefix"), "classes")
-    release(classes)
-    side = lambda df, s: df.select("word", *(F.col(c).alias(f"{s}_{c}") for c in ("doc", "line", "n", "i", "parity")))
-    explode = lambda df, *more: df.select("doc", "line", "n", "parity", *more, F.posexplode("prefix").alias("i", "word"))
-    fits = could_match(percent)
-    # first each line against a line of the earliest document that shares the word: in a group of copies that decides most.
-    # One shuffle by word serves the aggregate and the join.
-    words = explode(classes).repartition("word")
-    lead = words.groupBy("word").agg(*(F.min_by(c, "doc").alias(f"a_{c}") for c in ("line", "n", "i", "parity")), F.min("doc").alias("a_doc"), F.count("*").alias("m")).filter("m > 1")
-    tries = table(lead.join(side(words, "b"), "word").filter(fits).select(*PAIR).distinct(), "tries")
-    release(tries)
-    sure = table(similar_pairs(tries, texts, percent), "sure")
-    decided = table(sure.select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")).distinct().withColumn("gone", F.lit(True)), "decided")
-    release(decided)
-    # then the lines that are still open against all earlier ones; both sides come from one shuffle, so the flag is looked at in the join
-    flagged = explode(classes.join(decided, ["doc", "line"], "left"), F.col("gone").isNull().alias("open"))
-    both = lambda s: flagged.select("word", *(F.col(c).alias(f"{s}_{c}") for c in ("doc", "line", "n", "i", "parity", "open")))
-    more = both("a").join(both("b"), "word").filter(f"{fits} and if(a_n > 0 or a_open, b_open, false)").select(*PAIR).distinct()
-    more = table(more.join(tries, PAIR, "left_anti"), "more")
+    lines = table(line_table(texts, rarity_table(texts), percent), "lines")
+    # equal sets are one class; its earliest line stands for it. Spark keeps one row of a class in each task before the shuffle
+    first = F.row_number().over(W.partitionBy("key", "key2", "n").orderBy("doc_id", "place"))
+    classes = lines.filter("n > 0").withColumn("r", first).filter("r = 1").select(F.col("doc_id").alias("doc"), "place", "n", *BITS, "prefix")
+    classes = table(classes, "classes")
+    # first each line against a line of the earliest document that shares one of its rarest words and its band: in a group of copies that
+    # decides most. One shuffle serves the aggregate and the join.
+    key = ["word", "cell"]
+    of_part = lambda rows, part: rows.filter(F.pmod("word", F.lit(PARTS)) == part)
+    found = []
+    for part in range(PARTS):
+        words = of_part(exploded(classes, percent), part).filter(f"{100 + percent} * (n - i) >= {2 * percent} * n").repartition(*key)
+        lead = words.groupBy(*key).agg(*(F.min_by(c, "doc").alias(f"a_{c}") for c in ("place", "n", "i", *BITS)), F.min("doc").alias("a_doc"), F.count("*").alias("m")).filter("m > 1")
+        later = words.select(*key, *(F.col(c).alias(f"b_{c}") for c in ("doc", "place", "n", "i", *BITS)))
+        found.append(table(lead.join(later, key).filter(could_match(percent)).select(*PAIR).distinct(), "part"))
+    tries = table(functools.reduce(DataFrame.union, found).distinct(), "tries")
+    sure = similar_pairs(tries, texts, percent).select(F.col("b_doc").alias("doc"), F.col("b_place").alias("place")).distinct()
+    # then the lines that are still open against all earlier ones: ``till`` says up to which document a line looks for earlier ones,
+    # null for those that are decided
+    decided = classes.join(sure.withColumn("gone", F.lit(True)), ["doc", "place"], "left")
+    decided = table(decided.select("doc", "place", "n", *BITS, "prefix", F.when(F.col("gone").isNull(), F.col("doc")).alias("till")), "open")
     drop(classes)
-    release(more)
-    late = similar_pairs(more, texts, percent).select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line"))
-    gone = table(decided.select("doc", "line").union(late).distinct().withColumn("gone", F.lit(True)), "gone")
-    release(gone)
-    marks = table(first.join(gone, ["doc", "line"], "left"), "marks")
-    out = lines.select("doc_id", "line_no", *key).join(marks, key).filter("gone or doc_id <> doc or line_no <> line")
-    return out.select("doc_id", "line_no").distinct()
+    found = []
+    for part in range(PARTS):
+        rows = of_part(exploded(decided, percent, F.col("till")), part)
+        side = lambda s, *columns: rows.select(*key, *(F.col(c).alias(f"{s}_{c}") for c in (*columns, "place", "n", "i", *BITS)))  # noqa: E731, B023
+        pairs = side("a", "doc").join(side("b", "till"), key).filter(could_match(percent, "b_till"))
+        found.append(table(pairs.withColumnRenamed("b_till", "b_doc").select(*PAIR).distinct(), "part"))
+    more = functools.reduce(DataFrame.union, found).distinct().join(tries, PAIR, "left_anti")
+    late = similar_pairs(table(more, "more"), texts, percent).select(F.col("b_doc").alias("doc"), F.col("b_place").alias("place")).distinct()
+    kept = decided.filter("till is not null").join(late, ["doc", "place"], "left_anti").select(F.col("doc").alias("doc_id"), "place")
+    return lines.filter("n > 0").select("doc_id", "place").join(kept, ["doc_id", "place"], "left_anti").distinct()
 
 
 def dedup_lines(documents: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,19 +174,25 @@ def dedup_lines(documents: DataFrame, percent: int = PERCENT, id_col: str = "doc
 
     Lines end with line feeds. Lines without words always stay, so empty lines keep
     paragraphs apart. Null texts, empty texts and rows with a null id stay as they
-    are. Rows that repeat an id and a text lose the same lines; of rows that repeat
-    an id with other texts, lines at the same place share a fate. A text all of whose
-    lines go becomes empty; its document stays. Empty tables give empty results. A
-    column of an added name is replaced.
+    are. Rows that repeat an id and a text lose the same lines; rows that repeat an id
+    with other texts lose lines by their own texts, of lines at the same place the one
+    with the smaller hash of its text counts as earlier. A text all of whose lines go
+    becomes empty; its document stays. Empty tables give empty results. Columns of
+    the added names are replaced; any other names may occur.
     """
     gone = repeated_lines(documents, percent, id_col, text_col)
-    gone = table(gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("line_no").alias("__gone")), "removed")
-    release(gone)
     kept = documents.drop("n_lines", "n_removed")
-    rows = kept.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left").withColumn("__lines", F.split(text_col, "\n"))
-    size = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.filter(F.transform("__lines", lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull()), "\n")
-    )
-    removed = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(size)
-    return rows.select(*(text.alias(c) if c == text_col else F.col(c) for c in kept.columns), F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"), removed.alias("n_removed"))
+    names = [f"c{k}" for k in range(len(kept.columns))]  # names of ours, so that no column's name can clash
+    row, text = kept.toDF(*names), names[kept.columns.index(text_col)]
+    of = F.col(names[kept.columns.index(id_col)]).cast("long")
+    gone = table(gone.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("place").alias("gone")), "removed")
+    rows = row.join(gone, of == F.col("id"), "left").withColumn("lines", F.split(text, "\n")).withColumn("bits", text_bits(F.col(text)))
+    own = F.transform(F.filter("gone", lambda p: p.bitwiseAND(TEXT_BITS) == F.col("bits")), lambda p: F.shiftright(p, 32).cast("int"))
+    rows = rows.withColumn("own", F.coalesce(own, F.array().cast("array<int>")))
+    rest = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "own")
+    new = F.when(F.size("own") == 0, F.col(text)).otherwise(F.array_join(F.transform(rest, lambda i: F.get("lines", i)), "\n"))
+    removed = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("own")).cast("long")
+    return rows.select(
+        *((new if n == text else F.col(n)).alias(c) for n, c in zip(names, kept.columns, strict=True)),
+        F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long").alias("n_lines"), removed.alias("n_removed"),
+    )

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from camwatch.llm.common import components, drop, release, scoped, table
+from camwatch.llm.common import components, drop, scoped, table
 
 #: Ratio of a band's largest and smallest sizes.
 BAND = 1.5
@@ -333,9 +333,7 @@ def ngram_classes(documents: DataFrame, size: int = 3, percent: int = 90, id_col
     # only keys that documents share matter, and those are few; ``chunks`` cuts large buckets
     shared = exploded.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"))
     shared = table(shared, "shared_keys")
-    release(shared)
     buckets = table(exploded.join(shared, "key"), "buckets")
-    release(buckets)
     entries = buckets.join(points.select("doc", "n", "s"), "doc").withColumn("chunk", F.when(F.col("chunks") > 1, F.pmod(F.hash("doc"), "chunks")).otherwise(0))
     entries = table(entries.select("key", "chunks", F.col("chunk").cast("long").alias("chunk"), "doc", "n", "s"), "entries")
     drop(buckets)
@@ -343,7 +341,6 @@ def ngram_classes(documents: DataFrame, size: int = 3, percent: int = 90, id_col
     # each document is first tried with the closest leader only
     tries = table(tries.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"), "tries")
     links = table(verified(tries, docs, size, percent), "links")
-    release(links)
     known = components(links)
     label = F.coalesce("component", "doc").alias("c")
     classed = entries.join(known.withColumnRenamed("id", "doc"), "doc", "left")
@@ -355,7 +352,6 @@ def ngram_classes(documents: DataFrame, size: int = 3, percent: int = 90, id_col
     )
     met = candidates(paired, percent, True).select("a", "b").distinct().join(tries, ["a", "b"], "left_anti")
     left = table(close(table(met, "met"), points, percent), "left")
-    release(left)
     if left.limit(1).count():
         known = components(links.unionByName(verified(left, docs, size, percent)))
     by_rep = rep.join(known.withColumnRenamed("id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
