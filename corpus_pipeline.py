@@ -1,7 +1,8 @@
 """Corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
 
 1. toxicity: documents that the pattern grammar rejects go;
-2. line dedup: lines that repeat earlier ones go;
+2. line dedup: lines that repeat earlier ones go; a document that had words and has none
+   left goes with them;
 3. n-gram Jaccard join: of each class of near copies the first document stays;
 4. benchmark decontamination: documents that hold a benchmark item go;
 5. SentencePiece: the texts are encoded and decoded.
@@ -13,6 +14,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from camwatch.llm.common import table
 from camwatch.llm.decontam import decontaminate
@@ -31,7 +33,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_lines(docs).select(*docs.columns)
+    emptied = (F.col("n_removed") > 0) & (F.btrim("text", F.lit(" \n")) == "")
+    return dedup_lines(docs).filter(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
