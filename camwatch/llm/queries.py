@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from camwatch.llm.common import scratch
+from camwatch.llm.common import scoped, temporary
 from camwatch.llm.decontam import contaminated
 from camwatch.llm.license_scan import scan_licenses
 from camwatch.llm.line_dedup import dedup_lines
@@ -25,8 +25,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@scoped
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "warc")
+    path = temporary(spark, "warc")
     write_warc(_read(spark, sf_dir, "pages"), path)
     records = read_warc(spark, path)
     page = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1)

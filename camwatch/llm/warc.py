@@ -20,7 +20,10 @@ END = "\r\n\r\n"
 
 
 def plan_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least_bytes: int) -> DataFrame:
-    """id, url, payload, bytes, digest, refers_to (null: response).
+    """id, digest, url, payload, bytes, refers_to (null: response).
+
+    What a row is depends on its id and its payload: rows that repeat an id with other
+    payloads are told apart by the digest.
 
     Only ids and digests are shuffled; the payloads stay where they are read unless
     the revisits are too many to be broadcast.
@@ -32,8 +35,8 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str,
     large = base.filter(F.col("bytes") >= least_bytes).select("id", "digest")
     first = large.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").select("digest", "refers_to")
     first = table(first, "originals")  # both sides of the join are then dealt anew, and skewed digests are split
-    revisits = table(large.join(first, "digest").filter("id < refers_to").select("id", "refers_to").distinct(), "revisits")
-    return base.join(revisits, "id", "left")
+    revisits = table(large.join(first, "digest").filter("id < refers_to").select("id", "digest", "refers_to").distinct(), "revisits")
+    return base.join(revisits, ["id", "digest"], "left")
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 1000) -> None:
@@ -41,8 +44,11 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     The payload is the UTF-8 text (null: empty). Of rows with equal payloads of at
     least ``least_bytes`` the one with the largest id is a response; the others are
-    revisits without a block that name it. Rows that repeat the largest id are all
-    responses. A null url leaves the header out; line ends in urls become spaces.
+    revisits without a block that name it. Rows that repeat the largest id with that
+    payload are all responses; rows that repeat an id with other payloads are judged
+    each by its own. A row with a null id is a response without a record id, and none
+    refers to it. A null url leaves the header out; line ends in urls become spaces.
+    An empty table gives no record; other columns are ignored.
     """
     rows = plan_records(pages, id_col, url_col, payload_col, least_bytes)
     revisit = F.col("refers_to").isNotNull()
