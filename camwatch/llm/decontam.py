@@ -1,16 +1,19 @@
-"""Benchmark decontamination: minimum-hash containment search with a prefix filter, in DataFrame functions only.
-
-An item with n shingles has a
-minimum-hash sketch of its k smallest shingle hashes, where k is one more than the
-shingles that may be missing at the wanted containment: so a document that contains
-enough of the item shares at least one hash of the sketch, at any length of the
-document. This filter for each item stands in place of partitions by size. Of a
-document's hashes only those up to the largest of any sketch are looked up. Candidates
-are verified by exact shingle containment.
+"""Benchmark decontamination: size-partitioned minimum-hash containment search, in DataFrame functions only.
+
+Items are partitioned by the width of their shingles (five words, or all of a shorter
+item's, so that it is found inside a long document) and by the power of two of their
+number of shingles. A partition has one sketch size k: one more than the shingles that
+its largest item may miss at the wanted containment. An item's sketch is its k smallest
+shingle hashes, so a document that contains enough of the item shares at least one of
+them, at any length of the document. The largest hash in a partition's sketches is its
+bound: of a document's hashes only those that are within a bound of some partition of
+their width are looked up. Candidates are verified by exact shingle containment.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,26 +28,30 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def shingles_of(words: Column, size: int = WORDS) -> Column:
-    """Distinct 64-bit hashes of ``size`` consecutive words; of fewer words the whole sequence is one; of none, none."""
-    n = F.size(words)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.xxhash64(*[F.get(words, (i + k - 1).cast("int")) for k in range(size)]))
-    return F.when(n >= size, F.array_distinct(many)).when(n > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+def shingles_of(words: Column, size: int) -> Column:
+    """Distinct 64-bit hashes of ``size`` consecutive words; none with fewer words."""
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1))), lambda i: F.xxhash64(*[F.get(words, (i + k - 1).cast("int")) for k in range(size)]))
+    return F.when(F.size(words) >= size, F.array_distinct(every)).otherwise(F.array().cast("array<bigint>"))
 
 
-def exploded(documents: DataFrame) -> DataFrame:
-    """doc_id, shingle. The words are a column of their own: a lambda would split the text anew for every shingle."""
-    return documents.select("doc_id", words_of(F.col("text")).alias("w")).select("doc_id", F.explode(shingles_of(F.col("w"))).alias("shingle"))
+def exploded(rows: DataFrame, width: int) -> DataFrame:
+    """doc_id, bits, shingle. The words are a column of their own: a lambda would split the text anew for every shingle."""
+    return rows.select("doc_id", F.xxhash64("text").alias("bits"), words_of(F.col("text")).alias("w")).select("doc_id", "bits", F.explode(shingles_of(F.col("w"), width)).alias("shingle"))
 
 
-def item_sketches(items: DataFrame, id_col: str, text_col: str, containment: float) -> tuple[DataFrame, DataFrame]:
-    """(item_id, shingle, n) of all shingles; (item_id, shingle) of the sketches. Items without words have none."""
-    base = items.select(F.col(id_col).cast("long").alias("item_id"), words_of(F.col(text_col)).alias("w"))
-    sets = table(base.select("item_id", shingles_of(F.col("w")).alias("s")).filter("size(s) > 0").distinct(), "items")
-    need = F.ceil(F.size("s") * F.lit(containment) - F.lit(1e-9)).cast("int")
-    k = F.size("s") - need + 1
-    sketch = sets.select("item_id", F.explode(F.slice(F.sort_array("s"), F.lit(1), k)).alias("shingle"))
-    return sets.select("item_id", F.size("s").alias("n"), need.alias("need"), F.explode("s").alias("shingle")), sketch
+def item_sets(items: DataFrame, id_col: str, text_col: str, containment: float) -> DataFrame:
+    """item_id, item (number of its text), width, part, n, need, k, s (its shingles). Items without words have no row."""
+    base = items.select(F.col(id_col).cast("long").alias("item_id"), words_of(F.col(text_col)).alias("w")).filter("size(w) > 0").distinct()
+    width = F.least(F.size("w"), F.lit(WORDS))
+    by_width = F.lit(None).cast("array<bigint>")
+    for size in range(1, WORDS + 1):
+        by_width = F.when(width == size, shingles_of(F.col("w"), size)).otherwise(by_width)
+    sets = base.select("item_id", F.xxhash64("w").alias("item"), width.alias("width"), by_width.alias("s")).withColumn("n", F.size("s"))
+    need = lambda n: F.ceil(n * F.lit(containment) - F.lit(1e-9)).cast("int")
+    sets = sets.withColumns({"part": F.floor(F.log2("n")).cast("int"), "need": need(F.col("n"))})
+    # the largest item of a partition sets its k; a smaller one has no more than its shingles
+    largest = sets.groupBy("width", "part").agg(F.max(F.col("n") - F.col("need") + 1).alias("k"))
+    return sets.join(F.broadcast(largest), ["width", "part"])  # a row for each width and power of two
 
 
 @scoped
@@ -57,31 +64,36 @@ def contaminated(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, item_id, n_shingles, n_found: documents that hold at least that share of an item's five-word shingles.
-
-    Items and documents without words match nothing. An item with fewer than five
-    words is one shingle and matches a document that consists of just these words.
-    Rows that repeat an id are looked at together: the best of them counts. Rows
-    with a null id match nothing. Empty tables give no rows. Any
-    other columns are ignored.
+    """doc_id, item_id, n_shingles, n_found: documents that hold at least that share of an item's shingles.
+
+    Shingles have five words, those of an item with fewer words all of its words.
+    Items and documents without words match nothing. Rows that repeat an id with
+    another text are looked at each by itself: of a document's rows and an item's the
+    best pair counts (the largest share, then the larger item). Rows that repeat both
+    count once. Documents with a null id match nothing; an item's id may be null. Empty
+    tables give no rows. Any other columns are ignored.
     """
-    shingles, sketch = item_sketches(items, item_id_col, item_text_col, containment)
-    # one row for each hash, whatever items share it; the largest one keeps larger hashes out early
-    probe = table(sketch.groupBy("shingle").agg(F.collect_set("item_id").alias("item_ids")), "sketches")
-    bound = sketch.agg(F.max("shingle")).first()[0]
-    if bound is None:
-        bound = -(2**63)
+    sets = table(item_sets(items, item_id_col, item_text_col, containment), "items")
+    sketches = sets.select("width", "part", "item", F.explode(F.slice(F.sort_array("s"), F.lit(1), F.col("k"))).alias("shingle"))
+    probe = table(sketches.groupBy("width", "part", "shingle").agg(F.collect_set("item").alias("items")), "sketches")
+    bounds = {r["width"]: r["bound"] for r in probe.groupBy("width").agg(F.max("shingle").alias("bound")).collect()}  # at most WORDS rows
     base = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
-    low = exploded(base).filter(F.col("shingle") <= F.lit(bound))
     # candidates, without repeats; the sketches are small next to the documents, and Spark broadcasts them only if they are
-    pairs = low.join(probe, "shingle").select("doc_id", F.explode("item_ids").alias("item_id")).distinct()
-    pairs = table(pairs, "candidates")
-    wanted = table(shingles.select("item_id", "n", "need", "shingle"), "item_shingles")
+    found = []
+    for width, bound in sorted(bounds.items()):
+        low = exploded(base, width).filter(F.col("shingle") <= F.lit(bound))
+        found.append(low.join(probe.filter(F.col("width") == width), "shingle").select("doc_id", "bits", "width", F.explode("items").alias("item")))
+    if not found:
+        return documents.select(F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("n_found")).limit(0)
+    pairs = table(functools.reduce(DataFrame.union, found).distinct(), "candidates")
     # exact containment, for candidate documents: shingles that any item has, then counts by pair
-    docs = base.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    hits = exploded(docs).join(wanted, "shingle").groupBy("doc_id", "item_id", "n", "need").agg(F.count_distinct("shingle").alias("n_found"))
-    hits = hits.filter(F.col("n_found") >= F.col("need"))
-    return hits.join(pairs, ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", F.col("n").cast("long").alias("n_shingles"), "n_found")
+    wanted = table(sets.select("item", "width", "n", "need", F.explode("s").alias("shingle")).distinct(), "item_shingles")
+    docs = base.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+    hits = functools.reduce(DataFrame.union, [exploded(docs, w).join(wanted.filter(F.col("width") == w), "shingle").select("doc_id", "bits", "item", "n", "need", "shingle") for w in sorted(bounds)])
+    held = hits.groupBy("doc_id", "bits", "item", "n", "need").agg(F.count("*").alias("found")).filter("found >= need").join(pairs, ["doc_id", "bits", "item"], "left_semi")
+    named = held.join(sets.select("item", "item_id").distinct(), "item")
+    best = named.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("found") / F.col("n")).alias("share"), "n", "found")).alias("m"))
+    return best.select("doc_id", "item_id", F.col("m.n").cast("long").alias("n_shingles"), F.col("m.found").alias("n_found"))
 
 
 def decontaminate(documents: DataFrame, items: DataFrame, containment: float = 0.8) -> DataFrame:

@@ -138,11 +138,12 @@ ORACLE_SQL: dict[str, str] = {
     "op8_decontamination": """
         with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents),
              b as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from benchmark),
-             ds as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d),
-             bs as (select distinct item_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from b),
+             i as (select item_id, w, least(len(w), 5) as width from b where len(w) > 0),
+             ds as (select distinct doc_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) as s from d join (select distinct width from i) on len(w) >= width),
+             bs as (select distinct item_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) as s from i),
              n as (select item_id, count(*) as n_shingles from bs group by item_id)
         select doc_id, item_id, n_shingles, count(*) as n_found
-        from ds join bs using (s) join n using (item_id)
+        from ds join bs using (width, s) join n using (item_id)
         group by doc_id, item_id, n_shingles having 5 * count(*) >= 4 * n_shingles
     """,
 }

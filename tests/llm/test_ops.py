@@ -285,27 +285,37 @@ def test_frames_are_checked(tmp_path):
         r.ids(1)
 
 
+def contained(docs, items):
+    """Brute force: (document, item, shingles, found) of distinct ids."""
+    want = set()
+    for i, t in docs:
+        for j, u in items:
+            width = min(5, len(re.split(r"\s+", (u or "").strip())))
+            a, b = grams(t, width), grams(u, width)
+            a = a if all(len(g) == width for g in a) else set()
+            if i is not None and b and len(a & b) >= 0.8 * len(b) - 1e-9:
+                want.add((i, j, len(b), len(a & b)))
+    return want
+
+
 def test_contamination(spark):
     rng = random.Random(8)
-    items = [(i, text(n, rng)) for i, n in enumerate((4, 5, 6, 12, 40, 90))] + [(90, None), (91, "")]
+    items = [(i, text(n, rng) + " zz") for i, n in enumerate((1, 2, 3, 4, 5, 6, 12, 40, 90, 200))] + [(90, None), (91, ""), (92, "xyzzy")]
     docs = []
-    for i in range(40):
+    for i in range(60):
         t = text(rng.randint(3, 300), rng)
         if i % 2:
-            w, piece = t.split(" "), edit(items[i % 6][1], i % 3, rng)
+            w, piece = t.split(" "), edit(items[i % 11 % 10][1], i % 3 if i % 11 > 4 else 0, rng)
             t = " ".join(w[: len(w) // 2] + [piece] + w[len(w) // 2 :])
         docs.append((i, t))
-    docs += [(50, None), (51, ""), (52, items[0][1]), (None, items[4][1])]
-    want = set()
-    for i, t in docs:
-        for j, u in items:
-            a, b = grams(t, 5), grams(u, 5)
-            if i is not None and b and len(a & b) >= 0.8 * len(b) - 1e-9:
-                want.add((i, j, len(b), len(a & b)))
+    docs += [(100, None), (101, ""), (102, items[0][1]), (None, items[4][1]), (103, "so Xyzzy it is"), (104, text(6000, rng) + " " + items[9][1])]
+    want = contained(docs, items)
+    assert {j for _, j, _, _ in want} == {*range(10), 92}
     got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {tuple(r) for r in got.collect()} == want
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), empty).count() == 0
+    assert decontam.contaminated(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
 def test_url_rules(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from camwatch.llm import warc
+from camwatch.llm import decontam, warc
 from camwatch.llm.common import scratch
 
 
@@ -22,3 +22,14 @@ def test_warc_keeps_every_payload(spark):
     assert found == sorted(
         [(5, "revisit", sha(x), 9), (5, "revisit", sha(x), 9), (5, "response", sha(y), 0), (9, "response", sha(x), 0), (9, "response", sha(x), 0), (-1, "response", sha(x), 0), (-1, "response", sha(z), 0), (7, "response", sha(""), 0)]
     )
+
+
+def test_contamination_looks_at_each_row(spark):
+    words = [f"w{k}" for k in range(12)]  # 8 shingles
+    half, rest, whole = " ".join(words[:8]), " ".join(words[4:]), " ".join(words)
+    docs = [(2, half, "a"), (2, rest, "b"), (3, half, "a"), (3, whole, "b"), (3, whole, "b"), (None, whole, "c")]
+    items = [(7, whole, 1), (7, "quite another item of words", 1), (7, whole, 1), (None, whole, 2)]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string, shingle string"), spark.createDataFrame(items, "item_id long, text string, width int"))
+    assert sorted((r.doc_id, r.item_id or -1, r.n_shingles, r.n_found) for r in got.collect()) == [(3, -1, 8, 8), (3, 7, 8, 8)]
+    kept = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string, shingle string"), spark.createDataFrame(items, "item_id long, text string, width int"))
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 2, 2]
