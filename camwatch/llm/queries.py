@@ -65,6 +65,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.octet_length("text").cast("long").alias("text_bytes"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 
+@scoped
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 

@@ -9,6 +9,7 @@ a reader fetches the tail and then only the frames it wants.
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import uuid
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from camwatch.llm.common import scratch, table
+from camwatch.llm.common import table, temporary
 
 #: Magic numbers of the zstandard formats. Fixed values.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
@@ -180,59 +181,47 @@ def write_tokens(
     id_col: str = "doc_id",
     text_col: str = "text",
     end_id: int = 0,
-    docs_per_file: int = 16_384,
+    bytes_per_file: int = 32 << 20,
 ) -> DataFrame:
     """Encode every text, append ``end_id``, write files in ascending id order; returns the manifest.
 
     The manifest (file_id, file, docs, tokens, base: ids in all files before) lists
     only what successful tasks wrote: each attempt writes under a name of its own.
-    File bounds are quantiles of the ids. Null texts are empty (only the end id),
-    null ids come first, rows that repeat an id stay side by side; other columns are
-    ignored; an empty table gives no file.
+    Texts are dealt by ranges of the ids, as many as make about ``bytes_per_file`` of
+    text each; a task encodes and writes one range. Null texts are empty (only the
+    end id), null ids come first, rows that repeat an id stay side by side in the order
+    of their texts' hashes; other columns are ignored; an empty table gives no file.
     """
-    spark = documents.sparkSession
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = max(1, -(-docs.count() // docs_per_file))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
-    bounds = np.asarray(sorted(set(cuts)) if n > 1 else [], np.int64)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    n = max(1, -(-(docs.agg(F.sum(F.octet_length("text") + 1).alias("b")).first()["b"] or 0) // bytes_per_file))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pack = WordEncoder(tokenizer), zstandard.ZstdCompressor(level=1, write_checksum=True)
         end = np.asarray([end_id], encoder.kind).tobytes()
-        for batch in batches:
-            ids = batch.column(0).fill_null(NO_ID)
-            raws = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.searchsorted(bounds, ids.to_numpy(), "right"), pa.int64()), ids, pa.array([encoder.width] * len(raws), pa.int32()),
-                    pa.array([pack.compress(x) for x in raws], pa.binary()), pa.array([len(x) for x in raws], pa.int64()),
-                    pa.array([xxhash.xxh64_intdigest(x) & 0xFFFFFFFF for x in raws], pa.int64()),
-                ],
-                names=["file_id", "doc_id", "width", "frame", "size", "check"],
-            )
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def frames(first: pa.RecordBatch) -> Iterator[tuple[int, bytes, int, int]]:
+            for batch in itertools.chain([first], batches):
+                ids = batch.column(0).fill_null(NO_ID).to_pylist()
+                for doc, raw in zip(ids, encoder.encode(batch.column(1).to_pylist()), strict=True):
+                    raw += end
+                    yield doc, pack.compress(raw), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF
+
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        file_id = first.column(2)[0].as_py()
         fs, folder = pyarrow.fs.FileSystem.from_uri(path)
         fs.create_dir(folder, recursive=True)
-        rows = ((f, w, d, x, s, c) for b in batches for f, d, w, x, s, c in zip(*(col.to_pylist() for col in b.columns), strict=True))
-        row = next(rows, None)
-        while row:
-            file_id, width = row[:2]
-            name = f"tokens-{file_id:06d}-{uuid.uuid4().hex}.zst"
-
-            def frames(file_id=file_id):
-                nonlocal row
-                while row and row[0] == file_id:
-                    yield row[2:]
-                    row = next(rows, None)
-
-            with fs.open_output_stream(f"{folder}/{name}", compression=None) as out:
-                docs, tokens = write_frames(out, frames(), width)
-            yield pa.RecordBatch.from_pylist([{"file_id": file_id, "file": name, "docs": docs, "tokens": tokens}])
-
-    frames = docs.mapInArrow(encode, "file_id long, doc_id long, width int, frame binary, size long, check long")
-    dealt = frames.repartition(n, "file_id").sortWithinPartitions("file_id", "doc_id", "size", "check")
-    files = table(dealt.mapInArrow(write, "file_id long, file string, docs long, tokens long"), "manifest")
+        name = f"tokens-{file_id:06d}-{uuid.uuid4().hex}.zst"
+        with fs.open_output_stream(f"{folder}/{name}", compression=None) as out:
+            docs, tokens = write_frames(out, frames(first), encoder.width)
+        yield pa.RecordBatch.from_pylist([{"file_id": file_id, "file": name, "docs": docs, "tokens": tokens}])
+
+    order = ["doc_id", "hash"]
+    dealt = docs.withColumn("hash", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = dealt.select("doc_id", "text", F.spark_partition_id().cast("long").alias("file_id"))
+    files = table(ranged.mapInArrow(write, "file_id long, file string, docs long, tokens long"), "manifest")
     # one row for each file
     base = F.coalesce(F.sum("tokens").over(W.orderBy("file_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return table(files.withColumn("base", base), "manifest")
@@ -265,6 +254,6 @@ def read_tokens(manifest: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(documents: DataFrame, tokenizer: str, **options) -> DataFrame:
-    """Write the token files into the shared folder and read them back."""
-    path = scratch(documents.sparkSession, "tokens")
+    """Write the token files into the shared folder and read them back. ``scoped`` functions around it delete the files."""
+    path = temporary(documents.sparkSession, "tokens")
     return read_tokens(write_tokens(documents, path, tokenizer, **options), path)

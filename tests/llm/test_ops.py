@@ -246,8 +246,10 @@ def test_token_files(spark, corpus):
     odd = [" a  b", "a \n b", "x\ty z ", "\n\n a", " lead", "trail ", "don't I'm 1234 5.6", "<|endoftext|> x", "a\u3000 b", "\x1c a\x85 b", "ok... (fine) 50%."]
     rows = corpus + [(1000 + i, t) for i, t in enumerate(odd)]
     df = spark.createDataFrame([(i, t, "en") for i, t in rows], DOCS).repartition(3)
-    got = {r.doc_id: tuple(r)[1:] for r in token_store.round_trip(df, path, docs_per_file=20).collect()}
-    tok = token_store.WordEncoder(path).tokenizer
+    got = {r.doc_id: tuple(r)[1:] for r in token_store.round_trip(df, path, bytes_per_file=2000).collect()}
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
     start = 0
     for i, t in sorted(rows):
         ids = np.asarray([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -266,6 +268,18 @@ def test_added_tokens_in_a_text_are_the_librarys():
     assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)] == want and 50256 in want[0]
 
 
+def test_words_encode_as_whole_texts_do():
+    """Random strings of what splits words: the ids are those of the library on the whole text."""
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(11)
+    bits = [" ", "  ", "\n", "\t", "\r\n", "a", "Word", "don't", "it's", "'", "’s", "1234", "5.6", ",", "...", "!?", "(x)", "é", "日本", "ß", "😀", "\u3000", "\x85", "\x1c", "\u200b", "_", "-", "a_b", "\x00", "ñandú", "I'LL", "%$", "²"]
+    texts = ["".join(rng.choice(bits) + (" " if rng.random() < 0.5 else "") for _ in range(rng.randint(0, 30))) for _ in range(5000)]
+    encoder, library = token_store.WordEncoder(path), Tokenizer.from_file(path)
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)] == want
+
+
 def test_frames_are_checked(tmp_path):
     import io
 

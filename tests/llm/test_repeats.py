@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 
-from camwatch.llm import decontam, warc
+import public_tokenizers
+
+from camwatch.llm import decontam, token_store, warc
 from camwatch.llm.common import scratch
 
 
@@ -33,3 +35,14 @@ def test_contamination_looks_at_each_row(spark):
     assert sorted((r.doc_id, r.item_id or -1, r.n_shingles, r.n_found) for r in got.collect()) == [(3, -1, 8, 8), (3, 7, 8, 8)]
     kept = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string, shingle string"), spark.createDataFrame(items, "item_id long, text string, width int"))
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 2, 2]
+
+
+def test_token_files_of_null_and_repeated_ids(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(None, "a b", 1), (None, None, 1), (4, "one two", 2), (4, "three", 2), (4, "one two", 2), (9, "", 3), (-3, "x", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hash int").repartition(3)
+    for size in (4, 1 << 20):
+        got = sorted(token_store.round_trip(df, path, bytes_per_file=size).collect(), key=lambda r: r.start)
+        assert [r.doc_id for r in got] == [None, None, -3, 4, 4, 4, 9]
+        assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+        assert len({r.ids_crc32 for r in got if r.doc_id == 4}) == 2
