@@ -41,6 +41,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@scoped
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)

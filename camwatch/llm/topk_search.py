@@ -24,15 +24,24 @@ from camwatch.llm.common import table
 #: Stands for no score; below any other and exact in every type used.
 NONE = -(2**62)
 NO_PARTS = pd.DataFrame({"q": [], "list": [], "c": [], "part": []}).astype("int64")
+#: The largest whole component.
+LARGEST = 1 << 26
 #: Vectors and queries of one block.
 BLOCK, QUERY_BLOCK = 8192, 1024
 
 
 def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """id, v: floor(scale * x) of each component; rows with a null vector or a null or non-finite component are left out."""
-    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("e")).filter(F.col("id").isNotNull() & F.col("e").isNotNull()).filter(
+    """id, v: floor(scale * x) of each component, one row an id; rows with a null vector or a null or non-finite component are left out.
+
+    Components beyond ``LARGEST`` are that large: so that a score of up to 1,024
+    components fits into 64 bits. Of rows that repeat an id with different vectors the
+    least vector counts, by its components in their order.
+    """
+    whole = lambda x: F.greatest(F.least(F.floor(F.lit(scale) * x.cast("double")).cast("long"), F.lit(LARGEST)), F.lit(-LARGEST))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("e")).filter(F.col("id").isNotNull() & F.col("e").isNotNull()).filter(
         F.coalesce(F.expr("forall(e, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"), F.lit(False))
-    ).select("id", F.transform("e", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")).alias("v"))
+    ).select("id", F.transform("e", whole).alias("v"))
+    return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
 def _stack(column: pd.Series, size: int) -> np.ndarray:
@@ -78,11 +87,10 @@ def top_k(
     never meets its own id; ties go to the smaller id; with fewer than k other
     vectors all are returned. Vectors that are null or hold null or non-finite
     components take no part, on either side, nor do rows without an id; of different
-    lengths the shorter is filled up with 0. Repeated rows of an id count once if
-    they are equal. Empty tables give an empty result; other columns are ignored.
+    lengths the shorter is filled up with 0. Repeated rows of an id count once. Empty tables give an empty result; other columns are ignored.
     """
-    v = table(quantise(vectors, id_col, vector_col, scale).distinct(), "quantised")
-    q = v if queries is None else table(quantise(queries, id_col, vector_col, scale).distinct(), "queries")
+    v = table(quantise(vectors, id_col, vector_col, scale), "quantised")
+    q = v if queries is None else table(quantise(queries, id_col, vector_col, scale), "queries")
     need = k + 1  # ids of a class that can count: the query itself may be among them
     # the smallest ids of each class of equal vectors: Spark keeps `need` rows a class before the shuffle
     low = v.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("id"))).filter(F.col("r") <= need)

@@ -7,7 +7,7 @@ import re
 
 import public_tokenizers
 
-from camwatch.llm import decontam, token_store, warc
+from camwatch.llm import decontam, token_store, topk_search, warc
 from camwatch.llm.common import scratch
 
 
@@ -46,3 +46,11 @@ def test_token_files_of_null_and_repeated_ids(spark):
         assert [r.doc_id for r in got] == [None, None, -3, 4, 4, 4, 9]
         assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
         assert len({r.ids_crc32 for r in got if r.doc_id == 4}) == 2
+
+
+def test_topk_of_repeats_and_large_components(spark):
+    rows = [(1, [1e30, 0.5], 1), (2, [-1e30, 0.5], 1), (3, [0.25, 0.5], 1), (3, [0.25, 0.5], 1), (3, [0.5, 0.5], 2), (None, [1.0, 1.0], 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.top_k(df).collect()}
+    big = topk_search.LARGEST
+    assert got == {(1, 1, 3, big * 64 + 128 * 128), (1, 2, 2, 128 * 128 - big * big), (2, 1, 3, 128 * 128 - big * 64), (2, 2, 1, 128 * 128 - big * big), (3, 1, 1, big * 64 + 128 * 128), (3, 2, 2, 128 * 128 - big * 64)}
