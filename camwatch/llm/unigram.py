@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 MARK = "▁"
 #: Words whose pieces a task remembers, and texts that it splits at once.
@@ -191,23 +191,27 @@ class Unigram:
         return text[1:] if text[:1] == " " else text
 
 
-def encode_decode(documents: DataFrame, model_file: str, text_col: str = "text", ids_out: bool = False) -> DataFrame:
+#: Rows that a task encodes at once.
+ROWS = 1000
+
+
+def encode_decode(documents: DataFrame, model_file: str, text_col: str = "text", ids_out: bool = False, text_out: bool = False) -> DataFrame:
     """The rows of ``documents`` with n_pieces, n_byte_pieces, ids_crc32, decoded_chars, round_trip.
 
     Every text is encoded whole and decoded from its ids. ``round_trip`` is true if
     that gives the text again (a U+2581 in a text comes back as a space, as in the
     public library, and counts as one). ``ids_crc32`` is that of the ids as
-    little-endian unsigned 32-bit integers; with ``ids_out`` the ids come too. Null
-    and empty texts have no pieces (crc 0) and round-trip. Columns of the input with
+    little-endian unsigned 32-bit integers; with ``ids_out`` the ids come too, so
+    written (``piece_ids``), with ``text_out`` the decoded text (``decoded``). Null and empty texts have no pieces (crc 0) and round-trip. Columns of the input with
     a result's name are replaced; repeated rows and ties give the same path always.
     """
     spark = documents.sparkSession
     vocabulary = load_vocabulary(model_file)
     shared = spark.sparkContext.broadcast(((vocabulary.pieces, vocabulary.byte_ids, vocabulary.size), build_trie([p for _, p, _ in vocabulary.pieces])))  # as large as the vocabulary
     result = {"n_pieces": pa.int64(), "n_byte_pieces": pa.int64(), "ids_crc32": pa.int64(), "decoded_chars": pa.int64(), "round_trip": pa.bool_()}
-    kept = documents.drop(*result, "piece_ids")
+    kept = documents.drop(*result, "piece_ids", "decoded")
     at = kept.columns.index(text_col)
-    schema = StructType([*kept.schema.fields, *(StructField(k, BooleanType() if k == "round_trip" else LongType()) for k in result), *([StructField("piece_ids", BinaryType())] if ids_out else [])])
+    schema = StructType([*kept.schema.fields, *(StructField(k, BooleanType() if k == "round_trip" else LongType()) for k in result), *([StructField("piece_ids", BinaryType())] if ids_out else []), *([StructField("decoded", StringType())] if text_out else [])])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, trie = shared.value
@@ -215,7 +219,7 @@ def encode_decode(documents: DataFrame, model_file: str, text_col: str = "text",
         model = Unigram(own, trie)
         is_byte = np.zeros(own.size, bool)
         is_byte[own.byte_ids] = True
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             ids = model.encode(texts)
             back = [model.decode(x) for x in ids]
@@ -226,7 +230,30 @@ def encode_decode(documents: DataFrame, model_file: str, text_col: str = "text",
                 "decoded_chars": [len(x) for x in back],
                 "round_trip": [x == t.replace(MARK, " ") for x, t in zip(back, texts, strict=True)],
             }
-            more = [pa.array(found[k], t) for k, t in result.items()] + ([pa.array(ids, pa.binary())] if ids_out else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *result, *(["piece_ids"] if ids_out else [])])
+            more = [pa.array(found[k], t) for k, t in result.items()] + [pa.array(ids, pa.binary())] * ids_out + [pa.array(back, pa.string())] * text_out
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *result, *["piece_ids"] * ids_out, *["decoded"] * text_out])
 
     return kept.mapInArrow(work, schema)
+
+
+def decode_ids(rows: DataFrame, model_file: str, ids_col: str = "piece_ids") -> DataFrame:
+    """``rows`` with ``decoded``: the text of the ids in a binary column, as ``encode_decode`` writes them.
+
+    Null ids give null, none an empty text; an id outside the vocabulary stands for
+    nothing. A column of the result's name is replaced; repeated rows stay.
+    """
+    spark = rows.sparkSession
+    vocabulary = load_vocabulary(model_file)
+    shared = spark.sparkContext.broadcast(((vocabulary.pieces, vocabulary.byte_ids, vocabulary.size), build_trie([p for _, p, _ in vocabulary.pieces])))  # as large as the vocabulary
+    kept = rows.drop("decoded")
+    at = kept.columns.index(ids_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, trie = shared.value
+        own = Vocabulary(*held)
+        model = Unigram(own, trie)
+        for batch in batches:
+            found = [None if x is None else model.decode((a := np.frombuffer(x, "<u4"))[a < own.size].tobytes()) for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "decoded"])
+
+    return kept.mapInArrow(work, StructType([*kept.schema.fields, StructField("decoded", StringType())]))

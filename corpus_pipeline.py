@@ -5,7 +5,7 @@
    left goes with them;
 3. n-gram Jaccard join: of each class of near copies the first document stays;
 4. benchmark decontamination: documents that hold a benchmark item go;
-5. SentencePiece: the texts are encoded and decoded.
+5. SentencePiece: the texts are encoded and decoded; the ids are kept.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), ids_out=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

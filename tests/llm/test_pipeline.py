@@ -34,3 +34,6 @@ def test_pipeline(spark):
     assert {r.doc_id for r in last} == {r.doc_id for r in kept} and all(r.round_trip for r in last)
     assert 0.7 * len(before) < len(kept) < len(before)
     assert all(set(r.text.split("\n")) <= set(before[r.doc_id].split("\n")) for r in kept)
+    words = lambda t: (t or "").replace("\n", " ").strip(" ")
+    assert all(words(r.text) or not words(before[r.doc_id]) for r in kept)  # none has lost all its words
+    assert all(len(r.piece_ids) == 4 * r.n_pieces for r in last)

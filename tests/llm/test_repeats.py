@@ -7,7 +7,7 @@ import re
 
 import public_tokenizers
 
-from camwatch.llm import decontam, token_store, topk_search, warc
+from camwatch.llm import decontam, token_store, topk_search, unigram, warc
 from camwatch.llm.common import scratch
 
 
@@ -54,3 +54,13 @@ def test_topk_of_repeats_and_large_components(spark):
     got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.top_k(df).collect()}
     big = topk_search.LARGEST
     assert got == {(1, 1, 3, big * 64 + 128 * 128), (1, 2, 2, 128 * 128 - big * big), (2, 1, 3, 128 * 128 - big * 64), (2, 2, 1, 128 * 128 - big * big), (3, 1, 1, big * 64 + 128 * 128), (3, 2, 2, 128 * 128 - big * 64)}
+
+
+def test_stored_ids_decode(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(1, "some words, ñandú 😀", "a"), (1, "some words, ñandú 😀", "a"), (None, None, "b"), (2, "", "c"), (3, "long " * 20_000, "d")]
+    ids = unigram.encode_decode(spark.createDataFrame(rows, "doc_id long, text string, decoded string"), path, ids_out=True, text_out=True)
+    got = unigram.decode_ids(ids.withColumn("wanted", ids["decoded"]), path).collect()
+    assert len(got) == 5 and all(r.decoded == r.wanted == (r.text or "") and r.round_trip for r in got)
+    odd = spark.createDataFrame([(None,), (b"",), ((2**31).to_bytes(4, "little"),)], "piece_ids binary")
+    assert sorted((r.decoded is None, r.decoded or "") for r in unigram.decode_ids(odd, path).collect()) == [(False, ""), (False, ""), (True, "")]
