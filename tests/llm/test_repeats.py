@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 
 import public_tokenizers
+import pytest
 
 from camwatch.llm import decontam, token_store, topk_search, unigram, warc
 from camwatch.llm.common import scratch
@@ -48,12 +51,31 @@ def test_token_files_of_null_and_repeated_ids(spark):
         assert len({r.ids_crc32 for r in got if r.doc_id == 4}) == 2
 
 
-def test_topk_of_repeats_and_large_components(spark):
-    rows = [(1, [1e30, 0.5], 1), (2, [-1e30, 0.5], 1), (3, [0.25, 0.5], 1), (3, [0.25, 0.5], 1), (3, [0.5, 0.5], 2), (None, [1.0, 1.0], 3)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
-    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.top_k(df).collect()}
-    big = topk_search.LARGEST
-    assert got == {(1, 1, 3, big * 64 + 128 * 128), (1, 2, 2, 128 * 128 - big * big), (2, 1, 3, 128 * 128 - big * 64), (2, 2, 1, 128 * 128 - big * big), (3, 1, 1, big * 64 + 128 * 128), (3, 2, 2, 128 * 128 - big * 64)}
+def exact_topk(rows, k):
+    """Each row's k best others of another id, with Python's whole numbers."""
+    known = [(i, [math.floor(256 * x) for x in e]) for i, e, *_ in rows if i is not None]
+    out = []
+    for i, a in known:
+        best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), j) for j, b in known if j != i)[:k]
+        out += [(i, rank, j, -score) for rank, (score, j) in enumerate(best, 1)]
+    return sorted(out)
+
+
+def test_topk_counts_every_row_and_large_components(spark):
+    schema = "vec_id long, embedding array<double>, score int"
+    rng = random.Random(5)
+    few = [[0.25, 0.5], [0.5, 0.5], [1e6, -3e5], [-1e6, 0.5], [300000.0, 400000.0]]
+    tables = [
+        [(50, [1.0, 0.0], 1), (1, [0.5, 0.0], 1), (1, [0.25, 0.0], 1)],
+        [(50, [300000.0, 0.0], 1), (1, [300000.0, 1.0], 1), (2, [400000.0, 0.0], 1), (None, [1.0, 1.0], 3)],
+        [(rng.randint(0, 9), rng.choice(few), 0) for _ in range(60)],
+        [(7, [1.0, 2.0], 0)] * 9 + [(8, [1.0, 2.0], 0)] * 2 + [(9, [3.0, 2.0], 0)],
+    ]
+    for rows in tables:
+        got = topk_search.top_k(spark.createDataFrame(rows, schema)).collect()
+        assert sorted(tuple(r) for r in got) == exact_topk(rows, 5)
+    with pytest.raises(ValueError, match="64 bits"):
+        topk_search.top_k(spark.createDataFrame([(1, [1e30], 1), (2, [1.0], 1)], schema))
 
 
 def test_stored_ids_decode(spark):
