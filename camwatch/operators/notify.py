@@ -13,6 +13,7 @@ from pyspark.sql.types import BooleanType, LongType, StringType, StructField, St
 
 from camwatch.functions.scalars import deep_link, default_title, first_truthy, is_critical, player_url, push_priority
 from camwatch.operators.incidents import assign_incidents
+from camwatch.operators.segments import cut_where_idle
 
 
 def clear_previous_tag(sent: DataFrame, by: str = "site_id") -> DataFrame:
@@ -64,80 +65,147 @@ def rolling_frame_cap(requests: DataFrame, cap: int = 200, window_s: int = 3600,
     return rows.mapInPandas(judge, StructType([*requests.schema.fields, StructField("admitted", BooleanType())]))
 
 
-def rate_limit(requests: DataFrame, most: int = 2, window_s: int = 5, queue: int = 10, by: str = "site_id") -> DataFrame:
-    """``outcome``: sent, queued (sent later), overflow (found the queue full, cleared it and is told once) or dropped (in a queue so cleared); ``sent_us``.
-
-    A request goes out at once if fewer than ``most`` went out within the last
-    ``window_s`` seconds, also while others wait; else it waits. Waiting ones go out one
-    a second as the window allows. One more than ``queue`` waiting clears the queue, but
-    not again until a drain leaves fewer than ``queue``: until then the queue grows.
-    """
-    rows = requests.repartition(by).sortWithinPartitions(by, "ts_us", "request_id")
-    return rows.mapInPandas(lambda parts: limit_batches(parts, most, window_s, queue, by), StructType([*rows.schema.fields, StructField("outcome", StringType()), StructField("sent_us", LongType())]))
-
-
 class RateLimit:
-    """The state of one key: what was sent within the window, and what waits. Rows are given back once their outcome is known."""
+    """The state of one key: what was sent within the window, and what waits. Items come back with their outcome once it is known."""
 
-    def __init__(self, most: int, window_s: int, queue: int):
+    def __init__(self, most: int, window_s: int, queue: int, told: bool = False):
         self.most, self.win, self.queue = most, window_s * 1_000_000, queue
         self.sent: deque[int] = deque()
-        self.waiting: deque[dict] = deque()
-        self.told, self.clock = False, 0
+        self.waiting: deque = deque()
+        self.told, self.clock = told, 0
 
     def free(self, now: int) -> bool:
         while self.sent and self.sent[0] <= now - self.win:
             self.sent.popleft()
         return len(self.sent) < self.most
 
-    def drain(self, until: int | None = None) -> Iterator[dict]:
+    def drain(self, until: int | None = None) -> Iterator[tuple]:
         """What goes out of the queue up to a time, one a second; all of it if there is no end."""
         while self.waiting and (until is None or self.clock + 1_000_000 <= until):
             self.clock += 1_000_000
             if self.free(self.clock):
-                yield self.waiting.popleft() | {"outcome": "queued", "sent_us": self.clock}
+                yield self.waiting.popleft(), "queued", self.clock
                 self.sent.append(self.clock)
                 self.told = self.told and len(self.waiting) >= self.queue
 
-    def see(self, r: dict) -> Iterator[dict]:
-        now = r["ts_us"]
+    def see(self, now: int, item) -> Iterator[tuple]:
         yield from self.drain(now)
         if self.free(now):
             self.sent.append(now)
-            yield r | {"outcome": "sent", "sent_us": now}
+            yield item, "sent", now
             return
         if not self.waiting:
             self.clock = now
         if self.told or len(self.waiting) < self.queue:
-            self.waiting.append(r)
+            self.waiting.append(item)
             return
-        yield from (q | {"outcome": "dropped", "sent_us": None} for q in self.waiting)
+        yield from ((q, "dropped", None) for q in self.waiting)
         self.waiting.clear()
-        yield r | {"outcome": "overflow", "sent_us": now}
+        yield item, "overflow", now
         self.told = True
 
 
-def limit_batches(parts: Iterator[pd.DataFrame], most: int, window_s: int, queue: int, by: str) -> Iterator[pd.DataFrame]:
-    """Judge sorted batches; after each, only what still waits is kept."""
+#: Outcome and time, if a segment begins with no overflow told, and if it begins with one.
+BOTH = [StructField(n, k) for v in ("if_not", "if_told") for n, k in ((f"outcome_{v}", StringType()), (f"sent_{v}", LongType()))]
+
+
+def judge_segments(parts: Iterator[pd.DataFrame], by: str, make: Callable[[bool], RateLimit], flags: bool) -> Iterator[pd.DataFrame]:
+    """Judge batches sorted by key, segment and time, each segment twice: with ``told`` off and on.
 
-    def frame(rows: list[dict]) -> pd.DataFrame:
-        out = pd.DataFrame(rows)
-        out["sent_us"] = pd.array([r["sent_us"] for r in rows], "Int64")
-        return out
+    Rows come with both outcomes, once both are known: only what still waits is held.
+    With ``flags`` a row comes for each segment instead: what ``told`` is after it.
+    """
+    at, rules, half = None, [], ({}, {})
+
+    def step(v: int, found: Iterator[tuple]) -> Iterator[tuple]:
+        for item, outcome, sent in found:
+            if (other := half[1 - v].pop(item, None)) is None:
+                half[v][item] = outcome, sent
+            else:
+                yield (*item, *(other + (outcome, sent) if v else (outcome, sent) + other))
+
+    def end() -> Iterator[tuple]:
+        for v, rule in enumerate(rules):
+            yield from step(v, rule.drain())
 
-    key, rule = None, None
     for part in parts:
-        out: list[dict] = []
-        for r in part.to_dict("records"):
-            if rule is None or r[by] != key:
-                if rule:
-                    out += rule.drain()
-                key, rule = r[by], RateLimit(most, window_s, queue)
-            out += rule.see(r)
+        out: list[tuple] = []
+        columns = list(part.columns)
+        k, s, t = (columns.index(c) for c in (by, "segment", "ts_us"))
+        for n, row in enumerate(part.itertuples(index=False, name=None)):
+            if at is None or (row[k], row[s]) != at[:2]:
+                known = list(end())
+                out += [(*at[:2], *(r.told for r in rules))] if flags and at else [] if flags else known
+                at, rules = (row[k], row[s], 0), [make(False), make(True)]
+            at = (*at[:2], at[2] + 1)
+            known = [x for v, rule in enumerate(rules) for x in step(v, rule.see(row[t], (at[2], *row)))]
+            out += [] if flags else known
         if out:
-            yield frame(out)
-    if rule and (out := list(rule.drain())):
-        yield frame(out)
+            yield _judged(out, columns, by, flags)
+    if at is not None:
+        known = list(end())
+        if out := [(*at[:2], *(r.told for r in rules))] if flags else known:
+            yield _judged(out, columns, by, flags)
+
+
+def _judged(rows: list[tuple], columns: list[str], by: str, flags: bool) -> pd.DataFrame:
+    if flags:
+        return pd.DataFrame(rows, columns=[by, "segment", "after_not", "after_told"])
+    out = pd.DataFrame(rows, columns=["__n", *columns, *(f.name for f in BOTH)]).drop(columns="__n")
+    return out.astype({f.name: "Int64" for f in BOTH if f.name.startswith("sent")})
+
+
+def composed(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """``before_not``, ``before_told``: the flag before a row if the first row of its group began with it off, or on.
+
+    Each row maps the flag: ``after_not`` and ``after_told`` are what it makes of off and
+    on. A row that makes the same of both fixes the flag; after the last such row only
+    turns count. So no fold is needed: the last fixing row and a count of turns.
+    """
+    w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    turns = F.coalesce(F.sum((F.col("after_not") & ~F.col("after_told")).cast("int")).over(w), F.lit(0))
+    fixing = F.when(F.col("after_not") == F.col("after_told"), F.struct(F.col("after_not").alias("flag"), F.col("__turns").alias("turns")))
+    at = rows.withColumn("__turns", turns).withColumn("__fixed", F.last(fixing, ignorenulls=True).over(w))
+    odd = (F.col("__turns") - F.coalesce("__fixed.turns", F.lit(0))) % 2 == 1
+    before = {f"before_{v}": F.coalesce("__fixed.flag", F.lit(v == "told")) != odd for v in ("not", "told")}
+    return at.withColumns(before).drop("__turns", "__fixed")
+
+
+def rate_limit(requests: DataFrame, most: int = 2, window_s: int = 5, queue: int = 10, by: str = "site_id") -> DataFrame:
+    """``outcome``: sent, queued (sent later), overflow (found the queue full, cleared it and is told once) or dropped (in a queue so cleared); ``sent_us``.
+
+    A request goes out at once if fewer than ``most`` went out within the last
+    ``window_s`` seconds, also while others wait; else it waits. Waiting ones go out one
+    a second as the window allows. One more than ``queue`` waiting clears the queue, but
+    not again until a drain leaves fewer than ``queue``: until then the queue grows.
+    Rows without a key or a time have no outcome.
+
+    A key is cut where window and queue are provably empty: while something waits, the
+    next but ``most`` goes out at most window_s + 1 seconds after one, so that n requests
+    are through n / most times as long after the busy time began, and twice that for its
+    beginning and end. Over such a cut goes only
+    whether an overflow has been told and not drained. So each segment is judged for both
+    cases, what it makes of the flag is composed over segments (in a day, then over days),
+    and the right case is picked. A task holds what waits in one segment.
+    """
+    turn = (window_s + 1) * 1_000_000
+    cost, drained = -(-turn // most), 2 * turn
+    known = F.col(by).isNotNull() & F.col("ts_us").isNotNull()
+    cut = cut_where_idle(requests.filter(known), by, "ts_us", ["request_id"], F.col("ts_us") + F.lit(cost + drained + window_s * 1_000_000), cost)
+    cut = cut.repartition(by, "segment").sortWithinPartitions(by, "segment", "ts_us", "request_id")
+    make = lambda told: RateLimit(most, window_s, queue, told)
+    judged = cut.mapInPandas(lambda parts: judge_segments(parts, by, make, False), StructType([*cut.schema.fields, *BOTH]))
+    light = cut.select(by, "segment", "ts_us", "request_id")
+    after = light.mapInPandas(lambda parts: judge_segments(parts, by, make, True), StructType([cut.schema[by], cut.schema["segment"], *(StructField(f"after_{v}", BooleanType()) for v in ("not", "told"))]))
+    in_day = composed(after.withColumn("__day", F.floor(F.col("segment") / 86_400_000_000)), [by, "__day"], "segment")
+    last = F.struct(F.when(F.col("before_not"), F.col("after_told")).otherwise(F.col("after_not")).alias("n"), F.when(F.col("before_told"), F.col("after_told")).otherwise(F.col("after_not")).alias("t"))
+    days = in_day.groupBy(by, "__day").agg(F.max_by(last, "segment").alias("x")).select(by, "__day", F.col("x.n").alias("after_not"), F.col("x.t").alias("after_told"))
+    days = composed(days, [by], "__day").select(by, "__day", F.col("before_not").alias("__told"))
+    flag = in_day.join(days, [by, "__day"]).select(by, "segment", F.when(F.col("__told"), F.col("before_told")).otherwise(F.col("before_not")).alias("__flag"))
+    picked = judged.join(flag, [by, "segment"]).select(
+        *requests.columns, *(F.when(F.col("__flag"), F.col(f"{c}_if_told")).otherwise(F.col(f"{c}_if_not")).alias(a) for c, a in (("outcome", "outcome"), ("sent", "sent_us")))
+    )
+    return picked.unionByName(requests.filter(~known), allowMissingColumns=True)
 
 
 def dispatch_label(status: Column, results: Column) -> Column:

@@ -12,6 +12,7 @@ from camwatch.operators import joins as J
 from camwatch.operators import notify as N
 from camwatch.operators import reports as R
 from camwatch.operators import store as T
+from camwatch.operators.closing import exact_incidents, short_long
 from camwatch.plans import feed as D
 from camwatch.plans.registry import query
 
@@ -378,9 +379,19 @@ def w20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.rolling_frame_cap(r, 200, 3600).select("request_id", "admitted")
 
 
-@query("w21_rate_limit")
+# a step is a second of the queue's clock or the next request, whichever comes first
+@query("w21_rate_limit", f"""{D.with_('feed', recursive=True)}, r as (select site_id, start_us // 400 as ts, event_id, row_number() over (partition by site_id order by start_us // 400, event_id) as n from feed),
+    f as (select distinct site_id, 0::bigint as n, []::bigint[] as sent, []::bigint[] as waiting, false as told, 0::bigint as clock, []::struct(id bigint, what varchar, sent bigint)[] as e from r
+    union all select site_id, if(tick, n, n + 1), if(goes, list_append(near, now), near),
+        if(tick, if(goes, waiting[2:], waiting), if(goes, waiting, if(waits, list_append(waiting, event_id), []))),
+        if(tick, told and (not goes or len(waiting) > 10), told or not (goes or waits)), if(tick or (not goes and len(waiting) = 0), now, clock),
+        if(goes, [struct_pack(id := if(tick, waiting[1], event_id), what := if(tick, 'queued', 'sent'), sent := now)],
+            if(tick or waits, [], list_append(list_transform(waiting, lambda x: struct_pack(id := x, what := 'dropped', sent := null::bigint)), struct_pack(id := event_id, what := 'overflow', sent := now))))
+    from (select *, len(near) < 2 as goes, told or len(waiting) < 10 as waits from (select *, list_filter(sent, lambda x: x > now - 5000000) as near
+    from (select f.*, r.event_id, len(waiting) > 0 and (r.ts is null or clock + 1000000 <= r.ts) as tick, if(tick, clock + 1000000, r.ts) as now from f left join r on r.site_id = f.site_id and r.n = f.n + 1) where now is not null)))
+    select x.id as request_id, x.what as outcome, x.sent as sent_us from (select unnest(e) as x from f)""")
 def w21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = D.feed(spark, sf_dir).select("site_id", (C("start_us") / 400).cast("long").alias("ts_us"), C("event_id").alias("request_id"))
+    r = D.feed(spark, sf_dir).select("site_id", F.expr("start_us div 400").alias("ts_us"), C("event_id").alias("request_id"))
     return N.rate_limit(r).select("request_id", "outcome", "sent_us")
 
 
@@ -463,10 +474,39 @@ def u1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.fan_out(n, {"hub": lambda d: d.select("notification_id", F.lit("sent").alias("status"), C("label").alias("message")), "push": lambda d: d.select("notification_id", F.when(C("k") % 2 == 0, "sent").otherwise("skipped").alias("status"), C("camera").alias("message"))})
 
 
-@query("t4_incidents_exact")
+MESSAGES = """m as (select *, row_number() over (partition by site_id order by ts, late, e) as n from (
+        select site_id, start_us as ts, 0 as late, cast(event_id as varchar) as e, camera as cam, label as lab from feed union all select site_id, end_us, 1, cast(event_id as varchar), camera, label from feed where ended))"""
+INCIDENT = "struct(no bigint, s bigint, l bigint, d bigint, ids varchar[], cams varchar[], labs varchar[], p varchar, pc varchar, x boolean)"
+
+# a step is a message: what is due closes, then a start joins the active incident or opens one, or an end changes its event's
+CLOSING = f"""{D.with_('feed', recursive=True)}, {MESSAGES},
+    f as (select distinct site_id, 0::bigint as n, null::bigint as act, []::{INCIDENT}[] as inc, []::struct(e varchar, no bigint, s bigint)[] as op, []::{INCIDENT}[] as closed, null::varchar as ended, null::bigint as upto, null::varchar as what, null::{INCIDENT} as mine from m
+    union all select site_id, n + 1, if(begins, coalesce(joins, n + 1), if(list_contains(list_transform(rest, lambda i: i.no), act), act, null)), if(begins and joins is null,
+            list_append(rest, struct_pack(no := n + 1, s := ts, l := ts, d := null::bigint, ids := [e], cams := [cam], labs := if(lab is null, []::varchar[], [lab]), p := e, pc := cam, x := false)), rest),
+        if(begins, list_append(op, struct_pack(e := e, no := coalesce(joins, n + 1), s := ts)), list_filter(op, lambda y: y.e <> e)), fired,
+        if(o is not null, e, null), ts, if(o is null, null, if(short, 'discarded', if(long, 'canceled', 'kept'))), if(o is null, null, list_filter(changed, lambda i: i.no = o.no)[1])
+    from (select *, list_filter(changed, lambda i: len(i.ids) > 0) as rest from (select *, list_transform(keep, lambda i: if(i.no is distinct from if(begins, joins, o.no), i, struct_pack(no := i.no, s := i.s, l := if(short, i.l, ts),
+            d := if(begins or short, i.d, ts + 120000000), ids := if(begins, list_append(i.ids, e), if(short, list_filter(i.ids, lambda z: z <> e), i.ids)), cams := if(begins and not list_contains(i.cams, cam), list_append(i.cams, cam), i.cams),
+            labs := if(begins and lab is not null and not list_contains(i.labs, lab), list_append(i.labs, lab), i.labs), p := if(short and i.p = e, list_filter(i.ids, lambda z: z <> e)[1], i.p), pc := if(short and i.p = e, i.cams[1], i.pc), x := i.x or long))) as changed
+    from (select *, late = 0 and not known as begins, if(ts - list_filter(keep, lambda i: i.no = act)[1].l < 120000000, act, null) as joins, late = 1 and o is not null and ts - o.s < 5000000 as short, late = 1 and o is not null and ts - o.s >= 120000000 as long
+    from (select * exclude (late), coalesce(late, 2) as late, list_contains(list_transform(op, lambda y: y.e), e) or len(list_filter(keep, lambda i: list_contains(i.ids, e))) > 0 as known, if(late = 1, list_filter(op, lambda y: y.e = e)[1], null) as o
+    from (select * exclude (op, act), list_filter(op, lambda y: list_contains(list_transform(keep, lambda i: i.no), y.no)) as op, if(list_contains(list_transform(keep, lambda i: i.no), act), act, null) as act
+    from (select *, list_filter(inc, lambda i: i.d is not null and (ts is null or i.d <= ts)) as fired, list_filter(inc, lambda i: i.d is null or i.d > ts) as keep
+    from (select f.site_id, f.n, f.act, f.inc, f.op, m.ts, m.late, m.e, m.cam, m.lab from f left join m on m.site_id = f.site_id and m.n = f.n + 1 where m.n is not null or exists (select 1 from m x where x.site_id = f.site_id and x.n = f.n)))))))))"""
+JOINED = "array_to_string(i.cams, ',') as cameras, array_to_string(i.labs, ',') as labels"
+
+
+def exact_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = D.feed(spark, sf_dir)
+    row = lambda kind, us: f.select("site_id", C(us).alias("ts_us"), F.lit(kind).alias("kind"), C("event_id").cast("string").alias("event_id"), "camera", "label", "ended")
+    return row("new", "start_us").union(row("end", "end_us").filter("ended")).drop("ended")
+
+
+@query("t4_incidents_exact", f"""{CLOSING} select site_id, i.s as start_us, i.d as close_us, len(i.ids) as n_events, i.p as primary_event, i.pc as primary_camera, {JOINED}, i.x as canceled from (select site_id, unnest(closed) as i from f)""")
 def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from camwatch.streaming.streams import exact_incidents
+    return exact_incidents(exact_messages(spark, sf_dir))
 
-    f = D.feed(spark, sf_dir)
-    row = lambda kind, us: f.select("site_id", (C(us) / 1_000_000.0).alias("ts_s"), F.lit(kind).alias("kind"), C("event_id").cast("string").alias("event_id"), "camera", "ended")
-    return exact_incidents(row("new", "start_us").union(row("end", "end_us").filter("ended")).drop("ended"))
+
+@query("t5_short_long", f"""{CLOSING} select site_id, ended as event_id, upto as ts_us, what as outcome, i.s as start_us, len(i.ids) as n_events, i.p as primary_event, i.pc as primary_camera, {JOINED} from (select *, mine as i from f where what is not null)""")
+def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return short_long(exact_messages(spark, sf_dir))

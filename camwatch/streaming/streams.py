@@ -41,12 +41,6 @@ def stream_first_per_key(events: DataFrame, keys: list[str], late: str = "1 hour
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_snooze(targets: DataFrame, snoozes: Callable[[], DataFrame], flag: str, path: str, checkpoint: str):
-    """Each batch of targets (target_id, ts_us, cameras) with ``suppressed``, by the snoozes as they are at that batch: the rule of ``suppress_snoozed``."""
-    judge = lambda df, _: suppress_snoozed(df, snoozes(), flag).write.mode("append").parquet(path)
-    return targets.writeStream.option("checkpointLocation", checkpoint).foreachBatch(judge).trigger(availableNow=True).start()
-
-
 def timeline_sink(entries: DataFrame, path: str, checkpoint: str, now: str):
     """Append each batch of entries to the timeline table."""
     from camwatch.sources.files import append_timeline
@@ -59,213 +53,6 @@ def _rows(parts: Iterator[pd.DataFrame], by: str = "ts") -> pd.DataFrame:
     return pd.concat(found).sort_values([by, "event_id"]) if found else pd.DataFrame()
 
 
-#: Frames that are remembered of an event.
-RING = 500
-
-
-def stream_event_state(messages: DataFrame, late: str = "10 minutes", keep_s: int = 3600) -> DataFrame:
-    """Per event its state after each batch: created by the first new or update, described, finalized, ended; forgotten an hour after its last message or when it is removed.
-
-    A message about an event that wasn't created is ignored, a second end too. The
-    text of a description and that of a review are kept apart. Of ``frame`` messages
-    the times of the last 500 are kept.
-    """
-    out = "event_id string, phase string, ai_description string, description string, ended boolean, frames int"
-
-    def step(key, parts, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        phase, told, text, ended, frames = state.get if state.exists else ("", "", "", False, "[]")
-        frames = json.loads(frames)
-        for m in _rows(parts).itertuples():
-            if m.type in ("new", "update") and not phase:
-                phase = "NEW"
-            elif not phase:
-                continue
-            elif m.type == "description":
-                phase, told = ("DESCRIBED" if phase == "NEW" else phase), m.text
-            elif m.type == "review":
-                phase, text = "FINALIZED", m.text
-            elif m.type == "frame":
-                frames = [*frames, m.ts.timestamp()][-RING:]
-            elif m.type == "end":
-                ended = True
-            elif m.type == "remove":
-                phase, told, text, ended, frames = "", "", "", False, []
-        if phase:
-            state.update((phase, told, text, ended, json.dumps(frames)))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + keep_s * 1000)
-            yield pd.DataFrame({"event_id": [key[0]], "phase": [phase], "ai_description": [told], "description": [text], "ended": [ended], "frames": [len(frames)]})
-        elif state.exists:
-            state.remove()
-
-    rows = messages.withWatermark("ts", late).groupBy("event_id")
-    return rows.applyInPandasWithState(step, out, "phase string, told string, text string, ended boolean, frames string", "update", GroupStateTimeout.EventTimeTimeout)
-
-
-class ExactIncidents:
-    """The close-timer rule for one site, over messages in order of time.
-
-    Only the end of a kept event arms or re-arms the timer; a start doesn't. When it
-    fires, the incident closes with its members, open ones too. Discarded members
-    leave the ids; a canceled end arms the timer as well unless ``close_canceled`` is off.
-    """
-
-    def __init__(self, gap_s: int, least_s: int = 5, most_s: int = 120, close_canceled: bool = True, held: dict | None = None):
-        self.gap, self.least, self.most, self.close_canceled = gap_s, least_s, most_s, close_canceled
-        self.held = held or {"starts": {}, "ids": [], "cameras": [], "start": None, "last": None, "due": None, "canceled": False}
-        self.closed: list[dict] = []
-
-    def close(self) -> None:
-        h = self.held
-        if h["ids"]:
-            self.closed.append({"start_s": h["start"], "close_s": h["due"], "n_events": len(h["ids"]), "cameras": ",".join(h["cameras"]), "canceled": h["canceled"]})
-        self.held = {"starts": {}, "ids": [], "cameras": [], "start": None, "last": None, "due": None, "canceled": False}
-
-    def at(self, now: float) -> None:
-        if self.held["due"] is not None and self.held["due"] <= now:
-            self.close()
-
-    def see(self, kind: str, event: str, camera: str, now: float) -> None:
-        self.at(now)
-        h = self.held
-        if kind == "end":
-            if event not in h["starts"]:
-                return  # unknown, or ended before
-            took = now - h["starts"].pop(event)
-            if took < self.least:
-                h["ids"].remove(event)
-                if not h["ids"]:
-                    self.close()
-                return
-            h["canceled"] |= took >= self.most
-            if took < self.most or self.close_canceled:
-                h["due"] = now + self.gap
-            return
-        if event in h["starts"] or event in h["ids"]:
-            return
-        if h["start"] is None:
-            h["start"] = now
-        h["starts"][event] = now
-        h["ids"].append(event)
-        h["last"] = now
-        if camera not in h["cameras"]:
-            h["cameras"].append(camera)
-
-
-CLOSED = "site_id long, start_s double, close_s double, n_events long, cameras string, canceled boolean"
-
-
-def exact_incidents(messages: DataFrame, gap_s: int = 120) -> DataFrame:
-    """Batch form: messages (site_id, ts_s, kind new or end, event_id, camera) to closed incidents; a started one that never ends doesn't close.
-
-    A site's messages are judged in order, streamed from sorted partitions.
-    """
-
-    rows = messages.repartition("site_id").sortWithinPartitions("site_id", "ts_s", F.col("kind") == "end", "event_id")
-    return rows.mapInPandas(lambda parts: incident_batches(parts, gap_s), CLOSED)
-
-
-def incident_batches(parts: Iterator[pd.DataFrame], gap_s: int) -> Iterator[pd.DataFrame]:
-    """Judge sorted batches; after each, only the open incident is kept."""
-    site, rule = None, None
-
-    def closed() -> list[dict]:
-        out, rule.closed = [c | {"site_id": site} for c in rule.closed], []
-        return out
-
-    for part in parts:
-        out: list[dict] = []
-        for r in part.itertuples():
-            if r.site_id != site:
-                if rule:
-                    rule.at(float("inf"))
-                    out += closed()
-                site, rule = r.site_id, ExactIncidents(gap_s)
-            rule.see(r.kind, r.event_id, r.camera, r.ts_s)
-        if rule:
-            out += closed()
-        if out:
-            yield pd.DataFrame(out)
-    if rule:
-        rule.at(float("inf"))
-        if out := closed():
-            yield pd.DataFrame(out)
-
-
-def stream_incidents_exact(messages: DataFrame, gap_s: int = 120, late: str = "10 minutes") -> DataFrame:
-    """Streaming form of ``exact_incidents`` with the incident's state as JSON; the timer fires when the watermark passes it."""
-
-    def step(key, parts, state: GroupState):
-        rule = ExactIncidents(gap_s, held=json.loads(state.get[0]) if state.exists else None)
-        for r in _rows(parts).itertuples():
-            rule.see(r.kind, r.event_id, r.camera, r.ts.timestamp())
-        rule.at(max(state.getCurrentWatermarkMs(), 0) / 1000)
-        state.update((json.dumps(rule.held),))
-        if rule.held["due"] is not None:
-            state.setTimeoutTimestamp(max(int(rule.held["due"] * 1000), state.getCurrentWatermarkMs() + 1))
-        if rule.closed:
-            yield pd.DataFrame([c | {"site_id": key[0]} for c in rule.closed])[[c.split()[0] for c in CLOSED.split(", ")]]
-
-    return messages.withWatermark("ts", late).groupBy("site_id").applyInPandasWithState(step, CLOSED, "held string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def stream_frame_cap(requests: DataFrame, cap: int = 200, window_s: int = 3600, late: str = "10 minutes") -> DataFrame:
-    """``admitted`` per request (site_id, ts, event_id, frames): the rolling cap with the admitted ones of one window as state."""
-    out = "site_id long, event_id string, admitted boolean"
-
-    def step(key, parts, state: GroupState):
-        held = [tuple(x) for x in json.loads(state.get[0])] if state.exists else []
-        result = []
-        for r in _rows(parts).itertuples():
-            now = r.ts.timestamp()
-            held = [(t, n) for t, n in held if t >= now - window_s]
-            ok = sum(n for _, n in held) + r.frames <= cap
-            if ok:
-                held.append((now, int(r.frames)))
-            result.append((key[0], r.event_id, ok))
-        state.update((json.dumps(held),))
-        if result:
-            yield pd.DataFrame(result, columns=["site_id", "event_id", "admitted"])
-
-    return requests.withWatermark("ts", late).groupBy("site_id").applyInPandasWithState(step, out, "held string", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_rate_limit(requests: DataFrame, most: int = 2, window_s: int = 5, queue: int = 10, late: str = "10 minutes") -> DataFrame:
-    """``outcome`` at arrival: sent, queued or overflow, by the rule of ``rate_limit``. What waits is counted and drains one a second as the window allows."""
-    out, second = "site_id long, event_id string, outcome string", 1_000_000
-
-    def step(key, parts, state: GroupState):
-        held = json.loads(state.get[0]) if state.exists else {"sent": [], "waiting": 0, "clock": 0, "told": False}
-        result = []
-        for r in _rows(parts).itertuples():
-            now = r.ts.value // 1000  # whole microseconds
-            while held["waiting"] and held["clock"] + second <= now:
-                held["clock"] += second
-                if sum(t > held["clock"] - window_s * second for t in held["sent"]) < most:
-                    held["sent"].append(held["clock"])
-                    held["waiting"] -= 1
-                    held["told"] = held["told"] and held["waiting"] >= queue
-            held["sent"] = [t for t in held["sent"] if t > now - window_s * second]
-            if len(held["sent"]) < most:
-                held["sent"].append(now)
-                what = "sent"
-            elif held["told"] or held["waiting"] < queue:
-                held["clock"] = held["clock"] if held["waiting"] else now
-                held["waiting"] += 1
-                what = "queued"
-            else:
-                what = "overflow"
-                held["waiting"], held["told"] = 0, True
-            result.append((key[0], r.event_id, what))
-        state.update((json.dumps(held),))
-        if result:
-            yield pd.DataFrame(result, columns=["site_id", "event_id", "outcome"])
-
-    return requests.withWatermark("ts", late).groupBy("site_id").applyInPandasWithState(step, out, "held string", "append", GroupStateTimeout.NoTimeout)
-
-
 def delayed_trigger(events: DataFrame, delay_s: int = 5, late: str = "1 minute") -> DataFrame:
     """The event id once, ``delay_s`` after its start, if it hasn't ended by then."""
 

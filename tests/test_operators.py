@@ -6,6 +6,7 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
+from camwatch.operators import closing as K
 from camwatch.operators import filters as P
 from camwatch.operators import incidents as I
 from camwatch.operators import joins as J
@@ -13,7 +14,6 @@ from camwatch.operators import notify as N
 from camwatch.operators import reports as R
 from camwatch.operators import store as S
 from camwatch.operators import timeline as L
-from camwatch.streaming import streams as T
 
 
 def test_asof_ties_go_to_the_earlier(spark):
@@ -182,13 +182,13 @@ def test_rate_limit_and_incidents_give_rows_while_a_site_goes_on():
             read.append(k)
             yield make(k)
 
-    requests = lambda k: pd.DataFrame({"site_id": 1, "ts_us": [k * 10_000_000 + j for j in range(14)], "request_id": [k * 14 + j for j in range(14)]})
-    first = next(N.limit_batches(batches(requests), 2, 5, 10, "site_id"))
-    assert read == [0] and len(first) == 13  # one waits
+    requests = lambda k: pd.DataFrame({"site_id": 1, "segment": 0, "ts_us": [k * 10_000_000 + j for j in range(14)], "request_id": [k * 14 + j for j in range(14)]})
+    first = next(N.judge_segments(batches(requests), "site_id", lambda told: N.RateLimit(2, 5, 10, told), False))
+    assert read == [0] and len(first) == 2  # one waits if nothing was told, twelve do if it was
     read.clear()
-    messages = lambda k: pd.DataFrame({"site_id": 1, "ts_s": [k * 1000.0, k * 1000 + 60.0], "kind": ["new", "end"], "event_id": f"e{k}", "camera": "a"})
-    closed = next(T.incident_batches(batches(messages), 120))
-    assert read == [0, 1] and closed.close_s.tolist() == [180.0]
+    messages = lambda k: pd.DataFrame({"site_id": 1, "segment": 0, "ts_us": [k * 1_000_000_000, k * 1_000_000_000 + 60_000_000], "kind": ["new", "end"], "event_id": f"e{k}", "camera": "a", "label": None})
+    closed = next(K.judge(batches(messages), 120, {}, False))
+    assert read == [0, 1] and closed.close_us.tolist() == [180_000_000]
 
 
 def test_snooze_needs_every_camera(spark):
