@@ -37,11 +37,12 @@ def crop_at(slices: DataFrame, sidecar: DataFrame, time: str, width: int = 1920,
     Its size is such that the padded box of all detections fills ``percent`` of it,
     in the target's shape, and from 0.4 to 1 of each side of the frame. It is the
     target size, scaled into smaller frames, if ``percent`` is 0 or the box is empty.
-    Without an entry or detections the crop is around the middle of the frame.
+    Without an entry or detections the crop is around the middle of the frame. An
+    incident's camera has a bounded number of entries, and is not cut by time.
     """
     entries = entry_boxes(sidecar).withColumn("t", F.col("t").cast("double"))
     left = slices.withColumn("t", F.col(time).cast("double"))
-    held = asof_hold(left, entries, ["incident_id", "camera"], "t", F.col("n") > 0)
+    held = asof_hold(left, entries, ["incident_id", "camera"], "t", F.col("n") > 0, cell=None)
     cx, cy = F.coalesce(F.col("entry.cx"), F.lit(width / 2.0)), F.coalesce(F.col("entry.cy"), F.lit(height / 2.0))
     x1, y1, x2, y2 = F.least(F.col("entry.x1"), F.lit(width)), F.least(F.col("entry.y1"), F.lit(height)), F.greatest(F.col("entry.x2"), F.lit(0)), F.greatest(F.col("entry.y2"), F.lit(0))
     area = content_box(x1, y1, x2, y2, F.lit(width), F.lit(height))["area"]
@@ -56,6 +57,26 @@ def crop_at(slices: DataFrame, sidecar: DataFrame, time: str, width: int = 1920,
     return held.withColumns({"x": into_frame("cx", "w", width), "y": into_frame("cy", "h", height)}).drop("entry", "t", "cx", "cy")
 
 
+def _by_incident(slices: DataFrame, sidecar: DataFrame, **sizes: int) -> DataFrame:
+    """incident_id, p: an incident's slices in order as structs of row, s and e, the crops at both ends; both ask in one pass."""
+    ends = F.explode(F.array(*(F.struct(F.lit(e).alias("e"), F.col(c).cast("double").alias("at")) for e, c in ((False, "start_sec"), (True, "end_sec")))))
+    asks = slices.select("incident_id", "camera", F.struct(*slices.columns).alias("row"), ends.alias("ask")).select("incident_id", "camera", "row", "ask.e", "ask.at")
+    each = crop_at(asks, sidecar, "at", **sizes)
+    both = each.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct(F.col("row.idx").alias("idx"), "e", F.struct("x", "y", "w", "h").alias("crop"), "row"))).alias("a"))
+    pair = lambda i: F.struct(F.get("a", i)["row"].alias("row"), F.get("a", i)["crop"].alias("s"), F.get("a", i + 1)["crop"].alias("e"))
+    return both.select("incident_id", F.transform(F.sequence(F.lit(0), F.size("a") - 2, F.lit(2)), pair).alias("p"))
+
+
+def _flat(rows: DataFrame, p: Column) -> DataFrame:
+    crops = [F.col(f"z.{k}.{c}").alias(f"{side}_{c}") for k, side in (("s", "start"), ("e", "end")) for c in "xywh"]
+    return rows.select(F.explode(p).alias("z")).select("z.row.*", *crops)
+
+
+def crop_ends(slices: DataFrame, sidecar: DataFrame, **sizes: int) -> DataFrame:
+    """Slices (incident_id, idx, camera, start_sec, end_sec, others) with the crop of ``crop_at`` at each end: start_x to end_h. ``idx`` is unique in an incident."""
+    return _flat(_by_incident(slices, sidecar, **sizes), F.col("p"))
+
+
 def quality_join(slices: DataFrame, sidecar: DataFrame) -> DataFrame:
     """``quality`` of each slice: ``no entries`` if its camera has none, ``no detections`` if the entry nearest to its start or end is empty, else ``ok``.
 
@@ -151,15 +172,74 @@ def smooth_centers(slices: DataFrame, alpha: float = 0.3, width: int = 1920, hei
     return z.select(F.explode(F.arrays_zip("p", "s")).alias("z")).select("z.p.row.*", F.col("z.s.sx").alias(f"{crop}sx"), F.col("z.s.sy").alias(f"{crop}sy"))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _smoothed(p: Column, width: int, height: int, target_w: int, target_h: int, zoom_alpha: float = 0.25, alpha: float = 0.3) -> Column:
+    """The slices of an incident with their final crops, by one fold: what goes on from a slice to the next is, for each end, the zoom and the center."""
+    area, shape = float(width * height), target_w / target_h
+    camera = lambda x: x["row"]["camera"]
+    # the end crop is the start crop on the last slice before a change of camera
+    held = F.transform(p, lambda x, i: F.struct(x["row"].alias("row"), x["s"].alias("s"), F.when(camera(F.get(p, i + 1)) != camera(x), x["s"]).otherwise(x["e"]).alias("e")))
+
+    def sized(v: Column, full: int) -> Column:
+        return F.greatest(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(full), F.sqrt(v).cast("int"))).bitwiseAND(-2))
+
+    def at(c: Column, new: Column, x: str, w: str, full: int) -> Column:
+        """Center of the resized crop, shifted into the frame."""
+        return F.greatest(F.lit(0), F.least((c[x] + c[w] / 2.0 - new[w] / 2.0).cast("int"), F.lit(full) - new[w])) + new[w] / 2.0
+
+    def within(center: Column, size: Column, full: int) -> Column:
+        return F.greatest(size / 2.0, F.least(F.lit(float(full)) - size / 2.0, center))
+
+    def end(c: Column, last: Column, same: Column) -> Column:
+        raw = F.greatest(F.lit(LEAST_ZOOM), F.least(F.lit(1.0), F.sqrt(c["w"] * c["h"] / F.lit(area))))
+        zoom = F.when(same, F.lit(zoom_alpha) * raw + F.lit(1 - zoom_alpha) * last["zoom"]).otherwise(raw)
+        mixed = lambda v, old: F.when(same, F.lit(alpha) * v + F.lit(1 - alpha) * old).otherwise(v)
+        size = lambda z: F.struct(z.alias("zoom"), sized(z * z * F.lit(area) * F.lit(shape), width).alias("w"), sized(z * z * F.lit(area) / F.lit(shape), height).alias("h"))
+        center = lambda n: F.struct(n["zoom"].alias("zoom"), n["w"].alias("w"), n["h"].alias("h"), within(mixed(at(c, n, "x", "w", width), last["cx"]), n["w"], width).alias("cx"), within(mixed(at(c, n, "y", "h", height), last["cy"]), n["h"], height).alias("cy"))
+        return _let(_let(zoom, size), center)
+
+    def crop(n: Column) -> Column:
+        return F.struct((n["cx"] - n["w"] / 2.0).cast("int").alias("x"), (n["cy"] - n["h"] / 2.0).cast("int").alias("y"), n["w"].alias("w"), n["h"].alias("h"))
+
+    def step(acc: Column, x: Column) -> Column:
+        def go(last: Column) -> Column:
+            same = F.coalesce(camera(last) == camera(x), F.lit(False))
+            done = lambda b: F.struct(x["row"].alias("row"), b["s"].alias("ss"), b["e"].alias("se"), F.when(same, last["e"]).otherwise(crop(b["s"])).alias("s"), crop(b["e"]).alias("e"))
+            return _let(F.struct(end(x["s"], last["ss"], same).alias("s"), end(x["e"], last["se"], same).alias("e")), done)
+
+        return F.concat(acc, F.array(_let(F.try_element_at(acc, F.lit(-1)), go)))
+
+    return F.aggregate(held, F.transform(F.slice(held, 1, 0), _blank), step)
+
+
+def _blank(x: Column) -> Column:
+    """The type of a folded slice."""
+    state = F.struct(F.lit(0.0).alias("zoom"), F.lit(0).alias("w"), F.lit(0).alias("h"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"))
+    none = F.struct(*(F.lit(0).alias(c) for c in "xywh"))
+    return F.struct(x["row"].alias("row"), state.alias("ss"), state.alias("se"), none.alias("s"), none.alias("e"))
+
+
 def crop_path(slices: DataFrame, width: int = 1920, height: int = 1080, target_w: int = 960, target_h: int = 540) -> DataFrame:
-    """Slices with start and end crop (start_x to end_h): held at a run's end, zoom and centers smoothed, continuous within a run."""
-    s = hold_last_of_run(slices).withColumns({"frame_w": F.lit(width), "frame_h": F.lit(height)})
-    for crop in ("start_", "end_"):
-        s = resize(smooth_zoom(s, crop=crop), crop, target_w, target_h)
-    for crop in ("start_", "end_"):
-        s = smooth_centers(s, width=width, height=height, crop=crop)
-        s = s.withColumns({f"{crop}{c}": (F.col(f"{crop}s{c}") - F.col(f"{crop}{d}") / 2.0).cast("int") for c, d in ("xw", "yh")}).drop(f"{crop}sx", f"{crop}sy")
-    return continuity(s.drop("frame_w", "frame_h"))
+    """Slices with start and end crop (start_x to end_h): held at a run's end, zoom and centers smoothed, continuous within a run.
+
+    One fold over an incident's slices in order; ``idx`` is unique in an incident.
+    """
+    names = [f"{side}_{c}" for side in ("start", "end") for c in "xywh"]
+    row = F.struct(*(c for c in slices.columns if c not in names))
+    crop = lambda side: F.struct(*(F.col(f"{side}_{c}").cast("int").alias(c) for c in "xywh"))
+    one = F.struct("idx", F.struct(row.alias("row"), crop("start").alias("s"), crop("end").alias("e")).alias("x"))
+    p = slices.groupBy("incident_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda o: o["x"]).alias("p"))
+    return _flat(p, _smoothed(F.col("p"), width, height, target_w, target_h))
+
+
+def crop_plan(slices: DataFrame, sidecar: DataFrame, width: int = 1920, height: int = 1080, target_w: int = 960, target_h: int = 540) -> DataFrame:
+    """``crop_path`` of ``crop_ends``, with one shuffle by incident for both."""
+    sizes = {"width": width, "height": height, "target_w": target_w, "target_h": target_h}
+    return _flat(_by_incident(slices, sidecar, **sizes), _smoothed(F.col("p"), width, height, target_w, target_h))
 
 
 def continuity(slices: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 CELL = 3600
 
 
-def nearest_rows(left: DataFrame, right: DataFrame, by: list[str], time: str, kinds: dict[str, Column], cell: float = CELL, ahead: bool = True) -> DataFrame:
+def nearest_rows(left: DataFrame, right: DataFrame, by: list[str], time: str, kinds: dict[str, Column], cell: float | None = CELL, ahead: bool = True) -> DataFrame:
     """``left`` with a struct (``rt`` and the other columns) for each kind: the nearest right row of that kind, the earlier on ties.
 
     ``kinds`` maps a result's name to a condition on right rows. One shuffle of the
@@ -21,7 +21,8 @@ def nearest_rows(left: DataFrame, right: DataFrame, by: list[str], time: str, ki
     of earlier cells, and the first of later ones, into cells that have none. Of right
     rows that tie on key and time the least in the order of their columns counts. Rows
     without a time, or with a null key, match nothing. With ``ahead`` off only rows at or
-    before a left row's time count.
+    before a left row's time count. Without a cell a key is not cut: for keys whose rows
+    are bounded, such as an incident's camera.
     """
     rest = [c for c in right.columns if c not in (*by, time)]
     own = [c for c in left.columns if c not in by]
@@ -30,16 +31,23 @@ def nearest_rows(left: DataFrame, right: DataFrame, by: list[str], time: str, ki
     known = right.na.drop(subset=[*by, time])
     r = known.groupBy(*by, F.col(time).alias("__t")).agg(*(F.min(F.when(c, row)).alias(n) for n, c in zip(names, kinds.values(), strict=True)))
     both = left.select(*by, F.col(time).alias("__t"), F.struct(*own).alias("__l")).unionByName(r, allowMissingColumns=True)
-    both = both.withColumn("__cell", F.floor(F.col("__t") / cell))
-    within = W.partitionBy(*by, "__cell")
+    both = both.withColumn("__cell", F.floor(F.col("__t") / cell) if cell else F.lit(0))
+    within = W.partitionBy(*by, *["__cell"] * bool(cell))
     back = {n: F.last(n, ignorenulls=True).over(within.orderBy("__t", F.col("__l").isNotNull()).rowsBetween(W.unboundedPreceding, 0)) for n in names}
     onward = {n: F.last(n, ignorenulls=True).over(within.orderBy(F.desc("__t"), F.col("__l").isNotNull()).rowsBetween(W.unboundedPreceding, 0)) for n in names}
     j = both.withColumns({f"{n}b": c for n, c in back.items()} | {f"{n}a": c for n, c in onward.items() if ahead}).filter("__l is not null")
+    if not cell:
+        j = j.withColumns({f"{n}{x}": F.lit(None) for n in names for x in ("_lo", "_hi")})
+        return _chosen(j, by, own, names, kinds, ahead)
     at = {n: F.when(F.col(n).isNotNull(), F.col("__t")) for n in names}
     cells = both.groupBy(*by, "__cell").agg(*(f(n, at[n]).alias(f"{n}{x}") for n in names for x, f in (("first", F.min_by), ("last", F.max_by))))
     up, down = (W.partitionBy(*by).orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in (F.col("__cell"), F.desc("__cell")))
     carried = cells.select(*by, "__cell", *(F.last(f"{n}last", ignorenulls=True).over(up).alias(f"{n}_lo") for n in names), *(F.last(f"{n}first", ignorenulls=True).over(down).alias(f"{n}_hi") for n in names if ahead))
-    j = j.join(carried, [*by, "__cell"], "left")
+    return _chosen(j.join(carried, [*by, "__cell"], "left"), by, own, names, kinds, ahead)
+
+
+def _chosen(j: DataFrame, by: list[str], own: list[str], names: list[str], kinds: dict[str, Column], ahead: bool) -> DataFrame:
+    """The nearer of the row before and the row after, of the cell's or else of what is carried into it."""
     out = {}
     for n, name in zip(names, kinds, strict=True):
         if not ahead:
@@ -51,12 +59,12 @@ def nearest_rows(left: DataFrame, right: DataFrame, by: list[str], time: str, ki
     return j.select(*by, *(F.col(f"__l.{c}").alias(c) for c in own), *(c.alias(n) for n, c in out.items()))
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], time: str, payload: str = "entry", cell: float = CELL) -> DataFrame:
+def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], time: str, payload: str = "entry", cell: float | None = CELL) -> DataFrame:
     """``left`` with ``payload``: a struct of the right row nearest in time (``rt`` and the other columns), the earlier on ties; null without one."""
     return nearest_rows(left, right, by, time, {payload: F.lit(True)}, cell)
 
 
-def asof_hold(left: DataFrame, right: DataFrame, by: list[str], time: str, filled: Column, most: float = 5.0, cell: float = CELL) -> DataFrame:
+def asof_hold(left: DataFrame, right: DataFrame, by: list[str], time: str, filled: Column, most: float = 5.0, cell: float | None = CELL) -> DataFrame:
     """``entry``: the nearest entry; if it isn't ``filled``, the nearest filled one within ``most``; else the empty one. Both are looked for at once."""
     j = nearest_rows(left, right.withColumn("filled", filled), by, time, {"nearest": F.lit(True), "held": filled}, cell)
     use = F.when(~F.col("nearest.filled") & (F.abs(F.col("held.rt") - F.col(time)) <= most), F.col("held")).otherwise(F.col("nearest"))

@@ -36,7 +36,7 @@ def area_curves(entries: DataFrame, step: float = 2.0, cap: int = 45) -> DataFra
     cams = entries.groupBy("incident_id", "camera").agg(F.max("t").alias("last"))
     ends = cams.groupBy("incident_id").agg(F.max("last").cast("double").alias("end_sec"))
     grid = dense_grid(cams.select("incident_id", "camera").join(ends, "incident_id"), step, cap).drop("end_sec")
-    near = asof_nearest(grid, entries.withColumn("t", F.col("t").cast("double")), ["incident_id", "camera"], "t")
+    near = asof_nearest(grid, entries.withColumn("t", F.col("t").cast("double")), ["incident_id", "camera"], "t", cell=None)
     return near.select("incident_id", "camera", "idx", "t", F.col("entry.area").alias("area"))
 
 

@@ -209,13 +209,13 @@ for _gap in (120, 900):
 @query("q1_incident_feed", f"""{D.with_('feed', 'camera_config')}, ok as (select feed.* from feed join camera_config c on c.camera = feed.camera where (len(c.labels) = 0 or list_contains(c.labels, label)) and ({STARTS})),
     {INCIDENTS.format(gap=900, src='ok')}, m as (select *, {KIND} as kind from inc)
     select incident_id, min(start_us) as start_us, count(*) filter (kind <> 'discarded') as n_events, count(distinct camera) as n_cameras, string_agg(distinct label, ', ' order by label) as label, max(threat) as threat, bool_or(kind = 'canceled') as canceled
-    from m group by incident_id having count(*) filter (kind <> 'discarded') > 0 order by start_us desc, incident_id limit 20""")
+    from m group by incident_id having count(*) filter (kind <> 'discarded') > 0""")
 def q1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest 20 incidents of what passes the camera, label and zone filters. The limit is the feature."""
+    """All incidents of what passes the camera, label and zone filters, newest first."""
     config = D.camera_config(spark, sf_dir)
     ok = P.should_start_event(P.filter_camera_label(D.feed(spark, sf_dir), config), config).filter("starts")
     m = I.assign_incidents(ok, 900).withColumn("kind", P.classify_duration(C("start_us"), C("end_us")))
-    return I.rollup_incidents(m).select("incident_id", "start_us", "n_events", "n_cameras", "label", "threat", "canceled").orderBy(F.desc("start_us"), "incident_id").limit(20)
+    return I.rollup_incidents(m).select("incident_id", "start_us", "n_events", "n_cameras", "label", "threat", "canceled").orderBy(F.desc("start_us"), "incident_id")
 
 
 @query("classify_incident_canceled", f"{D.with_('feed')}, {INCIDENTS.format(gap=900, src='feed')} select incident_id, bool_or(case when ended then end_us else start_us + 30000000 end - start_us >= 120000000) as canceled from inc group by 1")

@@ -140,16 +140,22 @@ def q5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.camera_timeline(D.sidecar(spark, sf_dir)).select("incident_id", "idx", "camera", "start_sec", "end_sec")
 
 
-def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slices with start and end crop."""
-    s = D.sidecar(spark, sf_dir)
-    a = K.crop_at(L.camera_timeline(s), s, "start_sec").withColumnsRenamed({"x": "start_x", "y": "start_y", "w": "start_w", "h": "start_h"})
-    return K.crop_at(a, s, "end_sec").withColumnsRenamed({"x": "end_x", "y": "end_y", "w": "end_w", "h": "end_h"})
-
-
-@query("w11_crop_at")
+# nearest entry of each slice's end (every entry has a detection, so the nearest is held), then its crop
+CROPS = f"""{SLICES}, box as (select incident_id, camera, t::double as t, sum((x1 + x2) * greatest(area, 1)) / (2.0::double * sum(greatest(area, 1))) as cx, sum((y1 + y2) * greatest(area, 1)) / (2.0::double * sum(greatest(area, 1))) as cy, min(x1) as x1, min(y1) as y1, max(x2) as x2, max(y2) as y2 from sidecar group by 1, 2, 3),
+    ask as (select incident_id, idx, camera, start_sec, end_sec, unnest([false, true]) as e, unnest([start_sec, end_sec]) as at_t from plan),
+    near as (select a.incident_id, a.idx, a.camera, a.start_sec, a.end_sec, a.e, min_by(struct_pack(cx := b.cx, cy := b.cy, x1 := least(b.x1, 1920), y1 := least(b.y1, 1080), x2 := greatest(b.x2, 0), y2 := greatest(b.y2, 0)), [abs(b.t - a.at_t), b.t]) as b from ask a left join box b on b.incident_id = a.incident_id and b.camera = a.camera group by 1, 2, 3, 4, 5, 6),
+    pad as (select *, least(1920.0::double, b.x2 + greatest((b.x2 - b.x1) * 0.1::double, 1)) - greatest(0.0::double, b.x1 - greatest((b.x2 - b.x1) * 0.1::double, 1)) as pw, least(1080.0::double, b.y2 + greatest((b.y2 - b.y1) * 0.1::double, 1)) - greatest(0.0::double, b.y1 - greatest((b.y2 - b.y1) * 0.1::double, 1)) as ph from near),
+    zoomed as (select *, coalesce(b.x1 < b.x2 and b.y1 < b.y2 and pw > 0 and ph > 0, false) as z from pad),
+    sized as (select *, case when z then greatest(768, least(1920, cast(trunc(sqrt(pw * ph / 0.4::double * (960 / 540::double))) as integer))) & ~1 else 960 end as w, case when z then greatest(432, least(1080, cast(trunc(sqrt(pw * ph / 0.4::double * (540 / 960::double))) as integer))) & ~1 else 540 end as h from zoomed),
+    crop as (select incident_id, idx, camera, start_sec, end_sec, e, greatest(0, least(cast(trunc(coalesce(b.cx, 960.0::double) - w / 2.0::double) as integer), 1920 - w)) as x, greatest(0, least(cast(trunc(coalesce(b.cy, 540.0::double) - h / 2.0::double) as integer), 1080 - h)) as y, w, h from sized),
+    crops as (select s.incident_id, s.idx, s.camera, s.start_sec, s.end_sec, s.x as start_x, s.y as start_y, s.w as start_w, s.h as start_h, c.x as end_x, c.y as end_y, c.w as end_w, c.h as end_h from crop s join crop c on c.incident_id = s.incident_id and c.idx = s.idx and c.e where not s.e)"""
+
+
+@query("w11_crop_at", f"{D.with_('sidecar', recursive=True)}, {CROPS} select * exclude (start_sec, end_sec) from crops")
 def w11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crops(spark, sf_dir).select("incident_id", "idx", "camera", "start_x", "start_y", "start_w", "start_h", "end_x", "end_y", "end_w", "end_h")
+    """Both ends of each slice."""
+    s = D.sidecar(spark, sf_dir)
+    return K.crop_ends(L.camera_timeline(s), s).drop("start_sec", "end_sec")
 
 
 STRIP = "s as (select incident_id, row_number() over (partition by incident_id order by t, l_partkey, l_suppkey, camera, x2, label) - 1 as idx, camera, t::double as start_sec, t + 1.5::double as end_sec, x1 as start_x, y1 as start_y, x2 as end_x, y2 as end_y, 200 + l_partkey % 5 * 100 as w, 100 + l_suppkey % 4 * 100 as h from sidecar)"
@@ -235,9 +241,26 @@ def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sidecars_with_fallback(want, have).select("incident_id", "camera", "native_width", "missing")
 
 
-@query("q6_crop_path")
+# the fold: zoom and center of each end go from one slice of a run to the next
+FOLD = f"""{CROPS}, o as (select *, row_number() over w as n, coalesce(lead(camera) over w <> camera, false) as holds, coalesce(lag(camera) over w = camera, false) as same from crops window w as (partition by incident_id order by idx)),
+    o2 as (select incident_id, idx, camera, start_sec, end_sec, n, same, unnest([0, 1]) as e, unnest([start_x, if(holds, start_x, end_x)]) as x, unnest([start_y, if(holds, start_y, end_y)]) as y, unnest([start_w, if(holds, start_w, end_w)]) as w, unnest([start_h, if(holds, start_h, end_h)]) as h from o),
+    v as (select *, greatest(0.4::double, least(1.0::double, sqrt(w * h / 2073600.0::double))) as raw from o2),
+    zo as (select incident_id, n, e, raw as zoom from v where n = 1 union all select v.incident_id, v.n, v.e, case when v.same then 0.25::double * v.raw + 0.75::double * zo.zoom else v.raw end from zo join v on v.incident_id = zo.incident_id and v.e = zo.e and v.n = zo.n + 1),
+    ne as (select v.*, greatest(1, least(1920, cast(trunc(sqrt(zoom * zoom * 2073600.0::double * (960 / 540::double))) as integer))) & ~1 as nw, greatest(1, least(1080, cast(trunc(sqrt(zoom * zoom * 2073600.0::double / (960 / 540::double))) as integer))) & ~1 as nh from v join zo using (incident_id, n, e)),
+    ce as (select *, greatest(0, least(cast(trunc(x + w / 2.0::double - nw / 2.0::double) as integer), 1920 - nw)) + nw / 2.0::double as cx, greatest(0, least(cast(trunc(y + h / 2.0::double - nh / 2.0::double) as integer), 1080 - nh)) + nh / 2.0::double as cy from ne),
+    sm as (select incident_id, n, e, greatest(nw / 2.0::double, least(1920 - nw / 2.0::double, cx)) as sx, greatest(nh / 2.0::double, least(1080 - nh / 2.0::double, cy)) as sy from ce where n = 1
+    union all select c.incident_id, c.n, c.e, greatest(nw / 2.0::double, least(1920 - nw / 2.0::double, case when same then 0.3::double * cx + 0.7::double * sx else cx end)), greatest(nh / 2.0::double, least(1080 - nh / 2.0::double, case when same then 0.3::double * cy + 0.7::double * sy else cy end)) from sm join ce c on c.incident_id = sm.incident_id and c.e = sm.e and c.n = sm.n + 1),
+    done as (select c.incident_id, idx, camera, start_sec, end_sec, n, same, e, cast(trunc(sx - nw / 2.0::double) as integer) as x, cast(trunc(sy - nh / 2.0::double) as integer) as y, nw as w, nh as h from ce c join sm using (incident_id, n, e)),
+    path as (select d.incident_id, d.idx, d.camera, d.start_sec, d.end_sec, s.x as sx, s.y as sy, s.w as sw, s.h as sh, d.x as ex, d.y as ey, d.w as ew, d.h as eh from done d join done s on s.incident_id = d.incident_id and case when d.same then s.e = 1 and s.n = d.n - 1 else s.e = 0 and s.n = d.n end where d.e = 1),
+    m as (select *, greatest(1, cast(round_even((end_sec - start_sec) * 20, 0) as integer)) as n from path), r as (select *, unnest(range(0, n)) as sample from m), q as (select *, case when n > 1 then sample / (n - 1)::double else 0 end as part from r)"""
+
+
+@query("q6_crop_path", f"""{D.with_('sidecar', recursive=True)}, {FOLD} select incident_id, idx, camera, cast(sample as integer) as sample, cast(trunc(sx + (ex - sx) * part) as integer) & ~1 as x, cast(trunc(sy + (ey - sy) * part) as integer) & ~1 as y,
+    greatest(2, cast(trunc(sw + (ew - sw) * part) as integer) & ~1) as w, greatest(2, cast(trunc(sh + (eh - sh) * part) as integer) & ~1) as h from q""")
 def q6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.resample_path(K.crop_path(crops(spark, sf_dir)), 2)
+    """20 crops a second."""
+    s = D.sidecar(spark, sf_dir)
+    return K.resample_path(K.crop_plan(L.camera_timeline(s), s), 20)
 
 
 @query("q9_retention_plan", f"{D.with_('feed')} select start_us // 1000000 || '_' || event_id as name from feed where start_us // 1000000 < {NOW} - 3 * 86400 and ended")

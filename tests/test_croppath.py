@@ -61,14 +61,15 @@ def test_crop_path_against_brute_force(spark):
                 rows.append((n, c, t, x, y, x + w, y + h, w * h))
     sidecar = spark.createDataFrame(rows, "incident_id long, camera string, t int, x1 int, y1 int, x2 int, y2 int, area long")
     plan = [(n, i, c, 2.0 * i, 2.0 * i + 2.0) for n in (1, 2) for i, c in enumerate(cams)]
-    s = K.crop_at(spark.createDataFrame(plan, "incident_id long, idx int, camera string, start_sec double, end_sec double"), sidecar, "start_sec").withColumnsRenamed({c: f"start_{c}" for c in "xywh"})
-    s = K.crop_at(s, sidecar, "end_sec").withColumnsRenamed({c: f"end_{c}" for c in "xywh"}).cache()
+    slices = spark.createDataFrame(plan, "incident_id long, idx int, camera string, start_sec double, end_sec double")
+    s = K.crop_ends(slices, sidecar).cache()
     names = [[f"{side}_{c}" for c in "xywh"] for side in ("start", "end")]
     crops = {(r.incident_id, r.idx): [tuple(r[x] for x in side) for side in names] for r in s.collect()}
     assert crops == {(n, i): [brute_crop(seen.get((n, c), {}), t) for t in (a, b)] for n, i, c, a, b in plan}
     assert len({x[2] for v in crops.values() for x in v}) > 3  # the zoom follows the content
     want = {n: brute_path(cams, [crops[n, i] for i in range(len(cams))]) for n in (1, 2)}
     path = K.crop_path(s)
+    assert sorted(path.collect()) == sorted(K.crop_plan(slices, sidecar).collect())
     assert {(r.incident_id, r.idx): [tuple(r[x] for x in side) for side in names] for r in path.collect()} == {(n, i): v for n in want for i, v in enumerate(want[n])}
     for r in K.resample_path(path, 2).collect():
         a, b = want[r.incident_id][r.idx]
