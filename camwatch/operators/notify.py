@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections import deque
 from collections.abc import Callable, Iterator, Mapping
 
@@ -13,6 +14,7 @@ from pyspark.sql.types import BooleanType, LongType, StringType, StructField, St
 
 from camwatch.functions.scalars import deep_link, default_title, first_truthy, is_critical, player_url, push_priority
 from camwatch.operators.incidents import assign_incidents
+from camwatch.operators.joins import suppress_snoozed
 from camwatch.operators.segments import cut_where_idle
 
 
@@ -264,15 +266,76 @@ def push_payload(n: Mapping[str, Column], html: int = 1) -> Column:
     )
 
 
-def fan_out(notifications: DataFrame, providers: Mapping[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Results of all providers: each is a function from notifications to rows with notification_id, status, message."""
-    out = None
-    for name, provider in providers.items():
-        rows = provider(notifications).select("notification_id", F.lit(name).alias("provider"), "status", "message")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+#: A provider: a function of notifications to rows with notification_id, status, message; or one of a single
+#: notification (a dict) to a dict with status and message, or to None if it doesn't send.
+Sender = Callable[[dict], dict | None]
 
 
-def describe(incidents: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """Rows of a user's description function over the incidents that aren't snoozed for it."""
-    return incidents.filter("not suppressed").mapInPandas(fn, schema)
+def send_rows(notifications: DataFrame, name: str, send: Sender) -> DataFrame:
+    """notification_id, provider, status, message: what ``send`` returns for each row; an exception is a row with status ``failure`` and its text.
+
+    Rows are sent where they lie, by partition; a row that fails leaves all others alone.
+    What isn't a result with a status counts as a failure too. A task that Spark runs
+    again sends its rows again, so a sender should know a notification by its id.
+    """
+    names = notifications.columns
+
+    def go(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for row in part.astype(object).where(part.notna(), None).itertuples(index=False, name=None):
+                n = dict(zip(names, row, strict=True))
+                try:
+                    found = send(n)
+                    if found is not None:
+                        out.append((n["notification_id"], name, str(found["status"]), None if found.get("message") is None else str(found["message"])))
+                except Exception as e:
+                    out.append((n["notification_id"], name, "failure", str(e) or type(e).__name__))
+            yield pd.DataFrame(out, columns=["notification_id", "provider", "status", "message"])
+
+    return notifications.mapInPandas(go, StructType([notifications.schema["notification_id"], *(StructField(c, StringType()) for c in ("provider", "status", "message"))]))
+
+
+def fan_out(notifications: DataFrame, providers: Mapping[str, Callable[[DataFrame], DataFrame]], senders: Mapping[str, Sender] | None = None) -> DataFrame:
+    """Results of all providers: notification_id, provider, status, message.
+
+    ``providers`` are functions from notifications to rows with notification_id, status,
+    message; ``senders`` take one notification each and may fail for one without touching
+    the others (``send_rows``).
+    """
+    out = [provider(notifications).select("notification_id", F.lit(name).alias("provider"), "status", "message") for name, provider in providers.items()]
+    out += [send_rows(notifications, name, send) for name, send in (senders or {}).items()]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def send_overflow(limited: DataFrame, warn: Mapping[str, Callable[[], dict | None]], by: str = "site_id") -> DataFrame:
+    """A row for each overflow of ``rate_limit`` and provider: the warning's status, or ``failure`` with the exception's text; none where a provider has nothing to say."""
+    told = limited.filter("outcome = 'overflow'").select(F.col("request_id").alias("notification_id"), by, F.col("sent_us").alias("ts_us"))
+    return functools.reduce(DataFrame.unionByName, [send_rows(told, name, lambda _, w=w: w()) for name, w in warn.items()])
+
+
+def dispatch_log(notifications: DataFrame, results: DataFrame) -> DataFrame:
+    """One timeline entry for each notification, also if no provider had a result.
+
+    ``notifications``: notification_id, folder, status; those without a folder have no
+    timeline. Columns: notification_id, folder, source, direction, label, event_phase,
+    results (provider, status, message; ordered by provider).
+    """
+    each = results.groupBy("notification_id").agg(F.array_sort(F.collect_list(F.struct("provider", "status", "message"))).alias("results"))
+    rows = notifications.filter(F.coalesce(F.col("folder"), F.lit("")) != "").join(each, "notification_id", "left")
+    rows = rows.withColumn("results", F.coalesce("results", F.array().cast("array<struct<provider:string,status:string,message:string>>")))
+    return rows.select("notification_id", "folder", F.lit("notification_dispatch").alias("source"), F.lit("out").alias("direction"), dispatch_label(F.col("status"), F.col("results")).alias("label"), F.col("status").alias("event_phase"), "results")
+
+
+def describe(incidents: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, snoozes: DataFrame | None = None) -> DataFrame:
+    """Rows of a user's description function over the incidents that aren't snoozed for it.
+
+    ``incidents`` have ``suppressed``, or else incident_id, ready_us and cameras: then
+    those all of whose cameras are snoozed for the analysis (``snooze_ai``) when the
+    incident is ready are skipped. The function gets pandas batches.
+    """
+    if snoozes is not None:
+        asks = incidents.select(F.col("incident_id").alias("target_id"), F.col("ready_us").alias("ts_us"), "cameras")
+        state = suppress_snoozed(asks, snoozes, "snooze_ai").select(F.col("target_id").alias("incident_id"), "suppressed")
+        incidents = incidents.join(state, "incident_id")
+    return incidents.filter("not suppressed").drop("suppressed").mapInPandas(fn, schema)

@@ -120,11 +120,28 @@ def trim_to_action(slices: DataFrame, windows: DataFrame) -> DataFrame:
     return j.withColumns({"start_sec": F.greatest("start_sec", "from_sec"), "end_sec": F.least("end_sec", "to_sec")}).drop("from_sec", "to_sec")
 
 
-def camera_timeline(sidecar: DataFrame, primary: str = "cam_0", step: float = 2.0, cap: int = 45, least: int = 5) -> DataFrame:
-    """The whole plan: slices of the best camera, trimmed to the action."""
+def hooked_curves(entries: DataFrame, area_fn: str, step: float = 2.0, cap: int = 45) -> DataFrame:
+    """``area_curves`` by a table function that the user has registered under the name ``area_fn``.
+
+    It is joined laterally, once for each camera of an incident, gets (incident_id,
+    camera, end_sec, entries: its sampled frames as array<struct<t: double, area: bigint>>
+    by time) and gives rows (t double, area bigint). Areas count at grid points; at one
+    without a row the area is 0, of several rows the largest counts.
+    """
+    cams = entries.groupBy("incident_id", "camera").agg(F.array_sort(F.collect_list(F.struct(F.col("t").cast("double").alias("t"), F.col("area").cast("bigint").alias("area")))).alias("entries"))
+    ends = entries.groupBy("incident_id").agg(F.max("t").cast("double").alias("end_sec"))
+    cams = cams.join(ends, "incident_id")
+    known = cams.sparkSession.sql(f"select c.incident_id, c.camera, f.t, f.area from {{cams}} c, lateral {area_fn}(c.incident_id, c.camera, c.end_sec, c.entries) f", cams=cams)
+    known = known.groupBy("incident_id", "camera", "t").agg(F.max("area").alias("area"))
+    grid = dense_grid(cams.select("incident_id", "camera", "end_sec"), step, cap).drop("end_sec")
+    return grid.join(known, ["incident_id", "camera", "t"], "left").select("incident_id", "camera", "idx", "t", F.coalesce("area", F.lit(0)).alias("area"))
+
+
+def camera_timeline(sidecar: DataFrame, primary: str = "cam_0", step: float = 2.0, cap: int = 45, least: int = 5, area_fn: str | None = None) -> DataFrame:
+    """The whole plan: slices of the best camera, trimmed to the action. With ``area_fn``, the name of a table function, areas come from it (``hooked_curves``)."""
     entries = person_area(sidecar)
     ends = content_duration(sidecar).withColumn("end_sec", F.col("end_sec").cast("double"))
-    scores = ema(area_curves(entries, step, cap))
+    scores = ema(hooked_curves(entries, area_fn, step, cap) if area_fn else area_curves(entries, step, cap))
     points = merge_short_runs(hysteresis(best_camera(scores, F.lit(primary))), least)
     return trim_to_action(points_to_slices(points, ends), action_window(entries, ends))
 

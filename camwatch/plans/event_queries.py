@@ -13,6 +13,8 @@ from camwatch.operators import notify as N
 from camwatch.operators import reports as R
 from camwatch.operators import store as T
 from camwatch.operators.closing import exact_incidents, short_long
+from camwatch.operators.late import review_targets as to_targets
+from camwatch.operators.late import split_late
 from camwatch.plans import feed as D
 from camwatch.plans.registry import query
 
@@ -468,10 +470,80 @@ def report_old(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.report_retention(d, F.lit("2024-01-25").cast("date"), 7).select(C("report_date").cast("string"))
 
 
-@query("u1_fan_out", f"{D.with_('feed')} select event_id as notification_id, 'hub' as provider, 'sent' as status, label as message from feed union all select event_id, 'push', case when k % 2 = 0 then 'sent' else 'skipped' end, camera from feed")
+RESULTS = """res as (select event_id as notification_id, 'hub' as provider, 'sent' as status, label as message from feed union all select event_id, 'push', case when k % 2 = 0 then 'sent' else 'skipped' end, camera from feed
+    union all select event_id, 'mail', case when k % 5 = 1 then 'failure' else 'success' end, case when k % 5 = 1 then 'no address for ' || camera end from feed where k % 3 <> 0)"""
+
+
+def mail(n: dict) -> dict | None:
+    """A sender that skips some notifications and fails for others."""
+    if n["k"] % 3 == 0:
+        return None
+    if n["k"] % 5 == 1:
+        raise ValueError(f"no address for {n['camera']}")
+    return {"status": "success"}
+
+
+def results(notifications: DataFrame) -> DataFrame:
+    hub = lambda d: d.select("notification_id", F.lit("sent").alias("status"), C("label").alias("message"))
+    push = lambda d: d.select("notification_id", F.when(C("k") % 2 == 0, "sent").otherwise("skipped").alias("status"), C("camera").alias("message"))
+    return N.fan_out(notifications, {"hub": hub, "push": push}, {"mail": mail})
+
+
+@query("u1_fan_out", f"{D.with_('feed')}, {RESULTS} select * from res")
 def u1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = D.feed(spark, sf_dir).withColumnRenamed("event_id", "notification_id")
-    return N.fan_out(n, {"hub": lambda d: d.select("notification_id", F.lit("sent").alias("status"), C("label").alias("message")), "push": lambda d: d.select("notification_id", F.when(C("k") % 2 == 0, "sent").otherwise("skipped").alias("status"), C("camera").alias("message"))})
+    return results(D.feed(spark, sf_dir).select(C("event_id").alias("notification_id"), "label", "camera", "k"))
+
+
+@query("dispatch_log", f"""{D.with_('feed')}, {RESULTS}, g as (select notification_id, string_agg(provider || ': ' || status, '; ' order by provider) as parts, count(*) as n from res where provider = 'mail' or notification_id % 2 = 0 group by 1)
+    select event_id as notification_id, camera as folder, 'notification_dispatch' as source, 'Notification: ' || label || coalesce(' — ' || parts, '') as label, label as event_phase, coalesce(n, 0) as n_results from feed left join g on g.notification_id = event_id where k % 7 <> 0""")
+def dispatch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = D.feed(spark, sf_dir).select(C("event_id").alias("notification_id"), "label", "camera", "k")
+    some = results(n).filter("provider = 'mail' or notification_id % 2 = 0")
+    log = N.dispatch_log(n.select("notification_id", F.when(C("k") % 7 != 0, C("camera")).alias("folder"), C("label").alias("status")), some)
+    return log.select("notification_id", "folder", "source", "label", "event_phase", F.size("results").cast("long").alias("n_results"))
+
+
+@query("u3_describe", f"""{D.with_('feed', 'snoozes')}, {INCIDENTS.format(gap=900, src='feed')}, t as (select incident_id, max(start_us) + 1 as ready_us, list(distinct camera) as cameras, count(*) as n from inc group by 1),
+    s as (select camera, set_us, max(struct_pack(expiration_us := expiration_us, n := snooze_ai)) as s from snoozes group by 1, 2), a as (select incident_id, ready_us, unnest(cameras) as camera from t),
+    h as (select a.incident_id, a.ready_us, s.s from a asof left join s on s.camera = a.camera and s.set_us <= a.ready_us), st as (select incident_id, bool_and(coalesce(s.expiration_us > ready_us and s.n, false)) as off from h group by 1)
+    select incident_id, n || ' events on ' || array_to_string(list_sort(cameras), ', ') as title from t join st using (incident_id) where not off""")
+def u3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A description of each incident that isn't snoozed for analysis on all its cameras."""
+    ready = incidents(spark, sf_dir).groupBy("incident_id").agg((F.max("start_us") + 1).alias("ready_us"), F.array_sort(F.collect_set("camera")).alias("cameras"), F.count("*").alias("n"))
+
+    def titles(parts):
+        for part in parts:
+            yield part.assign(title=[f"{n} events on {', '.join(c)}" for n, c in zip(part["n"], part["cameras"], strict=True)])[["incident_id", "title"]]
+
+    return N.describe(ready, titles, "incident_id string, title string", D.snoozes(spark, sf_dir))
+
+
+BATCHED = "b as (select event_id, start_us as ts_us, (start_us + (k % 20) * 61000000) // 600000000 as batch from feed)"
+
+
+@query("split_late", f"""{D.with_('feed')}, {BATCHED}, m as (select batch, max(max(ts_us)) over (order by batch rows between unbounded preceding and 1 preceding) as most from b group by batch)
+    select event_id, batch, (most // 1000 - 300000) * 1000 as watermark_us, coalesce(ts_us <= (most // 1000 - 300000) * 1000, false) as late from b join m using (batch)""")
+def late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that arrive up to 20 minutes after their time, in batches of ten minutes, against a watermark of five."""
+    rows = D.feed(spark, sf_dir).select("event_id", C("start_us").alias("ts_us"), F.expr("(start_us + (k % 20) * 61000000L) div 600000000").alias("batch"))
+    return split_late(rows, delay_s=300).select("event_id", "batch", "watermark_us", "late")
+
+
+@query("late_review_targets", f"""{D.with_('feed')}, {INCIDENTS.format(gap=900, src='feed')}, i as (select incident_id, min(start_us) as s, max(case when ended then end_us end) as e, arg_min(camera, event_id) as camera, arg_min(label, event_id) as label from inc group by 1),
+    r as (select event_id as review_id, case when k % 9 = 0 then -1 else event_id end as event_id, start_us + k * 7000000 as ts_us, 'T' || k as title, threat from feed),
+    j as (select r.*, inc.incident_id, inc.camera as ec, inc.label as el, inc.start_us as es, case when ended then end_us end as ee, i.*exclude (incident_id), r.ts_us >= i.s and (i.e is null or r.ts_us < i.e + 120000000) as op from r join inc on inc.event_id = r.event_id join i on i.incident_id = inc.incident_id),
+    k as (select *, row_number() over (partition by incident_id, op order by ts_us, review_id, event_id) as n from j)
+    select review_id, event_id, case when op then 'incident' else 'stand_in' end as kind, case when op then incident_id else cast(event_id as varchar) end as target_id, case when op then 'incident_' || incident_id else 'event_' || event_id end as tag, not op or n = 1 as sent,
+        case when op then camera else ec end as camera, case when op then label else el end as label, case when op then 'events/' || incident_id else '' end as folder, case when op then s else es end as created_us, case when op then coalesce(e, s) else coalesce(ee, es) end as end_us,
+        title, null::varchar as description, threat, 'detection' as severity from k""")
+def review_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews up to minutes after their event; an incident closes two minutes after its last end."""
+    e = incidents(spark, sf_dir).select("event_id", "incident_id", "camera", "label", "start_us", F.when(C("ended"), C("end_us")).alias("end_us"), F.lit(None).cast("string").alias("folder"), F.lit(None).cast("string").alias("severity"))
+    i = e.groupBy("incident_id").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.min_by("camera", "event_id").alias("camera"), F.min_by("label", "event_id").alias("label"))
+    i = i.withColumns({"closed_us": C("end_us") + 120_000_000, "folder": F.concat(F.lit("events/"), C("incident_id"))})
+    f = D.feed(spark, sf_dir)
+    r = f.select(C("event_id").alias("review_id"), F.when(C("k") % 9 == 0, -1).otherwise(C("event_id")).alias("event_id"), (C("start_us") + C("k") * 7_000_000).alias("ts_us"), F.concat(F.lit("T"), C("k").cast("string")).alias("title"), F.lit(None).cast("string").alias("description"), "threat")
+    return to_targets(r, e, i)
 
 
 MESSAGES = """m as (select *, row_number() over (partition by site_id order by ts, late, e) as n from (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from camwatch.operators import croppath as K
 from camwatch.operators import filters as P
@@ -140,6 +141,22 @@ def q5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.camera_timeline(D.sidecar(spark, sf_dir)).select("incident_id", "idx", "camera", "start_sec", "end_sec")
 
 
+@udtf(returnType="t double, area bigint")
+class NearestArea:
+    """The built-in curve as a user's table function: at each point of the grid the area of the nearest entry, the earlier on ties."""
+
+    def eval(self, incident_id: int, camera: str, end_sec: float, entries: list):
+        for k in range(min(int(end_sec / 2.0), 44) + 1 if end_sec > 0 else 0):
+            yield k * 2.0, min(entries, key=lambda e: (abs(e["t"] - k * 2.0), e["t"]))["area"]  # noqa: B023
+
+
+@query("u2_area_hook", f"{D.with_('sidecar', recursive=True)}, {SLICES} select incident_id, idx, camera, start_sec, end_sec from plan")
+def u2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The camera timeline with its areas from a hook: it gives what the built-in ones give."""
+    spark.udtf.register("nearest_area", NearestArea)
+    return L.camera_timeline(D.sidecar(spark, sf_dir), area_fn="nearest_area").select("incident_id", "idx", "camera", "start_sec", "end_sec")
+
+
 # nearest entry of each slice's end (every entry has a detection, so the nearest is held), then its crop
 CROPS = f"""{SLICES}, box as (select incident_id, camera, t::double as t, sum((x1 + x2) * greatest(area, 1)) / (2.0::double * sum(greatest(area, 1))) as cx, sum((y1 + y2) * greatest(area, 1)) / (2.0::double * sum(greatest(area, 1))) as cy, min(x1) as x1, min(y1) as y1, max(x2) as x2, max(y2) as y2 from sidecar group by 1, 2, 3),
     ask as (select incident_id, idx, camera, start_sec, end_sec, unnest([false, true]) as e, unnest([start_sec, end_sec]) as at_t from plan),
