@@ -87,6 +87,11 @@ def scoped(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def written(fn: Callable[..., DataFrame], *args) -> DataFrame:
+    """What ``scoped`` gives for a function that isn't: its result as a table, and none of the tables on the way."""
+    return scoped(fn)(*args)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that ``table`` wrote and that no later plan reads."""
     delete_path(df.sparkSession, df.scratch_path)

@@ -1,7 +1,9 @@
 """License scans: exact phrases by word, and fuzzy search of short notices.
 
-Texts of a batch are normalised together: A-Z lower-cased, every run of other
-characters than words one space. A notice with at most ``k`` errors keeps at least
+Texts of a batch are normalised together, a byte for each character: A-Z lower-cased,
+every run of other characters than words one space. Letters beyond ASCII that phrases
+or notices hold have bytes of their own, all others share one, which matches nothing;
+so an error is a character, whatever its bytes. A notice with at most ``k`` errors keeps at least
 one of ``k + 1`` disjoint pieces whole (pigeonhole), so an automaton over all pieces
 finds every candidate; the regex library's bounded-error matching then verifies it.
 """
@@ -35,26 +37,54 @@ NOTICES: tuple[tuple[str, str], ...] = (
     ("redistribution and use in source and binary forms", "bsd"),
     ("mozilla public license version 2 0", "mpl-2.0"),
     ("all rights reserved", "reserved"),
+    ("gnu free documentation license", "gfdl"),
+    ("boost software license version 1 0", "bsl-1.0"),
+    ("eclipse public license version 2 0", "epl-2.0"),
+    ("common development and distribution license", "cddl"),
+    ("artistic license version 2 0", "artistic-2.0"),
+    ("academic free license version 3 0", "afl-3.0"),
+    ("sil open font license version 1 1", "ofl-1.1"),
+    ("open database license", "odbl"),
+    ("python software foundation license", "psf"),
+    ("european union public licence", "eupl"),
+    ("microsoft public license", "ms-pl"),
+    ("distributed under the isc license", "isc"),
+    ("released under the zlib license", "zlib"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc"),
+    ("the origin of this software must not be misrepresented", "zlib"),
 )
 #: Errors that the regex library is asked to allow at most, and characters for each.
 MOST_ERRORS, PER_ERROR = 3, 9
 
-_FOLD = np.full(256, 32, np.uint8)
-_FOLD[48:58] = np.arange(48, 58)
-_FOLD[97:123] = np.arange(97, 123)
-_FOLD[65:91] = np.arange(97, 123)
-_FOLD[128:] = np.arange(128, 256)
-_FOLD[0] = 0  # separates texts
+#: The byte of all letters beyond ASCII that no phrase and no notice holds.
+OTHER = 255
+
+
+def folding(letters: set[str]) -> np.ndarray:
+    """The byte of each code point: 0 for the zero that parts texts, 32 outside words, 128 and on for ``letters``."""
+    fold = np.full(0x110000, OTHER, np.uint8)
+    fold[:128] = 32
+    fold[0] = 0
+    fold[48:58] = np.arange(48, 58)
+    fold[97:123] = fold[65:91] = np.arange(97, 123)
+    if len(letters) >= OTHER - 128:
+        raise ValueError(f"phrases and notices hold more than {OTHER - 129} letters beyond ASCII")
+    for k, c in enumerate(sorted(letters)):
+        fold[ord(c)] = 128 + k
+    return fold
 
 
 class NoticeSearch:
     """Compiled phrases and notices; ``scan`` works on the texts of one batch."""
 
     def __init__(self, base: Sequence[tuple[str, str]], notices: Sequence[tuple[str, str]]):
-        self.base = [(p.encode(), label) for p, label in base]
+        self.fold = folding({c for p, _ in (*base, *notices) for c in p if ord(c) > 127})
+        folded = lambda p: self.fold[[ord(c) for c in p]].tobytes()
+        self.base = [(folded(p), label) for p, label in base]
         self.notices, self.seeds = [], ahocorasick.Automaton()
         held: dict[str, list[tuple[int, int]]] = {}
-        for i, (notice, label) in enumerate(notices):
+        for i, (notice, label) in enumerate((folded(p).decode("latin-1"), label) for p, label in notices):
             k = min(MOST_ERRORS, len(notice) // PER_ERROR)
             self.notices.append((regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={k}}}"), len(notice), k, label))
             cuts = [round(j * len(notice) / (k + 1)) for j in range(k + 2)]
@@ -64,7 +94,7 @@ class NoticeSearch:
             self.seeds.add_word(seed, (len(seed), where))
         self.seeds.make_automaton()
 
-    def scan(self, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[int, int, str]], list[tuple[int, int, int, int, str, float]]]:
+    def scan(self, texts: list[str]) -> tuple[np.ndarray, list[tuple[int, int, str]], list[tuple[int, int, int, int, str, float]]]:
         """Word counts; base hits (text, word, label); notice spans (text, first word, words, errors, label, likeness).
 
         Zero bytes inside a text count as spaces, as any other character outside words.
@@ -72,8 +102,8 @@ class NoticeSearch:
         n = len(texts)
         if not n:
             return np.zeros(0, np.int64), [], []
-        raw = np.frombuffer(b"\0".join(t.replace(b"\0", b" ") for t in texts) + b"\0", np.uint8)
-        folded = _FOLD[raw]
+        raw = np.frombuffer(("\0".join(t.replace("\0", " ") for t in texts) + "\0").encode("utf-32-le"), "<u4")
+        folded = self.fold[raw]
         word = folded > 32
         keep = word | (folded == 0)
         keep[1:] |= word[:-1]
@@ -145,7 +175,7 @@ def scan_licenses(
                 yield digest(search, batch.column(0).slice(lo, hi - lo), texts[lo:hi])
                 lo = hi
 
-    def digest(search: NoticeSearch, ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+    def digest(search: NoticeSearch, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
         words, exact, fuzzy = search.scan(texts)
         n = len(texts)
         places: list[list[int]] = [[] for _ in range(n)]
@@ -171,4 +201,4 @@ def scan_licenses(
             names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"],
         )
 
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).mapInArrow(scan, kind)
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(scan, kind)

@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import pytest
 import regex
 from pyspark.sql import functions as F
 
@@ -102,6 +103,32 @@ def test_fuzzy_labels_against_brute_force(spark):
     assert license_scan.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_an_error_is_a_character_whatever_its_bytes(spark):
+    """Edits by letters beyond ASCII, and notices that hold such letters, against the regex library on whole strings."""
+    rng = random.Random(12)
+    notices = (*license_scan.NOTICES, ("tous droits réservés à l auteur", "fr-reserved"), ("alle rechte vorbehalten für äöü", "de-reserved"))
+    rows = [(i, t) for i, t in enumerate(["licensed ünder cc bỳ nc", "releäsed ünder the mit license", "dedicated to the publíc dömain", "mözilla públic license version 2 0", "Tous droits reservés a l'auteur", "全 rights réserved"])]
+    for n in range(len(rows), 140):
+        t, _ = notices[n % len(notices)]
+        for _ in range(n % 5):
+            at = rng.randrange(1, len(t) - 1)
+            t = t[:at] + rng.choice(["", "é", "日", t[at] + "\U0001f600", "ß"]) + t[at + 1 :]
+        rows.append((n, f"Ça {t} 日本"))
+    got = {r.doc_id: set(r.labels.split(",")) - {""} for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), notices=notices).collect()}
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for i, t in rows:
+        norm = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(lower)))
+        want = {label for p, label in license_scan.BASE if f" {p} " in f" {norm} "}
+        for notice, label in notices:
+            k = min(license_scan.MOST_ERRORS, len(notice) // license_scan.PER_ERROR)
+            if regex.search(f"(?:{regex.escape(notice)}){{e<={k}}}", norm):
+                want.add(label)
+        assert got[i] == want, t
+    assert got[0] == {"cc-by-nc"} and got[1] == {"mit"} and got[2] == {"public-domain"} and got[3] == {"mpl-2.0"} and got[4] == {"fr-reserved"}
+    with pytest.raises(ValueError, match="letters beyond ASCII"):
+        license_scan.NoticeSearch((("".join(map(chr, range(0x400, 0x500))), "x"),), ())
+
+
 def test_verdicts_against_brute_force(spark):
     """Every page of a table: rules by hand, mean shares over a dense matrix."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
