@@ -15,11 +15,18 @@ LEAST_ZOOM = 0.4
 def entry_boxes(sidecar: DataFrame) -> DataFrame:
     """incident_id, camera, t and per sampled frame: weighted center, union box, number of detections.
 
-    Areas that aren't positive weigh 1.
+    Areas that aren't positive weigh 1. A detection without a whole box counts with its
+    center point (px, py) if the sidecar has such columns; with neither it has no weight,
+    and a frame without any weight has no center.
     """
     a = F.when(F.col("area") > 0, F.col("area")).otherwise(1).cast("bigint")
+    x, y = F.col("x1") + F.col("x2"), F.col("y1") + F.col("y2")
+    if "px" in sidecar.columns:
+        boxed = x.isNotNull() & y.isNotNull()
+        x, y = (F.when(boxed, v).otherwise(F.lit(2.0) * F.col(p)) for v, p in ((x, "px"), (y, "py")))
+        a = F.when(x.isNotNull() & y.isNotNull(), a)
     return sidecar.groupBy("incident_id", "camera", "t").agg(
-        (F.sum((F.col("x1") + F.col("x2")) * a) / (2.0 * F.sum(a))).alias("cx"), (F.sum((F.col("y1") + F.col("y2")) * a) / (2.0 * F.sum(a))).alias("cy"),
+        (F.sum(x * a) / (2.0 * F.sum(a))).alias("cx"), (F.sum(y * a) / (2.0 * F.sum(a))).alias("cy"),
         F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("n"),
     )
 

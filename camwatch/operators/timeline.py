@@ -40,6 +40,22 @@ def area_curves(entries: DataFrame, step: float = 2.0, cap: int = 45) -> DataFra
     return near.select("incident_id", "camera", "idx", "t", F.col("entry.area").alias("area"))
 
 
+def share_of_frame(curves: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``area`` as a share of its camera's frame in incidents whose cameras have frames of different sizes; elsewhere as it is.
+
+    ``sizes``: incident_id, camera, native_width, native_height. A camera whose size
+    isn't known, or not positive, differs from those that have one, and keeps its area in
+    pixels.
+    """
+    w, h = (F.coalesce(F.col(f"native_{c}"), F.lit(0)).cast("bigint") for c in ("width", "height"))
+    cams = curves.select("incident_id", "camera").distinct().join(sizes.select("incident_id", "camera", "native_width", "native_height"), ["incident_id", "camera"], "left")
+    known = cams.select("incident_id", "camera", F.struct(w, h).alias("__size"), F.when((w > 0) & (h > 0), w * h).alias("__px"))
+    mixed = known.groupBy("incident_id").agg((F.min("__size") != F.max("__size")).alias("__mixed"))
+    j = curves.join(known.drop("__size"), ["incident_id", "camera"], "left").join(mixed, "incident_id", "left")
+    share = F.when(F.col("__mixed") & F.col("__px").isNotNull(), F.col("area") / F.col("__px")).otherwise(F.col("area").cast("double"))
+    return j.withColumn("area", share).drop("__px", "__mixed")
+
+
 def ema_array(values: Column, alpha: float = 0.4) -> Column:
     """Running s = alpha * x + (1 - alpha) * s from s = 0, as an array."""
     fold = F.aggregate(values, F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.lit(alpha) * x + F.lit(1 - alpha) * F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)))))
@@ -137,11 +153,17 @@ def hooked_curves(entries: DataFrame, area_fn: str, step: float = 2.0, cap: int
     return grid.join(known, ["incident_id", "camera", "t"], "left").select("incident_id", "camera", "idx", "t", F.coalesce("area", F.lit(0)).alias("area"))
 
 
-def camera_timeline(sidecar: DataFrame, primary: str = "cam_0", step: float = 2.0, cap: int = 45, least: int = 5, area_fn: str | None = None) -> DataFrame:
-    """The whole plan: slices of the best camera, trimmed to the action. With ``area_fn``, the name of a table function, areas come from it (``hooked_curves``)."""
+def camera_timeline(sidecar: DataFrame, primary: str = "cam_0", step: float = 2.0, cap: int = 45, least: int = 5, area_fn: str | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """The whole plan: slices of the best camera, trimmed to the action.
+
+    With ``area_fn``, the name of a table function, areas come from it
+    (``hooked_curves``); with ``sizes`` cameras of different sizes are compared by shares
+    of their frames (``share_of_frame``).
+    """
     entries = person_area(sidecar)
     ends = content_duration(sidecar).withColumn("end_sec", F.col("end_sec").cast("double"))
-    scores = ema(hooked_curves(entries, area_fn, step, cap) if area_fn else area_curves(entries, step, cap))
+    curves = hooked_curves(entries, area_fn, step, cap) if area_fn else area_curves(entries, step, cap)
+    scores = ema(curves if sizes is None else share_of_frame(curves, sizes))
     points = merge_short_runs(hysteresis(best_camera(scores, F.lit(primary))), least)
     return trim_to_action(points_to_slices(points, ends), action_window(entries, ends))
 

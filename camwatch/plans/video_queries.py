@@ -104,6 +104,32 @@ def w3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.area_curves(entries(spark, sf_dir))
 
 
+SIZES = "sizes as (select distinct incident_id, camera, case when camera = 'cam_1' and incident_id % 3 = 0 then 2560 when camera = 'cam_2' and incident_id % 4 = 0 then 0 else 1280 end as nw, 720 as nh from sidecar)"
+
+
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = D.sidecar(spark, sf_dir).select("incident_id", "camera").distinct()
+    wide = F.when((C("camera") == "cam_1") & (C("incident_id") % 3 == 0), 2560).when((C("camera") == "cam_2") & (C("incident_id") % 4 == 0), 0).otherwise(1280)
+    return s.withColumns({"native_width": wide, "native_height": F.lit(720)})
+
+
+@query("w3_share_of_frame", f"""{D.with_('sidecar')}, {GRID}, {SIZES}, mix as (select incident_id, count(distinct nw) > 1 as mixed from sizes group by 1)
+    select c.incident_id, c.camera, idx, cast(floor(case when mixed and nw > 0 then area / (nw * nh)::double else area end * 1000000 + 0.5) as bigint) as area from curves c join sizes s on s.incident_id = c.incident_id and s.camera = c.camera join mix on mix.incident_id = c.incident_id""")
+def w3_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = L.share_of_frame(L.area_curves(entries(spark, sf_dir)), sizes(spark, sf_dir))
+    return c.select("incident_id", "camera", "idx", F.floor(C("area") * 1000000 + 0.5).alias("area"))
+
+
+@query("a13_center_points", f"""{D.with_('sidecar')}, d as (select incident_id, camera, t, case when l_partkey % 3 > 0 then x1 + x2 when l_partkey % 3 = 0 and l_suppkey % 2 = 0 then 2.0::double * (x1 + 5) end as sx, case when l_partkey % 3 > 0 then y1 + y2 when l_partkey % 3 = 0 and l_suppkey % 2 = 0 then 2.0::double * (y1 + 7) end as sy, greatest(area, 1) as a from sidecar)
+    select incident_id, camera, t, cast(floor(sum(sx * a) / (2.0::double * sum(case when sx is not null then a end)) * 1000 + 0.5) as bigint) as cx, cast(floor(sum(sy * a) / (2.0::double * sum(case when sx is not null then a end)) * 1000 + 0.5) as bigint) as cy from d group by 1, 2, 3""")
+def a13_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the detections has no box, half of these a center point."""
+    s = D.sidecar(spark, sf_dir)
+    boxed, pointed = C("l_partkey") % 3 > 0, C("l_suppkey") % 2 == 0
+    s = s.withColumns({"px": F.when(~boxed & pointed, C("x1") + 5.0), "py": F.when(~boxed & pointed, C("y1") + 7.0)}).withColumns({c: F.when(boxed, C(c)) for c in ("x1", "y1", "x2", "y2")})
+    return K.entry_boxes(s).select("incident_id", "camera", "t", F.floor(C("cx") * 1000 + 0.5).alias("cx"), F.floor(C("cy") * 1000 + 0.5).alias("cy"))
+
+
 @query("w4_ema", f"{D.with_('sidecar')}, {GRID} select a.incident_id, a.camera, a.idx, round(sum(0.4::double * b.area * power(0.6::double, a.idx - b.idx)), 3) as score from curves a join curves b on a.incident_id = b.incident_id and a.camera = b.camera and b.idx <= a.idx group by 1, 2, 3")
 def w4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.ema(L.area_curves(entries(spark, sf_dir))).select("incident_id", "camera", "idx", F.round("score", 3).alias("score"))
