@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 #: Size of a frame whose camera has no readable sidecar. Fixed values.
 DEFAULT_SIZE = (1920, 1080)
 
 
 def read_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """path (below root), folder, file, size, mtime of all files; contents aren't read."""
+    """path (below root), folder, file, size, mtime of all files but empty ones and those whose names begin with a dot or an underscore, which Spark leaves out; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"))
     marker = root.rstrip("/").split("/")[-1]
     rel = F.substring_index(F.col("path"), f"/{marker}/", -1)
@@ -21,12 +26,26 @@ def _texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(root).select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder"), "value")
 
 
+def with_marker(folders: DataFrame, root: str, name: str = ".viewed", col: str = "viewed") -> DataFrame:
+    """``col``: whether the folder (below root) holds a file of that name. Spark's listing leaves out names that begin with a dot, so tasks ask the store for it, a batch of folders at once."""
+    base = root.rstrip("/") if ":" in root else f"file://{root.rstrip('/')}"
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = pyarrow.fs.FileSystem.from_uri(base)
+        for batch in batches:
+            found = fs.get_file_info([f"{top}/{f}/{name}" for f in batch.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.type == pyarrow.fs.FileType.File for x in found], pa.bool_())], names=[*batch.schema.names, col])
+
+    at = folders.columns.index("folder")
+    return folders.mapInArrow(ask, StructType([*folders.schema.fields, StructField(col, BooleanType())]))
+
+
 #: Files of an event folder whose contents are read. Fixed values.
 SUMMARY, METADATA, REVIEW, TIMELINE, APPENDED = "summary.txt", "metadata.json", "review_summary.md", "notification_timeline.json", "notification_timeline_append.jsonl"
 
 
 def read_event_store(spark: SparkSession, root: str) -> DataFrame:
-    """A row for each folder that holds a file or a folder with files: folder, summary, title, metadata, event_id, timeline, review_summary, has_clip, clip, has_snapshot, viewed, cameras, subfolders.
+    """A row for each folder that holds a file (not one whose name begins with a dot) or a folder with files: folder, summary, title, metadata, event_id, timeline, review_summary, has_clip, clip, has_snapshot, viewed, cameras, subfolders.
 
     Missing or bad files give defaults: title ``Analysis pending...``, metadata ``{}``, an
     empty timeline, null texts. ``timeline`` has the entries of the base file in their order,
@@ -51,7 +70,8 @@ def read_event_store(spark: SparkSession, root: str) -> DataFrame:
     texts = text.groupBy("folder").agg(*(is_a(k).alias(f"t{i}") for i, k in enumerate(kinds)))
     clips = resolve_latest_file(inv.withColumn("camera", F.lit(None).cast("string"))).select("folder", F.col("file").alias("clip"))
     has = lambda k: F.bool_or(F.col("file") == k)
-    own = inv.groupBy("folder").agg(has("snapshot.jpg").alias("has_snapshot"), has(".viewed").alias("viewed")).join(clips, "folder", "left").join(texts, "folder", "left")
+    own = inv.groupBy("folder").agg(has("snapshot.jpg").alias("has_snapshot"))
+    own = with_marker(own, root).join(clips, "folder", "left").join(texts, "folder", "left")
     valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), F.col(c))
     own = own.withColumns({"has_clip": F.col("clip").isNotNull(), "metadata": valid("t1")})
     # a folder below counts for the one above it, whether that has files of its own or not

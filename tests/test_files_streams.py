@@ -26,6 +26,7 @@ def store(root):
     b = root / "door" / "1800_y"
     b.mkdir()
     (b / ".viewed").write_text("")
+    (b / "other.bin").write_text("x")
     return root
 
 
