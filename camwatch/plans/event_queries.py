@@ -162,14 +162,14 @@ def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.canonical_camera(c.select(sanitize_camera(C("c_name")).alias("folder")).distinct(), c.filter("c_custkey % 3 = 0").select(C("c_name").alias("camera")), sanitize_camera).select("folder", "canonical")
 
 
-@query("j12_match_exports", f"""{D.with_('feed')}, r as (select event_id as request_id, case when k % 3 = 0 then event_id + 1 end as wanted, case when k % 3 = 1 then 'f' || (event_id + 2) else 'none' end as file_name from feed),
+@query("j12_match_exports", f"""{D.with_('feed')}, r as (select event_id as request_id, case when k % 3 = 0 then event_id + 1 end as wanted, case when k % 3 = 1 then 'f' || (event_id + 2) else 'none' end as file_name, case when k % 5 = 2 then 'f' || (event_id + 3) else 'nothing' end as asked from feed),
     e as (select event_id as export_id, 'f' || event_id as name, start_us as created from feed where k % 4 <> 0),
-    m as (select request_id, export_id, created, 1 as p from r join e on wanted = export_id union all select request_id, export_id, created, 2 from r join e on file_name = name union all
+    m as (select request_id, export_id, created, 1 as p from r join e on wanted = export_id union all select request_id, export_id, created, 2 from r join e on file_name = name union all select request_id, export_id, created, 3 from r join e on asked = name union all
           select request_id, export_id, created, 4 from r, (select * from e order by created desc, export_id desc limit 1) where wanted is null),
     n as (select *, row_number() over (partition by request_id order by p, created desc, export_id desc) as n from m) select request_id, export_id, p as priority from n where n = 1""")
 def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = D.feed(spark, sf_dir)
-    r = f.select(C("event_id").alias("request_id"), F.when(C("k") % 3 == 0, C("event_id") + 1).alias("export_id"), F.when(C("k") % 3 == 1, F.concat(F.lit("f"), (C("event_id") + 2).cast("string"))).otherwise("none").alias("file_name"), F.lit("nothing").alias("requested_name"))
+    r = f.select(C("event_id").alias("request_id"), F.when(C("k") % 3 == 0, C("event_id") + 1).alias("export_id"), F.when(C("k") % 3 == 1, F.concat(F.lit("f"), (C("event_id") + 2).cast("string"))).otherwise("none").alias("file_name"), F.when(C("k") % 5 == 2, F.concat(F.lit("f"), (C("event_id") + 3).cast("string"))).otherwise("nothing").alias("requested_name"))
     e = f.select(C("event_id").alias("export_id"), F.concat(F.lit("f"), C("event_id").cast("string")).alias("name"), C("start_us").alias("created"), (C("k") % 4 == 0).alias("in_progress"))
     return J.match_exports(r, e).select("request_id", "export_id", "priority")
 
@@ -381,17 +381,20 @@ def w20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.rolling_frame_cap(r, 200, 3600).select("request_id", "admitted")
 
 
-# a step is a second of the queue's clock or the next request, whichever comes first
-@query("w21_rate_limit", f"""{D.with_('feed', recursive=True)}, r as (select site_id, start_us // 400 as ts, event_id, row_number() over (partition by site_id order by start_us // 400, event_id) as n from feed),
-    f as (select distinct site_id, 0::bigint as n, []::bigint[] as sent, []::bigint[] as waiting, false as told, 0::bigint as clock, []::struct(id bigint, what varchar, sent bigint)[] as e from r
+# over r (site_id, ts, event_id, n): a step is a second of the queue's clock or the next request, whichever comes first
+LIMITED = """f as (select distinct site_id, 0::bigint as n, []::bigint[] as sent, []::bigint[] as waiting, false as told, 0::bigint as clock, []::struct(id bigint, what varchar, sent bigint)[] as e from r
     union all select site_id, if(tick, n, n + 1), if(goes, list_append(near, now), near),
         if(tick, if(goes, waiting[2:], waiting), if(goes, waiting, if(waits, list_append(waiting, event_id), []))),
         if(tick, told and (not goes or len(waiting) > 10), told or not (goes or waits)), if(tick or (not goes and len(waiting) = 0), now, clock),
         if(goes, [struct_pack(id := if(tick, waiting[1], event_id), what := if(tick, 'queued', 'sent'), sent := now)],
             if(tick or waits, [], list_append(list_transform(waiting, lambda x: struct_pack(id := x, what := 'dropped', sent := null::bigint)), struct_pack(id := event_id, what := 'overflow', sent := now))))
     from (select *, len(near) < 2 as goes, told or len(waiting) < 10 as waits from (select *, list_filter(sent, lambda x: x > now - 5000000) as near
-    from (select f.*, r.event_id, len(waiting) > 0 and (r.ts is null or clock + 1000000 <= r.ts) as tick, if(tick, clock + 1000000, r.ts) as now from f left join r on r.site_id = f.site_id and r.n = f.n + 1) where now is not null)))
-    select x.id as request_id, x.what as outcome, x.sent as sent_us from (select unnest(e) as x from f)""")
+    from (select f.*, r.event_id, len(waiting) > 0 and (r.ts is null or clock + 1000000 <= r.ts) as tick, if(tick, clock + 1000000, r.ts) as now from f left join r on r.site_id = f.site_id and r.n = f.n + 1) where now is not null))),
+    lim as (select x.id as request_id, x.what as outcome, x.sent as sent_us from (select unnest(e) as x from f))"""
+
+
+@query("w21_rate_limit", f"""{D.with_('feed', recursive=True)}, r as (select site_id, start_us // 400 as ts, event_id, row_number() over (partition by site_id order by start_us // 400, event_id) as n from feed),
+    {LIMITED} select * from lim""")
 def w21(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = D.feed(spark, sf_dir).select("site_id", F.expr("start_us div 400").alias("ts_us"), C("event_id").alias("request_id"))
     return N.rate_limit(r).select("request_id", "outcome", "sent_us")

@@ -14,7 +14,9 @@ from camwatch.operators import notify as N
 from camwatch.operators import reports as R
 from camwatch.operators import store as T
 from camwatch.operators import timeline as L
+from camwatch.operators.lineage import cut
 from camwatch.plans import feed as D
+from camwatch.plans.event_queries import LIMITED
 from camwatch.plans.event_queries import INCIDENTS, NOW, members
 from camwatch.plans.registry import query
 from camwatch.plans.video_queries import SLICES, points
@@ -220,7 +222,17 @@ def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.select(F.lit("outcome").alias("kind"), C("outcome").alias("name"), "n").unionByName(links)
 
 
-@query("q11_notification_plan")
+STATUSES = "['" + "', '".join(x for x, *_ in P.GATE) + "']"
+ALLOWED = "('" + "', '".join(x for x, external, _ in P.GATE if external) + "')"
+
+
+@query("q11_notification_plan", f"""{D.with_('feed', 'snoozes', recursive=True)}, g as (select *, {STATUSES}[k % 9 + 1] as status from feed), sn as (select camera, set_us, max(struct_pack(expiration_us := expiration_us, n := snooze_notifications)) as s from snoozes group by 1, 2),
+    h as (select g.*, event_id // 3 as track, sn.s from g asof left join sn on sn.camera = g.camera and sn.set_us <= g.start_us where status in {ALLOWED}),
+    once as (select *, row_number() over (partition by track, status order by start_us, event_id) as m from h where not coalesce(s.expiration_us > start_us and s.n, false)),
+    r as (select site_id, start_us as ts, event_id, status, track, row_number() over (partition by site_id order by start_us, event_id) as n from once where m = 1), {LIMITED},
+    t as (select request_id, 'tag_' || track as tag, lag('tag_' || track) over (partition by site_id order by sent_us, request_id) as before from lim join r on r.event_id = request_id where outcome in ('sent', 'queued')),
+    p as (select request_id, unnest(['hub', 'push']) as provider, unnest(['sent', case when status in ('snapshot_ready', 'clip_ready', 'finalized') then 'sent' else 'skipped' end]) as result from lim join r on r.event_id = request_id where outcome in ('sent', 'queued'))
+    select lim.request_id, status, outcome, sent_us, case when before = tag then tag end as clear_tag, provider, result from lim join r on r.event_id = lim.request_id left join t on t.request_id = lim.request_id left join p on p.request_id = lim.request_id""")
 def q11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """request_id, status, outcome, sent_us, provider, result, clear_tag of what passes the gate, the snoozes and the first-of-its-kind rule.
 
@@ -231,15 +243,14 @@ def q11(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = ok.select(C("event_id").alias("target_id"), C("start_us").alias("ts_us"), F.array("camera").alias("cameras"), "site_id", "status", "camera", "threat", F.expr("event_id div 3").alias("track"))
     kept = J.suppress_snoozed(targets, D.snoozes(spark, sf_dir), "snooze_notifications").filter("not suppressed")
     once = J.first_per_key(kept, ["track", "status"], C("ts_us"), C("target_id"))
-    limited = N.rate_limit(once.select("site_id", "ts_us", C("target_id").alias("request_id"), "status", "track"))
-    out = limited.filter("outcome in ('sent', 'queued')").select("site_id", C("sent_us").alias("ts_us"), C("request_id").alias("id"), text("tag_{t}", t=C("track")).alias("tag"), F.lit(True).alias("ok"))
-    tags = N.clear_previous_tag(out).select(C("id").alias("request_id"), "clear_tag")
-    told = N.fan_out(
-        limited.filter("outcome in ('sent', 'queued')").withColumnRenamed("request_id", "notification_id"),
-        {"hub": lambda d: d.select("notification_id", F.lit("sent").alias("status"), C("status").alias("message")), "push": lambda d: d.select("notification_id", P.provider_phase(C("status")).alias("status"), C("status").alias("message"))},
-    )
-    results = told.select(C("notification_id").alias("request_id"), "provider", C("status").alias("result"))
-    return limited.select("request_id", "status", "outcome", "sent_us").join(tags, "request_id", "left").join(results, "request_id", "left")
+    # each is read several times below: computed once
+    asked = cut(once.select("site_id", "ts_us", C("target_id").alias("request_id"), "status", "track"))
+    limited = cut(N.rate_limit(asked))
+    goes, rest = F.col("outcome").isin("sent", "queued"), ["request_id", "status", "outcome", "sent_us"]
+    out = limited.filter(goes).select("site_id", *rest, C("sent_us").alias("ts_us"), C("request_id").alias("id"), text("tag_{t}", t=C("track")).alias("tag"), F.lit(True).alias("ok"))
+    told = N.with_results(N.clear_previous_tag(out), {"hub": (F.lit("sent"), C("status")), "push": (P.provider_phase(C("status")), C("status"))})
+    none = [F.lit(None).cast("string").alias(c) for c in ("clear_tag", "provider", "result")]
+    return told.select(*rest, "clear_tag", "provider", "result").unionByName(limited.filter(~goes).select(*rest, *none))
 
 
 @query("q12_event_timeline_page", f"""{D.with_('feed', 'file_inventory')}, t as (select event_id // 4 as incident, event_id, label, start_us, case when k % 4 > 0 then cast(start_us as varchar) end as ts, case when k % 3 = 0 then 0 else 1 end as part from feed),
