@@ -228,3 +228,12 @@ def test_report_of_a_day(spark):
     entries = R.report_json(e.withColumns({"scene": F.lit(None).cast("string"), "confidence": F.lit(0.5), "context": F.array(F.lit("x"))}))
     got = R.render_json(entries, day).first()
     assert got.n == 3 and [x["time"][11:] for x in json.loads(got.entries)] == ["01:00:00 AM", "01:00:00 AM", "12:06:40 PM"]
+
+
+def test_no_configuration_allows_everything(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, None, "x"), (4, "a", None)], "id long, camera string, label string")
+    config = spark.createDataFrame([("a", ["x"]), ("c", [])], "camera string, labels array<string>")
+    assert sorted(r.id for r in P.filter_camera_label(df, config.filter("false")).collect()) == [1, 2, 3, 4]
+    got = P.filter_camera_label(df, config)
+    assert got.columns == df.columns and [r.id for r in got.collect()] == [1]
+    assert [r.id for r in P.filter_camera_label(df, config.withColumn("labels", F.array().cast("array<string>"))).orderBy("id").collect()] == [1, 4]
