@@ -28,6 +28,5 @@ def test_same_rows(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.all_queries()) - set(plans.all_sql())))
-def test_runs(spark, name):
-    assert plans.all_queries()[name](spark, SF).count() > 0
+def test_every_query_has_sql():
+    assert set(plans.all_queries()) == set(plans.all_sql())
