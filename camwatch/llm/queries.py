@@ -152,15 +152,15 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op2_exact_topk": """
         with v as (
-            select row_number() over () as at, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+            select row_number() over () as asker, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
             from embeddings
             where embedding is not null and vec_id is not null
               and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
         ), s as (
-            select q.at, q.vec_id as query_id, c.vec_id, cast(list_inner_product(cast(q.e as double[]), cast(c.e as double[])) as bigint) as score
+            select q.asker, q.vec_id as query_id, c.vec_id, cast(list_inner_product(cast(q.e as double[]), cast(c.e as double[])) as bigint) as score
             from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0
         ), r as (
-            select *, row_number() over (partition by at order by score desc, vec_id) as rank from s
+            select *, row_number() over (partition by asker order by score desc, vec_id) as rank from s
         )
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
     """,
