@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import astuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -205,14 +204,14 @@ class Closing(InOrder):
         self.rule = CloseTimer(self.gap_s, **self.options)
         plain = lambda v: list(v) if hasattr(v, "__iter__") and not isinstance(v, str) else v
         self.before = {int(k[0]): tuple(plain(x) for x in v) for k, v in self.open.iterator()}
-        self.rule.held = {k: Incident(*(list(x) if isinstance(x, list) else x for x in v)) for k, v in self.before.items()}
+        self.rule.hold({k: Incident.of(v) for k, v in self.before.items()})
         self.started = {k[0]: (int(v[0]), int(v[1])) for k, v in self.running.iterator()}
         self.rule.starts = dict(self.started)
         active, self.rule.next = self.number.get() or (-1, 0)
         self.rule.active = active if active in self.rule.held else None
 
     def save(self) -> None:
-        now = {k: astuple(x) for k, x in self.rule.held.items()}
+        now = {k: x.row() for k, x in self.rule.held.items()}
         for k in [*self.before, *now]:
             if k not in now:
                 self.open.removeKey((k,))

@@ -200,3 +200,21 @@ def test_describe_skips_incidents_snoozed_on_all_cameras(spark):
     assert got == {1: "2 cameras", 3: "1 cameras", 4: "0 cameras"}
     with pytest.raises(Exception, match="suppressed"):
         N.describe(inc, tell, "incident_id long, title string").collect()
+
+
+def test_a_site_without_a_pause_is_judged_in_constant_state():
+    """Events that start once are counted, not kept; the outcome is that of keeping all ids."""
+    rng = random.Random(4)
+    messages, t = [], 0
+    for k in range(20_000):
+        t += rng.choice([0, 1, 2, 3]) * S
+        end = t + rng.choice([1, 4, 5, 60, 130]) * S if rng.random() < 0.9 else None
+        messages += [(t, 0, "new", f"e{k:05d}", rng.choice("abc"), end)] + [(end, 1, "end", f"e{k:05d}", "a", end)] * (end is not None)
+    whole, lean = K.CloseTimer(120), K.CloseTimer(120)
+    for now, _, kind, e, camera, end in sorted(messages, key=lambda m: (m[0], m[1], m[3])):
+        assert [K.closed_row(1, x) for x in whole.fire(now)] == [K.closed_row(1, x) for x in lean.fire(now)]
+        a, b = whole.see(kind, e, camera, "x", now), lean.see(kind, e, camera, "x", now, True, end is not None)
+        assert (a and K.membership_row(1, e, now, *a)) == (b and K.membership_row(1, e, now, *b))
+    assert sum(len(x.members) for x in lean.held.values()) < 50 and sum(x.n_events for x in lean.held.values()) > 10_000
+    assert len(lean.starts) < 200 and not lean.known
+    assert [K.closed_row(1, x) for x in whole.fire(None)] == [K.closed_row(1, x) for x in lean.fire(None)]
