@@ -79,10 +79,12 @@ def event_phase(descriptions: DataFrame, reviews: DataFrame, events: DataFrame)
     """event_id, phase, ai_description, description: a review finalizes, a description lifts a new event.
 
     The latest description and the latest review count, each for a text of its own:
-    what a later description says stays beside the review's text.
+    what a later description says stays beside the review's text. Of equal times the
+    least ``seq`` counts, in tables that have such a column (a number), else the greatest text.
     """
-    d = descriptions.groupBy("event_id").agg(F.max_by("text", F.struct("ts", "text")).alias("d"), F.lit(True).alias("has_d"))
-    r = reviews.groupBy("event_id").agg(F.max_by("text", F.struct("ts", "text")).alias("r"), F.lit(True).alias("has_r"))
+    latest = lambda df: F.max_by("text", F.struct("ts", -F.col("seq") if "seq" in df.columns else "text"))
+    d = descriptions.groupBy("event_id").agg(latest(descriptions).alias("d"), F.lit(True).alias("has_d"))
+    r = reviews.groupBy("event_id").agg(latest(reviews).alias("r"), F.lit(True).alias("has_r"))
     j = events.select("event_id").join(d, "event_id", "left").join(r, "event_id", "left")
     return j.select("event_id", F.when(F.col("has_r"), "FINALIZED").when(F.col("has_d"), "DESCRIBED").otherwise("NEW").alias("phase"), F.col("d").alias("ai_description"), F.col("r").alias("description"))
 

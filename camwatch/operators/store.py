@@ -125,7 +125,7 @@ def union_timeline_parts(base: DataFrame, appended: DataFrame) -> DataFrame:
 
 
 def apply_review_flags(events: DataFrame, flags: DataFrame) -> DataFrame:
-    """The latest value of each flag of each event; none set is false."""
+    """The latest value of each flag of each event, of equal times that with the greatest ``change_id``; none set is false."""
     last = flags.groupBy("event_id").agg(
         F.max_by("value", F.when(F.col("flag") == "viewed", F.struct("ts_us", "change_id"))).alias("viewed"),
         F.max_by("value", F.when(F.col("flag") == "kept", F.struct("ts_us", "change_id"))).alias("kept"),

@@ -413,16 +413,18 @@ def w23(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w24_event_phase", f"{D.with_('feed')}, x as (select event_id // 6 as id, * from feed), d as (select id, arg_max(camera, start_us) as d from x where k % 2 = 0 group by 1), r as (select id, arg_max(label, start_us) as r from x where k % 7 = 1 group by 1) select e.id as event_id, case when r is not null then 'FINALIZED' when d is not null then 'DESCRIBED' else 'NEW' end as phase, d as ai_description, r as description from (select distinct id from x) e left join d using (id) left join r using (id)")
 def w24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = D.feed(spark, sf_dir).withColumn("event_id", F.expr("event_id div 6"))
-    d = x.filter("k % 2 = 0").select("event_id", C("start_us").alias("ts"), C("camera").alias("text"))
-    r = x.filter("k % 7 = 1").select("event_id", C("start_us").alias("ts"), C("label").alias("text"))
+    """Of equal times the event with the least id counts, which is the SQL's first row."""
+    x = D.feed(spark, sf_dir).withColumn("seq", C("event_id")).withColumn("event_id", F.expr("event_id div 6"))
+    d = x.filter("k % 2 = 0").select("event_id", C("start_us").alias("ts"), "seq", C("camera").alias("text"))
+    r = x.filter("k % 7 = 1").select("event_id", C("start_us").alias("ts"), "seq", C("label").alias("text"))
     return I.event_phase(d, r, x.select("event_id").distinct())
 
 
 @query("w25_apply_review_flags", f"{D.with_('feed')}, c as (select event_id // 5 as id, event_id, start_us, k % 3 = 0 as v, k % 2 = 0 as isv from feed) select e.id as event_id, coalesce((select arg_max(v, start_us) from c where c.id = e.id and isv), false) as viewed, coalesce((select arg_max(v, start_us) from c where c.id = e.id and not isv), false) as kept from (select distinct id from c) e")
 def w25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of equal times the event with the least id counts, which is the SQL's first row: changes are numbered downwards."""
     f = D.feed(spark, sf_dir).withColumn("id", F.expr("event_id div 5"))
-    flags = f.select(C("id").alias("event_id"), C("event_id").alias("change_id"), C("start_us").alias("ts_us"), F.when(C("k") % 2 == 0, "viewed").otherwise("kept").alias("flag"), (C("k") % 3 == 0).alias("value"))
+    flags = f.select(C("id").alias("event_id"), (-C("event_id")).alias("change_id"), C("start_us").alias("ts_us"), F.when(C("k") % 2 == 0, "viewed").otherwise("kept").alias("flag"), (C("k") % 3 == 0).alias("value"))
     return T.apply_review_flags(f.select(C("id").alias("event_id")).distinct(), flags)
 
 

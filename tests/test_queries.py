@@ -30,3 +30,11 @@ def test_same_rows(spark, duck, name):
 
 def test_every_query_has_sql():
     assert set(plans.all_queries()) == set(plans.all_sql())
+
+
+@pytest.mark.parametrize("name", ["w24_event_phase", "w25_apply_review_flags"])
+def test_equal_times_as_in_the_sql(spark, tmp_path, name):
+    c = duckdb.connect()
+    c.sql(f"copy (select * replace (date_trunc('day', ts) as ts) from '{SF}/events.parquet' order by event_id) to '{tmp_path}/events.parquet'")
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    assert rows(plans.all_queries()[name](spark, str(tmp_path)).toPandas()) == rows(c.sql(plans.all_sql()[name]).df())
