@@ -11,7 +11,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from camwatch.functions.scalars import is_preferred_label
-from camwatch.operators.joins import asof_nearest
 
 
 def dense_grid(ends: DataFrame, step: float = 2.0, cap: int = 45, end: str = "end_sec") -> DataFrame:
@@ -22,6 +21,11 @@ def dense_grid(ends: DataFrame, step: float = 2.0, cap: int = 45, end: str = "en
     return ends.filter(F.col(end) > 0).withColumn("idx", F.explode(F.sequence(F.lit(0), n))).withColumn("t", F.col("idx") * F.lit(float(step)))
 
 
+def by_incident(rows: DataFrame) -> DataFrame:
+    """Whole incidents in each task: what follows by incident, camera and point needs no shuffle."""
+    return rows.repartition("incident_id")
+
+
 def person_area(sidecar: DataFrame) -> DataFrame:
     """incident_id, camera, t, area: the sum over person labels of each sampled frame; frames without any have 0."""
     return sidecar.groupBy("incident_id", "camera", "t").agg(F.sum(F.when(is_preferred_label(F.col("label")), F.col("area")).otherwise(0)).alias("area"))
@@ -32,12 +36,30 @@ def content_duration(sidecar: DataFrame) -> DataFrame:
 
 
 def area_curves(entries: DataFrame, step: float = 2.0, cap: int = 45) -> DataFrame:
-    """incident_id, camera, idx, t, area: the nearest entry's area at every grid point of every camera of the incident."""
-    cams = entries.groupBy("incident_id", "camera").agg(F.max("t").alias("last"))
-    ends = cams.groupBy("incident_id").agg(F.max("last").cast("double").alias("end_sec"))
-    grid = dense_grid(cams.select("incident_id", "camera").join(ends, "incident_id"), step, cap).drop("end_sec")
-    near = asof_nearest(grid, entries.withColumn("t", F.col("t").cast("double")), ["incident_id", "camera"], "t", cell=None)
-    return near.select("incident_id", "camera", "idx", "t", F.col("entry.area").alias("area"))
+    """incident_id, camera, idx, t, area: the nearest entry's area at every grid point of every camera of the incident, the earlier entry's on ties.
+
+    No join: by one sort of the entries each gets the last point that it is nearest to,
+    and gives the points from the one after its predecessor's. Where incidents are whole
+    in their tasks (``by_incident`` of the sidecar) nothing is shuffled.
+    """
+    if step <= 0:
+        return entries.select("incident_id", "camera", F.lit(0).alias("idx"), F.lit(0.0).alias("t"), "area").filter("false")
+    w = W.partitionBy("incident_id", "camera").orderBy("t")
+    rows = entries.withColumn("t", F.col("t").cast("double")).filter("incident_id is not null")
+    rows = rows.withColumns({"__next": F.lead("t").over(w), "__end": F.max("t").over(W.partitionBy("incident_id"))})
+    # the last point k with k * step - t <= next - k * step
+    k, point, n = F.floor((F.col("t") + F.col("__next")) / F.lit(2.0 * step)), F.lit(float(step)), F.least(F.floor(F.col("__end") / step), F.lit(max(1, cap) - 1))
+    rows = rows.withColumn("__k", k).withColumn("__n", n)
+    off = lambda k: k * point - F.col("t") > F.col("__next") - k * point
+    upto = F.col("__k") + F.when(off(F.col("__k")), F.lit(-1)).when(off(F.col("__k") + 1), F.lit(0)).otherwise(F.lit(1))
+    rows = rows.withColumn("__upto", F.greatest(F.lit(-1), upto))
+    # a window between keeps the plan from writing that out wherever it is used
+    rows = rows.withColumn("__first", F.coalesce(F.lag("__upto").over(w) + 1, F.lit(0)))
+    rows = rows.filter("__end > 0 and (t is not null or __next is null)").withColumn("__upto", F.when(F.col("__next").isNull(), F.col("__n")).otherwise(F.least("__upto", "__n")))
+    rows = rows.withColumn("points", F.when(F.col("__first") <= F.col("__upto"), F.sequence(F.col("__first").cast("int"), F.col("__upto").cast("int"))))
+    known = F.when(F.col("camera").isNotNull() & F.col("t").isNotNull(), F.col("area"))
+    points = rows.select("incident_id", "camera", known.alias("area"), F.explode("points").alias("idx"))
+    return points.select("incident_id", "camera", "idx", (F.col("idx") * point).alias("t"), "area")
 
 
 def share_of_frame(curves: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -100,11 +122,13 @@ def runs(points: DataFrame) -> DataFrame:
 
 def merge_short_runs(points: DataFrame, least: int = 5) -> DataFrame:
     """Runs shorter than ``least`` points take the previous run's camera as it was; a short first run the next one's."""
-    r = runs(points)
-    sizes = r.groupBy("incident_id", "run").agg(F.first("camera").alias("own"), F.count("*").alias("n"))
-    w = W.partitionBy("incident_id").orderBy("run")
-    sizes = sizes.withColumn("merged", F.when(F.col("n") >= least, F.col("own")).otherwise(F.coalesce(F.lag("own").over(w), F.lead("own").over(w), "own")))
-    return r.join(sizes.select("incident_id", "run", "merged"), ["incident_id", "run"]).select("incident_id", "idx", "t", F.col("merged").alias("camera"))
+    w = W.partitionBy("incident_id").orderBy("idx")
+    r = runs(points.withColumns({"__before": F.lag("camera").over(w), "__after": F.lead("camera").over(w)}))
+    # all of a run has its first point's camera, what comes before its first and after its last point
+    run = W.partitionBy("incident_id", "run").orderBy("idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    near = F.coalesce(F.first("__before").over(run), F.last("__after").over(run), "camera")
+    merged = F.when(F.count("*").over(run) >= least, F.col("camera")).otherwise(near)
+    return r.filter("incident_id is not null").select("incident_id", "idx", "t", merged.alias("camera"))
 
 
 def points_to_segments(points: DataFrame, ends: DataFrame) -> DataFrame:
@@ -160,6 +184,7 @@ def camera_timeline(sidecar: DataFrame, primary: str = "cam_0", step: float = 2.
     (``hooked_curves``); with ``sizes`` cameras of different sizes are compared by shares
     of their frames (``share_of_frame``).
     """
+    sidecar = by_incident(sidecar)
     entries = person_area(sidecar)
     ends = content_duration(sidecar).withColumn("end_sec", F.col("end_sec").cast("double"))
     curves = hooked_curves(entries, area_fn, step, cap) if area_fn else area_curves(entries, step, cap)

@@ -42,11 +42,11 @@ SLICES = f"""{MERGED}, slices as (select m.incident_id, idx, camera, t as start_
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.person_area(D.sidecar(spark, sf_dir))
+    return L.person_area(L.by_incident(D.sidecar(spark, sf_dir)))
 
 
 def ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.content_duration(D.sidecar(spark, sf_dir)).withColumn("end_sec", C("end_sec").cast("double"))
+    return L.content_duration(L.by_incident(D.sidecar(spark, sf_dir))).withColumn("end_sec", C("end_sec").cast("double"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,39 @@ def test_crop_path_against_brute_force(spark):
     for r in K.resample_path(path, 2).collect():
         a, b = want[r.incident_id][r.idx]
         assert (r.x, r.y, r.w, r.h) == tuple(max(2 * (k > 1), int(p + (q - p) * (r.sample / 3)) & ~1) for k, (p, q) in enumerate(zip(a, b)))
+
+
+def test_curves_and_short_runs_without_joins(spark):
+    """Against brute force: areas of the nearest entry, earlier on ties; short runs; and incidents are shuffled once."""
+    from pyspark.sql import functions as F
+
+    from camwatch.operators import timeline as L
+
+    rng = random.Random(11)
+    rows = [(i, c, t, rng.randint(0, 9)) for i in range(40) for c in "abc"[: rng.randint(1, 3)] for t in rng.sample(range(-3, 110), rng.randint(1, 9))]
+    rows += [(90, "a", None, 5), (90, "b", 6, 2), (90, "b", None, 7), (91, "a", -4, 1)]
+    entries = spark.createDataFrame(rows, "incident_id long, camera string, t int, area long")
+    for step, cap in ((2.0, 45), (2.5, 7)):
+        want = {}
+        for i in {r[0] for r in rows}:
+            ends = max((r[2] for r in rows if r[0] == i and r[2] is not None), default=-1)
+            for c in {r[1] for r in rows if r[0] == i}:
+                own = [(r[2], r[3]) for r in rows if r[:2] == (i, c) and r[2] is not None]
+                for k in range(min(int(ends // step), cap - 1) + 1 if ends > 0 else 0):
+                    want[i, c, k] = (k * step, min(own, key=lambda e: (abs(e[0] - k * step), e[0]))[1] if own else None)
+        got = L.area_curves(entries, step, cap).collect()
+        assert {(r.incident_id, r.camera, r.idx): (r.t, r.area) for r in got} == want and len(got) == len(want)
+    cams = {i: [c for _ in range(9) for c in [rng.choice("ab")] * rng.randint(1, 7)] for i in range(30)}
+    points = spark.createDataFrame([(i, k, k * 2.0, c) for i, cs in cams.items() for k, c in enumerate(cs)], "incident_id long, idx int, t double, camera string")
+    got = {(r.incident_id, r.idx): r.camera for r in L.merge_short_runs(points, 5).collect()}
+    for i, cs in cams.items():
+        runs = [[cs[0], 0]]
+        for c in cs:
+            if c != runs[-1][0]:
+                runs.append([c, 0])
+            runs[-1][1] += 1
+        merged = [c if n >= 5 else runs[k - 1][0] if k else runs[k + 1][0] if len(runs) > 1 else c for k, (c, n) in enumerate(runs)]
+        assert [got[i, k] for k in range(len(cs))] == [m for m, (_, n) in zip(merged, runs) for _ in range(n)]
+    sidecar = entries.withColumn("label", F.lit("person"))
+    plan = L.camera_timeline(sidecar)._jdf.queryExecution().executedPlan().toString()
+    assert {x.split("]")[0] for x in plan.split("hashpartitioning(")[1:]} and all(x.startswith("incident_id") and "camera" not in x.split(")")[0] for x in plan.split("hashpartitioning(")[1:])
