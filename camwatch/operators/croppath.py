@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from camwatch.operators.joins import asof_hold, asof_nearest, in_interval
+from camwatch.operators.joins import asof_nearest, in_interval
+from camwatch.operators.timeline import by_incident
 
 #: Least share of the frame's side that a crop has.
 LEAST_ZOOM = 0.4
@@ -47,9 +48,9 @@ def crop_at(slices: DataFrame, sidecar: DataFrame, time: str, width: int = 1920,
     Without an entry or detections the crop is around the middle of the frame. An
     incident's camera has a bounded number of entries, and is not cut by time.
     """
-    entries = entry_boxes(sidecar).withColumn("t", F.col("t").cast("double"))
+    entries = entry_boxes(by_incident(sidecar)).withColumn("t", F.col("t").cast("double"))
     left = slices.withColumn("t", F.col(time).cast("double"))
-    held = asof_hold(left, entries, ["incident_id", "camera"], "t", F.col("n") > 0, cell=None)
+    held = asof_nearest(left, entries, ["incident_id", "camera"], "t", cell=None)  # an entry's box is made of detections, so none is empty
     cx, cy = F.coalesce(F.col("entry.cx"), F.lit(width / 2.0)), F.coalesce(F.col("entry.cy"), F.lit(height / 2.0))
     x1, y1, x2, y2 = F.least(F.col("entry.x1"), F.lit(width)), F.least(F.col("entry.y1"), F.lit(height)), F.greatest(F.col("entry.x2"), F.lit(0)), F.greatest(F.col("entry.y2"), F.lit(0))
     area = content_box(x1, y1, x2, y2, F.lit(width), F.lit(height))["area"]
@@ -89,11 +90,11 @@ def quality_join(slices: DataFrame, sidecar: DataFrame) -> DataFrame:
 
     ``sidecar``: one row a detection, and one with a null label for a sampled frame without any.
     """
-    entries = sidecar.groupBy("incident_id", "camera", F.col("t").cast("double").alias("t")).agg(F.count("label").alias("n"))
+    entries = by_incident(sidecar).groupBy("incident_id", "camera", F.col("t").cast("double").alias("t")).agg(F.count("label").alias("n"))
     # start and end ask in one pass
     asks = slices.withColumn("ask", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("start_sec").cast("double").alias("t")), F.struct(F.lit(1).alias("k"), F.col("end_sec").cast("double").alias("t")))))
     asks = asks.select("incident_id", "idx", "camera", "start_sec", "end_sec", F.col("ask.t").alias("t"))
-    near = asof_nearest(asks, entries, ["incident_id", "camera"], "t")
+    near = asof_nearest(asks, entries, ["incident_id", "camera"], "t", cell=None)
     state = near.groupBy("incident_id", "idx", "camera", "start_sec", "end_sec").agg(F.bool_and(F.col("entry").isNull()).alias("none"), F.bool_or(F.coalesce(F.col("entry.n") == 0, F.lit(False))).alias("empty"))
     return state.select("incident_id", "idx", "camera", "start_sec", "end_sec", F.when(F.col("none"), "no entries").when(F.col("empty"), "no detections").otherwise("ok").alias("quality"))
 

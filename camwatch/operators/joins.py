@@ -22,7 +22,8 @@ def nearest_rows(left: DataFrame, right: DataFrame, by: list[str], time: str, ki
     rows that tie on key and time the least in the order of their columns counts. Rows
     without a time, or with a null key, match nothing. With ``ahead`` off only rows at or
     before a left row's time count. Without a cell a key is not cut: for keys whose rows
-    are bounded, such as an incident's camera.
+    are bounded, such as an incident's camera. Then each right row brings the one after
+    it, and one row for each key the first, so that left rows are sorted once.
     """
     rest = [c for c in right.columns if c not in (*by, time)]
     own = [c for c in left.columns if c not in by]
@@ -30,15 +31,24 @@ def nearest_rows(left: DataFrame, right: DataFrame, by: list[str], time: str, ki
     row = F.struct(F.col(time).alias("rt"), *rest)
     known = right.na.drop(subset=[*by, time])
     r = known.groupBy(*by, F.col(time).alias("__t")).agg(*(F.min(F.when(c, row)).alias(n) for n, c in zip(names, kinds.values(), strict=True)))
-    both = left.select(*by, F.col(time).alias("__t"), F.struct(*own).alias("__l")).unionByName(r, allowMissingColumns=True)
-    both = both.withColumn("__cell", F.floor(F.col("__t") / cell) if cell else F.lit(0))
-    within = W.partitionBy(*by, *["__cell"] * bool(cell))
+    asks = left.select(*by, F.col(time).alias("__t"), F.struct(*own).alias("__l"))
+    if not cell:
+        later = W.partitionBy(*by).orderBy(F.desc("__t")).rowsBetween(W.unboundedPreceding, -1)
+        pair = {n: F.struct(F.col(n).alias("b"), F.last(n, ignorenulls=True).over(later).alias("a")) for n in names}
+        pairs = r.select(*by, "__t", *(F.when(F.col(n).isNotNull(), p).alias(n) for n, p in pair.items()))
+        firsts = r.groupBy(*by).agg(*(F.min(n).alias(n) for n in names))
+        firsts = firsts.select(*by, *(F.struct(F.when(F.lit(False), F.col(n)).alias("b"), F.col(n).alias("a")).alias(n) for n in names))
+        so_far = W.partitionBy(*by).orderBy("__t", F.col("__l").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+        both = asks.unionByName(pairs, allowMissingColumns=True).unionByName(firsts, allowMissingColumns=True)
+        j = both.withColumns({n: F.last(n, ignorenulls=True).over(so_far) for n in names}).filter("__l is not null")
+        timed = lambda n, x: F.when(F.col("__t").isNotNull(), F.col(n)[x])
+        j = j.withColumns({f"{n}{x}": timed(n, x) for n in names for x in "ba"} | {f"{n}{x}": F.lit(None) for n in names for x in ("_lo", "_hi")})
+        return _chosen(j, by, own, names, kinds, ahead)
+    both = asks.unionByName(r, allowMissingColumns=True).withColumn("__cell", F.floor(F.col("__t") / cell))
+    within = W.partitionBy(*by, "__cell")
     back = {n: F.last(n, ignorenulls=True).over(within.orderBy("__t", F.col("__l").isNotNull()).rowsBetween(W.unboundedPreceding, 0)) for n in names}
     onward = {n: F.last(n, ignorenulls=True).over(within.orderBy(F.desc("__t"), F.col("__l").isNotNull()).rowsBetween(W.unboundedPreceding, 0)) for n in names}
     j = both.withColumns({f"{n}b": c for n, c in back.items()} | {f"{n}a": c for n, c in onward.items() if ahead}).filter("__l is not null")
-    if not cell:
-        j = j.withColumns({f"{n}{x}": F.lit(None) for n in names for x in ("_lo", "_hi")})
-        return _chosen(j, by, own, names, kinds, ahead)
     at = {n: F.when(F.col(n).isNotNull(), F.col("__t")) for n in names}
     cells = both.groupBy(*by, "__cell").agg(*(f(n, at[n]).alias(f"{n}{x}") for n in names for x, f in (("first", F.min_by), ("last", F.max_by))))
     up, down = (W.partitionBy(*by).orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in (F.col("__cell"), F.desc("__cell")))

@@ -91,7 +91,7 @@ def a16(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j5(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = entries(spark, sf_dir)
     p = e.select("incident_id", "camera", (F.expr("t div 10") * 10 + 4).cast("int").alias("t")).distinct()
-    return J.asof_hold(p, e, ["incident_id", "camera"], "t", C("area") > 0).select("incident_id", "camera", "t", C("entry.rt").alias("entry_t"))
+    return J.asof_hold(p, e, ["incident_id", "camera"], "t", C("area") > 0, cell=None).select("incident_id", "camera", "t", C("entry.rt").alias("entry_t"))
 
 
 @query("w2_dense_grid", f"{D.with_('sidecar')}, {GRID} select distinct incident_id, idx, t from gt")

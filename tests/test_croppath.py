@@ -110,3 +110,17 @@ def test_curves_and_short_runs_without_joins(spark):
     sidecar = entries.withColumn("label", F.lit("person"))
     plan = L.camera_timeline(sidecar)._jdf.queryExecution().executedPlan().toString()
     assert {x.split("]")[0] for x in plan.split("hashpartitioning(")[1:]} and all(x.startswith("incident_id") and "camera" not in x.split(")")[0] for x in plan.split("hashpartitioning(")[1:])
+
+
+def test_nearest_rows_of_bounded_keys(spark):
+    """Uncut keys give what cut ones give, by one sort of the left side; a row without a time matches nothing."""
+    from pyspark.sql import functions as F
+
+    from camwatch.operators import joins as J
+
+    rng = random.Random(2)
+    right = spark.createDataFrame([(k, rng.randint(-20, 60) * 1.0, n, rng.random() < 0.4) for k in "abc" for n in range(15)], "k string, t double, n int, f boolean")
+    left = spark.createDataFrame([(rng.choice("abcd"), rng.randint(-60, 240) / 2.0, i) for i in range(400)] + [("a", None, 900)], "k string, t double, i int")
+    for ahead in (True, False):
+        both = [{r.i: (r.any, r.some) for r in J.nearest_rows(left, right, ["k"], "t", {"any": F.lit(True), "some": F.col("f")}, cell, ahead).collect()} for cell in (None, 7)]
+        assert both[0] == both[1] and len(both[0]) == 401 and both[0][900] == (None, None)
