@@ -172,8 +172,11 @@ class NearestArea:
     """The built-in curve as a user's table function: at each point of the grid the area of the nearest entry, the earlier on ties."""
 
     def eval(self, incident_id: int, camera: str, end_sec: float, entries: list):
+        at, i = [(e["t"], e["area"]) for e in entries], 0  # by time: the nearest only moves on
         for k in range(min(int(end_sec / 2.0), 44) + 1 if end_sec > 0 else 0):
-            yield k * 2.0, min(entries, key=lambda e: (abs(e["t"] - k * 2.0), e["t"]))["area"]  # noqa: B023
+            while i + 1 < len(at) and at[i + 1][0] - k * 2.0 < abs(at[i][0] - k * 2.0):
+                i += 1
+            yield k * 2.0, at[i][1]
 
 
 @query("u2_area_hook", f"{D.with_('sidecar', recursive=True)}, {SLICES} select incident_id, idx, camera, start_sec, end_sec from plan")

@@ -124,3 +124,22 @@ def test_nearest_rows_of_bounded_keys(spark):
     for ahead in (True, False):
         both = [{r.i: (r.any, r.some) for r in J.nearest_rows(left, right, ["k"], "t", {"any": F.lit(True), "some": F.col("f")}, cell, ahead).collect()} for cell in (None, 7)]
         assert both[0] == both[1] and len(both[0]) == 401 and both[0][900] == (None, None)
+
+
+def test_the_area_hook_reads_each_entry_once():
+    from camwatch.plans.video_queries import NearestArea
+
+    reads = []
+
+    class Entry(dict):
+        def __getitem__(self, name):
+            reads.append(name)
+            return dict.__getitem__(self, name)
+
+    rng = random.Random(1)
+    for _ in range(50):
+        entries = [Entry(t=float(t), area=t * 7) for t in sorted(rng.sample(range(100), rng.randint(1, 12)))]
+        reads.clear()
+        got = list(NearestArea.func().eval(1, "a", 100.0, entries))
+        assert len(reads) == 2 * len(entries)
+        assert got == [(k * 2.0, min(entries, key=lambda e: (abs(e["t"] - k * 2.0), e["t"]))["area"]) for k in range(45)]
