@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
@@ -31,17 +32,12 @@ from camwatch.llm.common import table, temporary
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: Stands for a null document id in a file.
 NO_ID = -(2**63)
-#: Words whose ids a task remembers, and texts that it splits at once.
-CACHE, PART = 500_000, 250
+#: Words whose ids a task remembers, new words that it encodes and bytes of text that it splits at once.
+CACHE, PART, BYTES = 500_000, 1000, 8 << 20
 #: What may follow letters as a piece of its own. No apostrophes: those begin pieces with letters.
 PUNCTUATION = ",.!?:;*%$#&|)"
-
-
-def byte_letters() -> dict[int, str]:
-    """The printable character that stands for each byte in a byte-level vocabulary: itself, or the next from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+#: Stands for a space in a byte-level vocabulary. Fixed value.
+SPACE = "\u0120"
 
 
 class WordEncoder:
@@ -50,7 +46,7 @@ class WordEncoder:
     Its pre-tokenizer always begins a piece at a single space between two other
     characters, and behind letters that punctuation follows. So a text's ids are
     those of its words, each with the space before it, one after the other; words are
-    encoded once by the library and remembered. Texts with other white space beside
+    encoded once by the library, many at a time, and remembered. Texts with other white space beside
     a space, or with the string of an added token, go to the library whole.
     """
 
@@ -62,7 +58,8 @@ class WordEncoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.spaced[[k for t, k in self.tokenizer.get_vocab().items() if t.startswith(SPACE)]] = True
         self.cache: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}  # what the cache held before; words still in use move on
         self.tails: dict[str, bytes] = {}
@@ -73,55 +70,79 @@ class WordEncoder:
     def _pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
-    def _letters(self, word: str) -> bytes:
-        """A word of letters only, behind a space, is one piece for the model."""
-        return self._pack([t.id for t in self.model.tokenize(f" {word}".encode().decode("latin-1").translate(self.letters))])
+    def _together(self, words: list[str]) -> None:
+        """Remember the words' ids behind a space, many encoded as one text: no token but a word's first begins with a space."""
+        for lo in range(0, len(words), PART):
+            part = words[lo : lo + PART]
+            text = f" {' '.join(part)}"
+            ids = np.asarray([] if any(a in text for a in self.added) else self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+            starts = np.flatnonzero(self.spaced[ids]) * self.width
+            if len(starts) == len(part):
+                raw, bounds = ids.astype(self.kind).tobytes(), [*starts.tolist(), len(ids) * self.width]
+                self.cache.update((w, raw[i:j]) for w, i, j in zip(part, bounds, bounds[1:], strict=False))
+            else:
+                self.cache.update((w, self._ids(f" {w}")) for w in part)
 
     def _learn(self, words: list[str]) -> None:
         """Remember the words' ids behind a space; None for those with white space at an end."""
-        cache, rest = self.cache, []
+        cache, old, alone, tailed = self.cache, self.old, {}, []
         for w in words:
             core = w.rstrip(PUNCTUATION)
             if not w or w != w.strip():
                 cache[w] = None
-            elif not core.isalpha():
-                rest.append(w)
-            elif core == w:
-                cache[w] = self._letters(w)
+            elif core == w or not core.isalpha():
+                alone[w] = None
             else:
-                tail = w[len(core) :]
-                if (head := cache.get(core) or self.old.get(core)) is None:
-                    head = cache[core] = self._letters(core)
-                if tail not in self.tails:
-                    if len(self.tails) > 10_000:
-                        self.tails.clear()
-                    self.tails[tail] = self._ids(tail)
-                cache[w] = head + self.tails[tail]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([" " + w for w in rest], add_special_tokens=False), strict=True):
-            cache[w] = self._pack(e.ids)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [x for lo in range(0, len(texts), PART) for x in self._encode(texts[lo : lo + PART])]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        need: set[str] = set()
-        for words in split:
-            need.update(words[1:])
+                tailed.append((w, core))
+                if core not in cache:
+                    if core in old:
+                        cache[core] = old[core]
+                    else:
+                        alone[core] = None
+        self._together(list(alone))
+        for w, core in tailed:
+            tail = w[len(core) :]
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails.clear()
+                self.tails[tail] = self._ids(tail)
+            cache[w] = cache[core] + self.tails[tail]
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        return [x for lo, hi in itertools.pairwise(cuts) if lo < hi for x in self._encode(texts[lo:hi])]
+
+    def _encode(self, texts: pa.Array) -> list[bytes]:
+        """The different words of all texts are looked up once; a text's ids are gathered from theirs by position."""
+        split = pc.split_pattern(texts, " ")
+        at = split.offsets.to_numpy() - split.offsets[0].as_py()
+        found = split.flatten().dictionary_encode()
+        firsts = found.take(pa.array(at[:-1])).to_pylist()
+        index, words = found.indices.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False).tolist()
         cache = self.cache
-        if new := [w for w in need if w not in cache]:
+        if new := [w for w in words if w not in cache]:
             old = self.old
             cache.update((w, old[w]) for w in new if w in old)
             self._learn([w for w in new if w not in cache])
-        get, out = cache.__getitem__, []
-        for t, words in zip(texts, split, strict=True):
-            first = words[0]
-            try:
-                if first != first.rstrip() or any(a in t for a in self.added):
-                    raise TypeError
-                out.append((self._ids(first) if first else b"") + b"".join(map(get, words[1:])))
-            except TypeError:  # or None among the words
-                out.append(self._ids(t))
+        known = list(map(cache.__getitem__, words))
+        unknown = np.fromiter((x is None for x in known), bool, len(known))
+        lengths = np.fromiter((len(x or b"") for x in known), np.int64, len(known)) // self.width
+        ids, begins = np.frombuffer(b"".join(x or b"" for x in known), self.kind), np.cumsum(lengths) - lengths
+        n, bad = lengths[index], unknown[index]
+        n[at[:-1]], bad[at[:-1]] = 0, False  # a text's first word has no space before it
+        ends = np.cumsum(n)
+        gathered = ids[np.repeat(begins[index] - ends + n, n) + np.arange(n.sum())].tobytes()
+        whole = np.add.reduceat(bad, at[:-1], dtype=np.int64) > 0
+        for a in self.added:
+            whole |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        bounds, out = (ends[np.concatenate((at[:1], at[1:] - 1))] * self.width).tolist(), []
+        for k, first in enumerate(firsts):
+            if whole[k] or first != first.rstrip():
+                out.append(self._ids(texts[k].as_py()))
+            else:
+                out.append((self._ids(first) if first else b"") + gathered[bounds[k] : bounds[k + 1]])
         if len(cache) > CACHE:
             self.old, self.cache = cache, {}
         return out
@@ -203,7 +224,7 @@ def write_tokens(
         def frames(first: pa.RecordBatch) -> Iterator[tuple[int, bytes, int, int]]:
             for batch in itertools.chain([first], batches):
                 ids = batch.column(0).fill_null(NO_ID).to_pylist()
-                for doc, raw in zip(ids, encoder.encode(batch.column(1).to_pylist()), strict=True):
+                for doc, raw in zip(ids, encoder.encode(batch.column(1)), strict=True):
                     raw += end
                     yield doc, pack.compress(raw), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF
 

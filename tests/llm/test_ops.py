@@ -280,6 +280,29 @@ def test_words_encode_as_whole_texts_do():
     assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)] == want
 
 
+def test_new_words_go_to_the_library_many_at_a_time():
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(5)
+    words = sorted({"".join(rng.choice("aeinrst") for _ in range(rng.randint(3, 12))) for _ in range(3000)})
+    texts = [" ".join(w + rng.choice(["", ",", ".\nX"]) for w in words[k : k + 100]) for k in range(0, len(words), 100)]
+    encoder, library = token_store.WordEncoder(path), Tokenizer.from_file(path)
+    asked = []
+
+    class Asked:
+        def __init__(self, of):
+            self.of = of
+
+        def __getattr__(self, name):
+            asked.append(name)
+            return getattr(self.of, name)
+
+    encoder.tokenizer, encoder.model = Asked(library), Asked(library.model)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)] == want
+    assert asked.count("encode_batch_fast") < 10 and len(asked) < 2 * len(texts)  # a text's first word alone, and what follows words
+
+
 def test_frames_are_checked(tmp_path):
     import io
 
