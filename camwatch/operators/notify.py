@@ -107,54 +107,97 @@ class RateLimit:
         self.told = True
 
 
-#: Outcome and time, if a segment begins with no overflow told, and if it begins with one.
-BOTH = [StructField(n, k) for v in ("if_not", "if_told") for n, k in ((f"outcome_{v}", StringType()), (f"sent_{v}", LongType()))]
+class Tickets:
+    """A rate limit's queue as numbers given out in order; it holds none of what waits."""
+
+    def __init__(self) -> None:
+        self.head = self.tail = 0
+
+    def __len__(self) -> int:
+        return self.tail - self.head
+
+    def __iter__(self) -> Iterator[int]:
+        return iter(range(self.head, self.tail))
+
+    def append(self, item) -> None:
+        self.tail += 1
+
+    def popleft(self) -> int:
+        self.head += 1
+        return self.head - 1
+
+    def clear(self) -> None:
+        self.head = self.tail
+
+
+#: Outcome, time and ticket, if a segment begins with no overflow told, and if it begins with one.
+BOTH = [StructField(f"{n}_if_{v}", k) for v in ("not", "told") for n, k in (("outcome", StringType()), ("sent", LongType()), ("ticket", LongType()))]
+#: Rows with the times of tickets that go out together. A batch's size; results do not depend on it.
+TICKETS = 10_000
 
 
 def judge_segments(parts: Iterator[pd.DataFrame], by: str, make: Callable[[bool], RateLimit], flags: bool) -> Iterator[pd.DataFrame]:
     """Judge batches sorted by key, segment and time, each segment twice: with ``told`` off and on.
 
-    Rows come with both outcomes, once both are known: only what still waits is held.
+    Nothing that waits is held. Of each batch first come the rows whose outcome is known in
+    both cases, then the others, with their place in the queue as a ticket and no outcome in a
+    case where they wait. A ticket that goes out is a row of its own: key, segment, ticket and
+    time; one that never does was dropped. What doesn't wait has a negative ticket, its own.
     With ``flags`` a row comes for each segment instead: what ``told`` is after it.
     """
-    at, rules, half = None, [], ({}, {})
+    at, rules, n, columns, gone = None, [], 0, [], []
 
-    def step(v: int, found: Iterator[tuple]) -> Iterator[tuple]:
+    def passed(v: int, found: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        """Let tickets go out; other outcomes are kept in ``own``."""
+        nonlocal own, gone
         for item, outcome, sent in found:
-            if (other := half[1 - v].pop(item, None)) is None:
-                half[v][item] = outcome, sent
-            else:
-                yield (*item, *(other + (outcome, sent) if v else (outcome, sent) + other))
-
-    def end() -> Iterator[tuple]:
+            if outcome != "queued":
+                own = own if outcome == "dropped" else (outcome, sent, -n)
+            elif not flags:
+                gone.append((*at, *((None,) * 3 * v), None, sent, item, *((None,) * 3 * (1 - v))))
+                if len(gone) >= TICKETS:
+                    yield tickets()
+
+    def tickets() -> pd.DataFrame:
+        nonlocal gone
+        rows, gone = pd.DataFrame(gone, columns=[by, "segment", *(f.name for f in BOTH)]), []
+        return _nullable(rows.assign(**{c: None for c in columns if c not in (by, "segment")})[[*columns, *(f.name for f in BOTH)]])
+
+    def end() -> Iterator[pd.DataFrame]:
         for v, rule in enumerate(rules):
-            yield from step(v, rule.drain())
+            yield from passed(v, rule.drain())
+        if flags and at:
+            yield pd.DataFrame([(*at, *(r.told for r in rules))], columns=[by, "segment", "after_not", "after_told"])
 
+    own = None
     for part in parts:
-        out: list[tuple] = []
-        columns = list(part.columns)
-        k, s, t = (columns.index(c) for c in (by, "segment", "ts_us"))
-        for n, row in enumerate(part.itertuples(index=False, name=None)):
-            if at is None or (row[k], row[s]) != at[:2]:
-                known = list(end())
-                out += [(*at[:2], *(r.told for r in rules))] if flags and at else [] if flags else known
-                at, rules = (row[k], row[s], 0), [make(False), make(True)]
-            at = (*at[:2], at[2] + 1)
-            known = [x for v, rule in enumerate(rules) for x in step(v, rule.see(row[t], (at[2], *row)))]
-            out += [] if flags else known
-        if out:
-            yield _judged(out, columns, by, flags)
-    if at is not None:
-        known = list(end())
-        if out := [(*at[:2], *(r.told for r in rules))] if flags else known:
-            yield _judged(out, columns, by, flags)
-
-
-def _judged(rows: list[tuple], columns: list[str], by: str, flags: bool) -> pd.DataFrame:
-    if flags:
-        return pd.DataFrame(rows, columns=[by, "segment", "after_not", "after_told"])
-    out = pd.DataFrame(rows, columns=["__n", *columns, *(f.name for f in BOTH)]).drop(columns="__n")
-    return out.astype({f.name: "Int64" for f in BOTH if f.name.startswith("sent")})
+        columns, out = list(part.columns), []
+        for k, s, t in zip(part[by], part["segment"], part["ts_us"], strict=True):
+            if (k, s) != at:
+                yield from end()
+                at, rules, n = (k, s), [make(False), make(True)], 0
+                for rule in rules:
+                    rule.waiting = Tickets()
+            n, row = n + 1, ()
+            for v, rule in enumerate(rules):
+                own = None
+                yield from passed(v, rule.see(t, None))
+                row += own or (None, None, rule.waiting.tail - 1)
+            if not flags:
+                out.append(row)
+        if not flags:
+            judged = part.assign(**dict(zip((f.name for f in BOTH), zip(*out, strict=True), strict=True))) if out else part.iloc[:0]
+            known = judged["outcome_if_not"].notna() & judged["outcome_if_told"].notna() if out else []
+            yield from (_nullable(x) for x in (judged[known], judged[~known]) if len(x)) if out else ()
+            if gone:
+                yield tickets()
+    yield from end()
+    if gone:
+        yield tickets()
+
+
+def _nullable(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.astype({f.name: "Int64" for f in BOTH if isinstance(f.dataType, LongType)})
 
 
 def composed(rows: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -188,7 +231,9 @@ def rate_limit(requests: DataFrame, most: int = 2, window_s: int = 5, queue: int
     beginning and end. Over such a cut goes only
     whether an overflow has been told and not drained. So each segment is judged for both
     cases, what it makes of the flag is composed over segments (in a day, then over days),
-    and the right case is picked. A task holds what waits in one segment.
+    and the right case is picked. A task holds nothing of what waits: the queue is first in,
+    first out, so a place in it is a number, and requests meet the times at which numbers
+    go out by a shuffle on key, segment and number.
     """
     turn = (window_s + 1) * 1_000_000
     cost, drained = -(-turn // most), 2 * turn
@@ -204,9 +249,12 @@ def rate_limit(requests: DataFrame, most: int = 2, window_s: int = 5, queue: int
     days = in_day.groupBy(by, "__day").agg(F.max_by(last, "segment").alias("x")).select(by, "__day", F.col("x.n").alias("after_not"), F.col("x.t").alias("after_told"))
     days = composed(days, [by], "__day").select(by, "__day", F.col("before_not").alias("__told"))
     flag = in_day.join(days, [by, "__day"]).select(by, "segment", F.when(F.col("__told"), F.col("before_told")).otherwise(F.col("before_not")).alias("__flag"))
-    picked = judged.join(flag, [by, "segment"]).select(
-        *requests.columns, *(F.when(F.col("__flag"), F.col(f"{c}_if_told")).otherwise(F.col(f"{c}_if_not")).alias(a) for c, a in (("outcome", "outcome"), ("sent", "sent_us")))
-    )
+    case = lambda c: F.when(F.col("__flag"), F.col(f"{c}_if_told")).otherwise(F.col(f"{c}_if_not")).alias(f"__{c}")
+    picked = judged.join(flag, [by, "segment"]).select(*requests.columns, "segment", case("outcome"), case("sent"), case("ticket")).filter("__ticket is not null")
+    # at most two rows for each ticket: the request and the time at which it goes out
+    picked = picked.withColumn("sent_us", F.max("__sent").over(W.partitionBy(by, "segment", "__ticket"))).filter("__outcome is not null or __sent is null")
+    waited = F.when(F.col("sent_us").isNotNull(), "queued").otherwise("dropped")
+    picked = picked.select(*requests.columns, F.coalesce("__outcome", waited).alias("outcome"), "sent_us")
     return picked.unionByName(requests.filter(~known), allowMissingColumns=True)
 
 

@@ -174,6 +174,33 @@ def test_rate_limit_against_brute_force_in_small_batches(spark):
     assert {o for o, _ in want.values()} == {"sent", "queued", "dropped", "overflow"} and got == want
 
 
+def test_rate_limit_holds_nothing_of_what_waits():
+    """A site that is never idle: each batch's rows come before the next is read, and what goes out afterwards comes in pieces."""
+    fed, got, most = [], [], 0
+
+    def batches():
+        for k in range(40):
+            fed.append(k)
+            yield pd.DataFrame({"site_id": 1, "segment": 0, "ts_us": range(k * 1000, k * 1000 + 1000), "request_id": range(k * 1000, k * 1000 + 1000)})
+
+    for out in N.judge_segments(batches(), "site_id", lambda told: N.RateLimit(2, 5, 10, told), False):
+        got.append(out["request_id"].notna().sum())
+        most = max(most, len(out))
+        assert sum(got) >= 1000 * (len(fed) - 1)
+    assert sum(got) == 40_000 and most <= N.TICKETS
+
+
+def test_rate_limit_of_a_site_that_is_never_idle(spark):
+    rng, ts, rows = random.Random(8), 0, []
+    for i in range(1500):
+        ts += rng.choice([0, 1000, 300_000, 900_000])
+        rows.append((ts, i))
+    df = spark.createDataFrame([(1, t, i) for t, i in rows], "site_id long, ts_us long, request_id long")
+    got = N.rate_limit(df).collect()
+    want = brute_rate_limit(rows)
+    assert {r.request_id: (r.outcome, r.sent_us) for r in got} == want and len(got) == len(rows) and sum(o == "queued" for o, _ in want.values()) > 1000
+
+
 def test_rate_limit_and_incidents_give_rows_while_a_site_goes_on():
     read = []
 
