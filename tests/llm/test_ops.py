@@ -241,6 +241,33 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_rows_for_each_line(spark):
+    """Lines that only an equal set is like make no rows, and a word none in bands where it stands too far back."""
+    words = lambda n: " ".join(f"w{n}x{k}" for k in range(n))
+    sizes = (1, 2, 3, 4, 40, 64)
+    texts = spark.createDataFrame([(n, words(n)) for n in sizes], "doc_id long, text string")
+    classes = line_dedup.line_table(texts, bytes(line_dedup.BUCKETS), 80).withColumnRenamed("doc_id", "doc")
+    rows = {r.doc: r["count"] for r in line_dedup.exploded(classes, 80).groupBy("doc").count().collect()}
+    # 40 words: partners have 32 at least, so 32 common words; 64: in its own band 64, so 57 common, in the lower one 52
+    assert rows == {4: 1, 40: 9, 64: 8 + 13}
+
+
+def test_line_dedup_of_crowds(spark, monkeypatch):
+    """Near copies in groups larger than those compared at once: what the earliest line doesn't decide, the others do."""
+    monkeypatch.setattr(line_dedup, "FEW", 2)
+    rng = random.Random(8)
+    pool = [text(rng.randint(4, 12), rng) for _ in range(4)]
+    rows = [(i, "\n".join(edit(rng.choice(pool), rng.randint(0, 3), rng) for _ in range(5))) for i in range(14)]
+    earlier, want = [], {}
+    for i, t in rows:
+        sets = [frozenset(line.split(" ")) for line in t.split("\n")]
+        gone = [any(100 * len(w & s) >= 80 * len(w | s) for s in earlier + sets[:k]) for k, w in enumerate(sets)]
+        earlier += sets
+        want[i] = "\n".join(line for line, g in zip(t.split("\n"), gone, strict=True) if not g)
+    got = line_dedup.dedup_lines(spark.createDataFrame([*rows, (None, pool[0])], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == want | {None: pool[0]}
+
+
 def test_token_files(spark, corpus):
     path = public_tokenizers.path("byte_bpe_50k.json")
     odd = [" a  b", "a \n b", "x\ty z ", "\n\n a", " lead", "trail ", "don't I'm 1234 5.6", "<|endoftext|> x", "a\u3000 b", "\x1c a\x85 b", "ok... (fine) 50%."]
