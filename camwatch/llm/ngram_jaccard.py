@@ -18,12 +18,14 @@ of chunks are compared.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from camwatch.llm.common import components, drop, scoped, table
@@ -32,6 +34,8 @@ from camwatch.llm.common import components, drop, scoped, table
 BAND = 1.5
 #: Documents of a bucket that a task compares with each other.
 CHUNK = 20_000
+#: The documents, and then the keys, are shuffled in so many parts, one after the other: less lies on disk at once.
+PARTS = 2
 #: Parity bits that a pair is compared by before its sets are fetched.
 WIDE = 4096
 #: Bytes of text that a task turns into sets at once.
@@ -328,15 +332,19 @@ def ngram_classes(documents: DataFrame, size: int = 3, percent: int = 90, id_col
     # equal sets are one class; its smallest id stands for it
     rep = table(linked.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     points = linked.join(rep.withColumnRenamed("rep", "doc_id"), ["n", "f1", "f2", "doc_id"], "left_semi")
-    points = table(points.select(F.col("doc_id").alias("doc"), "n", "s", "wide", "keys"), "points")
+    points = points.select(F.col("doc_id").alias("doc"), "n", "s", "wide", "keys")
+    points = functools.reduce(DataFrame.union, [table(points.filter(F.pmod("doc", F.lit(PARTS)) == part), "points") for part in range(PARTS)])
+    rows = table(all_docs.select("doc_id", "n", "f1", "f2"), "rows")
+    drop(all_docs)
+    # only keys that documents share matter, and those are few; ``chunks`` cuts large buckets. One shuffle: counted where they are gathered
     exploded = points.select(F.explode("keys").alias("key"), "doc")
-    # only keys that documents share matter, and those are few; ``chunks`` cuts large buckets
-    shared = exploded.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"))
-    shared = table(shared, "shared_keys")
-    buckets = table(exploded.join(shared, "key"), "buckets")
+    shared = exploded.withColumn("m", F.count("*").over(W.partitionBy("key"))).filter("m > 1").select("key", "doc", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"))
+    parts = [table(shared.filter(F.pmod("key", F.lit(PARTS)) == part), "buckets") for part in range(PARTS)]
+    buckets = functools.reduce(DataFrame.union, parts)
     entries = buckets.join(points.select("doc", "n", "s"), "doc").withColumn("chunk", F.when(F.col("chunks") > 1, F.pmod(F.hash("doc"), "chunks")).otherwise(0))
     entries = table(entries.select("key", "chunks", F.col("chunk").cast("long").alias("chunk"), "doc", "n", "s"), "entries")
-    drop(buckets)
+    for part in parts:
+        drop(part)
     tries = candidates(entries.select("key", F.col("chunk").alias("part"), "doc", F.lit(0).alias("side"), F.col("doc").alias("c"), "n", "s"), percent, False)
     # each document is first tried with the closest leader only
     tries = table(tries.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"), "tries")
@@ -357,8 +365,7 @@ def ngram_classes(documents: DataFrame, size: int = 3, percent: int = 90, id_col
     by_rep = rep.join(known.withColumnRenamed("id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     by_rep = table(by_rep, "by_rep")
     # documents whose id repeats with different sets belong to the class of either
-    rows = all_docs.select("doc_id", "n", "f1", "f2").join(by_rep, ["n", "f1", "f2"], "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return rows.join(by_rep, ["n", "f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def keep_first(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from camwatch.llm import decontam, license_scan, line_dedup, ngram_jaccard, token_store, topk_search, toxicity, unigram, url_filter, warc
+from camwatch.llm import common, decontam, license_scan, line_dedup, ngram_jaccard, token_store, topk_search, toxicity, unigram, url_filter, warc
 from camwatch.llm.common import components, scratch
 
 RNG = random.Random(7)
@@ -471,3 +472,17 @@ def test_trie_holds_just_its_keys():
 
     assert [find(k) for k in keys] == list(range(len(keys)))
     assert [find(k) for k in (b"ac", b"", b"\xff", b"abcd")] == [-1] * 4
+
+
+def test_ngram_sets_go_before_the_keys_are_shuffled(spark, corpus, monkeypatch):
+    paths, there = {}, {}
+
+    def seen(df, name):
+        there[name] = [n for n, p in paths.items() if os.path.exists(p.removeprefix("file:").replace("//", "/"))]
+        out = common.table(df, name)
+        paths[name] = out.scratch_path
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "table", seen)
+    ngram_jaccard.ngram_classes(spark.createDataFrame([(i, t, "en") for i, t in corpus], DOCS)).count()
+    assert "rows" in there["buckets"] and "sets" not in there["buckets"]
