@@ -132,7 +132,7 @@ class Tickets:
 
 #: Outcome, time and ticket, if a segment begins with no overflow told, and if it begins with one.
 BOTH = [StructField(f"{n}_if_{v}", k) for v in ("not", "told") for n, k in (("outcome", StringType()), ("sent", LongType()), ("ticket", LongType()))]
-#: Rows with the times of tickets that go out together. A batch's size; results do not depend on it.
+#: Rows with the times of tickets, or of segments, that go out together. A batch's size; results do not depend on it.
 TICKETS = 10_000
 
 
@@ -145,7 +145,7 @@ def judge_segments(parts: Iterator[pd.DataFrame], by: str, make: Callable[[bool]
     time; one that never does was dropped. What doesn't wait has a negative ticket, its own.
     With ``flags`` a row comes for each segment instead: what ``told`` is after it.
     """
-    at, rules, n, columns, gone = None, [], 0, [], []
+    at, rules, n, columns, gone, after = None, [], 0, [], [], []
 
     def passed(v: int, found: Iterator[tuple]) -> Iterator[pd.DataFrame]:
         """Let tickets go out; other outcomes are kept in ``own``."""
@@ -167,7 +167,14 @@ def judge_segments(parts: Iterator[pd.DataFrame], by: str, make: Callable[[bool]
         for v, rule in enumerate(rules):
             yield from passed(v, rule.drain())
         if flags and at:
-            yield pd.DataFrame([(*at, *(r.told for r in rules))], columns=[by, "segment", "after_not", "after_told"])
+            after.append((*at, *(r.told for r in rules)))
+            if len(after) >= TICKETS:
+                yield told()
+
+    def told() -> pd.DataFrame:
+        nonlocal after
+        rows, after = pd.DataFrame(after, columns=[by, "segment", "after_not", "after_told"]), []
+        return rows
 
     own = None
     for part in parts:
@@ -194,6 +201,8 @@ def judge_segments(parts: Iterator[pd.DataFrame], by: str, make: Callable[[bool]
     yield from end()
     if gone:
         yield tickets()
+    if after:
+        yield told()
 
 
 def _nullable(rows: pd.DataFrame) -> pd.DataFrame:
@@ -241,7 +250,9 @@ def rate_limit(requests: DataFrame, most: int = 2, window_s: int = 5, queue: int
     cut = cut_where_idle(requests.filter(known), by, "ts_us", ["request_id"], F.col("ts_us") + F.lit(cost + drained + window_s * 1_000_000), cost)
     cut = cut.repartition(by, "segment").sortWithinPartitions(by, "segment", "ts_us", "request_id")
     make = lambda told: RateLimit(most, window_s, queue, told)
-    judged = cut.mapInPandas(lambda parts: judge_segments(parts, by, make, False), StructType([*cut.schema.fields, *BOTH]))
+    # a ticket's row has nothing of a request's columns, also of those that are never null
+    fields = [StructField(f.name, f.dataType) for f in cut.schema.fields]
+    judged = cut.mapInPandas(lambda parts: judge_segments(parts, by, make, False), StructType([*fields, *BOTH]))
     light = cut.select(by, "segment", "ts_us", "request_id")
     after = light.mapInPandas(lambda parts: judge_segments(parts, by, make, True), StructType([cut.schema[by], cut.schema["segment"], *(StructField(f"after_{v}", BooleanType()) for v in ("not", "told"))]))
     in_day = composed(after.withColumn("__day", F.floor(F.col("segment") / 86_400_000_000)), [by, "__day"], "segment")

@@ -190,6 +190,13 @@ def test_rate_limit_holds_nothing_of_what_waits():
     assert sum(got) == 40_000 and most <= N.TICKETS
 
 
+def test_rate_limit_tells_of_many_segments_at_once():
+    """Short segments: their flags come in batches, not each in a frame of its own."""
+    rows = pd.DataFrame({"site_id": 1, "segment": [k * 60_000_000 for k in range(12_000)], "ts_us": [k * 60_000_000 for k in range(12_000)], "request_id": range(12_000)})
+    got = list(N.judge_segments(iter([rows[:5_000], rows[5_000:]]), "site_id", lambda told: N.RateLimit(2, 5, 10, told), True))
+    assert [len(x) for x in got] == [10_000, 2_000] and pd.concat(got)["segment"].tolist() == rows["segment"].tolist()
+
+
 def test_rate_limit_of_a_site_that_is_never_idle(spark):
     rng, ts, rows = random.Random(8), 0, []
     for i in range(1500):

@@ -38,3 +38,13 @@ def test_equal_times_as_in_the_sql(spark, tmp_path, name):
     c.sql(f"copy (select * replace (date_trunc('day', ts) as ts) from '{SF}/events.parquet' order by event_id) to '{tmp_path}/events.parquet'")
     c.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
     assert rows(plans.all_queries()[name](spark, str(tmp_path)).toPandas()) == rows(c.sql(plans.all_sql()[name]).df())
+
+
+def test_the_plan_with_requests_that_wait(spark, tmp_path):
+    """Events 40,000 times as dense, so that queues fill, overflow and drain."""
+    c = duckdb.connect()
+    c.sql(f"copy (select * replace (make_timestamp(epoch_us(ts) // 40000) as ts) from '{SF}/events.parquet' order by event_id) to '{tmp_path}/events.parquet'")
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    got, want = plans.all_queries()["q11_notification_plan"](spark, str(tmp_path)).toPandas(), c.sql(plans.all_sql()["q11_notification_plan"]).df()
+    assert {"sent", "queued", "overflow", "dropped"} == set(want["outcome"])
+    assert rows(got) == rows(want)
