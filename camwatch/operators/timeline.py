@@ -152,7 +152,22 @@ def action_window(entries: DataFrame, ends: DataFrame, pad: float = 3.0, area: s
     """incident_id, from_sec, to_sec: first to last detection of any camera, padded and clipped; without any, all of it."""
     hit = F.when(F.col(area) > 0, F.col("t"))
     g = entries.groupBy("incident_id").agg(F.min(hit).alias("a"), F.max(hit).alias("b")).join(ends, "incident_id")
-    return g.select("incident_id", F.coalesce(F.greatest(F.lit(0.0), F.col("a") - pad), F.lit(0.0)).alias("from_sec"), F.coalesce(F.least(F.col("end_sec"), F.col("b") + pad), "end_sec").alias("to_sec"))
+    return g.select("incident_id", *_window(pad))
+
+
+def _window(pad: float) -> list[Column]:
+    """``from_sec`` and ``to_sec`` of the first and last detection a and b, and end_sec."""
+    a, b = F.greatest(F.lit(0.0), F.col("a") - pad), F.least(F.col("end_sec"), F.col("b") + pad)
+    return [F.coalesce(a, F.lit(0.0)).alias("from_sec"), F.coalesce(b, "end_sec").alias("to_sec")]
+
+
+def slices_in_action(points: DataFrame, entries: DataFrame, pad: float = 3.0) -> DataFrame:
+    """``points_to_slices`` trimmed to the ``action_window``, where incidents end with their last entry: one row for each incident holds both, from one reading of the entries."""
+    hit = F.when(F.col("area") > 0, F.col("t"))
+    spans = entries.groupBy("incident_id").agg(F.min(hit).alias("a"), F.max(hit).alias("b"), F.max("t").cast("double").alias("end_sec")).select("incident_id", "end_sec", *_window(pad))
+    w = W.partitionBy("incident_id").orderBy("idx")
+    j = points.join(spans, "incident_id").withColumn("slice_end", F.coalesce(F.lead("t").over(w), "end_sec")).filter("slice_end > from_sec and t < to_sec")
+    return j.select("incident_id", "idx", "camera", F.greatest("t", "from_sec").alias("start_sec"), F.least("slice_end", "to_sec").alias("end_sec"))
 
 
 def trim_to_action(slices: DataFrame, windows: DataFrame) -> DataFrame:
@@ -167,14 +182,26 @@ def hooked_curves(entries: DataFrame, area_fn: str, step: float = 2.0, cap: int
     camera, end_sec, entries: its sampled frames as array<struct<t: double, area: bigint>>
     by time) and gives rows (t double, area bigint). Areas count at grid points; at one
     without a row the area is 0, of several rows the largest counts.
+
+    What a table function gives has lost its partitioning, so its rows are shuffled once
+    more by incident, with one row for each camera that becomes its grid behind the
+    shuffle. A point is its number, so no row looks for its time.
     """
-    cams = entries.groupBy("incident_id", "camera").agg(F.array_sort(F.collect_list(F.struct(F.col("t").cast("double").alias("t"), F.col("area").cast("bigint").alias("area")))).alias("entries"))
-    ends = entries.groupBy("incident_id").agg(F.max("t").cast("double").alias("end_sec"))
-    cams = cams.join(ends, "incident_id")
+    if step <= 0:
+        return area_curves(entries, step, cap)
+    frame = F.struct(F.col("t").cast("double").alias("t"), F.col("area").cast("bigint").alias("area"))
+    cams = entries.filter("incident_id is not null").groupBy("incident_id", "camera").agg(F.array_sort(F.collect_list(frame)).alias("entries"))
+    # the end is read from the frames: plans that need no areas would shuffle the detections another time
+    cams = cams.withColumn("end_sec", F.max(F.array_max(F.transform("entries", lambda e: e["t"]))).over(W.partitionBy("incident_id")))
     known = cams.sparkSession.sql(f"select c.incident_id, c.camera, f.t, f.area from {{cams}} c, lateral {area_fn}(c.incident_id, c.camera, c.end_sec, c.entries) f", cams=cams)
-    known = known.groupBy("incident_id", "camera", "t").agg(F.max("area").alias("area"))
-    grid = dense_grid(cams.select("incident_id", "camera", "end_sec"), step, cap).drop("end_sec")
-    return grid.join(known, ["incident_id", "camera", "t"], "left").select("incident_id", "camera", "idx", "t", F.coalesce("area", F.lit(0)).alias("area"))
+    k, point = F.round(F.col("t") / F.lit(float(step))), F.lit(float(step))
+    known = known.filter((F.col("t") == k * point) & k.between(0, max(1, cap) - 1)).select("incident_id", "camera", k.cast("int").alias("idx"), "area")
+    last = F.least(F.floor(F.col("end_sec") / step).cast("int"), F.lit(max(1, cap) - 1))
+    grids = cams.filter("end_sec > 0").select("incident_id", "camera", last.alias("last"))
+    both = by_incident(known.filter("camera is not null").unionByName(grids, allowMissingColumns=True))
+    points = both.withColumn("idx", F.explode(F.when(F.col("last").isNull(), F.array("idx")).otherwise(F.sequence(F.lit(0), "last"))))
+    points = points.groupBy("incident_id", "camera", "idx").agg(F.max("area").alias("area"), F.max("last").alias("last")).filter("last is not null")
+    return points.select("incident_id", "camera", "idx", (F.col("idx") * point).alias("t"), F.coalesce("area", F.lit(0)).alias("area"))
 
 
 def camera_timeline(sidecar: DataFrame, primary: str = "cam_0", step: float = 2.0, cap: int = 45, least: int = 5, area_fn: str | None = None, sizes: DataFrame | None = None) -> DataFrame:
@@ -184,13 +211,12 @@ def camera_timeline(sidecar: DataFrame, primary: str = "cam_0", step: float = 2.
     (``hooked_curves``); with ``sizes`` cameras of different sizes are compared by shares
     of their frames (``share_of_frame``).
     """
-    sidecar = by_incident(sidecar)
-    entries = person_area(sidecar)
-    ends = content_duration(sidecar).withColumn("end_sec", F.col("end_sec").cast("double"))
+    # said here, the filter is the same wherever entries are read: then they are shuffled once for all
+    entries = person_area(by_incident(sidecar.filter("incident_id is not null")))
     curves = hooked_curves(entries, area_fn, step, cap) if area_fn else area_curves(entries, step, cap)
     scores = ema(curves if sizes is None else share_of_frame(curves, sizes))
     points = merge_short_runs(hysteresis(best_camera(scores, F.lit(primary))), least)
-    return trim_to_action(points_to_slices(points, ends), action_window(entries, ends))
+    return slices_in_action(points, entries)
 
 
 def min_gap_sample(times: DataFrame, by: str, time: str, step: float, most: int) -> DataFrame:

@@ -188,6 +188,35 @@ def test_area_hook_may_give_any_points(spark):
     assert got == {("a", 0): 0, ("a", 1): 2, ("a", 2): 0, ("b", 0): 0, ("b", 1): 100, ("b", 2): 0}
 
 
+def test_area_hook_of_many_cameras_is_shuffled_by_incident_only(spark):
+    """Against brute force: no rows, points off the grid or beyond the end, repeated ones, cameras and incidents without a name."""
+
+    @udtf(returnType="t double, area bigint")
+    class Odd:
+        def eval(self, incident_id: int, camera: str, end_sec: float, entries: list):
+            for k in range(60 if incident_id % 4 else 0):
+                yield k * 1.25, None if k % 7 == 3 else (incident_id * 31 + len(entries) * 17 + k * k) % 101
+                yield 100.0 - k * 5.0, k
+
+    spark.udtf.register("odd_area", Odd)
+    rng = random.Random(6)
+    rows = [(i, c, t, rng.randint(0, 9)) for i in range(24) for c in ["a", "b", None][: rng.randint(1, 3)] for t in rng.sample(range(0, 70), rng.randint(1, 5))] + [(None, "a", 4, 1), (30, "a", 0, 1), (31, "a", None, 1)]
+    want = {}
+    for i in {r[0] for r in rows if r[0] is not None}:
+        end = max((r[2] for r in rows if r[0] == i and r[2] is not None), default=0)
+        for c in {r[1] for r in rows if r[0] == i}:
+            given = list(Odd.func().eval(i, c, end, [r for r in rows if r[:2] == (i, c)])) if c else []
+            for k in range(min(int(end // 2.5), 19) + 1 if end > 0 else 0):
+                want[i, c, k] = (k * 2.5, max((a for t, a in given if t == k * 2.5 and a is not None), default=0))
+    entries = spark.createDataFrame(rows, "incident_id long, camera string, t int, area long")
+    got = T.hooked_curves(entries, "odd_area", 2.5, 20).collect()
+    assert {(r.incident_id, r.camera, r.idx): (r.t, r.area) for r in got} == want and len(got) == len(want) and len({a for _, a in want.values()}) > 30
+    assert T.hooked_curves(entries, "odd_area", 0).count() == 0
+    plan = T.camera_timeline(entries.withColumn("label", F.lit("person")), area_fn="odd_area")._jdf.queryExecution().executedPlan().toString()
+    shuffles = [x.split(")")[0] for x in plan.split("hashpartitioning(")[1:]]
+    assert len(shuffles) >= 2 and all(x.startswith("incident_id") and "," not in x.rsplit(",", 1)[0] for x in shuffles)
+
+
 def test_describe_skips_incidents_snoozed_on_all_cameras(spark):
     inc = spark.createDataFrame([(1, 10, ["a", "b"]), (2, 10, ["a"]), (3, 30, ["a"]), (4, 10, [])], "incident_id long, ready_us long, cameras array<string>")
     z = spark.createDataFrame([("a", 0, 20, True)], "camera string, set_us long, expiration_us long, snooze_ai boolean")
