@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from camwatch.operators.joins import asof_nearest, in_interval
 from camwatch.operators.timeline import by_incident
 
 #: Least share of the frame's side that a crop has.
 LEAST_ZOOM = 0.4
+#: The crops at both ends of a slice.
+CROPS = [f"{side}_{c}" for side in ("start", "end") for c in "xywh"]
 
 
 def entry_boxes(sidecar: DataFrame) -> DataFrame:
@@ -39,6 +46,30 @@ def content_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, h
     return F.struct(a.alias("bx1"), b.alias("by1"), c.alias("bx2"), d.alias("by2"), F.when((c > a) & (d > b), (c - a) * (d - b)).otherwise(0.0).alias("area"))
 
 
+def entry_crops(sidecar: DataFrame, width: int = 1920, height: int = 1080, target_w: int = 960, target_h: int = 540, percent: int = 40) -> DataFrame:
+    """incident_id, camera, t (double) and ``x, y, w, h``: the crop around the weighted center of each sampled frame, as ``crop_at`` holds it."""
+    entries = entry_boxes(by_incident(sidecar.filter("incident_id is not null")))
+    cx, cy = F.coalesce("cx", F.lit(width / 2.0)), F.coalesce("cy", F.lit(height / 2.0))
+    x1, y1, x2, y2 = F.least(F.col("x1"), F.lit(width)), F.least(F.col("y1"), F.lit(height)), F.greatest(F.col("x2"), F.lit(0)), F.greatest(F.col("y2"), F.lit(0))
+    area = content_box(x1, y1, x2, y2, F.lit(width), F.lit(height))["area"]
+    zoom = F.coalesce((x1 < x2) & (y1 < y2) & (area > 0), F.lit(False)) if percent > 0 else F.lit(False)
+    _, _, fixed_w, fixed_h = _fixed_crop(width, height, target_w, target_h)
+
+    def side(fixed: int, full: int, shape: float) -> Column:
+        sized = F.greatest(F.lit(max(1, int(full * LEAST_ZOOM))), F.least(F.lit(full), F.sqrt(area / F.lit(percent / 100.0 or 1.0) * F.lit(shape)).cast("int")))
+        return F.when(zoom, F.greatest(F.lit(1), sized.bitwiseAND(-2))).otherwise(F.lit(fixed))
+
+    sized = entries.select("incident_id", "camera", F.col("t").cast("double").alias("t"), side(fixed_w, width, target_w / target_h).alias("w"), side(fixed_h, height, target_h / target_w).alias("h"), cx.alias("cx"), cy.alias("cy"))
+    return sized.select("incident_id", "camera", "t", into_frame("cx", "w", width).alias("x"), into_frame("cy", "h", height).alias("y"), "w", "h")
+
+
+def _fixed_crop(width: int, height: int, target_w: int, target_h: int) -> tuple[int, int, int, int]:
+    """x, y, w, h of the target size, scaled into smaller frames, in the middle of the frame."""
+    scale = min(1.0, width / target_w, height / target_h)
+    w, h = int(target_w * scale) // 2 * 2, int(target_h * scale) // 2 * 2
+    return max(0, min(int(width / 2.0 - w / 2.0), width - w)), max(0, min(int(height / 2.0 - h / 2.0), height - h)), w, h
+
+
 def crop_at(slices: DataFrame, sidecar: DataFrame, time: str, width: int = 1920, height: int = 1080, target_w: int = 960, target_h: int = 540, percent: int = 40) -> DataFrame:
     """``x, y, w, h``: the crop around the weighted center of the entry held at ``time``, shifted into the frame, sides even.
 
@@ -48,31 +79,34 @@ def crop_at(slices: DataFrame, sidecar: DataFrame, time: str, width: int = 1920,
     Without an entry or detections the crop is around the middle of the frame. An
     incident's camera has a bounded number of entries, and is not cut by time.
     """
-    entries = entry_boxes(by_incident(sidecar)).withColumn("t", F.col("t").cast("double"))
+    entries = entry_crops(sidecar, width, height, target_w, target_h, percent)
     left = slices.withColumn("t", F.col(time).cast("double"))
     held = asof_nearest(left, entries, ["incident_id", "camera"], "t", cell=None)  # an entry's box is made of detections, so none is empty
-    cx, cy = F.coalesce(F.col("entry.cx"), F.lit(width / 2.0)), F.coalesce(F.col("entry.cy"), F.lit(height / 2.0))
-    x1, y1, x2, y2 = F.least(F.col("entry.x1"), F.lit(width)), F.least(F.col("entry.y1"), F.lit(height)), F.greatest(F.col("entry.x2"), F.lit(0)), F.greatest(F.col("entry.y2"), F.lit(0))
-    area = content_box(x1, y1, x2, y2, F.lit(width), F.lit(height))["area"]
-    zoom = F.coalesce((x1 < x2) & (y1 < y2) & (area > 0), F.lit(False)) if percent > 0 else F.lit(False)
-    scale = min(1.0, width / target_w, height / target_h)
+    fixed = zip("xywh", _fixed_crop(width, height, target_w, target_h), strict=True)
+    return held.withColumns({c: F.coalesce(f"entry.{c}", F.lit(v)) for c, v in fixed}).drop("entry", "t")
 
-    def side(fixed: int, full: int, shape: float) -> Column:
-        sized = F.greatest(F.lit(max(1, int(full * LEAST_ZOOM))), F.least(F.lit(full), F.sqrt(area / F.lit(percent / 100.0 or 1.0) * F.lit(shape)).cast("int")))
-        return F.when(zoom, F.greatest(F.lit(1), sized.bitwiseAND(-2))).otherwise(F.lit(int(fixed * scale) // 2 * 2))
 
-    held = held.withColumns({"w": side(target_w, width, target_w / target_h), "h": side(target_h, height, target_h / target_w), "cx": cx, "cy": cy})
-    return held.withColumns({"x": into_frame("cx", "w", width), "y": into_frame("cy", "h", height)}).drop("entry", "t", "cx", "cy")
+def _by_incident(slices: DataFrame, sidecar: DataFrame, width: int = 1920, height: int = 1080, target_w: int = 960, target_h: int = 540, percent: int = 40) -> tuple[DataFrame, Column]:
+    """Rows by incident, and of these an incident's slices in order as structs of row, s and e, the crops at both ends.
+
+    A crop depends on its entry only, so it is made once for each entry. An incident's
+    slices meet its entries, by camera, in one row: an end looks through its camera's,
+    of which there are a bounded number, so that no end is a row to be sorted.
+    """
+    entries = entry_crops(sidecar, width, height, target_w, target_h, percent).filter("camera is not null and t is not null")
+    held = entries.groupBy("incident_id", "camera").agg(F.collect_list(F.struct("t", F.struct("x", "y", "w", "h").alias("crop"))).alias("entries"))
+    held = held.groupBy("incident_id").agg(F.map_from_entries(F.collect_list(F.struct("camera", "entries"))).alias("held"))
+    own = slices.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.struct(*slices.columns).alias("row")))).alias("a"))
+    fixed = F.struct(*(F.lit(v).alias(c) for c, v in zip("xywh", _fixed_crop(width, height, target_w, target_h), strict=True)))
 
+    def at(row: Column, time: str) -> Column:
+        """The nearest entry's crop, the earlier entry's on ties."""
+        t = row[time].cast("double")
+        near = F.array_min(F.transform(F.col("held")[row["camera"]], lambda e: F.struct(F.abs(e["t"] - t).alias("away"), e["t"].alias("t"), e["crop"].alias("crop"))))
+        return F.coalesce(F.when(t.isNotNull(), near["crop"]), fixed)
 
-def _by_incident(slices: DataFrame, sidecar: DataFrame, **sizes: int) -> DataFrame:
-    """incident_id, p: an incident's slices in order as structs of row, s and e, the crops at both ends; both ask in one pass."""
-    ends = F.explode(F.array(*(F.struct(F.lit(e).alias("e"), F.col(c).cast("double").alias("at")) for e, c in ((False, "start_sec"), (True, "end_sec")))))
-    asks = slices.select("incident_id", "camera", F.struct(*slices.columns).alias("row"), ends.alias("ask")).select("incident_id", "camera", "row", "ask.e", "ask.at")
-    each = crop_at(asks, sidecar, "at", **sizes)
-    both = each.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct(F.col("row.idx").alias("idx"), "e", F.struct("x", "y", "w", "h").alias("crop"), "row"))).alias("a"))
-    pair = lambda i: F.struct(F.get("a", i)["row"].alias("row"), F.get("a", i)["crop"].alias("s"), F.get("a", i + 1)["crop"].alias("e"))
-    return both.select("incident_id", F.transform(F.sequence(F.lit(0), F.size("a") - 2, F.lit(2)), pair).alias("p"))
+    pair = lambda x: F.struct(x["row"].alias("row"), at(x["row"], "start_sec").alias("s"), at(x["row"], "end_sec").alias("e"))
+    return own.join(held, "incident_id", "left"), F.transform("a", pair)
 
 
 def _flat(rows: DataFrame, p: Column) -> DataFrame:
@@ -82,7 +116,7 @@ def _flat(rows: DataFrame, p: Column) -> DataFrame:
 
 def crop_ends(slices: DataFrame, sidecar: DataFrame, **sizes: int) -> DataFrame:
     """Slices (incident_id, idx, camera, start_sec, end_sec, others) with the crop of ``crop_at`` at each end: start_x to end_h. ``idx`` is unique in an incident."""
-    return _flat(_by_incident(slices, sidecar, **sizes), F.col("p"))
+    return _flat(*_by_incident(slices, sidecar, **sizes))
 
 
 def quality_join(slices: DataFrame, sidecar: DataFrame) -> DataFrame:
@@ -180,55 +214,63 @@ def smooth_centers(slices: DataFrame, alpha: float = 0.3, width: int = 1920, hei
     return z.select(F.explode(F.arrays_zip("p", "s")).alias("z")).select("z.p.row.*", F.col("z.s.sx").alias(f"{crop}sx"), F.col("z.s.sy").alias(f"{crop}sy"))
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _smoothed(p: Column, width: int, height: int, target_w: int, target_h: int, zoom_alpha: float = 0.25, alpha: float = 0.3) -> Column:
-    """The slices of an incident with their final crops, by one fold: what goes on from a slice to the next is, for each end, the zoom and the center."""
-    area, shape = float(width * height), target_w / target_h
+def _smoothed(rows: DataFrame, p: Column, width: int, height: int, target_w: int, target_h: int) -> DataFrame:
+    """The slices in ``p``, one array for each incident, with their final crops, by one fold in order (``fold_crops``). No crop is null."""
     camera = lambda x: x["row"]["camera"]
     # the end crop is the start crop on the last slice before a change of camera
-    held = F.transform(p, lambda x, i: F.struct(x["row"].alias("row"), x["s"].alias("s"), F.when(camera(F.get(p, i + 1)) != camera(x), x["s"]).otherwise(x["e"]).alias("e")))
-
-    def sized(v: Column, full: int) -> Column:
-        return F.greatest(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(full), F.sqrt(v).cast("int"))).bitwiseAND(-2))
+    held = lambda x, i: F.when(camera(F.get("p", i + 1)) != camera(x), x["s"]).otherwise(x["e"])
+    same = lambda x, i: F.coalesce(camera(F.get("p", i - 1)) == camera(x), F.lit(False))
+    one = lambda x, i: F.struct(F.struct(x["row"].alias("row"), same(x, i).alias("same")).alias("row"), x["s"].alias("s"), held(x, i).alias("e"))
+    flat = _flat(rows.select(p.alias("p")), F.transform("p", one)).select("row.*", "same", *CROPS)
+    schema = StructType([f for f in flat.schema.fields if f.name != "same"])
+    return flat.mapInArrow(lambda parts: fold_crops(parts, width, height, target_w, target_h), schema)
 
-    def at(c: Column, new: Column, x: str, w: str, full: int) -> Column:
-        """Center of the resized crop, shifted into the frame."""
-        return F.greatest(F.lit(0), F.least((c[x] + c[w] / 2.0 - new[w] / 2.0).cast("int"), F.lit(full) - new[w])) + new[w] / 2.0
 
-    def within(center: Column, size: Column, full: int) -> Column:
-        return F.greatest(size / 2.0, F.least(F.lit(float(full)) - size / 2.0, center))
+def fold_crops(parts: Iterator[pa.RecordBatch], width: int, height: int, target_w: int, target_h: int, zoom_alpha: float = 0.25, alpha: float = 0.3) -> Iterator[pa.RecordBatch]:
+    """Batches of slices in order with both ends smoothed; ``same``: the slice goes on with the camera of the one before, also over batches.
 
-    def end(c: Column, last: Column, same: Column) -> Column:
-        raw = F.greatest(F.lit(LEAST_ZOOM), F.least(F.lit(1.0), F.sqrt(c["w"] * c["h"] / F.lit(area))))
-        zoom = F.when(same, F.lit(zoom_alpha) * raw + F.lit(1 - zoom_alpha) * last["zoom"]).otherwise(raw)
-        mixed = lambda v, old: F.when(same, F.lit(alpha) * v + F.lit(1 - alpha) * old).otherwise(v)
-        size = lambda z: F.struct(z.alias("zoom"), sized(z * z * F.lit(area) * F.lit(shape), width).alias("w"), sized(z * z * F.lit(area) / F.lit(shape), height).alias("h"))
-        center = lambda n: F.struct(n["zoom"].alias("zoom"), n["w"].alias("w"), n["h"].alias("h"), within(mixed(at(c, n, "x", "w", width), last["cx"]), n["w"], width).alias("cx"), within(mixed(at(c, n, "y", "h", height), last["cy"]), n["h"], height).alias("cy"))
-        return _let(_let(zoom, size), center)
-
-    def crop(n: Column) -> Column:
-        return F.struct((n["cx"] - n["w"] / 2.0).cast("int").alias("x"), (n["cy"] - n["h"] / 2.0).cast("int").alias("y"), n["w"].alias("w"), n["h"].alias("h"))
-
-    def step(acc: Column, x: Column) -> Column:
-        def go(last: Column) -> Column:
-            same = F.coalesce(camera(last) == camera(x), F.lit(False))
-            done = lambda b: F.struct(x["row"].alias("row"), b["s"].alias("ss"), b["e"].alias("se"), F.when(same, last["e"]).otherwise(crop(b["s"])).alias("s"), crop(b["e"]).alias("e"))
-            return _let(F.struct(end(x["s"], last["ss"], same).alias("s"), end(x["e"], last["se"], same).alias("e")), done)
-
-        return F.concat(acc, F.array(_let(F.try_element_at(acc, F.lit(-1)), go)))
-
-    return F.aggregate(held, F.transform(F.slice(held, 1, 0), _blank), step)
-
-
-def _blank(x: Column) -> Column:
-    """The type of a folded slice."""
-    state = F.struct(F.lit(0.0).alias("zoom"), F.lit(0).alias("w"), F.lit(0).alias("h"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"))
-    none = F.struct(*(F.lit(0).alias(c) for c in "xywh"))
-    return F.struct(x["row"].alias("row"), state.alias("ss"), state.alias("se"), none.alias("s"), none.alias("e"))
+    What goes on from a slice to the next is, for each end, the zoom and the center. All
+    runs of a camera go on at once, a slice of each in a step, and the last slice of a
+    batch goes on in the next one.
+    """
+    area, shape, before = float(width * height), target_w / target_h, None
+    for part in parts:
+        if not part.num_rows:
+            continue
+        of = {c: np.stack([part.column(f"{side}_{c}").to_numpy() for side in ("start", "end")]).astype(float) for c in "xywh"}
+        same = part.column("same").to_numpy(zero_copy_only=False).astype(bool)
+        # a place is that of the slice and 1: at 0 is what the last batch left
+        at = np.arange(1, len(same) + 1)
+        nth = at - np.maximum.accumulate(np.where(same, 0, at))
+        steps = np.split(at[np.argsort(nth, kind="stable")], np.cumsum(np.bincount(nth))[:-1])[1:]
+
+        def going(first: np.ndarray, name: str, step) -> np.ndarray:
+            """``first`` where a run begins, elsewhere ``step`` of the places and what the slice before has."""
+            v = np.concatenate([before[name] if before else np.zeros((2, 1)), first], axis=1)  # noqa: B023
+            for now in steps:  # noqa: B023
+                v[:, now] = step(now - 1, v[:, now - 1])
+            return v
+
+        raw = np.maximum(LEAST_ZOOM, np.minimum(1.0, np.sqrt(of["w"] * of["h"] / area)))
+        kept = {"zoom": going(raw, "zoom", lambda i, old: zoom_alpha * raw[:, i] + (1 - zoom_alpha) * old)}  # noqa: B023
+        zoom, out = kept["zoom"][:, 1:], {}
+        for x, w, full, v in (("x", "w", width, zoom * zoom * area * shape), ("y", "h", height, zoom * zoom * area / shape)):
+            size = np.maximum(1, np.maximum(1, np.minimum(full, np.sqrt(v).astype(int))) & -2)
+            half = size / 2.0
+            center = np.maximum(0, np.minimum((of[x] + of[w] / 2.0 - half).astype(int), full - size)) + half
+            within = lambda c, h, full=full: np.maximum(h, np.minimum(float(full) - h, c))
+            kept[x] = going(within(center, half), x, lambda i, old, c=center, h=half, f=within: f(alpha * c[:, i] + (1 - alpha) * old, h[:, i]))
+            out[x], out[w] = (kept[x][:, 1:] - half).astype(int), size
+        kept = {n: v[:, -1:] for n, v in kept.items()}
+        for c, (start, end) in out.items():
+            # a slice begins where the one before ended
+            last = np.concatenate([before[f"end_{c}"] if before else end[:1], end[:-1]])
+            kept[f"end_{c}"] = end[-1:]
+            out[c] = np.where(same, last, start), end
+        before = kept
+        rest = [n for n in part.schema.names if n != "same" and n not in CROPS]
+        crops = [pa.array(out[n[-1]][n.startswith("end")], pa.int32()) for n in CROPS]
+        yield pa.RecordBatch.from_arrays([*(part.column(n) for n in rest), *crops], names=[*rest, *CROPS])
 
 
 def crop_path(slices: DataFrame, width: int = 1920, height: int = 1080, target_w: int = 960, target_h: int = 540) -> DataFrame:
@@ -236,18 +278,17 @@ def crop_path(slices: DataFrame, width: int = 1920, height: int = 1080, target_w
 
     One fold over an incident's slices in order; ``idx`` is unique in an incident.
     """
-    names = [f"{side}_{c}" for side in ("start", "end") for c in "xywh"]
-    row = F.struct(*(c for c in slices.columns if c not in names))
+    row = F.struct(*(c for c in slices.columns if c not in CROPS))
     crop = lambda side: F.struct(*(F.col(f"{side}_{c}").cast("int").alias(c) for c in "xywh"))
     one = F.struct("idx", F.struct(row.alias("row"), crop("start").alias("s"), crop("end").alias("e")).alias("x"))
     p = slices.groupBy("incident_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda o: o["x"]).alias("p"))
-    return _flat(p, _smoothed(F.col("p"), width, height, target_w, target_h))
+    return _smoothed(p, F.col("p"), width, height, target_w, target_h)
 
 
 def crop_plan(slices: DataFrame, sidecar: DataFrame, width: int = 1920, height: int = 1080, target_w: int = 960, target_h: int = 540) -> DataFrame:
     """``crop_path`` of ``crop_ends``, with one shuffle by incident for both."""
     sizes = {"width": width, "height": height, "target_w": target_w, "target_h": target_h}
-    return _flat(_by_incident(slices, sidecar, **sizes), _smoothed(F.col("p"), width, height, target_w, target_h))
+    return _smoothed(*_by_incident(slices, sidecar, **sizes), width, height, target_w, target_h)
 
 
 def continuity(slices: DataFrame) -> DataFrame:

@@ -76,6 +76,37 @@ def test_crop_path_against_brute_force(spark):
         assert (r.x, r.y, r.w, r.h) == tuple(max(2 * (k > 1), int(p + (q - p) * (r.sample / 3)) & ~1) for k, (p, q) in enumerate(zip(a, b)))
 
 
+def test_the_fold_goes_on_over_batches():
+    """Against brute force, in batches of every size: what goes on does so from a batch to the next, and no incident begins with another's."""
+    import pyarrow as pa
+
+    rng, rows, want = random.Random(3), [], []
+    for n in range(30):
+        cams = [c for _ in range(rng.randint(1, 5)) for c in [rng.choice("ab")] * rng.randint(1, 9)]
+        crops = [[(rng.randint(0, W // 2), rng.randint(0, H // 2), rng.randint(2, W // 2), rng.randint(2, H // 2)) for _ in "se"] for _ in cams]
+        held = [[a, a if i + 1 < len(cams) and cams[i + 1] != cams[i] else b] for i, (a, b) in enumerate(crops)]
+        rows += [{"incident_id": n, "same": i > 0 and cams[i - 1] == cams[i]} | {f"{side}_{c}": v for side, crop in zip(("start", "end"), held[i]) for c, v in zip("xywh", crop)} for i in range(len(cams))]
+        want += [(n, *a, *b) for a, b in brute_path(cams, crops)]
+    whole = pa.Table.from_pylist(rows)
+    for size in (1, 2, 7, 100, len(rows)):
+        got = pa.Table.from_batches(K.fold_crops(iter(whole.to_batches(max_chunksize=size)), W, H, TW, TH))
+        assert [tuple(r.values()) for r in got.to_pylist()] == want, size
+
+
+def test_an_end_is_looked_up_not_sorted(spark):
+    """Crops of ends with and without a time, a camera or entries; the plan sorts slices, never their ends."""
+    sidecar = spark.createDataFrame([(1, "a", 4, 0, 0, 90, 50, 9), (1, "a", 8, 900, 500, 1000, 600, 9), (1, "b", None, 0, 0, 90, 50, 9), (None, "a", 4, 0, 0, 90, 50, 9), (1, None, 4, 0, 0, 90, 50, 9)], "incident_id long, camera string, t int, x1 int, y1 int, x2 int, y2 int, area long")
+    slices = spark.createDataFrame([(1, 0, "a", 6.0, 6.5), (1, 1, "a", None, 99.0), (1, 2, "b", 0.0, 4.0), (1, 3, None, 4.0, 4.0), (2, 0, "a", 4.0, 8.0), (None, 0, "a", 4.0, 8.0)], "incident_id long, idx int, camera string, start_sec double, end_sec double")
+    early, late, middle = (0, 0, 768, 432), (566, 334, 768, 432), (480, 270, 960, 540)
+    ends = K.crop_ends(slices, sidecar)
+    got = {(r.incident_id, r.idx): (tuple(r[f"start_{c}"] for c in "xywh"), tuple(r[f"end_{c}"] for c in "xywh")) for r in ends.collect()}
+    assert got == {(1, 0): (early, late), (1, 1): (middle, late), (1, 2): (middle, middle), (1, 3): (middle, middle), (2, 0): (middle, middle), (None, 0): (middle, middle)}
+    for time in ("start_sec", "end_sec"):
+        assert {(r.incident_id, r.idx): (r.x, r.y, r.w, r.h) for r in K.crop_at(slices, sidecar, time).collect()} == {k: v[time == "end_sec"] for k, v in got.items()}
+    plan = ends._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Union" not in plan
+
+
 def test_curves_and_short_runs_without_joins(spark):
     """Against brute force: areas of the nearest entry, earlier on ties; short runs; and incidents are shuffled once."""
     from pyspark.sql import functions as F
